@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from serieswise import config as C
 from serieswise.config import BLOCK, KEYS, POS
 from serieswise.functions.scalar import POSITION_MAPS, clip
-from serieswise.operators.blocks import Frames, rolling
+from serieswise.operators.blocks import Frames, is_blocked, rolling
 from serieswise.operators.features import rolling_mean, rolling_std
 from serieswise.operators.scoring import YEAR, drawdown, equity_curve, score_v1, with_returns
 
@@ -76,7 +76,7 @@ def grid_positions(
         )
         for s in settings
     ]
-    kept = [*keys, POS, BLOCK, "forward_returns", "risk_free_rate"]
+    kept = [*keys, POS, *([BLOCK] if is_blocked(df) else []), "forward_returns", "risk_free_rate"]
     return rows.select(*kept, F.explode(F.array(*cells)).alias("_g")).select(*kept, "_g.*")
 
 

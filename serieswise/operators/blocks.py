@@ -1,15 +1,17 @@
 """Windows over series of any length.
 
-A series is cut into blocks of ``BLOCK_ROWS`` consecutive rows and every window
-is partitioned by ``(series, block)``; no task ever holds a whole series.
-
-* Bounded frames (``rolling``): the last ``back`` rows of a block are copied into
-  the next one before the shuffle, so each block sees its full look-back. Series
-  that fit in one block copy nothing and plan like an ordinary window.
-* Unbounded frames (``scan``): one summary row per block, a window over that
-  small table, and a join back on ``(series, block)``, which is the partitioning
-  the rows already have.
-* ``number_rows`` gives the dense position both rely on, the same way.
+``number_rows`` gives every row its dense position and decides how the panel is
+worked on. If no series is longer than ``BLOCK_ROWS``, all windows are partitioned
+by series: one shuffle serves a whole chain of operators. If one is longer, the
+panel gets a ``_block`` column (position // BLOCK_ROWS), every window is
+partitioned by ``(series, block)``, and no task ever holds a whole series:
+
+* bounded frames (``rolling``): the last ``back`` rows of a block are copied into
+  the next one before the shuffle, so each block sees its full look-back;
+* unbounded frames (``scan``): one summary row per block, a window over that
+  small table, and a join back on ``(series, block)``.
+
+Both ways give equal results. Operators keep the ``_block`` column of their input.
 """
 
 from __future__ import annotations
@@ -22,6 +24,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from serieswise.config import BLOCK, BLOCK_ROWS, DAY, KEYS, POS
+from serieswise.session import settle
+
+
+def longest_group(df: DataFrame, keys: Sequence[str] = KEYS) -> int:
+    """Rows of the largest group; counted before the shuffle, one number returned."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
+def is_blocked(df: DataFrame) -> bool:
+    return BLOCK in df.columns
+
+
+def _block(block_rows: int) -> Column:
+    return F.floor(F.col(POS) / F.lit(block_rows))
 
 
 def number_rows(
@@ -30,35 +47,43 @@ def number_rows(
     bucket: Column | None = None,
     keys: Sequence[str] = KEYS,
     name: str = POS,
+    longest: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add the dense 0-based position by ``order`` within ``keys``.
 
-    ``bucket`` must not decrease with ``order``; rows are counted per bucket, the
-    counts are summed over earlier buckets, and rows are numbered inside their
-    bucket only. For an integer ``order`` the default bucket holds ``block_rows``
-    values.
+    ``longest`` is an upper bound of rows per series if the caller has one, else
+    they are counted. Long series are numbered by ``bucket``, which must not
+    decrease with ``order``: rows are counted per bucket, counts are summed over
+    earlier buckets, and rows are numbered inside their bucket only. The default
+    bucket of an integer ``order`` spans ``block_rows`` values.
     """
+    rows = df.drop(name)
+    if longest is None:
+        longest = longest_group(rows, keys)
+    if longest <= block_rows:
+        at = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+        return rows.drop(BLOCK).withColumn(name, at.cast("long"))
     if bucket is None:
         bucket = F.floor(F.col(order) / F.lit(block_rows))
     at = [*keys, "_bucket"]
-    parts = df.drop(name, BLOCK).withColumn("_bucket", bucket)
+    parts = settle(rows.drop(BLOCK).withColumn("_bucket", bucket))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.groupBy(*at).agg(F.count(F.lit(1)).alias("_rows")).select(
         *at, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")
     )
     inside = F.row_number().over(Window.partitionBy(*at).orderBy(order))
-    return (
-        parts.join(starts, at)
-        .withColumn(name, (F.col("_start") + inside - 1).cast("long"))
-        .drop("_bucket", "_start")
-    )
+    numbered = parts.join(starts, at).withColumn(name, (F.col("_start") + inside - 1).cast("long"))
+    block = F.floor(F.col(name) / F.lit(block_rows))
+    return numbered.drop("_bucket", "_start").withColumn(BLOCK, block)
 
 
-def with_block(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    if BLOCK in df.columns:
-        return df
-    return df.withColumn(BLOCK, F.floor(F.col(POS) / F.lit(block_rows)))
+def renumber(df: DataFrame, keys: Sequence[str] = KEYS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Close the gaps a row filter left in the positions."""
+    longest = block_rows + 1 if is_blocked(df) else 0
+    rows = df.withColumnRenamed(POS, "_at")
+    bucket = F.col(BLOCK) if is_blocked(df) else None
+    return number_rows(rows, "_at", bucket, keys, POS, longest, block_rows).drop("_at")
 
 
 class Frames(NamedTuple):
@@ -79,9 +104,12 @@ def rolling(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add columns whose frames reach ``back`` rows back and ``ahead`` forward."""
+    if not is_blocked(df):
+        made = build(Frames(Window.partitionBy(*keys).orderBy(POS)))
+        return df.select(*[c for c in df.columns if c not in made], *[c.alias(n) for n, c in made.items()])
     if max(back, ahead) > block_rows:
         raise ValueError("a block must be at least as long as the look-back")
-    own = F.floor(F.col(POS) / F.lit(block_rows))
+    own = _block(block_rows)
     inside = F.col(POS) - own * block_rows
     targets = [own]
     if back:
@@ -89,87 +117,80 @@ def rolling(
     if ahead:
         targets.append(F.when(inside < ahead, own - 1))
     spread = df.drop(BLOCK).withColumn(BLOCK, F.explode(F.array_compact(F.array(*targets))))
-    frames = Frames(Window.partitionBy(*keys, BLOCK).orderBy(POS))
-    columns = build(frames)
-    kept = [c for c in spread.columns if c not in columns]
-    return spread.select(*kept, *[c.alias(n) for n, c in columns.items()]).filter(F.col(BLOCK) == own)
+    made = build(Frames(Window.partitionBy(*keys, BLOCK).orderBy(POS)))
+    kept = [c for c in spread.columns if c not in made]
+    return spread.select(*kept, *[c.alias(n) for n, c in made.items()]).filter(F.col(BLOCK) == own)
 
 
 class Scan(NamedTuple):
-    """An unbounded frame in three parts.
+    """An unbounded frame.
 
-    ``summary``: aggregates of one block. ``carry``: expressions over earlier
-    blocks (``prior``) or all blocks (``whole``) of the summary table. ``value``:
-    the row result from the frame inside the block and the carried columns.
-    ``prepare``: columns the summary table needs before ``carry``.
+    ``direct``: the result from the running and the whole frame of a series. For
+    long series: ``summary`` are aggregates of one block, ``prepare`` columns the
+    summary table needs first, ``carry`` expressions over earlier blocks or all
+    blocks of it, ``value`` the result from the running frame inside the block and
+    the carried columns.
     """
 
+    direct: Callable[[WindowSpec, WindowSpec], Column]
     summary: dict[str, Column]
     carry: Callable[[WindowSpec, WindowSpec], dict[str, Column]]
     value: Callable[[WindowSpec], Column]
     prepare: Callable[[WindowSpec], dict[str, Column]] = lambda whole: {}
 
 
-def scan(
-    df: DataFrame,
-    scans: dict[str, Callable[[str], Scan]],
-    keys: Sequence[str] = KEYS,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
+def scan(df: DataFrame, scans: dict[str, Callable[[str], Scan]], keys: Sequence[str] = KEYS) -> DataFrame:
     """Add columns whose frames start at the first row of the series."""
-    blocks = with_block(df, block_rows)
-    at = [*keys, BLOCK]
-    prior = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    local = Window.partitionBy(*at).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
     made = {name: make(f"_{i}") for i, (name, make) in enumerate(scans.items())}
+    kept = [c for c in df.columns if c not in made]
+    start, end = Window.unboundedPreceding, Window.unboundedFollowing
+    if not is_blocked(df):
+        running = Window.partitionBy(*keys).orderBy(POS).rowsBetween(start, 0)
+        whole = Window.partitionBy(*keys).orderBy(POS).rowsBetween(start, end)
+        return df.select(*kept, *[s.direct(running, whole).alias(n) for n, s in made.items()])
+    at = [*keys, BLOCK]
+    blocks = settle(df)
+    by_block = Window.partitionBy(*keys).orderBy(BLOCK)
+    prior, whole = by_block.rowsBetween(start, -1), by_block.rowsBetween(start, end)
     summary = blocks.groupBy(*at).agg(*[c.alias(n) for s in made.values() for n, c in s.summary.items()])
     ready = {n: c for s in made.values() for n, c in s.prepare(whole).items()}
     summary = summary.select("*", *[c.alias(n) for n, c in ready.items()])
     carried = {n: c for s in made.values() for n, c in s.carry(prior, whole).items()}
     carry = summary.select(*at, *[c.alias(n) for n, c in carried.items()])
-    kept = [c for c in blocks.columns if c not in made]
-    return blocks.join(carry, at).select(
-        *kept, *[s.value(local).alias(name) for name, s in made.items()]
-    )
+    running = Window.partitionBy(*at).orderBy(POS).rowsBetween(start, 0)
+    return blocks.join(carry, at).select(*kept, *[s.value(running).alias(n) for n, s in made.items()])
 
 
-def running_product(x: Column) -> Callable[[str], Scan]:
+def _foldable(agg: Callable[..., Column], x: Column, join: Callable[[Column, Column], Column], zero: Column | None):
+    """Scan whose block results combine like its values do."""
+
     def make(tag: str) -> Scan:
         total, start = f"{tag}_block", f"{tag}_start"
+
+        def carry(prior: WindowSpec, whole: WindowSpec) -> dict[str, Column]:
+            earlier = agg(F.col(total)).over(prior)
+            return {start: earlier if zero is None else F.coalesce(earlier, zero)}
+
         return Scan(
-            {total: F.product(x)},
-            lambda prior, whole: {start: F.coalesce(F.product(total).over(prior), F.lit(1.0))},
-            lambda local: F.product(x).over(local) * F.col(start),
+            lambda running, whole: agg(x).over(running),
+            {total: agg(x)},
+            carry,
+            lambda running: join(agg(x).over(running), F.col(start)),
         )
 
     return make
 
 
-def running_sum(x: Column) -> Callable[[str], Scan]:
-    def make(tag: str) -> Scan:
-        total, start = f"{tag}_block", f"{tag}_start"
-        return Scan(
-            {total: F.sum(x)},
-            lambda prior, whole: {start: F.coalesce(F.sum(total).over(prior), F.lit(0.0))},
-            lambda local: F.sum(x).over(local) + F.col(start),
-        )
+def running_product(x: Column) -> Callable[[str], Scan]:
+    return _foldable(F.product, x, lambda a, b: a * b, F.lit(1.0))
 
-    return make
 
+def running_sum(x: Column) -> Callable[[str], Scan]:
+    return _foldable(F.sum, x, lambda a, b: a + b, F.lit(0.0))
 
-def running_max(x: Column) -> Callable[[str], Scan]:
-    def make(tag: str) -> Scan:
-        top, start = f"{tag}_block", f"{tag}_start"
-        return Scan(
-            {top: F.max(x)},
-            lambda prior, whole: {start: F.max(top).over(prior)},
-            lambda local: F.greatest(F.max(x).over(local), F.col(start)),
-        )
 
-    return make
+def running_max(x: Column) -> Callable[[str], Scan]:
+    return _foldable(F.max, x, F.greatest, None)
 
 
 def last_known(x: Column, lead_in: bool = False) -> Callable[[str], Scan]:
@@ -183,17 +204,21 @@ def last_known(x: Column, lead_in: bool = False) -> Callable[[str], Scan]:
         if lead_in:
             summary[first] = F.min_by(x, at)
 
+        def direct(running: WindowSpec, whole: WindowSpec) -> Column:
+            filled = F.last(x, ignorenulls=True).over(running)
+            return F.coalesce(filled, F.first(x, ignorenulls=True).over(whole)) if lead_in else filled
+
         def carry(prior: WindowSpec, whole: WindowSpec) -> dict[str, Column]:
             out = {held: F.last(last, ignorenulls=True).over(prior)}
             if lead_in:
                 out[opening] = F.first(first, ignorenulls=True).over(whole)
             return out
 
-        def value(local: WindowSpec) -> Column:
-            parts = [F.last(x, ignorenulls=True).over(local), F.col(held)]
+        def value(running: WindowSpec) -> Column:
+            parts = [F.last(x, ignorenulls=True).over(running), F.col(held)]
             return F.coalesce(*parts, *([F.col(opening)] if lead_in else []))
 
-        return Scan(summary, carry, value)
+        return Scan(direct, summary, carry, value)
 
     return make
 
@@ -210,10 +235,10 @@ def expanding_std(x: Column) -> Callable[[str], Scan]:
         rows, shift, square = f"{tag}_rows", f"{tag}_shift", f"{tag}_square"
         off = F.coalesce(F.col(mean) - F.col(base), F.lit(0.0))
 
-        def value(local: WindowSpec) -> Column:
-            here = F.count(x).over(local)
-            dev = F.coalesce(F.avg(x).over(local) - F.col(base), F.lit(0.0))
-            spread = F.coalesce(F.var_pop(x).over(local), F.lit(0.0)) * here
+        def value(running: WindowSpec) -> Column:
+            here = F.count(x).over(running)
+            dev = F.coalesce(F.avg(x).over(running) - F.col(base), F.lit(0.0))
+            spread = F.coalesce(F.var_pop(x).over(running), F.lit(0.0)) * here
             total = F.col(rows) + here
             sums = F.col(shift) + here * dev
             squares = F.col(square) + spread + here * dev * dev
@@ -221,6 +246,7 @@ def expanding_std(x: Column) -> Callable[[str], Scan]:
             return F.when(total > 1, F.sqrt(variance))
 
         return Scan(
+            lambda running, whole: F.stddev_samp(x).over(running),
             {n: F.count(x), mean: F.avg(x), m2: F.coalesce(F.var_pop(x), F.lit(0.0)) * F.count(x)},
             lambda prior, whole: {
                 base: F.col(base),
@@ -235,18 +261,16 @@ def expanding_std(x: Column) -> Callable[[str], Scan]:
     return make
 
 
-def per_series(x: dict[str, Column], combine: dict[str, Callable[[Column], Column]]) -> dict[str, Callable[[str], Scan]]:
-    """Whole-series values on every row: ``x`` per block, merged by ``combine``."""
+def whole_series(agg: Column, merge: Callable[[Column], Column]) -> Callable[[str], Scan]:
+    """An aggregate of the whole series on every row; ``merge`` joins block results."""
 
-    def maker(name: str) -> Callable[[str], Scan]:
-        def make(tag: str) -> Scan:
-            part, full = f"{tag}_part", f"{tag}_full"
-            return Scan(
-                {part: x[name]},
-                lambda prior, whole: {full: combine[name](F.col(part)).over(whole)},
-                lambda local: F.col(full),
-            )
-
-        return make
+    def make(tag: str) -> Scan:
+        part, full = f"{tag}_part", f"{tag}_full"
+        return Scan(
+            lambda running, whole: agg.over(whole),
+            {part: agg},
+            lambda prior, whole: {full: merge(F.col(part)).over(whole)},
+            lambda running: F.col(full),
+        )
 
-    return {name: maker(name) for name in x}
+    return make

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serieswise.config import BLOCK, BLOCK_ROWS, KEYS
-from serieswise.operators.blocks import Frames, rolling
+from serieswise.config import BLOCK_ROWS, KEYS
+from serieswise.operators.blocks import Frames, is_blocked, rolling
 from serieswise.operators.frames import stacked
 from serieswise.operators.ordered import attach, quantile_columns
 
@@ -26,7 +26,8 @@ def mark_spikes(
     A spike lies outside the series' own quantiles, has two known neighbours
     inside them, and exceeds ``ratio`` times both non-zero neighbours in size.
     """
-    limits = quantile_columns(df, cols, {"low": quantile, "high": 1 - quantile}, keys)
+    bound = None if is_blocked(df) else block_rows
+    limits = quantile_columns(df, cols, {"low": quantile, "high": 1 - quantile}, keys, bound)
     rows = attach(df, limits, keys)
 
     def spike(c: str, f: Frames) -> Column:
@@ -57,7 +58,6 @@ def clean_spikes(
         *[
             F.when(~F.col(f"{c}__spike"), F.col(c)).alias(c) if c in cols else F.col(c)
             for c in df.columns
-            if c != BLOCK
         ]
     )
     counts = marked.groupBy(*keys).agg(

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from serieswise import config as C
-from serieswise.config import BLOCK, BLOCK_ROWS, DAY, KEYS, POS
-from serieswise.operators.blocks import per_series, scan
+from serieswise.config import BLOCK, DAY, KEYS, POS
+from serieswise.operators.blocks import renumber, scan, whole_series
 
 # columns the library itself adds
 HELPER_COLS = [C.SERIES, POS, BLOCK, "dt", "split", "fold", "role"]
@@ -113,13 +113,12 @@ def drop_null_target(df: DataFrame, target: str) -> DataFrame:
 def trim_leading_empty(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
     """Drop rows before the first with any of ``cols``; a series with none vanishes."""
     first = F.min(F.when(F.coalesce(*[F.col(c).cast("double") for c in cols]).isNotNull(), F.col(POS)))
-    marked = scan(df, per_series({"_first": first}, {"_first": F.min}), keys)
-    kept = marked.filter(F.col(POS) >= F.col("_first"))
-    return kept.withColumn(POS, F.col(POS) - F.col("_first")).drop("_first", BLOCK)
+    marked = scan(df, {"_first": whole_series(first, F.min)}, keys)
+    return renumber(marked.filter(F.col(POS) >= F.col("_first")).drop("_first"), keys)
 
 
 def with_series_rows(df: DataFrame, keys: Sequence[str] = KEYS, name: str = "_n") -> DataFrame:
-    return scan(df, per_series({name: F.count(F.lit(1))}, {name: F.sum}), keys)
+    return scan(df, {name: whole_series(F.count(F.lit(1)), F.sum)}, keys)
 
 
 def _boundary(share: float, n: Column) -> Column:
@@ -188,7 +187,7 @@ def folds_timeseries(df: DataFrame, folds: int = 5, keys: Sequence[str] = KEYS)
 
 
 def context_tail(df: DataFrame, rows: int = C.K_WINDOW, keys: Sequence[str] = KEYS) -> DataFrame:
-    return with_series_rows(df, keys).filter(F.col(POS) >= F.col("_n") - rows).drop("_n", BLOCK)
+    return with_series_rows(df, keys).filter(F.col(POS) >= F.col("_n") - rows).drop("_n")
 
 
 def fit_means(train: DataFrame, cols: Sequence[str]) -> dict[str, Column]:

@@ -1,7 +1,8 @@
 """Order statistics without sorting a whole column in one task.
 
+Groups that fit one task use plain windows and aggregates. For larger ones
 ``value_ranks`` counts each distinct value before anything is shuffled, cuts the
-value range at approximate quantiles, and numbers values inside their slice.
+value range at approximate quantiles and numbers values inside their slice, and
 ``exact_quantiles`` brackets each quantile by a sketch and sorts only the
 bracket. Both are exact; sketches only decide where rows go.
 """
@@ -13,9 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from serieswise.config import BLOCK, POS
-from serieswise.operators.blocks import with_block
+from serieswise.config import BLOCK
+from serieswise.operators.blocks import is_blocked, longest_group
 from serieswise.operators.frames import one_row, stacked
+from serieswise.session import settle
 
 SLICES = 256
 SMALL_GROUP = 1_000_000
@@ -34,87 +36,114 @@ def value_ranks(
     keys: Sequence[str],
     value: str,
     sums: dict[str, Column] | None = None,
-    small_group: int = SMALL_GROUP,
+    largest: int | None = None,
     descending: bool = False,
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """One row per distinct value: ``cnt`` rows, ``less`` rows before it, ``total``.
 
     ``sums`` adds further totals per value with their ``<name>_less`` and
-    ``<name>_total``. Groups up to ``small_group`` rows stay in one slice.
+    ``<name>_total``. ``largest`` is an upper bound of rows per group, counted if
+    not given; only larger groups than ``small_group`` are cut into slices.
     """
     sums = sums or {}
     rows = df.filter(F.col(value).isNotNull())
+    if largest is None:
+        largest = longest_group(rows, keys)
+    sliced = largest > small_group
+    if sliced:
+        rows = settle(rows.select(*keys, value, *[c.alias(n) for n, c in sums.items()]))
+        sums = {n: F.col(n) for n in sums}
     counted = rows.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("cnt"), *[F.sum(c).alias(n) for n, c in sums.items()]
     )
+    names, zero = ["cnt", *sums], F.lit(0)
+    order = (lambda c: F.col(c).desc()) if descending else F.col
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    rename = lambda n, kind: {"less": "less", "total": "total"}[kind] if n == "cnt" else f"{n}_{kind}"
+    if not sliced:
+        inside, whole = until(Window.partitionBy(*keys).orderBy(order(value))), Window.partitionBy(*keys)
+        return counted.select(
+            *keys,
+            value,
+            *names,
+            *[F.coalesce(F.sum(n).over(inside), zero).alias(rename(n, "less")) for n in names],
+            *[F.sum(n).over(whole).alias(rename(n, "total")) for n in names],
+        )
     probs = [i / SLICES for i in range(1, SLICES)]
-    cuts = rows.groupBy(*keys).agg(
-        F.when(
-            F.count(F.lit(1)) > small_group, F.percentile_approx(value, probs, 10_000)
-        ).otherwise(F.array().cast("array<double>")).alias("_cuts")
-    )
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, probs, 10_000).alias("_cuts"))
     if keys:
         placed = counted.join(cuts, list(keys))
     else:
         placed = counted.withColumn("_cuts", one_row(cuts)["_cuts"])
-    placed = placed.withColumn("_slice", _slice_of(F.col(value), F.col("_cuts"))).drop("_cuts")
-    names = ["cnt", *sums]
-    order = (lambda c: F.col(c).desc()) if descending else F.col
+    slice_ = _slice_of(F.col(value), F.col("_cuts"))
+    placed = settle(placed.withColumn("_slice", slice_).drop("_cuts"))
     parts = placed.groupBy(*keys, "_slice").agg(*[F.sum(n).alias(f"_{n}") for n in names])
-    earlier = Window.partitionBy(*keys).orderBy(order("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = until(Window.partitionBy(*keys).orderBy(order("_slice")))
     whole = Window.partitionBy(*keys)
-    zero = F.lit(0)
     starts = parts.select(
         *keys,
         "_slice",
         *[F.coalesce(F.sum(f"_{n}").over(earlier), zero).alias(f"_{n}_start") for n in names],
-        *[F.sum(f"_{n}").over(whole).alias(f"_{n}_total") for n in names],
+        *[F.sum(f"_{n}").over(whole).alias(rename(n, "total")) for n in names],
     )
-    inside = (
-        Window.partitionBy(*keys, "_slice").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    less = {n: F.col(f"_{n}_start") + F.coalesce(F.sum(n).over(inside), zero) for n in names}
-    out = placed.join(starts, [*keys, "_slice"]).select(
-        *keys,
-        value,
-        *names,
-        less["cnt"].alias("less"),
-        F.col("_cnt_total").alias("total"),
-        *[less[n].alias(f"{n}_less") for n in sums],
-        *[F.col(f"_{n}_total").alias(f"{n}_total") for n in sums],
-    )
-    return out
+    inside = until(Window.partitionBy(*keys, "_slice").orderBy(order(value)))
+    less = [
+        (F.col(f"_{n}_start") + F.coalesce(F.sum(n).over(inside), zero)).alias(rename(n, "less")) for n in names
+    ]
+    totals = [rename(n, "total") for n in names]
+    return placed.join(starts, [*keys, "_slice"]).select(*keys, value, *names, *less, *totals)
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, small_group: int = SMALL_GROUP) -> DataFrame:
+def average_ranks(
+    df: DataFrame, keys: Sequence[str], value: str, name: str, largest: int | None = None, small_group: int = SMALL_GROUP
+) -> DataFrame:
     """keys, value and its 1-based average rank."""
-    ranks = value_ranks(df, keys, value, small_group=small_group)
+    ranks = value_ranks(df, keys, value, largest=largest, small_group=small_group)
     return ranks.select(*keys, value, (F.col("less") + (F.col("cnt") + 1) / 2).alias(name))
 
 
-def spearman(pairs: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", small_group: int = SMALL_GROUP) -> DataFrame:
+def window_rank(keys: Sequence[str], value: str) -> Column:
+    """Average rank by plain windows, for groups that fit one task."""
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
+    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (ties - 1) / F.lit(2.0)
+
+
+def rank_corr() -> Column:
+    """Correlation of ``_rx`` and ``_ry``, null where either side is constant."""
+    varied = (F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry"))
+    return F.when(varied, F.corr("_rx", "_ry"))
+
+
+def spearman(
+    pairs: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y",
+    largest: int | None = None, small_group: int = SMALL_GROUP,
+) -> DataFrame:
     """keys, ``n``, ``ic`` over rows where both values are known.
 
-    ``ic`` is null where either side is constant. Rows meet their ranks in plain
-    equi-joins; a heavily tied value is one rank row, so adaptive execution can
-    split the row side of such a join.
+    Small groups are ranked by windows. For large ones rows meet the ranks of
+    their values in equi-joins; a heavily tied value is one rank row, so adaptive
+    execution can split the row side of such a join.
     """
-    both = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = both.join(average_ranks(both, keys, x, "_rx", small_group), [*keys, x]).join(
-        average_ranks(both, keys, y, "_ry", small_group), [*keys, y]
-    )
-    varied = (F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry"))
-    return ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.when(varied, F.corr("_rx", "_ry")).alias("ic")
-    )
+    both = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    if largest is None:
+        largest = longest_group(both, keys)
+    if largest <= small_group:
+        ranked = both.withColumn("_rx", window_rank(keys, x)).withColumn("_ry", window_rank(keys, y))
+    else:
+        both = settle(both)
+        ranked = both.join(average_ranks(both, keys, x, "_rx", largest, small_group), [*keys, x]).join(
+            average_ranks(both, keys, y, "_ry", largest, small_group), [*keys, y]
+        )
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), rank_corr().alias("ic"))
 
 
 def attach(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Set per-series values beside rows, joining by block so that a long series splits."""
-    blocks = with_block(df)
+    """Set per-series values beside rows; long series are joined block by block."""
+    if not is_blocked(df):
+        return df.join(table, list(keys))
     at = [*keys, BLOCK]
-    spread = blocks.select(*at).distinct().join(table, list(keys))
-    return blocks.join(spread, at)
+    return df.join(df.select(*at).distinct().join(table, list(keys)), at)
 
 
 def exact_quantiles(
@@ -123,14 +152,36 @@ def exact_quantiles(
     probs: Sequence[float],
     keys: Sequence[str] = (),
     accuracy: int = 10_000,
+    largest: int | None = None,
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
-    """keys, feature, prob, n, quantile with linear interpolation."""
+    """keys, feature, prob, n, quantile with linear interpolation.
+
+    Groups up to ``small_group`` rows use the exact aggregate, whose memory grows
+    with the distinct values. Beyond, a sketch brackets each quantile and only the
+    bracket's values are counted and sorted.
+    """
+    if largest is None:
+        largest = longest_group(df, keys)
+    cells = [(c, i, p) for c in cols for i, p in enumerate(probs)]
+    if largest <= small_group:
+        share = F.array(*[F.lit(float(p)) for p in probs])
+        wide = df.groupBy(*keys).agg(
+            *[F.percentile(c, share).alias(c) for c in cols], *[F.count(c).alias(f"{c}__n") for c in cols]
+        )
+        rows = [
+            {
+                "feature": F.lit(c), "prob": F.lit(float(p)), "n": F.col(f"{c}__n"),
+                "quantile": F.col(c)[i].cast("double"),
+            }
+            for c, i, p in cells
+        ]
+        return stacked(wide, rows, keys)
     margin = 2.0 / accuracy
     low = [max(p - margin, 0.0) for p in probs]
     high = [min(p + margin, 1.0) for p in probs]
-    typed = df.select(
-        *keys, *([POS] if keys else []), *[F.col(c).cast("double").alias(c) for c in cols]
-    )
+    block = [BLOCK] if keys and is_blocked(df) else []
+    typed = settle(df.select(*keys, *block, *[F.col(c).cast("double").alias(c) for c in cols]))
 
     def bracket(c: str, shares: list[float], end) -> Column:
         few = F.array(*[end(c)] * len(shares))
@@ -148,7 +199,6 @@ def exact_quantiles(
         fitted = one_row(rough)
         rows = typed
         side = lambda name: fitted[name]
-    cells = [(c, i, p) for c in cols for i, p in enumerate(probs)]
     rows = rows.select(
         *keys,
         *[
@@ -211,10 +261,10 @@ def exact_quantiles(
 
 
 def quantile_columns(
-    df: DataFrame, cols: Sequence[str], probs: dict[str, float], keys: Sequence[str] = ()
+    df: DataFrame, cols: Sequence[str], probs: dict[str, float], keys: Sequence[str] = (), largest: int | None = None
 ) -> DataFrame:
     """The quantiles pivoted: one row per key, columns ``<col>__<name>`` and ``<col>__n``."""
-    table = exact_quantiles(df, cols, list(probs.values()), keys)
+    table = exact_quantiles(df, cols, list(probs.values()), keys, largest=largest)
     pick = lambda c, p, v: F.max(F.when((F.col("feature") == c) & (F.col("prob") == p), F.col(v)))
     out = [pick(c, p, "quantile").alias(f"{c}__{n}") for c in cols for n, p in probs.items()]
     first = next(iter(probs.values()))

@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from serieswise import config as C
 from serieswise.config import BLOCK, KEYS, POS
 from serieswise.functions.scalar import clip, ratio, strategy_return
-from serieswise.operators.blocks import expanding_std, last_known, number_rows, rolling, running_max, running_product, scan
+from serieswise.operators.blocks import expanding_std, is_blocked, last_known, renumber, rolling, running_max, running_product, scan
 from serieswise.operators.features import rolling_mean, rolling_std
-from serieswise.operators.ordered import spearman, value_ranks
+from serieswise.operators.ordered import rank_corr, spearman, value_ranks, window_rank
 
 YEAR = float(C.TRADING_DAYS)
 
@@ -49,10 +49,10 @@ def map_positions(
     """
     pred = F.col(prediction)
     rows = rolling(df, lambda f: {"_std": rolling_std(pred, f.last(window), least)}, window, keys=keys, block_rows=block_rows)
-    rows = scan(rows, {"_wide": expanding_std(pred)}, keys, block_rows)
+    rows = scan(rows, {"_wide": expanding_std(pred)}, keys)
     std = F.coalesce(F.col("_std"), F.col("_wide"))
     rows = rows.withColumn("_std", F.when(F.abs(std) >= 1e-12, std))
-    rows = scan(rows, {"_std": last_known(F.col("_std"), lead_in=True)}, keys, block_rows)
+    rows = scan(rows, {"_std": last_known(F.col("_std"), lead_in=True)}, keys)
     slope = k if isinstance(k, Column) else F.lit(float(k))
     position = clip(F.lit(1.0) + slope * pred / F.coalesce(F.col("_std"), F.lit(1.0)), 0.0, 2.0)
     return rows.withColumn("position", position).drop("_std", "_wide")
@@ -217,22 +217,13 @@ def ic_metrics(df: DataFrame, prediction: str, target: str, keys: Sequence[str]
     at least two of them. Fewer than three valid rows give no result.
     """
     known = df.filter(F.col(prediction).isNotNull() & F.col(target).isNotNull())
-    rows = number_rows(
-        known.select(*keys, F.col(POS).alias("_at"), F.col(prediction).alias("x"), F.col(target).alias("y")),
-        order="_at",
-        keys=keys,
-    )
-    overall = spearman(rows, keys)
+    kept = [*keys, POS, *([BLOCK] if is_blocked(df) else [])]
+    rows = renumber(known.select(*kept, F.col(prediction).alias("x"), F.col(target).alias("y")), keys)
+    overall = spearman(rows, keys, largest=None if is_blocked(df) else C.BLOCK_ROWS)
     part = [*keys, "_part"]
     parts = rows.withColumn("_part", F.floor(F.col(POS) / C.IC_BLOCK))
-    ties = lambda c: F.rank().over(Window.partitionBy(*part).orderBy(c)) + (
-        F.count(F.lit(1)).over(Window.partitionBy(*part, c)) - 1
-    ) / F.lit(2.0)
-    local = parts.withColumn("_rx", ties("x")).withColumn("_ry", ties("y")).groupBy(*part).agg(
-        F.when(
-            (F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry")), F.corr("_rx", "_ry")
-        ).alias("_ic")
-    )
+    ranked = parts.withColumn("_rx", window_rank(part, "x")).withColumn("_ry", window_rank(part, "y"))
+    local = ranked.groupBy(*part).agg(rank_corr().alias("_ic"))
     # a constant block has no IC, and then neither has the deviation
     spread = (
         local.join(overall.select(*keys, "n"), list(keys))

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serieswise.config import DAY, POS, SERIES
-from serieswise.operators.blocks import number_rows, rolling
+from serieswise.config import BLOCK, DAY, POS, SERIES
+from serieswise.operators.blocks import is_blocked, number_rows, renumber, rolling
 
 DAYS_PER_BUCKET = 16384
 
@@ -19,10 +19,17 @@ def _cents(name: str) -> Column:
     return F.round(F.col(name) * 100).cast("long")
 
 
+def calendar_days(df: DataFrame, time: str) -> int:
+    """Days spanned by a time column: no daily series can hold more rows."""
+    day = F.unix_date(F.to_date(time))
+    first, last = df.agg(F.min(day), F.max(day)).first()
+    return 0 if first is None else last - first + 1
+
+
 def _panel(spark: SparkSession, sf_dir: str, series: Column) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     daily = (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        .groupBy(series.alias(SERIES), F.col("l_shipdate").alias("dt"))
+        items.groupBy(series.alias(SERIES), F.col("l_shipdate").alias("dt"))
         .agg(
             F.count(F.lit(1)).alias("cnt"),
             F.sum(_cents("l_extendedprice")).alias("rev_c"),
@@ -32,7 +39,7 @@ def _panel(spark: SparkSession, sf_dir: str, series: Column) -> DataFrame:
         )
     )
     day = F.floor(F.unix_date(F.to_date("dt")) / F.lit(DAYS_PER_BUCKET))
-    rows = number_rows(daily, order="dt", bucket=day)
+    rows = number_rows(daily, "dt", day, longest=calendar_days(items, "l_shipdate"))
     pos, cnt = F.col(POS), F.col("cnt")
     fwd = F.col("disc_c").cast("double") / cnt / F.lit(200.0) - F.lit(0.025)
     rate = F.col("tax_c").cast("double") / cnt / F.lit(40000.0)
@@ -40,6 +47,7 @@ def _panel(spark: SparkSession, sf_dir: str, series: Column) -> DataFrame:
     price = F.col("rev_c").cast("double") / F.col("qty") / F.lit(100.0)
     tax, disc = F.col("tax_c").cast("double") / cnt, F.col("disc_c").cast("double") / cnt
     return rows.select(
+        *([BLOCK] if is_blocked(rows) else []),
         SERIES,
         pos.alias(DAY),
         pos.alias(POS),
@@ -70,13 +78,13 @@ def fx_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fx_scored(panel: DataFrame) -> DataFrame:
     """Panel with a lagged prediction and probability, from the second day on."""
     lagged = rolling(panel, lambda f: {"_prev": F.lag("forward_returns").over(f.ordered)}, back=1)
-    return (
+    scored = (
         lagged.filter(F.col(DAY) >= 1)
         .withColumn("prediction", F.tanh(F.lit(100.0) * F.col("_prev")))
         .withColumn("probability", F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-200.0) * F.col("_prev"))))
-        .withColumn(POS, F.col(DAY) - 1)
-        .drop("_prev", "_block")
+        .drop("_prev")
     )
+    return renumber(scored)
 
 
 def fx_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +92,4 @@ def fx_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         F.col("user_id").alias(SERIES), "ts", F.col("value")
     )
-    return number_rows(events, order="ts", bucket=F.unix_date(F.to_date("ts"))).withColumn(
-        DAY, F.col(POS)
-    )
+    return number_rows(events, "ts", F.unix_date(F.to_date("ts"))).withColumn(DAY, F.col(POS))
