@@ -29,8 +29,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def rnd(c: str | Column, digits: int = DIGITS) -> Column:
-    """Rounded for comparison; adding zero turns -0.0 into 0.0."""
-    return F.round(c, digits) + F.lit(0.0)
+    """Rounded half up for comparison.
+
+    The engines break exact ties differently, so the last step is plain floating
+    arithmetic; the round before it settles the noise around a tie.
+    """
+    scale = F.lit(float(10**digits))
+    return F.floor(F.round(c, digits + 3) * scale + F.lit(0.5)) / scale
 
 
 def out(df: DataFrame, plain: list[str], rounded: list[str] | dict[str, int]) -> DataFrame:
@@ -39,7 +44,8 @@ def out(df: DataFrame, plain: list[str], rounded: list[str] | dict[str, int]) ->
 
 
 def rsql(expr: str, digits: int = DIGITS) -> str:
-    return f"(round({expr}, {digits}) + CAST(0 AS DOUBLE))"
+    scale = f"CAST(1e{digits} AS DOUBLE)"
+    return f"(floor(round({expr}, {digits + 3}) * {scale} + CAST(0.5 AS DOUBLE)) / {scale})"
 
 
 def cols_sql(names: list[str], digits: int = DIGITS) -> str:

@@ -24,12 +24,14 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def normal(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
+    exact = [c for c in df.columns if not pd.api.types.is_float_dtype(df[c])]
     for c in df.columns:
         if pd.api.types.is_numeric_dtype(df[c]):
             df[c] = df[c].astype(float)
         else:
             df[c] = df[c].map(lambda v: None if v is None or v is pd.NA or v != v else str(v))
-    return df.sort_values(list(df.columns), na_position="first").reset_index(drop=True)
+    order = exact + [c for c in df.columns if c not in exact]
+    return df.sort_values(order, na_position="first").reset_index(drop=True)
 
 
 def differences(left: pd.DataFrame, right: pd.DataFrame) -> list[str]:
