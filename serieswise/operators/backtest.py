@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from serieswise import config as C
 from serieswise.config import BLOCK, KEYS, POS
-from serieswise.functions.scalar import POSITION_MAPS, clip
-from serieswise.operators.blocks import Frames, is_blocked, rolling
+from serieswise.functions.scalar import POSITION_MAPS, clip, strategy_return
+from serieswise.operators.blocks import Frames, is_blocked, rolling, running_max, running_product, scan
 from serieswise.operators.features import rolling_mean, rolling_std
-from serieswise.operators.scoring import YEAR, drawdown, equity_curve, score_v1, with_returns
+from serieswise.operators.scoring import YEAR, v1_columns, v1_sums, with_returns
 
 
 class Setting(NamedTuple):
@@ -53,11 +53,10 @@ def vol_target(df: DataFrame, target: float, window: int, position: str = "posit
     return rows.withColumn(position, scaled).drop("_std")
 
 
-def grid_positions(
-    df: DataFrame, settings: Sequence[Setting], probability: str = "probability",
-    smooth: int = C.VOL_SMOOTH, keys: Sequence[str] = KEYS,
+def _wide_positions(
+    df: DataFrame, settings: Sequence[Setting], probability: str, smooth: int, keys: Sequence[str]
 ) -> DataFrame:
-    """One row per setting and day; rolling parts are computed once per day."""
+    """Columns ``_pos<i>`` of every setting; rolling parts are computed once per day."""
     maps = sorted({s.mapping for s in settings})
     windows = sorted({s.window for s in settings})
     mapped = df.withColumns({f"_{m}": POSITION_MAPS[m](F.col(probability)) for m in maps})
@@ -69,48 +68,70 @@ def grid_positions(
         return out
 
     rows = rolling(mapped, build, max([smooth, *windows]), keys=keys)
+    scaled = lambda s: F.col(f"_{s.mapping}") * vol_scale(F.col(f"_std{s.window}"), s.target)
+    kept = [*keys, POS, *([BLOCK] if is_blocked(df) else []), "forward_returns", "risk_free_rate"]
+    return rows.select(*kept, *[clip(scaled(s), 0.0, 2.0).alias(f"_pos{i}") for i, s in enumerate(settings)])
+
+
+def _long(wide: DataFrame, settings: Sequence[Setting], fields: dict[str, str], kept: Sequence[str]) -> DataFrame:
     cells = [
         F.struct(
             F.lit(s.grid_idx).cast("long").alias("grid_idx"),
-            clip(F.col(f"_{s.mapping}") * vol_scale(F.col(f"_std{s.window}"), s.target), 0.0, 2.0).alias("position"),
+            *[F.col(f"{prefix}{i}").alias(name) for name, prefix in fields.items()],
         )
-        for s in settings
+        for i, s in enumerate(settings)
     ]
-    kept = [*keys, POS, *([BLOCK] if is_blocked(df) else []), "forward_returns", "risk_free_rate"]
-    return rows.select(*kept, F.explode(F.array(*cells)).alias("_g")).select(*kept, "_g.*")
+    return wide.select(*kept, F.explode(F.array(*cells)).alias("_g")).select(*kept, "_g.*")
 
 
-def basic_stats(path: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Annual return and volatility (population form), drawdown, total return."""
-    s = path.groupBy(*keys).agg(
-        F.avg("strategy_returns").alias("_mean"),
-        F.stddev_pop("strategy_returns").alias("_std"),
-        F.min("drawdown").alias("max_drawdown"),
-        F.product(F.lit(1.0) + F.col("strategy_returns")).alias("_total"),
-    )
-    return s.select(
-        *keys,
-        (F.pow(F.lit(1.0) + F.col("_mean"), F.lit(YEAR)) - 1).alias("annual_return"),
-        (F.col("_std") * F.sqrt(F.lit(YEAR))).alias("annual_volatility"),
-        "max_drawdown",
-        (F.col("_total") - 1).alias("total_return"),
-    )
-
+def grid_positions(
+    df: DataFrame, settings: Sequence[Setting], probability: str = "probability",
+    smooth: int = C.VOL_SMOOTH, keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """One row per setting and day with its ``position``."""
+    wide = _wide_positions(df, settings, probability, smooth, keys)
+    kept = [c for c in wide.columns if not c.startswith("_pos")]
+    return _long(wide, settings, {"position": "_pos"}, kept)
 
-def backtest_stats(positions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Score components and basic statistics of rows that carry ``position``."""
-    path = drawdown(equity_curve(with_returns(positions), keys=keys), keys=keys)
-    return score_v1(positions, keys).join(basic_stats(path, keys), list(keys))
 
+def backtest_grid(
+    df: DataFrame, settings: Sequence[Setting] | None = None, probability: str = "probability",
+    smooth: int = C.VOL_SMOOTH, keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """Score components and basic statistics of every setting for every series.
 
-def backtest_grid(df: DataFrame, settings: Sequence[Setting] | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Statistics of every setting for every series."""
+    All curves run over the un-multiplied rows in one sort; rows are multiplied by
+    the grid only on their way into the aggregate.
+    """
     settings = settings or grid()
-    return backtest_stats(grid_positions(df, settings, keys=keys), ["grid_idx", *keys])
+    wide = _wide_positions(df, settings, probability, smooth, keys)
+    forward, rate = F.col("forward_returns"), F.col("risk_free_rate")
+    span = range(len(settings))
+    growth = {i: F.lit(1.0) + strategy_return(F.col(f"_pos{i}"), forward, rate) for i in span}
+    wide = scan(wide, {f"_eq{i}": running_product(growth[i]) for i in span}, keys)
+    wide = scan(wide, {f"_top{i}": running_max(F.col(f"_eq{i}")) for i in span}, keys)
+    wide = wide.withColumns({f"_dd{i}": F.col(f"_eq{i}") / F.col(f"_top{i}") - 1 for i in span})
+    kept = [*keys, "forward_returns", "risk_free_rate"]
+    rows = with_returns(_long(wide, settings, {"position": "_pos", "drawdown": "_dd"}, kept))
+    by = ["grid_idx", *keys]
+    sums = rows.groupBy(*by).agg(
+        *v1_sums(),
+        F.avg("strategy_returns").alias("_mean"),
+        F.stddev_pop("strategy_returns").alias("_pop"),
+        F.min("drawdown").alias("max_drawdown"),
+        F.product(F.lit(1.0) + F.col("strategy_returns")).alias("_total"),
+    )
+    basic = {
+        "annual_return": F.pow(F.lit(1.0) + F.col("_mean"), F.lit(YEAR)) - 1,
+        "annual_volatility": F.col("_pop") * F.sqrt(F.lit(YEAR)),
+        "max_drawdown": F.col("max_drawdown"),
+        "total_return": F.col("_total") - 1,
+    }
+    return sums.select(*by, *v1_columns(), *[c.alias(n) for n, c in basic.items()])
 
 
 def backtest_single(df: DataFrame, mapping: str, target: float, window: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    return backtest_grid(df, [Setting(0, mapping, mapping, target, window)], keys)
+    return backtest_grid(df, [Setting(0, mapping, mapping, target, window)], keys=keys)
 
 
 def best_strategy(results: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

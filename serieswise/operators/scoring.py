@@ -73,30 +73,33 @@ def _root(product: Column, n: Column) -> Column:
     return F.pow(product, F.lit(1.0) / n) - 1
 
 
-def score_v1(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Adjusted Sharpe with its components, no range checks and no cap."""
-    sums = with_returns(df).groupBy(*keys).agg(
+def v1_sums() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("n"),
         F.product(F.lit(1.0) + F.col("excess")).alias("_prod"),
         F.product(F.lit(1.0) + F.col("market_excess")).alias("_mprod"),
         F.stddev_samp("strategy_returns").alias("_std"),
         F.stddev_samp("forward_returns").alias("_mstd"),
-    )
-    return _score_columns(sums, keys, _root(F.col("_prod"), F.col("n")), _root(F.col("_mprod"), F.col("n")))
+    ]
 
 
-def _score_columns(sums: DataFrame, keys: Sequence[str], mean: Column, market_mean: Column) -> DataFrame:
-    parts = _penalties(mean, market_mean, F.col("_std"), F.col("_mstd"))
+def v1_columns() -> list[Column]:
+    mean, market = _root(F.col("_prod"), F.col("n")), _root(F.col("_mprod"), F.col("n"))
+    parts = _penalties(mean, market, F.col("_std"), F.col("_mstd"))
     raw = ratio(mean, F.col("_std")) * F.sqrt(F.lit(YEAR))
-    return sums.select(
-        *keys,
-        "n",
+    return [
+        F.col("n"),
         raw.alias("raw_sharpe"),
         mean.alias("strategy_mean_excess"),
-        market_mean.alias("market_mean_excess"),
+        market.alias("market_mean_excess"),
         *[c.alias(n) for n, c in parts.items()],
         (raw / (parts["vol_penalty"] * parts["return_penalty"])).alias("adjusted_sharpe"),
-    )
+    ]
+
+
+def score_v1(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Adjusted Sharpe with its components, no range checks and no cap."""
+    return with_returns(df).groupBy(*keys).agg(*v1_sums()).select(*keys, *v1_columns())
 
 
 def _log_mean(total: Column, low: Column, n: Column) -> Column:
