@@ -26,6 +26,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return (
         builder.config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", memory)
+        # local inputs are small but window work per row is not: keep tasks for all cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
