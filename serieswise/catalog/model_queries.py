@@ -1 +1,193 @@
+"""Models, search and validation."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from serieswise import config as C
+from serieswise.catalog.base import *  # noqa: F403
+from serieswise.catalog.frame_queries import EXPANDING, SPLIT
+from serieswise.catalog.metric_queries import LOG, score_sql
+from serieswise.catalog.selection_queries import COLS, engineered
+from serieswise.functions.scalar import direction
+from serieswise.operators import frames as T
+from serieswise.operators import scoring as S
+from serieswise.plans import models as M
+from serieswise.plans import search as H
+from serieswise.plans import walk_forward as WF
+from serieswise.session import shared_dir
+from serieswise.sources import panel_io as IO
+
+TARGET = C.EXCESS_TARGET
+FEATURES = ["M1", "M2", "E1", "V1"]
+ROW = ["series_id", "date_id"]
+
+
+# ---- linear family: with one standardised column each has a closed form in SQL
+
+UNIVARIATE = """
+fitted AS (SELECT avg(y) AS b, covar_pop(x, y) / stddev_pop(x) AS c, count(*) AS n
+           FROM (SELECT M1 AS x, market_forward_excess_returns AS y FROM split WHERE split = 'train'))"""
+WEIGHTS = {
+    "fit_linear": ("linear", {}, "c"),
+    "fit_ridge": ("ridge", {"alpha": 5000.0}, "c * n / (n + 5000.0)"),
+    "fit_lasso": ("lasso", {"alpha": 0.00002}, "sign(c) * greatest(abs(c) - 0.00002, 0)"),
+    "fit_elasticnet": ("elasticnet", {"alpha": 0.00005, "l1_ratio": 0.4},
+                       "sign(c) * greatest(abs(c) - 0.00002, 0) / (1 + 0.00003)"),
+}
+
+
+def register_linear(name: str, model: str, params: dict, weight: str) -> None:
+    @query(name, panel_sql(f"SELECT 'M1' AS feature, {rsql(weight)} AS weight, {rsql('b')} AS intercept FROM fitted", SPLIT, UNIVARIATE))
+    def run(spark, sf_dir):
+        train = T.split_three_way(fx_panel(spark, sf_dir)).filter("split = 'train'")
+        fitted = M.fit_regressor(train, ["M1"], TARGET, model, **params)
+        solved = fitted.stages[-1]
+        rows = [("M1", float(solved.coefficients[0]), float(solved.intercept))]
+        return out(spark.createDataFrame(rows, "feature string, weight double, intercept double"), ["feature"], ["weight", "intercept"])
+
+
+for _name, (_model, _params, _weight) in WEIGHTS.items():
+    register_linear(_name, _model, _params, _weight)
+
+
+def split_panel(spark, sf_dir):
+    return T.split_three_way(fx_panel(spark, sf_dir))
+
+
+def scores_by_split(fitted, panel):
+    return S.regression_metrics(M.predict(fitted, panel), TARGET, "prediction", ["split"])
+
+
+@query("fit_forest")
+def fit_forest(spark, sf_dir):
+    panel = split_panel(spark, sf_dir).persist()
+    fitted = M.fit_regressor(
+        panel.filter("split = 'train'"), FEATURES, TARGET, "rf", n_estimators=10, max_depth=4, min_samples_leaf=5, max_features=0.6
+    )
+    return scores_by_split(fitted, panel)
+
+
+@query("fit_boosted")
+def fit_boosted(spark, sf_dir):
+    panel = split_panel(spark, sf_dir).persist()
+    train, val = (panel.filter(F.col("split") == s) for s in ("train", "val"))
+    fitted = M.fit_regressor(train, FEATURES, TARGET, "boosted", val, n_estimators=8, max_depth=3, learning_rate=0.1)
+    return scores_by_split(fitted, panel)
+
+
+def labelled(spark, sf_dir):
+    panel = split_panel(spark, sf_dir)
+    return panel.withColumn("label", direction(F.col(C.RETURN_TARGET)))
+
+
+@query("fit_direction")
+def fit_direction(spark, sf_dir):
+    """Direction classifier with area under the curve and accuracy per split."""
+    panel = labelled(spark, sf_dir).persist()
+    fitted = M.fit_direction(panel.filter("split = 'train'"), FEATURES, "label", n_estimators=6, max_depth=3)
+    return S.auc_accuracy(M.predict_probability(fitted, panel), "label", "probability", ["split"])
+
+
+@query("predict_proba")
+def predict_proba(spark, sf_dir):
+    """Probabilities of the test rows from a saved and reloaded classifier."""
+    panel = labelled(spark, sf_dir).persist()
+    path = shared_dir(spark, "direction")
+    M.save_model(M.fit_direction(panel.filter("split = 'train'"), FEATURES, "label", n_estimators=4, max_depth=3), path)
+    return M.predict_probability(M.load_model(path), panel.filter("split = 'test'")).select(*ROW, "probability")
+
+
+@query("model_save_load", panel_sql(f"""
+SELECT series_id, date_id, {rsql('b + c * (M1 - m) / s')} AS prediction
+FROM split, fitted, (SELECT avg(M1) AS m, stddev_pop(M1) AS s FROM split WHERE split = 'train') z WHERE split = 'test'""", SPLIT, UNIVARIATE))
+def model_save_load(spark, sf_dir):
+    panel = split_panel(spark, sf_dir)
+    path = shared_dir(spark, "linear")
+    M.save_model(M.fit_regressor(panel.filter("split = 'train'"), ["M1"], TARGET, "linear"), path)
+    return out(M.predict(M.load_model(path), panel.filter("split = 'test'")), ROW, ["prediction"])
+
+
+@query("successive_halving")
+def successive_halving(spark, sf_dir):
+    train = labelled(spark, sf_dir).filter("split = 'train'")
+    return H.successive_halving(train, FEATURES, "label", n_candidates=3, factor=3, min_trees=2, max_trees=6, folds=2)
+
+
+@query("search_candidates")
+def search_candidates(spark, sf_dir):
+    """Ridge candidates scored by walk-forward validation of every series."""
+    return H.tune(engineered(spark, sf_dir).persist(), COLS, "ridge", trials=2, initial=252, folds=2)
+
+
+@query("walk_forward_cv")
+def walk_forward_cv(spark, sf_dir):
+    """Fold table of a ridge model: all series and folds in one job."""
+    folds, _ = WF.walk_forward_linear(engineered(spark, sf_dir), COLS, model="ridge", alpha=1.0, initial=252, folds=5)
+    return folds
+
+
+@query("walk_forward_forest")
+def walk_forward_forest(spark, sf_dir):
+    df = engineered(spark, sf_dir).persist()
+    folds, _ = WF.walk_forward_estimator(df, COLS, model="rf", initial=252, folds=2, n_estimators=5, max_depth=3)
+    return folds
+
+
+FOLD_RULE = """
+fold_rows AS (SELECT r.*, f.fold FROM returned r JOIN folds f ON r.series_id = f.series_id AND r.date_id >= f.a AND r.date_id < f.b),
+fold_err AS (SELECT series_id, fold, avg(abs(market_forward_excess_returns - prediction)) AS mae,
+                    avg(power(market_forward_excess_returns - prediction, 2)) AS mse,
+                    1 - avg(power(market_forward_excess_returns - prediction, 2)) / var_pop(market_forward_excess_returns) AS r2
+             FROM fold_rows GROUP BY series_id, fold)"""
+
+
+@query("fold_summary", positioned_sql(f"""
+SELECT e.series_id, {rsql('avg(mae)')} AS mae, {rsql('avg(mse)')} AS mse, {rsql('avg(sqrt(mse))')} AS rmse, {rsql('avg(r2)', 5)} AS r2,
+       {rsql('avg(raw_sharpe / (vol_penalty * return_penalty))', 7)} AS adjusted_sharpe
+FROM fold_err e JOIN parts p ON e.series_id = p.series_id AND e.fold = p.fold GROUP BY e.series_id""",
+    EXPANDING, FOLD_RULE, score_sql(*LOG, "fold_rows", "series_id, fold")))
+def fold_summary(spark, sf_dir):
+    """Fold means of the lagged rule on the folds' validation rows."""
+    panel = fx_panel(spark, sf_dir)
+    folds = T.folds_expanding(panel, 252, 5).filter("role = 'val'").select(*ROW, "fold")
+    rows = positioned(spark, sf_dir).join(folds, ROW)
+    by = ["series_id", "fold"]
+    table = S.regression_metrics(rows, TARGET, "prediction", by).drop("n").join(S.score_v2(rows, by).drop("n"), by)
+    return out(WF.fold_summary(table, ["series_id"]), ["series_id"], {"mae": 9, "mse": 9, "rmse": 9, "r2": 5, "adjusted_sharpe": 7})
+
+
+@query("final_fit_predict")
+def final_fit_predict(spark, sf_dir):
+    df = T.split_holdout(engineered(spark, sf_dir)).persist()
+    train, test = (df.filter(F.col("split") == s) for s in ("train", "test"))
+    placed, _ = WF.final_fit_predict(train, test, COLS, TARGET, "ridge", alpha=1.0)
+    return placed.select(*ROW, "prediction", "position")
+
+
+@query("compare_models")
+def compare_models(spark, sf_dir):
+    models = {"linear": {}, "ridge": {"alpha": 1.0}, "lasso": {"alpha": 0.001}, "boosted": {"n_estimators": 4, "max_depth": 3}}
+    return H.compare_models(split_panel(spark, sf_dir).persist(), FEATURES, models=models)
+
+
+@query("cv_summary")
+def cv_summary(spark, sf_dir):
+    """Buy-and-hold and model rows on the same validation rows, metric by metric."""
+    df = engineered(spark, sf_dir).persist()
+    folds, val = WF.walk_forward_linear(df, COLS, model="lasso", alpha=0.0001, initial=252, folds=5)
+    mean = lambda t, name: t.agg(*[F.avg(c).alias(c) for c in t.columns if c not in ("series_id", "n", "status")]).withColumn("model", F.lit(name))
+    key = ["series_id"]
+    # stitched validation rows of all folds, renumbered per series
+    rows = val.drop("pos", "_block").withColumn("pos", F.col("date_id")).persist()
+
+    def metrics(t, name):
+        table = S.score_v2(t, key).drop("n", "status").join(S.risk_metrics(t, key).drop("n"), key)
+        return mean(table.join(S.cum_return_pct(S.with_returns(t), key), key), name)
+
+    model = metrics(rows, "lasso").join(mean(WF.fold_summary(folds, key).select(
+        "series_id", F.col("adjusted_sharpe").alias("adj_sharpe_fold_avg"), "mae", "rmse", "r2"), "lasso"), "model")
+    bench = metrics(rows.withColumn("position", F.lit(1.0)), "buy_and_hold")
+    table = bench.unionByName(model, allowMissingColumns=True)
+    level = T.one_row(bench.select("adjusted_sharpe"))["adjusted_sharpe"]
+    return IO.finite_numbers(table).withColumn("beats_hold", (F.col("adjusted_sharpe") > level).cast("int"))

@@ -1 +1,130 @@
+"""Feature selection."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from serieswise import config as C
+from serieswise.catalog.base import *  # noqa: F403
+from serieswise.catalog.frame_queries import EXPANDING, SPLIT
+from serieswise.catalog.profile_queries import NUM, each
+from serieswise.catalog.window_queries import ALL_V2, FEATURES, V2_SQL
+from serieswise.operators import frames as T
+from serieswise.operators.correlation import corr_target
+from serieswise.operators.features import features_v2
+from serieswise.plans import selection as L
+
+TARGET = C.EXCESS_TARGET
+COLS = [*V2_SQL, "rate_regime"]
+PANEL_FEATURES = FEATURES.format(cols=ALL_V2, panel="fx_panel")
+
+
+def engineered(spark, sf_dir):
+    df, _ = features_v2(fx_panel(spark, sf_dir))
+    return df
+
+
+@query("select_variance", panel_sql(f"""
+SELECT feature, {rsql('variance', 3)} AS variance, {rsql('quantile_cont(variance, 0.25) OVER ()', 3)} AS threshold,
+       CASE WHEN variance > quantile_cont(variance, 0.25) OVER () THEN 1 ELSE 0 END AS kept
+FROM ({each(NUM, lambda c: f"SELECT '{c}' AS feature, var_pop({c}) AS variance FROM split WHERE split = 'train'")})""", SPLIT))
+def select_variance(spark, sf_dir):
+    train = T.split_three_way(fx_panel(spark, sf_dir)).filter("split = 'train'")
+    return out(L.select_variance(train, NUM), ["feature", "kept"], {"variance": 3, "threshold": 3})
+
+
+@query("select_corr_greedy")
+def select_corr_greedy(spark, sf_dir):
+    """Survivors of the greedy walk with their variance."""
+    train = T.split_three_way(fx_panel(spark, sf_dir)).filter("split = 'train'").persist()
+    kept = L.select_corr_greedy(train, NUM, n_pairs=4)
+    return L.variance_profile(train, kept)
+
+
+@query("cum_gain", panel_sql(f"""
+SELECT feature, {rsql('gain')} AS gain, {rsql('run')} AS cum_gain,
+       CASE WHEN run <= 0.9 * total OR (place = 1 AND gain > 0.9 * total) THEN 1 ELSE 0 END AS kept
+FROM (SELECT *, sum(gain) OVER (ORDER BY gain DESC, feature ROWS UNBOUNDED PRECEDING) AS run, sum(gain) OVER () AS total,
+             row_number() OVER (ORDER BY gain DESC, feature) AS place
+      FROM ({each(NUM, lambda c: f"SELECT '{c}' AS feature, abs(corr({c}, forward_returns)) AS gain FROM fx_panel")}))"""))
+def cum_gain(spark, sf_dir):
+    """The cut over absolute target correlations as gains."""
+    gains = corr_target(fx_panel(spark, sf_dir), NUM, C.RETURN_TARGET).select("feature", F.col("abs_corr").alias("gain"))
+    return out(L.cum_gain(gains), ["feature", "kept"], ["gain", "cum_gain"])
+
+
+@query("select_importance")
+def select_importance(spark, sf_dir):
+    panel = T.split_three_way(fx_panel(spark, sf_dir)).persist()
+    train, val = (panel.filter(F.col("split") == s) for s in ("train", "val"))
+    return L.select_importance(train, val, ["M1", "M2", "E1", "V1"], rounds=8)
+
+
+@query("selection_funnel")
+def selection_funnel(spark, sf_dir):
+    panel = T.split_three_way(fx_panel(spark, sf_dir)).persist()
+    _, table = L.selection_funnel(panel, rounds=5)
+    return table
+
+
+def ic_sql(source: str, cols, part: str = "") -> str:
+    """IC, t and variance per column, and per ``part`` columns if given."""
+    keys = f"{part}, " if part else ""
+    over = f"PARTITION BY {part}" if part else ""
+    rank = lambda v: (
+        f"rank() OVER ({over} ORDER BY {v}) + (count(*) OVER (PARTITION BY {keys}{v}) - 1) / 2.0"
+    )
+    group = f"GROUP BY {part}" if part else ""
+    return each(cols, lambda c: f"""
+SELECT {keys}'{c}' AS feature, count(*) AS n, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN corr(rx, ry) END AS ic, var_pop(x) AS variance
+FROM (SELECT {keys}x, {rank('x')} AS rx, {rank('y')} AS ry
+      FROM (SELECT {keys}CAST({c} AS DOUBLE) AS x, {TARGET} AS y FROM {source} WHERE {c} IS NOT NULL AND {TARGET} IS NOT NULL)) {group}""")
+
+
+IC_OUT = f"""{rsql('ic', 8)} AS ic, {rsql('ic * sqrt(greatest(n - 2, 1)) / sqrt(greatest(1 - ic * ic, 1e-12))', 6)} AS t_stat,
+  {rsql('variance', 3)} AS variance"""
+
+
+@query("ic_table_raw", panel_sql(
+    f"SELECT feature, n, {IC_OUT} FROM ({ic_sql('fx_panel', NUM)}) WHERE n >= 10 AND ic IS NOT NULL"))
+def ic_table_raw(spark, sf_dir):
+    table = L.ic_table(fx_panel(spark, sf_dir), NUM, TARGET)
+    return out(table, ["feature", "n"], {"ic": 8, "t_stat": 6, "variance": 3})
+
+
+@query("ic_table_engineered", panel_sql(
+    f"SELECT feature, n, {IC_OUT} FROM ({ic_sql('feat', COLS)}) WHERE n >= 10 AND ic IS NOT NULL", PANEL_FEATURES))
+def ic_table_engineered(spark, sf_dir):
+    table = L.ic_table(engineered(spark, sf_dir), COLS, TARGET)
+    return out(table, ["feature", "n"], {"ic": 8, "t_stat": 6, "variance": 3})
+
+
+FOLD_ROWS = """
+fold_rows AS (SELECT p.*, f.fold FROM feat p JOIN folds f ON p.series_id = f.series_id AND p.date_id < f.a)"""
+
+
+@query("ic_table_per_fold", panel_sql(
+    f"SELECT series_id, fold, feature, n, {IC_OUT} FROM ({ic_sql('fold_rows', ['M1_roll5', 'E1_diff21', 'V1_roll21'], 'series_id, fold')}) WHERE n >= 10 AND ic IS NOT NULL",
+    PANEL_FEATURES, EXPANDING, FOLD_ROWS))
+def ic_table_per_fold(spark, sf_dir):
+    train = T.folds_expanding(engineered(spark, sf_dir), 252, 5).filter("role = 'train'")
+    table = L.ic_table(train, ["M1_roll5", "E1_diff21", "V1_roll21"], TARGET, ["series_id", "fold"])
+    return out(
+        table.withColumn("fold", F.col("fold").cast("long")), ["series_id", "fold", "feature", "n"],
+        {"ic": 8, "t_stat": 6, "variance": 3},
+    )
+
+
+@query("select_ic_raw")
+def select_ic_raw(spark, sf_dir):
+    return L.select_ic_raw(fx_panel(spark, sf_dir), [*NUM, "D1"], TARGET)
+
+
+@query("select_ic_engineered")
+def select_ic_engineered(spark, sf_dir):
+    return L.select_ic(engineered(spark, sf_dir), COLS, TARGET)
+
+
+@query("select_per_fold")
+def select_per_fold(spark, sf_dir):
+    return L.select_per_fold(engineered(spark, sf_dir), COLS, TARGET, 252, 5)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from serieswise import config as C
 from serieswise.config import BLOCK, KEYS, POS
-from serieswise.functions.scalar import POSITION_MAPS, clip, strategy_return
+from serieswise.functions.scalar import POSITION_MAPS, clip, ratio, strategy_return
 from serieswise.operators.blocks import Frames, is_blocked, rolling, running_max, running_product, scan
 from serieswise.operators.features import rolling_mean, rolling_std
 from serieswise.operators.scoring import YEAR, v1_columns, v1_sums, with_returns
@@ -110,7 +110,7 @@ def backtest_grid(
     growth = {i: F.lit(1.0) + strategy_return(F.col(f"_pos{i}"), forward, rate) for i in span}
     wide = scan(wide, {f"_eq{i}": running_product(growth[i]) for i in span}, keys)
     wide = scan(wide, {f"_top{i}": running_max(F.col(f"_eq{i}")) for i in span}, keys)
-    wide = wide.withColumns({f"_dd{i}": F.col(f"_eq{i}") / F.col(f"_top{i}") - 1 for i in span})
+    wide = wide.withColumns({f"_dd{i}": ratio(F.col(f"_eq{i}"), F.col(f"_top{i}")) - 1 for i in span})
     kept = [*keys, "forward_returns", "risk_free_rate"]
     rows = with_returns(_long(wide, settings, {"position": "_pos", "drawdown": "_dd"}, kept))
     by = ["grid_idx", *keys]

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serieswise.operators.frames import one_row, stacked
+from serieswise.operators.frames import one_row, safe_corr, stacked
 from serieswise.operators.ordered import spearman
 
 # beyond this many columns the pair sums come from matrix products per batch
@@ -31,16 +31,10 @@ def corr_target(df: DataFrame, cols: Sequence[str], target: str, method: str = "
     if method == "spearman":
         table = spearman(long_pairs(df, cols, target), ["feature"]).select("feature", F.col("ic").alias("corr"))
         return _signed(table)
-    wide = df.agg(*[_corr(F.col(c), F.col(target)).alias(c) for c in cols])
+    wide = df.agg(*[safe_corr(F.col(c), F.col(target)).alias(c) for c in cols])
     return _signed(stacked(wide, [{"feature": F.lit(c), "corr": F.col(c)} for c in cols]))
 
 
-def _corr(a: Column, b: Column) -> Column:
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a), F.when(both, b)
-    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr(x, y))
-
-
 def long_pairs(df: DataFrame, cols: Sequence[str], target: str, keys: Sequence[str] = ()) -> DataFrame:
     """keys, feature, x, y for every known feature value on a row with a target."""
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])
@@ -117,7 +111,7 @@ def pair_correlations(df: DataFrame, cols: Sequence[str], keys: Sequence[str] =
     if not native:
         return _signed(corr_from_sums(pair_sums(df, cols, keys), cols, keys))
     pairs = list(combinations(cols, 2))
-    wide = df.groupBy(*keys).agg(*[_corr(F.col(a), F.col(b)).alias(f"{a}__{b}") for a, b in pairs])
+    wide = df.groupBy(*keys).agg(*[safe_corr(F.col(a), F.col(b)).alias(f"{a}__{b}") for a, b in pairs])
     rows = [
         {"feature_1": F.lit(a), "feature_2": F.lit(b), "corr": F.col(f"{a}__{b}")} for a, b in pairs
     ]
@@ -148,6 +142,6 @@ def spearman_ic(df: DataFrame, cols: Sequence[str], target: str, keys: Sequence[
     return table.withColumn("t_stat", ic * F.sqrt(F.greatest(n - 2, F.lit(1)).cast("double")) / rest)
 
 
-def cluster_target_corr(means: DataFrame, groups: Sequence[str], target: str) -> DataFrame:
+def cluster_targetsafe_corr(means: DataFrame, groups: Sequence[str], target: str) -> DataFrame:
     table = corr_target(means, [f"mean_{g}" for g in groups], target)
     return table.select(F.substring("feature", 6, 10).alias("cluster"), "corr", "abs_corr")

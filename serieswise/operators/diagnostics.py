@@ -11,7 +11,7 @@ from serieswise import config as C
 from serieswise.config import KEYS, POS
 from serieswise.operators.blocks import Frames, rolling, running_sum, scan
 from serieswise.operators.features import rolling_mean, rolling_std
-from serieswise.operators.frames import one_row, stacked, with_series_rows
+from serieswise.operators.frames import one_row, safe_corr, stacked, with_series_rows
 from serieswise.operators.ordered import exact_quantiles
 from serieswise.operators.scoring import YEAR
 
@@ -88,7 +88,7 @@ def ic_scatter(df: DataFrame, predicted: str, actual: str) -> DataFrame:
     limits = exact_quantiles(sizes, ["p", "a"], [0.99])
     lim = one_row(limits.agg(F.max("quantile").alias("v")))
     return df.agg(
-        F.corr(predicted, actual).alias("ic"),
+        safe_corr(F.col(predicted), F.col(actual)).alias("ic"),
         F.regr_slope(actual, predicted).alias("slope"),
         F.regr_intercept(actual, predicted).alias("intercept"),
     ).select("*", lim["v"].alias("axis_limit"))

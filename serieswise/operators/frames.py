@@ -28,6 +28,13 @@ def one_row(stats: DataFrame) -> dict[str, Column]:
     return {name: packed.getField(name) for name in stats.columns}
 
 
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson over rows where both are known; null where either is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr(x, y))
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 

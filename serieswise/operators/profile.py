@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from serieswise import config as C
 from serieswise.functions.scalar import ratio
-from serieswise.operators.frames import feature_columns, one_row, stacked
+from serieswise.operators.frames import feature_columns, one_row, safe_corr, stacked
 from serieswise.operators.ordered import exact_quantiles, quantile_columns
 
 
@@ -136,8 +137,8 @@ def density_curve(df: DataFrame, col: str, points: int = 200) -> DataFrame:
         (s["sd"] * F.pow(s["n"], F.lit(-0.2))).alias("h"),
         F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"),
     ).withColumn("x", F.col("lo") + F.col("point") * (F.col("hi") - F.col("lo")) / (points - 1))
-    z = (F.col("x") - F.col("v")) / F.col("h")
-    weight = F.col("cnt") * F.exp(-z * z / 2) / (F.col("n") * F.col("h") * F.sqrt(F.lit(2 * 3.141592653589793)))
+    z = ratio(F.col("x") - F.col("v"), F.col("h"))
+    weight = ratio(F.col("cnt") * F.exp(-z * z / 2), F.col("n") * F.col("h") * F.sqrt(F.lit(2 * math.pi)))
     return rows.groupBy(F.col("point").cast("long").alias("point")).agg(
         F.min("x").alias("x"), F.sum(weight).alias("density")
     )
@@ -149,7 +150,7 @@ def nullity_corr(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     pairs = list(combinations(cols, 2))
     wide = df.agg(
         *[F.avg(gap[c]).alias(c) for c in cols],
-        *[F.corr(gap[a], gap[b]).alias(f"{a}__{b}") for a, b in pairs],
+        *[safe_corr(gap[a], gap[b]).alias(f"{a}__{b}") for a, b in pairs],
     )
     part = lambda c: (F.col(c) > 0) & (F.col(c) < 1)
     rows = [

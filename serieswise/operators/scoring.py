@@ -179,7 +179,7 @@ def equity_curve(df: DataFrame, returns: str = "strategy_returns", keys: Sequenc
 def drawdown(df: DataFrame, equity: str = "equity", keys: Sequence[str] = KEYS) -> DataFrame:
     """Add ``drawdown`` below the highest equity so far, starting at the first row."""
     peaks = scan(df, {"_peak": running_max(F.col(equity))}, keys)
-    return peaks.withColumn("drawdown", F.col(equity) / F.col("_peak") - 1).drop("_peak")
+    return peaks.withColumn("drawdown", ratio(F.col(equity), F.col("_peak")) - 1).drop("_peak")
 
 
 def risk_metrics(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
