@@ -123,7 +123,8 @@ def search_candidates(spark, sf_dir):
 @query("walk_forward_cv")
 def walk_forward_cv(spark, sf_dir):
     """Fold table of a ridge model: all series and folds in one job."""
-    folds, _ = WF.walk_forward_linear(engineered(spark, sf_dir), COLS, model="ridge", alpha=1.0, initial=252, folds=5)
+    df = engineered(spark, sf_dir).persist()
+    folds, _ = WF.walk_forward_linear(df, COLS, model="ridge", alpha=1.0, initial=252, folds=5)
     return folds
 
 

@@ -8,7 +8,7 @@ from serieswise import config as C
 from serieswise.catalog.base import *  # noqa: F403
 from serieswise.catalog.frame_queries import EXPANDING, SPLIT
 from serieswise.catalog.profile_queries import NUM, each
-from serieswise.catalog.window_queries import ALL_V2, FEATURES, V2_SQL
+from serieswise.catalog.window_queries import FEATURES, V2_SQL
 from serieswise.operators import frames as T
 from serieswise.operators.correlation import corr_target
 from serieswise.operators.features import features_v2
@@ -16,12 +16,14 @@ from serieswise.plans import selection as L
 
 TARGET = C.EXCESS_TARGET
 COLS = [*V2_SQL, "rate_regime"]
-PANEL_FEATURES = FEATURES.format(cols=ALL_V2, panel="fx_panel")
+ROUNDED_V2 = ", ".join(f"{rsql(e, 6)} AS {n}" for n, e in V2_SQL.items())
+PANEL_FEATURES = FEATURES.format(cols=ROUNDED_V2, panel="fx_panel")
 
 
 def engineered(spark, sf_dir):
+    """Engineered panel; rounded, so that values tied in one engine are tied in the other."""
     df, _ = features_v2(fx_panel(spark, sf_dir))
-    return df
+    return df.withColumns({c: rnd(c, 6) for c in V2_SQL})
 
 
 @query("select_variance", panel_sql(f"""

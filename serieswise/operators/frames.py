@@ -29,10 +29,16 @@ def one_row(stats: DataFrame) -> dict[str, Column]:
 
 
 def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson over rows where both are known; null where either is constant."""
+    """Pearson over rows where both are known; null where either is constant.
+
+    Built from covariance and deviations: the built-in aggregate divides before
+    any guard around it is looked at, which is an error for constant columns.
+    """
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a), F.when(both, b)
-    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr(x, y))
+    varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    scale = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(varied & (scale > 0), F.covar_pop(x, y) / scale)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from serieswise.config import BLOCK
 from serieswise.operators.blocks import is_blocked, longest_group
-from serieswise.operators.frames import one_row, stacked
+from serieswise.operators.frames import one_row, safe_corr, stacked
 from serieswise.session import settle
 
 SLICES = 256
@@ -111,8 +111,7 @@ def window_rank(keys: Sequence[str], value: str) -> Column:
 
 def rank_corr() -> Column:
     """Correlation of ``_rx`` and ``_ry``, null where either side is constant."""
-    varied = (F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry"))
-    return F.when(varied, F.corr("_rx", "_ry"))
+    return safe_corr(F.col("_rx"), F.col("_ry"))
 
 
 def spearman(
