@@ -33,12 +33,13 @@ def longest_group(df: DataFrame, keys: Sequence[str] = KEYS) -> int:
     return sizes.agg(F.max("n")).first()[0] or 0
 
 
-def is_blocked(df: DataFrame) -> bool:
-    return BLOCK in df.columns
+def block_rows(df: DataFrame) -> int:
+    """Rows per block, ``serieswise.blockRows`` of the session if set."""
+    return int(df.sparkSession.conf.get("serieswise.blockRows", str(BLOCK_ROWS)))
 
 
-def _block(block_rows: int) -> Column:
-    return F.floor(F.col(POS) / F.lit(block_rows))
+def is_blocked(df: DataFrame) -> bool:
+    return BLOCK in df.columns
 
 
 def number_rows(
@@ -48,7 +49,6 @@ def number_rows(
     keys: Sequence[str] = KEYS,
     name: str = POS,
     longest: int | None = None,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add the dense 0-based position by ``order`` within ``keys``.
 
@@ -56,34 +56,34 @@ def number_rows(
     they are counted. Long series are numbered by ``bucket``, which must not
     decrease with ``order``: rows are counted per bucket, counts are summed over
     earlier buckets, and rows are numbered inside their bucket only. The default
-    bucket of an integer ``order`` spans ``block_rows`` values.
+    bucket of an integer ``order`` spans as many values as a block has rows.
     """
-    rows = df.drop(name)
+    rows, size = df.drop(name), block_rows(df)
     if longest is None:
         longest = longest_group(rows, keys)
-    if longest <= block_rows:
+    if longest <= size:
         at = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
         return rows.drop(BLOCK).withColumn(name, at.cast("long"))
     if bucket is None:
-        bucket = F.floor(F.col(order) / F.lit(block_rows))
+        bucket = F.floor(F.col(order) / F.lit(size))
     at = [*keys, "_bucket"]
-    parts = settle(rows.drop(BLOCK).withColumn("_bucket", bucket))
+    parts = settle(rows.withColumn("_bucket", bucket).drop(BLOCK))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.groupBy(*at).agg(F.count(F.lit(1)).alias("_rows")).select(
         *at, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")
     )
     inside = F.row_number().over(Window.partitionBy(*at).orderBy(order))
     numbered = parts.join(starts, at).withColumn(name, (F.col("_start") + inside - 1).cast("long"))
-    block = F.floor(F.col(name) / F.lit(block_rows))
+    block = F.floor(F.col(name) / F.lit(size))
     return numbered.drop("_bucket", "_start").withColumn(BLOCK, block)
 
 
-def renumber(df: DataFrame, keys: Sequence[str] = KEYS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def renumber(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Close the gaps a row filter left in the positions."""
-    longest = block_rows + 1 if is_blocked(df) else 0
+    longest = block_rows(df) + 1 if is_blocked(df) else 0
     rows = df.withColumnRenamed(POS, "_at")
     bucket = F.col(BLOCK) if is_blocked(df) else None
-    return number_rows(rows, "_at", bucket, keys, POS, longest, block_rows).drop("_at")
+    return number_rows(rows, "_at", bucket, keys, POS, longest).drop("_at")
 
 
 class Frames(NamedTuple):
@@ -101,19 +101,19 @@ def rolling(
     back: int,
     ahead: int = 0,
     keys: Sequence[str] = KEYS,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add columns whose frames reach ``back`` rows back and ``ahead`` forward."""
     if not is_blocked(df):
         made = build(Frames(Window.partitionBy(*keys).orderBy(POS)))
         return df.select(*[c for c in df.columns if c not in made], *[c.alias(n) for n, c in made.items()])
-    if max(back, ahead) > block_rows:
+    size = block_rows(df)
+    if max(back, ahead) > size:
         raise ValueError("a block must be at least as long as the look-back")
-    own = _block(block_rows)
-    inside = F.col(POS) - own * block_rows
+    own = F.floor(F.col(POS) / F.lit(size))
+    inside = F.col(POS) - own * size
     targets = [own]
     if back:
-        targets.append(F.when(inside >= block_rows - back, own + 1))
+        targets.append(F.when(inside >= size - back, own + 1))
     if ahead:
         targets.append(F.when(inside < ahead, own - 1))
     spread = df.drop(BLOCK).withColumn(BLOCK, F.explode(F.array_compact(F.array(*targets))))
@@ -227,7 +227,8 @@ def expanding_std(x: Column) -> Callable[[str], Scan]:
     """Sample deviation of all rows so far.
 
     Blocks are merged by count, mean and squared deviation, centred on the mean
-    of the first block so that a large common level costs no precision.
+    of the first block, so that neither a large common level nor a constant
+    stretch costs precision.
     """
 
     def make(tag: str) -> Scan:
@@ -236,14 +237,14 @@ def expanding_std(x: Column) -> Callable[[str], Scan]:
         off = F.coalesce(F.col(mean) - F.col(base), F.lit(0.0))
 
         def value(running: WindowSpec) -> Column:
-            here = F.count(x).over(running)
-            dev = F.coalesce(F.avg(x).over(running) - F.col(base), F.lit(0.0))
-            spread = F.coalesce(F.var_pop(x).over(running), F.lit(0.0)) * here
-            total = F.col(rows) + here
-            sums = F.col(shift) + here * dev
-            squares = F.col(square) + spread + here * dev * dev
-            variance = F.greatest(squares - sums * sums / total, F.lit(0.0)) / (total - 1)
-            return F.when(total > 1, F.sqrt(variance))
+            here, before = F.count(x).over(running), F.col(rows)
+            own = F.coalesce(F.var_pop(x).over(running), F.lit(0.0)) * here
+            earlier = F.greatest(F.col(square) - F.col(shift) * F.col(shift) / before, F.lit(0.0))
+            gap = F.avg(x).over(running) - (F.col(base) + F.col(shift) / before)
+            both = (before > 0) & (here > 0)
+            across = F.when(both, gap * gap * before * here / (before + here)).otherwise(F.lit(0.0))
+            total = own + F.when(before > 0, earlier).otherwise(F.lit(0.0)) + across
+            return F.when(before + here > 1, F.sqrt(total / (before + here - 1)))
 
         return Scan(
             lambda running, whole: F.stddev_samp(x).over(running),

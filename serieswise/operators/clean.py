@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serieswise.config import BLOCK_ROWS, KEYS
-from serieswise.operators.blocks import Frames, is_blocked, rolling
+from serieswise.config import KEYS
+from serieswise.operators.blocks import Frames, block_rows, is_blocked, rolling
 from serieswise.operators.frames import stacked
 from serieswise.operators.ordered import attach, quantile_columns
 
@@ -19,14 +19,13 @@ def mark_spikes(
     quantile: float = 0.005,
     ratio: float = 10.0,
     keys: Sequence[str] = KEYS,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``<col>__spike`` and the thresholds ``<col>__low``, ``<col>__high``.
 
     A spike lies outside the series' own quantiles, has two known neighbours
     inside them, and exceeds ``ratio`` times both non-zero neighbours in size.
     """
-    bound = None if is_blocked(df) else block_rows
+    bound = None if is_blocked(df) else block_rows(df)
     limits = quantile_columns(df, cols, {"low": quantile, "high": 1 - quantile}, keys, bound)
     rows = attach(df, limits, keys)
 
@@ -40,7 +39,7 @@ def mark_spikes(
         return F.coalesce(out & calm[0] & calm[1] & bigger[0] & bigger[1], F.lit(False))
 
     return rolling(
-        rows, lambda f: {f"{c}__spike": spike(c, f) for c in cols}, 1, 1, keys, block_rows
+        rows, lambda f: {f"{c}__spike": spike(c, f) for c in cols}, 1, 1, keys
     )
 
 
@@ -50,10 +49,9 @@ def clean_spikes(
     quantile: float = 0.005,
     ratio: float = 10.0,
     keys: Sequence[str] = KEYS,
-    block_rows: int = BLOCK_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """Spikes set to null, and a summary per key and column."""
-    marked = mark_spikes(df, cols, quantile, ratio, keys, block_rows)
+    marked = mark_spikes(df, cols, quantile, ratio, keys)
     cleaned = marked.select(
         *[
             F.when(~F.col(f"{c}__spike"), F.col(c)).alias(c) if c in cols else F.col(c)

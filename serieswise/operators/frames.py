@@ -23,9 +23,14 @@ def stacked(df: DataFrame, rows: Iterable[dict[str, Column]], keys: Sequence[str
 
 
 def one_row(stats: DataFrame) -> dict[str, Column]:
-    """The columns of a one-row table as scalar subqueries."""
-    packed = stats.select(F.struct(*stats.columns).alias("_s")).scalar()
-    return {name: packed.getField(name) for name in stats.columns}
+    """The columns of a one-row statistics table as literals.
+
+    Runs the aggregate now. Later expressions then hold constants instead of
+    copies of its plan, which would multiply where statistics build on statistics.
+    """
+    row = stats.first()
+    types = {f.name: f.dataType for f in stats.schema.fields}
+    return {name: F.lit(row[name]).cast(types[name]) for name in stats.columns}
 
 
 def safe_corr(a: Column, b: Column) -> Column:

@@ -23,6 +23,11 @@ SLICES = 256
 SMALL_GROUP = 1_000_000
 
 
+def small_group(df: DataFrame) -> int:
+    """Rows one task may sort as one group, ``serieswise.smallGroup`` of the session if set."""
+    return int(df.sparkSession.conf.get("serieswise.smallGroup", str(SMALL_GROUP)))
+
+
 def _slice_of(value: Column, cuts: Column) -> Column:
     """Number of cut points not above the value, found in two steps of 16."""
     step = 16
@@ -38,19 +43,18 @@ def value_ranks(
     sums: dict[str, Column] | None = None,
     largest: int | None = None,
     descending: bool = False,
-    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """One row per distinct value: ``cnt`` rows, ``less`` rows before it, ``total``.
 
     ``sums`` adds further totals per value with their ``<name>_less`` and
     ``<name>_total``. ``largest`` is an upper bound of rows per group, counted if
-    not given; only larger groups than ``small_group`` are cut into slices.
+    not given; only groups larger than ``small_group`` are cut into slices.
     """
     sums = sums or {}
     rows = df.filter(F.col(value).isNotNull())
     if largest is None:
         largest = longest_group(rows, keys)
-    sliced = largest > small_group
+    sliced = largest > small_group(df)
     if sliced:
         rows = settle(rows.select(*keys, value, *[c.alias(n) for n, c in sums.items()]))
         sums = {n: F.col(n) for n in sums}
@@ -96,10 +100,10 @@ def value_ranks(
 
 
 def average_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, name: str, largest: int | None = None, small_group: int = SMALL_GROUP
+    df: DataFrame, keys: Sequence[str], value: str, name: str, largest: int | None = None
 ) -> DataFrame:
     """keys, value and its 1-based average rank."""
-    ranks = value_ranks(df, keys, value, largest=largest, small_group=small_group)
+    ranks = value_ranks(df, keys, value, largest=largest)
     return ranks.select(*keys, value, (F.col("less") + (F.col("cnt") + 1) / 2).alias(name))
 
 
@@ -116,7 +120,7 @@ def rank_corr() -> Column:
 
 def spearman(
     pairs: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y",
-    largest: int | None = None, small_group: int = SMALL_GROUP,
+    largest: int | None = None,
 ) -> DataFrame:
     """keys, ``n``, ``ic`` over rows where both values are known.
 
@@ -127,12 +131,12 @@ def spearman(
     both = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
     if largest is None:
         largest = longest_group(both, keys)
-    if largest <= small_group:
+    if largest <= small_group(pairs):
         ranked = both.withColumn("_rx", window_rank(keys, x)).withColumn("_ry", window_rank(keys, y))
     else:
         both = settle(both)
-        ranked = both.join(average_ranks(both, keys, x, "_rx", largest, small_group), [*keys, x]).join(
-            average_ranks(both, keys, y, "_ry", largest, small_group), [*keys, y]
+        ranked = both.join(average_ranks(both, keys, x, "_rx", largest), [*keys, x]).join(
+            average_ranks(both, keys, y, "_ry", largest), [*keys, y]
         )
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), rank_corr().alias("ic"))
 
@@ -152,7 +156,6 @@ def exact_quantiles(
     keys: Sequence[str] = (),
     accuracy: int = 10_000,
     largest: int | None = None,
-    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """keys, feature, prob, n, quantile with linear interpolation.
 
@@ -163,7 +166,7 @@ def exact_quantiles(
     if largest is None:
         largest = longest_group(df, keys)
     cells = [(c, i, p) for c in cols for i, p in enumerate(probs)]
-    if largest <= small_group:
+    if largest <= small_group(df):
         share = F.array(*[F.lit(float(p)) for p in probs])
         wide = df.groupBy(*keys).agg(
             *[F.percentile(c, share).alias(c) for c in cols], *[F.count(c).alias(f"{c}__n") for c in cols]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from serieswise import config as C
 from serieswise.config import BLOCK, KEYS, POS
 from serieswise.functions.scalar import clip, ratio, strategy_return
-from serieswise.operators.blocks import expanding_std, is_blocked, last_known, renumber, rolling, running_max, running_product, scan
+from serieswise.operators.blocks import block_rows, expanding_std, is_blocked, last_known, renumber, rolling, running_max, running_product, scan
 from serieswise.operators.features import rolling_mean, rolling_std
 from serieswise.operators.ordered import rank_corr, spearman, value_ranks, window_rank
 
@@ -40,7 +40,6 @@ def map_positions(
     window: int = C.K_WINDOW,
     least: int = C.K_MIN_ROWS,
     keys: Sequence[str] = KEYS,
-    block_rows: int = C.BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``position`` = clip(1 + k * prediction / deviation, 0, 2).
 
@@ -48,7 +47,7 @@ def map_positions(
     usable row, for leading rows from the first usable one, else it is 1.
     """
     pred = F.col(prediction)
-    rows = rolling(df, lambda f: {"_std": rolling_std(pred, f.last(window), least)}, window, keys=keys, block_rows=block_rows)
+    rows = rolling(df, lambda f: {"_std": rolling_std(pred, f.last(window), least)}, window, keys=keys)
     rows = scan(rows, {"_wide": expanding_std(pred)}, keys)
     std = F.coalesce(F.col("_std"), F.col("_wide"))
     rows = rows.withColumn("_std", F.when(F.abs(std) >= 1e-12, std))
@@ -222,7 +221,7 @@ def ic_metrics(df: DataFrame, prediction: str, target: str, keys: Sequence[str]
     known = df.filter(F.col(prediction).isNotNull() & F.col(target).isNotNull())
     kept = [*keys, POS, *([BLOCK] if is_blocked(df) else [])]
     rows = renumber(known.select(*kept, F.col(prediction).alias("x"), F.col(target).alias("y")), keys)
-    overall = spearman(rows, keys, largest=None if is_blocked(df) else C.BLOCK_ROWS)
+    overall = spearman(rows, keys, largest=None if is_blocked(df) else block_rows(df))
     part = [*keys, "_part"]
     parts = rows.withColumn("_part", F.floor(F.col(POS) / C.IC_BLOCK))
     ranked = parts.withColumn("_rx", window_rank(part, "x")).withColumn("_ry", window_rank(part, "y"))

@@ -1,4 +1,4 @@
-"""Compare registered queries with their SQL twins: python tests/check.py [names] [--sf DIR]."""
+"""Compare registered queries with their SQL twins: python tests/check.py [names] [--sf DIR] [--blocks N] [--small N]."""
 
 from __future__ import annotations
 
@@ -64,6 +64,11 @@ def main() -> int:
         sf_dir = args[i + 1]
         del args[i : i + 2]
     spark = local_session(8)
+    for flag, setting in (("--blocks", "serieswise.blockRows"), ("--small", "serieswise.smallGroup")):
+        if flag in args:
+            i = args.index(flag)
+            spark.conf.set(setting, args[i + 1])
+            del args[i : i + 2]
     spark.sparkContext.setLogLevel("ERROR")
     queries, oracles = entry.queries(), entry.oracle_sql()
     con = connect(sf_dir)
