@@ -6,8 +6,11 @@ and ``risk_free_rate``; partial aggregation happens before every shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -245,6 +248,29 @@ def t_test(df: DataFrame, prediction: str, target: str, keys: Sequence[str] = KE
     return s.select(*keys, "n", ratio(F.col("_m"), F.col("_s") / F.sqrt("n")).alias("t_stat"))
 
 
+def _two_sided(t: float, dof: float) -> float:
+    """Two-sided tail of Student's t: Simpson's rule over the finite angle form."""
+    if t != t or dof < 1:
+        return math.nan
+    edge, steps = math.atan2(abs(t), math.sqrt(dof)), 2000
+    angle = np.linspace(0.0, edge, steps + 1)
+    weight = np.where(np.arange(steps + 1) % 2 == 1, 4.0, 2.0)
+    weight[[0, -1]] = 1.0
+    inside = float(weight @ np.cos(angle) ** (dof - 1)) * edge / steps / 3
+    scale = math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(math.pi)
+    return min(max(1.0 - 2.0 * scale * inside, 0.0), 1.0)
+
+
+def with_p_value(tests: DataFrame) -> DataFrame:
+    """Add ``p_value`` to a table of t statistics, one row per series."""
+
+    @F.pandas_udf("double")
+    def p_value(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([_two_sided(a, b - 1) for a, b in zip(t, n)])
+
+    return tests.withColumn("p_value", p_value("t_stat", "n"))
+
+
 def cum_return_pct(df: DataFrame, keys: Sequence[str] = KEYS, returns: str = "strategy_returns") -> DataFrame:
     total = (F.product(F.lit(1.0) + F.col(returns)) - 1) * 100
     return df.groupBy(*keys).agg(total.alias("cum_return_pct"))
