@@ -22,28 +22,26 @@ from serieswise.operators.frames import drop_null_target
 LINEAR = ("linear", "ridge", "lasso", "elasticnet")
 
 
-def _normal(sd: float, **params: float) -> LinearRegression:
-    return LinearRegression(
-        featuresCol="features", predictionCol="prediction", solver="normal", standardization=False, **params
-    )
+def _normal(**params: float) -> LinearRegression:
+    return LinearRegression(featuresCol="features", solver="normal", standardization=False, **params)
 
 
 def linear(n: int, sd: float) -> LinearRegression:
-    return _normal(sd, regParam=0.0)
+    return _normal(regParam=0.0)
 
 
 def ridge(n: int, sd: float, alpha: float = 1.0) -> LinearRegression:
     # the penalty is on the sum of squared errors; Spark's is on its mean over a scaled target
-    return _normal(sd, regParam=alpha / n * sd, elasticNetParam=0.0)
+    return _normal(regParam=alpha / n * sd, elasticNetParam=0.0)
 
 
 def lasso(n: int, sd: float, alpha: float = 1.0) -> LinearRegression:
-    return _normal(sd, regParam=alpha, elasticNetParam=1.0)
+    return _normal(regParam=alpha, elasticNetParam=1.0)
 
 
 def elasticnet(n: int, sd: float, alpha: float = 1.0, l1_ratio: float = 0.5) -> LinearRegression:
     reg = alpha * (l1_ratio + (1 - l1_ratio) * sd)
-    return _normal(sd, regParam=reg, elasticNetParam=alpha * l1_ratio / reg if reg else 0.0)
+    return _normal(regParam=reg, elasticNetParam=alpha * l1_ratio / reg if reg else 0.0)
 
 
 def forest(
@@ -78,37 +76,51 @@ def build(name: str, n: int, sd: float, **params: float) -> Estimator:
     return REGISTRY[name](n, sd, **params)
 
 
-def preparation(train: DataFrame, cols: Sequence[str], scale: bool) -> list:
-    """Stages that fill nulls with training means, optionally scale, and assemble."""
-    stats = train.agg(*[F.avg(c).alias(f"{c}__m") for c in cols]).first()
-    means = {c: stats[f"{c}__m"] or 0.0 for c in cols}
-    filled = {c: f"coalesce(CAST(`{c}` AS DOUBLE), CAST('{means[c]!r}' AS DOUBLE))" for c in cols}
-    if scale:
-        spread = train.agg(*[F.stddev_pop(F.expr(filled[c])).alias(c) for c in cols]).first()
-        filled = {
-            c: f"({e} - CAST('{means[c]!r}' AS DOUBLE)) / CAST('{(spread[c] or 1.0)!r}' AS DOUBLE)" for c, e in filled.items()
-        }
-    text = ", ".join(f"{e} AS `_x_{c}`" for c, e in filled.items())
+def _stages(means: dict[str, float], steps: dict[str, float] | None) -> list:
+    """Fill nulls, optionally scale, and assemble; the values are part of the stage."""
+    double = lambda v: f"CAST('{v!r}' AS DOUBLE)"
+    cells = {c: f"coalesce(CAST(`{c}` AS DOUBLE), {double(m)})" for c, m in means.items()}
+    if steps is not None:
+        cells = {c: f"({e} - {double(means[c])}) / {double(steps[c])}" for c, e in cells.items()}
+    text = ", ".join(f"{e} AS `_x_{c}`" for c, e in cells.items())
     return [
         SQLTransformer(statement=f"SELECT *, {text} FROM __THIS__"),
-        VectorAssembler(inputCols=[f"_x_{c}" for c in cols], outputCol="features"),
+        VectorAssembler(inputCols=[f"_x_{c}" for c in means], outputCol="features"),
     ]
 
 
+def train_statistics(train: DataFrame, cols: Sequence[str], target: str) -> tuple[int, float, dict, dict]:
+    """Rows, target deviation, column means and mean-filled column deviations, in one pass."""
+    stats = train.agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.stddev_pop(target).alias("_sd"),
+        *[f(F.col(c).cast("double")).alias(f"{c}__{k}") for c in cols for k, f in (("m", F.avg), ("v", F.var_pop), ("k", F.count))],
+    ).first()
+    n = stats["_n"]
+    if not n:
+        raise ValueError("no training row has a target")
+    means = {c: float(stats[f"{c}__m"] or 0.0) for c in cols}
+    # a filled cell sits on the mean, so it only adds to the row count
+    steps = {c: float((stats[f"{c}__v"] or 0.0) * stats[f"{c}__k"] / n) ** 0.5 or 1.0 for c in cols}
+    return n, float(stats["_sd"]), means, steps
+
+
 def fit_regressor(
     train: DataFrame, cols: Sequence[str], target: str, name: str, val: DataFrame | None = None, **params: float
 ) -> PipelineModel:
     """Fitted pipeline; with ``val``, boosting stops when the validation error stops falling."""
-    rows = drop_null_target(train, target)
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(target).alias("sd")).first()
-    stages = preparation(rows, cols, scale=name in LINEAR)
-    model = build(name, size["n"], size["sd"], **params).setLabelCol(target)
-    data = rows
-    if val is not None and isinstance(model, GBTRegressor):
-        model.setValidationIndicatorCol("_held")
-        held = drop_null_target(val, target).withColumn("_held", F.lit(True))
-        data = rows.withColumn("_held", F.lit(False)).unionByName(held)
-    return Pipeline(stages=[*stages, model]).fit(data)
+    rows = drop_null_target(train, target).select(*cols, target).persist()
+    try:
+        n, sd, means, steps = train_statistics(rows, cols, target)
+        model = build(name, n, sd, **params).setLabelCol(target)
+        data = rows
+        if val is not None and isinstance(model, GBTRegressor):
+            model.setValidationIndicatorCol("_held")
+            held = drop_null_target(val, target).select(*cols, target).withColumn("_held", F.lit(True))
+            data = rows.withColumn("_held", F.lit(False)).unionByName(held)
+        return Pipeline(stages=[*_stages(means, steps if name in LINEAR else None), model]).fit(data)
+    finally:
+        rows.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -139,7 +151,12 @@ def fit_direction(
         minInstancesPerNode=min_child, subsamplingRate=subsample,
         featureSubsetStrategy=str(float(colsample)) if colsample < 1 else "all", seed=C.SEED,
     )
-    return Pipeline(stages=[*preparation(train, cols, scale=False), model]).fit(train)
+    rows = train.select(*cols, label).persist()
+    try:
+        _, _, means, _ = train_statistics(rows, cols, label)
+        return Pipeline(stages=[*_stages(means, None), model]).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def predict_probability(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -21,9 +21,8 @@ def _cents(name: str) -> Column:
 
 def calendar_days(df: DataFrame, time: str) -> int:
     """Days spanned by a time column: no daily series can hold more rows."""
-    day = F.unix_date(F.to_date(time))
-    first, last = df.agg(F.min(day), F.max(day)).first()
-    return 0 if first is None else last - first + 1
+    first, last = df.agg(F.min(time), F.max(time)).first()
+    return 0 if first is None else (last.date() - first.date()).days + 1
 
 
 def _panel(spark: SparkSession, sf_dir: str, series: Column) -> DataFrame:
