@@ -33,17 +33,25 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     )
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """New folder below ``spark.checkpoint.dir`` that every executor can reach.
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names, which every executor can reach.
 
-    The setting is read from the session; only where the cluster names none (as
-    in tests) a temporary folder is used.
+    Only a local session without one, as in tests, gets a temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
         root = tempfile.mkdtemp(prefix="serieswise-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
+    return root
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """New folder below the checkpoint folder."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -52,10 +60,5 @@ def settle(df: DataFrame) -> DataFrame:
     Used where one result feeds several branches that Spark would otherwise
     compute separately.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="serieswise-")
-        )
+    checkpoint_root(df.sparkSession)
     return df.checkpoint()
