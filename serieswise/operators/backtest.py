@@ -43,7 +43,7 @@ def vol_scale(deviation: Column, target: float, top: float = 3.0) -> Column:
 
 def _previous_std(f: Frames, window: int) -> Column:
     # the frame ends one row back, which is the shifted rolling deviation
-    frame = f.ordered.rowsBetween(-window, -1)
+    frame = f.rows(-window, -1)
     return rolling_std(F.col("forward_returns"), frame, max(5, window // 3))
 
 

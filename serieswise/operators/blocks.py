@@ -86,13 +86,42 @@ def renumber(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return number_rows(rows, "_at", bucket, keys, POS, longest).drop("_at")
 
 
-class Frames(NamedTuple):
-    """Window specs handed to the column builders of ``rolling``."""
+class Span:
+    """A frame whose aggregates are computed once, however often a formula uses them."""
 
-    ordered: WindowSpec  # for lag / lead
+    def __init__(self, spec: WindowSpec, parts: dict[str, tuple[str, Column]]):
+        self.spec, self.parts = spec, parts
 
-    def last(self, n: int) -> WindowSpec:
-        return self.ordered.rowsBetween(-(n - 1), 0)
+    def of(self, agg: Column) -> Column:
+        column = agg.over(self.spec)
+        name, _ = self.parts.setdefault(str(column), (f"_w{len(self.parts)}", column))
+        return F.col(name)
+
+
+class Frames:
+    """Windows handed to the column builders of ``rolling``."""
+
+    def __init__(self, ordered: WindowSpec):
+        self.ordered = ordered  # for lag / lead
+        self.parts: dict[str, tuple[str, Column]] = {}
+
+    def rows(self, start: int, end: int) -> Span:
+        return Span(self.ordered.rowsBetween(start, end), self.parts)
+
+    def last(self, n: int) -> Span:
+        return self.rows(-(n - 1), 0)
+
+    def shifted(self, column: Column) -> Column:
+        """A lag or lead that several formulas share."""
+        return Span(self.ordered, self.parts).of(column)
+
+
+def _with_frames(df: DataFrame, build: Callable[[Frames], dict[str, Column]], ordered: WindowSpec) -> DataFrame:
+    frames = Frames(ordered)
+    made = build(frames)
+    parts = df.select("*", *[column.alias(name) for name, column in frames.parts.values()])
+    kept = [c for c in df.columns if c not in made]
+    return parts.select(*kept, *[c.alias(n) for n, c in made.items()])
 
 
 def rolling(
@@ -104,8 +133,7 @@ def rolling(
 ) -> DataFrame:
     """Add columns whose frames reach ``back`` rows back and ``ahead`` forward."""
     if not is_blocked(df):
-        made = build(Frames(Window.partitionBy(*keys).orderBy(POS)))
-        return df.select(*[c for c in df.columns if c not in made], *[c.alias(n) for n, c in made.items()])
+        return _with_frames(df, build, Window.partitionBy(*keys).orderBy(POS))
     size = block_rows(df)
     if max(back, ahead) > size:
         raise ValueError("a block must be at least as long as the look-back")
@@ -117,9 +145,8 @@ def rolling(
     if ahead:
         targets.append(F.when(inside < ahead, own - 1))
     spread = df.drop(BLOCK).withColumn(BLOCK, F.explode(F.array_compact(F.array(*targets))))
-    made = build(Frames(Window.partitionBy(*keys, BLOCK).orderBy(POS)))
-    kept = [c for c in spread.columns if c not in made]
-    return spread.select(*kept, *[c.alias(n) for n, c in made.items()]).filter(F.col(BLOCK) == own)
+    framed = _with_frames(spread, build, Window.partitionBy(*keys, BLOCK).orderBy(POS))
+    return framed.filter(F.col(BLOCK) == own)
 
 
 class Scan(NamedTuple):

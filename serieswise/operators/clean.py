@@ -33,8 +33,8 @@ def mark_spikes(
         out = (F.col(c) < F.col(f"{c}__low")) | (F.col(c) > F.col(f"{c}__high"))
         size = F.abs(F.col(c))
         sides = [F.lag, F.lead]
-        calm = [~shift(out, 1).over(f.ordered) for shift in sides]
-        near = [shift(size, 1).over(f.ordered) for shift in sides]
+        calm = [~f.shifted(shift(out, 1)) for shift in sides]
+        near = [f.shifted(shift(size, 1)) for shift in sides]
         bigger = [(n > 0) & (size > n * ratio) for n in near]
         return F.coalesce(out & calm[0] & calm[1] & bigger[0] & bigger[1], F.lit(False))
 

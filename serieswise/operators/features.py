@@ -6,45 +6,44 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from serieswise import config as C
 from serieswise.config import KEYS
 from serieswise.functions.scalar import rate_regime, ratio
-from serieswise.operators.blocks import Frames, last_known, rolling, scan
+from serieswise.operators.blocks import Frames, Span, last_known, rolling, scan
 from serieswise.operators.frames import trim_leading_empty
 
 
-def enough(agg: Column, x: Column, w: WindowSpec, least: int) -> Column:
-    """Window result where the frame holds at least ``least`` known values."""
-    return F.when(F.count(x).over(w) >= least, agg.over(w))
+def enough(agg: Column, x: Column, w: Span, least: int) -> Column:
+    """Frame result where the frame holds at least ``least`` known values."""
+    return w.of(agg) if least <= 1 else F.when(w.of(F.count(x)) >= least, w.of(agg))
 
 
-def rolling_mean(x: Column, w: WindowSpec, least: int = 1) -> Column:
+def rolling_mean(x: Column, w: Span, least: int = 1) -> Column:
     return enough(F.avg(x), x, w, least)
 
 
-def rolling_std(x: Column, w: WindowSpec, least: int) -> Column:
+def rolling_std(x: Column, w: Span, least: int) -> Column:
     return enough(F.stddev_samp(x), x, w, least)
 
 
-def dev_ratio(x: Column, w: WindowSpec) -> Column:
+def dev_ratio(x: Column, w: Span) -> Column:
     mean = rolling_mean(x, w)
     return ratio(x - mean, mean)
 
 
 def momentum(x: Column, f: Frames, lag: int) -> Column:
-    return ratio(x, F.lag(x, lag).over(f.ordered)) - 1
+    return ratio(x, f.shifted(F.lag(x, lag))) - 1
 
 
-def rank_pct(x: Column, w: WindowSpec, least: int = 5) -> Column:
+def rank_pct(x: Column, w: Span, least: int = 5) -> Column:
     """Share of the frame's rows not above the current value; nulls rank last."""
-    frame = F.collect_list(F.struct(x.alias("v"))).over(w)
+    frame = w.of(F.collect_list(F.struct(x.alias("v"))))
     at_most = F.when(x.isNull(), F.size(frame)).otherwise(F.size(F.filter(frame, lambda s: s["v"] <= x)))
-    return F.when(F.count(x).over(w) >= least, at_most / F.size(frame))
+    return F.when(w.of(F.count(x)) >= least, at_most / F.size(frame))
 
 
-def zscore(x: Column, w: WindowSpec, least: int) -> Column:
+def zscore(x: Column, w: Span, least: int) -> Column:
     return ratio(x - rolling_mean(x, w, least), enough(F.stddev_pop(x), x, w, least))
 
 
@@ -76,7 +75,7 @@ def recipe_v1(columns: Sequence[str]) -> dict[str, Recipe]:
 
 def features_v1(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     made = recipe_v1(df.columns)
-    back = max([*C.MACRO_WINDOWS, *C.REVERSION_WINDOWS, *C.MOMENTUM_LAGS]) 
+    back = max([*C.MACRO_WINDOWS, *C.REVERSION_WINDOWS, *C.MOMENTUM_LAGS])
     return rolling(df, lambda f: {n: build(f) for n, build in made.items()}, back, keys=keys)
 
 
@@ -151,8 +150,8 @@ def sequence_windows(
     row = F.array(*[F.col(c).cast("double") for c in cols])
 
     def build(f: Frames) -> dict[str, Column]:
-        frame = f.last(length) if include_current else f.ordered.rowsBetween(-length, -1)
-        return {"sequence": F.collect_list(row).over(frame), "target": F.col(target)}
+        frame = f.last(length) if include_current else f.rows(-length, -1)
+        return {"sequence": frame.of(F.collect_list(row)), "target": F.col(target)}
 
     out = rolling(df, build, length, keys=keys)
     return out.filter(F.size("sequence") == length)
