@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from serieswise.session import shipped
 from serieswise.sources.fixtures import fx_market, fx_panel, fx_scored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = fn
+        QUERIES[name] = shipped(fn)
         if sql is not None:
             ORACLES[name] = sql
         return fn

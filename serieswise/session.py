@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +65,31 @@ def settle(df: DataFrame) -> DataFrame:
     """
     checkpoint_root(df.sparkSession)
     return df.checkpoint()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per application: their functions import it by name."""
+    context = spark.sparkContext
+    if getattr(context, "_serieswise_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="serieswise-package-"), "serieswise.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._serieswise_shipped = True
+
+
+def shipped(fn):
+    """A query that ships the package before it runs."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, *args, **kwargs):
+        ship_package(spark)
+        return fn(spark, *args, **kwargs)
+
+    return run
