@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serieswise.llm import mixing, packing, sharding, weak_rules
-from serieswise.llm.common import table
+from serieswise.llm import ann, bagminhash, fixity, gru_lm, kneser_ney, mixing, packing, sharding, toxicity, weak_rules
+from serieswise.llm.common import remainder, table
 from serieswise.session import shipped
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,26 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of a replica with altered and missing records, made from the pages by rule."""
+    records = fixity.warc_records(table(spark, sf_dir, "pages"))
+    broken = F.when(F.col("record_id") % 97 == 13, F.concat(F.lit("X"), F.substring("bytes", 2, 2_000_000_000))).otherwise(F.col("bytes"))
+    replica = records.where(~F.coalesce(F.col("record_id") % 193 == 7, F.lit(False))).withColumn("bytes", broken)
+    return fixity.audit(fixity.digests(records), fixity.digests(replica))
+
+
+@query
+def op3_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bagminhash.with_rows(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return kneser_ney.classify(rows, table(spark, sf_dir, "labels")).drop("rid")
+
+
 @query
 def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources evened out until none is read over twice as often as another."""
@@ -27,6 +47,21 @@ def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, max_repeats=2.0).select("doc_id", "source", *mixing.RESULT)
 
 
+@query
+def op5_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, lexicon).select(
+        "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted", F.round("evidence", 6).alias("evidence")
+    )
+
+
+@query
+def op6_bagminhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bagminhash.with_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return bagminhash.near_duplicates(rows).drop("rid")
+
+
 @query
 def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -42,6 +77,11 @@ def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_gru_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_weak_supervision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = weak_rules.with_measures(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
