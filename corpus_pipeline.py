@@ -7,7 +7,6 @@ returns the packed pieces.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from serieswise.llm import bagminhash, kneser_ney, mixing, packing, weak_rules
 from serieswise.llm.common import stage, table
@@ -27,17 +26,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within the threshold of their language."""
     ship_package(spark)
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
-    rejected = kneser_ney.classify(rows, table(spark, sf_dir, "labels")).where(~F.col("kept")).select("rid")
-    return rows.join(rejected, F.col("_rid") == F.col("rid"), "left_anti").select(*docs.columns)
+    return kneser_ney.classify(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
     ship_package(spark)
     rows = bagminhash.with_rows(docs)
-    dropped = bagminhash.near_duplicates(rows).where(~F.col("kept")).select("rid")
-    return rows.join(dropped, F.col("_rid") == F.col("rid"), "left_anti").select(*docs.columns)
+    dropped = bagminhash.near_duplicates(rows).where("not kept").select("rid")
+    return rows.join(dropped, rows["_rid"] == dropped["rid"], "left_anti").select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

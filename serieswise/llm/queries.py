@@ -36,8 +36,8 @@ def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bagminhash.with_rows(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
-    return kneser_ney.classify(rows, table(spark, sf_dir, "labels")).drop("rid")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return kneser_ney.classify(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
 @query
