@@ -31,7 +31,7 @@ END_ID = 1
 #: Pieces of a packing partition: a few MB in one task.
 PIECES = 8_000
 #: Entries of a worker's word cache before it starts anew.
-CACHED = 300_000
+CACHED = 800_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _RUN = None
@@ -102,7 +102,7 @@ class _Encoder:
             words = text.encode("utf-8", "replace").split()
             group.append(words)
             size += len(words)
-            if size > CACHED // 3:
+            if size > 100_000:
                 yield from self._flush(group)
                 group, size = [], 0
         yield from self._flush(group)
