@@ -359,8 +359,8 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            block = batch.column(0).to_numpy()
-            texts = batch.column(1).to_pylist()
+            block = batch.column("block").to_numpy()
+            texts = batch.column("text").to_pylist()
             for b in np.unique(block):
                 mine = [texts[i] for i in np.flatnonzero(block == b)]
                 for i, j in slices(mine):
@@ -373,7 +373,8 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
                 words = words[~np.isin(words, classes.top)]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), b, np.int32)), pa.array(words.view(np.int64))], ["block", "word"])
 
-    wanted = dealt.select("block", "text").mapInArrow(asked, "block int, word long")
+    # all columns go in, or the two branches would prune their exchanges differently and make two of them
+    wanted = dealt.mapInArrow(asked, "block int, word long")
     known = wanted.join(counts.select("word", "n"), "word").select("block", "word", "n")
     base = float(np.log10(total + 0.5 * (distinct + 1)))
 
