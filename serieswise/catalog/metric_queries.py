@@ -432,11 +432,12 @@ def ols_line(spark, sf_dir):
 
 
 @query("position_histogram", positioned_sql(f"""
-SELECT CAST(least(floor((p - lo) / w), 39) AS BIGINT) AS bin, count(*) AS count, {rsql('max(mean)')} AS mean_position
-FROM (SELECT p, lo, (hi - lo) / 40 AS w, mean
-      FROM (SELECT round(position, 10) AS p, min(round(position, 10)) OVER () AS lo, max(round(position, 10)) OVER () AS hi,
-                   avg(position) OVER () AS mean FROM positioned))
-GROUP BY 1"""))
+SELECT b.bin, count(h.bin) AS count, {rsql('max(b.mean)')} AS mean_position
+FROM (SELECT CAST(unnest(range(40)) AS BIGINT) AS bin, (SELECT avg(position) FROM positioned) AS mean) b
+LEFT JOIN (SELECT CAST(least(floor((p - lo) / w), 39) AS BIGINT) AS bin
+      FROM (SELECT p, lo, (hi - lo) / 40 AS w
+            FROM (SELECT round(position, 10) AS p, min(round(position, 10)) OVER () AS lo, max(round(position, 10)) OVER () AS hi FROM positioned))) h
+ON h.bin = b.bin GROUP BY b.bin"""))
 def position_histogram(spark, sf_dir):
     from serieswise.operators.frames import one_row
     from serieswise.operators.profile import histogram

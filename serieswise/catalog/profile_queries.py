@@ -66,9 +66,9 @@ UNION ALL SELECT 'outliers', feature, outlier_count FROM ({outlier_sql(False, [*
 UNION ALL SELECT 'histograms', feature, n FROM (
   SELECT o.feature, u.n FROM ({outlier_sql(False, [*RAW, *C.FINANCE_COLS[:3]])}) o
   JOIN ({each([*RAW, *C.FINANCE_COLS[:3]], lambda c: f"SELECT '{c}' AS feature, count({c}) AS n FROM fx_panel")}) u ON o.feature = u.feature
-  ORDER BY outlier_rate DESC, o.feature LIMIT 3)"""))
+  ORDER BY outlier_rate DESC, o.feature LIMIT 30)"""))
 def basic_eda(spark, sf_dir):
-    parts = P.basic_eda(fx_panel(spark, sf_dir), top_n=3)
+    parts = P.basic_eda(fx_panel(spark, sf_dir))
     shown = parts["histograms"].groupBy("feature").agg(F.sum("count").alias("n"))
     rows = parts["missing"].select(F.lit("missing").alias("part"), "feature", F.col("na_count").alias("n"))
     rows = rows.unionByName(parts["outliers"].select(F.lit("outliers").alias("part"), "feature", F.col("outlier_count").alias("n")))
@@ -100,10 +100,11 @@ def moments(spark, sf_dir):
 
 
 def hist_sql(c: str, bins: str) -> str:
-    return f"""SELECT CAST(least(floor(({c} - lo) / w), k - 1) AS BIGINT) AS bin, count(*) AS count,
-  {rsql('max(lo) + CAST(least(floor((' + c + ' - lo) / w), k - 1) AS BIGINT) * max(w)', 7)} AS left_edge
-FROM (SELECT {c}, lo, k, (hi - lo) / k AS w FROM fx_panel,
-      (SELECT min({c}) AS lo, max({c}) AS hi, {bins} AS k FROM fx_panel) s WHERE {c} IS NOT NULL) GROUP BY 1, CAST(least(floor(({c} - lo) / w), k - 1) AS BIGINT)"""
+    stats = f"SELECT lo, k, (hi - lo) / k AS w FROM (SELECT min({c}) AS lo, max({c}) AS hi, {bins} AS k FROM fx_panel)"
+    return f"""SELECT b.bin, count(h.bin) AS count, {rsql('max(b.lo) + b.bin * max(b.w)', 7)} AS left_edge
+FROM (SELECT CAST(unnest(range(k)) AS BIGINT) AS bin, lo, w FROM ({stats})) b
+LEFT JOIN (SELECT CAST(least(floor(({c} - lo) / w), k - 1) AS BIGINT) AS bin FROM fx_panel, ({stats}) WHERE {c} IS NOT NULL) h ON h.bin = b.bin
+GROUP BY b.bin"""
 
 
 @query("histogram", panel_sql(hist_sql("M1", "CAST(40 AS BIGINT)")))
@@ -118,12 +119,12 @@ def histogram_auto(spark, sf_dir):
 
 @query("density_curve", panel_sql(f"""
 SELECT point, {rsql('max(x)')} AS x, {rsql('sum(exp(-power((x - v) / h, 2) / 2)) / (max(n) * max(h) * sqrt(2 * pi()))', 8)} AS density
-FROM (SELECT g.point, v, n, lo + g.point * (hi - lo) / 49.0 AS x, sd * power(n, -0.2) AS h
+FROM (SELECT g.point, v, n, lo + g.point * (hi - lo) / 199.0 AS x, sd * power(n, -0.2) AS h
       FROM (SELECT forward_returns AS v FROM fx_panel) d,
            (SELECT min(forward_returns) AS lo, max(forward_returns) AS hi, count(*) AS n, stddev_samp(forward_returns) AS sd FROM fx_panel) s,
-           (SELECT unnest(range(50)) AS point) g) GROUP BY point"""))
+           (SELECT unnest(range(200)) AS point) g) GROUP BY point"""))
 def density_curve(spark, sf_dir):
-    return out(P.density_curve(fx_panel(spark, sf_dir), "forward_returns", 50), ["point"], {"x": 9, "density": 8})
+    return out(P.density_curve(fx_panel(spark, sf_dir), "forward_returns"), ["point"], {"x": 9, "density": 8})
 
 
 def pairs_sql(cols, expr) -> str:
@@ -199,7 +200,7 @@ def spearman_ic(spark, sf_dir):
 
 @query("pair_self_join", panel_sql(f"SELECT feature_1, feature_2, {rsql('corr')} AS corr FROM ({pairs_sql(RAW, PEARSON)})"))
 def pair_self_join(spark, sf_dir):
-    return out(R.pair_correlations(fx_panel(spark, sf_dir), RAW, native=False), ["feature_1", "feature_2"], ["corr"])
+    return out(R.pair_correlations(fx_panel(spark, sf_dir), RAW), ["feature_1", "feature_2"], ["corr"])
 
 
 @query("corr_pairs_topn", panel_sql(f"""

@@ -30,17 +30,8 @@ NON_FEATURE_COLS = META_COLS + FINANCE_COLS
 RETURN_TARGET = "forward_returns"
 EXCESS_TARGET = "market_forward_excess_returns"
 
-# fixed values: prefix -> label
-PREFIX_LABELS = {
-    "M": "Market Dynamics",
-    "E": "Economic",
-    "I": "Interest Rate",
-    "P": "Price/Valuation",
-    "V": "Volatility",
-    "S": "Sentiment",
-    "MOM": "Momentum",
-    "D": "Dummy",
-}
+# fixed values: prefixes of the feature groups
+PREFIXES = ["M", "E", "I", "P", "V", "S", "MOM", "D"]
 # fixed values: prefix -> number of raw columns (D1..D9, E1..E20, ...)
 PREFIX_COUNTS = {"D": 9, "E": 20, "I": 9, "M": 18, "P": 13, "S": 12, "V": 13}
 RAW_COLUMNS = {p: [f"{p}{i}" for i in range(1, n + 1)] for p, n in PREFIX_COUNTS.items()}

@@ -3,19 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from serieswise.operators.frames import one_row, safe_corr, stacked
+from serieswise.operators.frames import safe_corr, stacked
 from serieswise.operators.ordered import spearman
 
-# beyond this many columns the pair sums come from matrix products per batch
-NATIVE_COLUMNS = 24
-SUMS = ["n", "s1", "s2", "q1", "q2", "p"]
+MOMENTS = ["n", "m1", "m2", "q1", "q2", "p"]
 
 
 def _signed(table: DataFrame) -> DataFrame:
@@ -46,76 +43,101 @@ def long_pairs(df: DataFrame, cols: Sequence[str], target: str, keys: Sequence[s
     )
 
 
-def pair_sums(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Sums over rows where both columns are known, for every pair ``i <= j``.
+def _moments(values: np.ndarray) -> np.ndarray:
+    """n, means, squared deviations and co-moment of every pair, over rows where both are known.
 
-    Each task adds up matrix products over its batches and emits one row per key
-    and pair, so a shuffle moves pairs per task, not rows. Columns are centred on
-    their overall mean first.
+    Columns are shifted by their mean first; a constant column by its value, so that its
+    deviations are exactly 0.
+    """
+    known = ~np.isnan(values)
+    count = known.sum(0)
+    low = np.where(known, values, np.inf).min(0)
+    high = np.where(known, values, -np.inf).max(0)
+    mean = np.where(known, values, 0.0).sum(0) / np.maximum(count, 1)
+    shift = np.where(count == 0, 0.0, np.where(low == high, low, mean))
+    m, x = known.astype(float), np.where(known, values - shift, 0.0)
+    n, s = m.T @ m, x.T @ m
+    q, size = (x * x).T @ m, np.maximum(n, 1.0)
+    squares = np.maximum(q - s * s / size, 0.0)
+    first = shift[:, None] + s / size
+    return np.stack([n, first, first.T, squares, squares.T, x.T @ x - s * s.T / size])
+
+
+def merged_moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Moments of two sets of rows taken together."""
+    n = a[0] + b[0]
+    share = np.divide(b[0], n, out=np.zeros_like(n), where=n > 0)
+    d1, d2, both = b[1] - a[1], b[2] - a[2], a[0] * share
+    first = np.where(a[0] > 0, a[1] + d1 * share, b[1])
+    second = np.where(a[0] > 0, a[2] + d2 * share, b[2])
+    return np.stack([n, first, second, a[3] + b[3] + d1 * d1 * both, a[4] + b[4] + d2 * d2 * both, a[5] + b[5] + d1 * d2 * both])
+
+
+def pair_moments(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """keys, i, j, n, m1, m2, q1, q2, p for every pair ``i <= j``: rows, means, squared deviations, co-moment.
+
+    Only rows where both columns are known count; a null key is a key. Each task merges its
+    batches and emits one row per key and pair, so a shuffle moves pairs per task, not
+    rows. Nothing is summed about a centre that other keys share: levels may differ by any
+    factor.
     """
-    means = one_row(df.agg(*[F.avg(c).alias(c) for c in cols]))
-    centred = df.select(*keys, *[(F.col(c).cast("double") - means[c]).alias(c) for c in cols])
     key_list, width = list(keys), len(cols)
     upper_i, upper_j = np.triu_indices(width)
 
-    def batch_sums(values: np.ndarray) -> np.ndarray:
-        known = ~np.isnan(values)
-        m, x = known.astype(float), np.where(known, values, 0.0)
-        sx, sq = x.T @ m, (x * x).T @ m
-        return np.stack([m.T @ m, sx, sx.T, sq, sq.T, x.T @ x])
-
-    def emit(key: tuple, sums: np.ndarray) -> pd.DataFrame:
+    def emit(key: tuple, moments: np.ndarray) -> pd.DataFrame:
         out = pd.DataFrame({"i": upper_i, "j": upper_j})
-        for name, matrix in zip(SUMS, sums):
+        for name, matrix in zip(MOMENTS, moments):
             out[name] = matrix[upper_i, upper_j]
         for name, value in zip(key_list, key):
-            out[name] = value
+            out[name] = None if pd.isna(value) else value
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            groups = batch.groupby(key_list, sort=False) if key_list else [((), batch)]
+            groups = batch.groupby(key_list, sort=False, dropna=False) if key_list else [((), batch)]
             for key, rows in groups:
-                sums = batch_sums(rows[list(cols)].to_numpy(float))
-                held[key] = held[key] + sums if key in held else sums
-            if len(held) > 256:
-                for key, sums in held.items():
-                    yield emit(key, sums)
-                held = {}
-        for key, sums in held.items():
-            yield emit(key, sums)
+                key = tuple(None if pd.isna(k) else k for k in key)
+                moments = _moments(rows[list(cols)].to_numpy(float))
+                held[key] = merged_moments(held[key], moments) if key in held else moments
+                if len(held) > 256:
+                    for done in list(held):
+                        yield emit(done, held.pop(done))
+        for key, moments in held.items():
+            yield emit(key, moments)
 
     types = {f.name: f.dataType.simpleString() for f in df.select(*keys).schema.fields}
-    fields = [*[f"{k} {types[k]}" for k in keys], "i int", "j int", *[f"{s} double" for s in SUMS]]
-    partial = centred.mapInPandas(run, ", ".join(fields))
-    return partial.groupBy(*keys, "i", "j").agg(*[F.sum(s).alias(s) for s in SUMS])
+    fields = [*[f"{k} {types[k]}" for k in keys], "i int", "j int", *[f"{s} double" for s in MOMENTS]]
+    values = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
+    partial = values.mapInPandas(run, ", ".join(fields)).filter("n > 0")
+    # the mean of the parts first, then deviations about it: one shuffle, nothing cancels
+    by = [*keys, "i", "j"]
+    of = Window.partitionBy(*by)
+    mean = lambda m: F.sum(F.col("n") * F.col(m)).over(of) / F.sum("n").over(of)
+    # a mean that all parts share exactly is that mean
+    same = lambda m: F.when(F.min(m).over(of) == F.max(m).over(of), F.min(m).over(of)).otherwise(mean(m))
+    centred = partial.withColumns({"c1": same("m1"), "c2": same("m2")})
+    d1, d2 = F.col("m1") - F.col("c1"), F.col("m2") - F.col("c2")
+    return centred.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.first("c1").alias("m1"), F.first("c2").alias("m2"),
+        F.sum(F.col("q1") + F.col("n") * d1 * d1).alias("q1"), F.sum(F.col("q2") + F.col("n") * d2 * d2).alias("q2"),
+        F.sum(F.col("p") + F.col("n") * d1 * d2).alias("p"),
+    )
 
 
-def corr_from_sums(table: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    n = F.col("n")
-    v1 = F.col("q1") - F.col("s1") * F.col("s1") / n
-    v2 = F.col("q2") - F.col("s2") * F.col("s2") / n
-    cov = F.col("p") - F.col("s1") * F.col("s2") / n
+def corr_from_moments(table: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    # deviations within rounding of the level are none
+    varied = lambda q, m: F.col(q) > F.col("n") * F.pow(F.lit(1e-14) * F.abs(F.col(m)), F.lit(2.0))
     name = lambda i: F.array(*[F.lit(c) for c in cols])[F.col(i)]
-    corr = F.when((n > 1) & (v1 > 0) & (v2 > 0), cov / F.sqrt(v1 * v2))
+    corr = F.when((F.col("n") > 1) & varied("q1", "m1") & varied("q2", "m2"), F.col("p") / (F.sqrt("q1") * F.sqrt("q2")))
     return table.filter(F.col("i") < F.col("j")).select(
         *keys, name("i").alias("feature_1"), name("j").alias("feature_2"), corr.alias("corr")
     )
 
 
-def pair_correlations(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), native: bool | None = None) -> DataFrame:
+def pair_correlations(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """keys, feature_1, feature_2, corr, abs_corr of all unordered pairs."""
-    if native is None:
-        native = len(cols) <= NATIVE_COLUMNS
-    if not native:
-        return _signed(corr_from_sums(pair_sums(df, cols, keys), cols, keys))
-    pairs = list(combinations(cols, 2))
-    wide = df.groupBy(*keys).agg(*[safe_corr(F.col(a), F.col(b)).alias(f"{a}__{b}") for a, b in pairs])
-    rows = [
-        {"feature_1": F.lit(a), "feature_2": F.lit(b), "corr": F.col(f"{a}__{b}")} for a, b in pairs
-    ]
-    return _signed(stacked(wide, rows, keys))
+    return _signed(corr_from_moments(pair_moments(df, cols, keys), cols, keys))
 
 
 def top_pairs(df: DataFrame, cols: Sequence[str], n: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from serieswise import config as C
 from serieswise.config import BLOCK, DAY, KEYS, POS
+from serieswise.functions.scalar import ratio
 from serieswise.operators.blocks import renumber, scan, whole_series
 
 # columns the library itself adds
@@ -77,7 +78,7 @@ def null_rates(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             {
                 "feature": F.lit(c),
                 "na_count": F.col(c),
-                "na_rate": F.col(c).cast("double") / F.col("_rows"),
+                "na_rate": ratio(F.col(c).cast("double"), F.col("_rows")),
             }
             for c in cols
         ],

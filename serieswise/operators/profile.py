@@ -40,7 +40,7 @@ def outlier_rates(df: DataFrame, cols: Sequence[str], k: float = 1.5, guarded: b
     )
 
     def rate(c: str) -> Column:
-        share = F.col(c) / F.col("_rows")
+        share = ratio(F.col(c), F.col("_rows"))
         return F.when(F.col(f"{c}__k") > 0, share) if guarded else share
 
     return stacked(
@@ -89,8 +89,8 @@ def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
     def row(c: str) -> dict[str, Column]:
         n, g1, g2 = (F.col(f"{c}__{k}") for k in ("n", "g1", "g2"))
-        skew = g1 * F.sqrt(n * (n - 1)) / (n - 2)
-        kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
+        skew = ratio(g1 * F.sqrt(n * (n - 1)), n - 2)
+        kurt = ratio(n - 1, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
         return {
             "feature": F.lit(c),
             "mean": F.col(f"{c}__mean"),
@@ -103,20 +103,39 @@ def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
-    """Equal-width bins with counts; ``None`` takes min(150, int(2 n^(1/3))) bins."""
-    known = df.filter(F.col(col).isNotNull())
-    s = one_row(known.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(col).alias("n")))
-    flat = s["lo"] == s["hi"]
-    lo = F.when(flat, s["lo"] - 0.5).otherwise(s["lo"])
-    hi = F.when(flat, s["hi"] + 0.5).otherwise(s["hi"])
-    count = F.lit(bins) if bins else F.least(F.lit(150), F.floor(2 * F.pow(s["n"], F.lit(1 / 3))))
-    placed = known.select(F.col(col).alias("x"), lo.alias("lo"), ((hi - lo) / count).alias("w"), count.alias("k"))
-    bin_ = F.least(F.floor((F.col("x") - F.col("lo")) / F.col("w")), F.col("k") - 1)
-    return (
-        placed.withColumn("bin", bin_.cast("long"))
-        .groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("count"), F.min("lo").alias("_lo"), F.min("w").alias("_w"))
-        .select("bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("left_edge"), "count")
+    """Equal-width bins with counts, empty ones too; ``None`` takes min(150, int(2 n^(1/3))) bins."""
+    return histograms(df, [col], bins).drop("feature")
+
+
+def histograms(df: DataFrame, cols: Sequence[str], bins: int | None = None) -> DataFrame:
+    """feature, bin, left_edge, count of several columns in one pass; a column without values has no bins."""
+    s = df.agg(
+        *[f(c).alias(f"{c}__{n}") for c in cols for n, f in {"lo": F.min, "hi": F.max, "n": F.count}.items()]
+    )
+    edges = stacked(
+        s,
+        [
+            {"feature": F.lit(c), "lo": F.col(f"{c}__lo").cast("double"), "hi": F.col(f"{c}__hi").cast("double"), "n": F.col(f"{c}__n")}
+            for c in cols
+        ],
+    ).filter("n > 0")
+    flat = F.col("lo") == F.col("hi")
+    count = F.lit(bins) if bins else F.least(F.lit(150), F.floor(2 * F.pow("n", F.lit(1 / 3))))
+    edges = edges.select(
+        "feature", count.cast("long").alias("k"),
+        F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
+    ).withColumn("w", (F.col("hi") - F.col("lo")) / F.col("k"))
+    known = {r["feature"]: r for r in edges.collect()}  # a row a column
+    over = {c: F.floor((F.col(c).cast("double") - F.lit(r["lo"])) / F.lit(r["w"])) for c, r in known.items()}
+    # least() skips nulls
+    place = {c: F.when(F.col(c).isNotNull(), F.least(over[c], F.lit(r["k"] - 1))).cast("long") for c, r in known.items()}
+    cells = [{"feature": F.lit(c), "bin": b} for c, b in place.items()]
+    every = edges.select("feature", "lo", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("bin"))
+    counts = every.select("feature", "bin").limit(0).withColumn("count", F.lit(0).cast("long"))
+    if cells:
+        counts = stacked(df, cells).filter("bin is not null").groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("count"))
+    return every.join(counts, ["feature", "bin"], "left").select(
+        "feature", "bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("left_edge"), F.coalesce("count", F.lit(0)).cast("long").alias("count")
     )
 
 
@@ -172,14 +191,14 @@ def missing_over_time(df: DataFrame, cols: Sequence[str], buckets: int = 100) ->
         F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]
     )
     return stacked(
-        wide, [{"feature": F.lit(c), "null_rate": F.col(c) / F.col("_rows")} for c in cols], ["bucket"]
+        wide, [{"feature": F.lit(c), "null_rate": ratio(F.col(c), F.col("_rows"))} for c in cols], ["bucket"]
     )
 
 
 def label_distribution(df: DataFrame, label: Column) -> DataFrame:
     counts = df.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
     total = one_row(counts.agg(F.sum("n").alias("n")))
-    return counts.select("label", "n", (F.col("n") / total["n"]).alias("share"))
+    return counts.select("label", "n", ratio(F.col("n"), total["n"]).alias("share"))
 
 
 def null_cell_count(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -199,7 +218,7 @@ def variance_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def cluster_groups(cols: Sequence[str]) -> dict[str, list[str]]:
     """Prefix -> columns; momentum names do not count as market dynamics."""
     out = {}
-    for prefix in C.PREFIX_LABELS:
+    for prefix in C.PREFIXES:
         mom = prefix == "MOM"
         hit = [c for c in cols if c.startswith(prefix) and (mom or not c.startswith("MOM"))]
         if hit:
@@ -238,8 +257,4 @@ def basic_eda(df: DataFrame, top_n: int = 30, bins: int = 40) -> dict[str, DataF
 
     outliers = outlier_rates(df, cols)
     top = names(outliers.orderBy(F.desc("outlier_rate"), "feature").limit(top_n))
-    hists = [histogram(df, c, bins).withColumn("feature", F.lit(c)) for c in top]
-    charts = hists[0]
-    for h in hists[1:]:
-        charts = charts.unionByName(h)
-    return {"missing": null_rates(df, cols), "outliers": outliers, "histograms": charts}
+    return {"missing": null_rates(df, cols), "outliers": outliers, "histograms": histograms(df, top, bins)}

@@ -36,7 +36,8 @@ def test_pipeline_and_direct_solution_agree(planted, name, params):
     x = pdf[["a", "b", "c"]]
     z = ((x - x.mean()) / x.std(ddof=0)).to_numpy()
     y = (pdf["y"] - pdf["y"].mean()).to_numpy()
-    want = WF.solve_scaled(z.T @ z, z.T @ y, len(y), name, params.get("alpha", 1.0), params.get("l1_ratio", 0.5))
+    want, settled = WF.solve_scaled(z.T @ z, z.T @ y, len(y), name, params.get("alpha", 1.0), params.get("l1_ratio", 0.5))
+    assert settled
     assert np.allclose(got, want, atol=1e-5)
     if name in ("lasso", "elasticnet"):  # optimality of the penalised problem
         alpha, l1 = params["alpha"], params.get("l1_ratio", 1.0)
@@ -164,3 +165,30 @@ def test_final_fit_positions(spark, sf_dir):
     cols = [c for group in made.values() for c in group]
     placed, chosen = WF.final_fit_predict(train, test, cols, model="ridge", alpha=1.0)
     assert chosen and placed.count() == test.count() and placed.filter("position is null").count() == 0
+
+
+def test_descent_says_when_it_has_not_settled():
+    gram, cross = np.array([[1.0, 0.999], [0.999, 1.0]]), np.array([0.7, 0.6])
+    assert WF.solve_scaled(gram, cross, 1.0, "lasso", 1e-6, 1.0, sweeps=3)[1] is False
+    assert WF.solve_scaled(gram, cross, 1.0, "lasso", 1e-6, 1.0, sweeps=100_000)[1] is True
+
+
+def test_walk_forward_of_a_panel_equals_each_series_alone(spark):
+    rng = np.random.default_rng(9)
+    frames = []
+    x = rng.standard_normal((300, 2))
+    y = 0.5 * x[:, 0] + 0.3 * x[:, 1] + 0.2 * rng.standard_normal(300)
+    for series, level in enumerate((0.0, 1e4, 1e7)):
+        frames += [(series, i, i, float(a + level), float(b - level), float(c)) for i, ((a, b), c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(frames, "series_id long, date_id long, pos long, M1 double, E1 double, y double")
+    fit = lambda part: {
+        (r.series_id, r.fold): [r.intercept, *r.weights] for r in WF.fit_folds(part, ["M1", "E1"], "y", "ridge", initial=200, folds=4).collect()
+    }
+    together = fit(df.repartition(5))
+    assert len(together) == 12
+    for series in range(3):
+        for key, values in fit(df.filter(df.series_id == series)).items():
+            assert np.allclose(values[1:], together[key][1:], rtol=1e-7, atol=1e-8)
+            assert abs(values[0] - together[key][0]) <= 1e-7 * max(1.0, abs(values[0]))
+    # the level does not change the weights
+    assert all(np.allclose(v[1:], together[0, fold][1:], rtol=1e-6, atol=1e-7) for (_, fold), v in together.items())

@@ -224,10 +224,21 @@ def test_constant_columns_have_no_correlation(frame):
     assert spearman(df.select("series_id", F.col("a").alias("x"), "y"), ["series_id"]).first().ic is None
 
 
-def test_pair_sums_equal_native(spark, frame, noisy):
-    df = frame(a=listed(noisy), b=listed(noisy[::-1]), c=list(np.arange(700.0) + 1e6), d=listed(np.sin(np.arange(700.0))))
-    got, want = ({(r.feature_1, r.feature_2): r["corr"] for r in pair_correlations(df, list("abcd"), native=n).collect()} for n in (False, True))
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+def test_pair_correlations_equal_pandas_at_any_level(spark, noisy):
+    rng = np.random.default_rng(4)
+    rows = []
+    for series, level in ((0, 0.0), (1, 1e4), (2, 1e7), (None, -1e7)):
+        a = noisy
+        b = 0.7 * np.nan_to_num(a) + 0.5 * rng.standard_normal(len(a))
+        rows += [(series, None if np.isnan(x) else float(x + level), float(y + level), 5.0 + level) for x, y in zip(a, b)]
+    df = spark.createDataFrame(rows, "series_id long, a double, b double, flat double").repartition(7)
+    got = {r.series_id: r["corr"] for r in pair_correlations(df, ["a", "b", "flat"], ["series_id"]).collect()}
+    assert set(got) == {0, 1, 2, None}
+    want = df.toPandas()
+    for series, value in got.items():
+        mine = want[want.series_id.isna() if series is None else want.series_id == series]
+        assert abs(value - mine["a"].corr(mine["b"])) < 1e-8
+    assert pair_correlations(df.filter("a > 1e300"), ["a", "b"], ["series_id"]).isEmpty()
 
 
 def test_quantiles_of_large_groups(spark, frame, noisy):
@@ -261,7 +272,23 @@ def test_moments_are_sample_corrected(frame, noisy):
 def test_histogram_edges(frame):
     got = {r.bin: r["count"] for r in profile.histogram(frame(x=[0, 0.5, 1, 1]), "x", 2).collect()}
     assert got == {0: 1, 1: 3}
-    assert profile.histogram(frame(x=[3, 3]), "x", 2).first()["count"] == 2
+    assert {r.bin: r["count"] for r in profile.histogram(frame(x=[3, 3]), "x", 2).collect()} == {0: 0, 1: 2}
+    assert [r["count"] for r in profile.histogram(frame(x=[0, 0, 9]), "x", 3).orderBy("bin").collect()] == [2, 0, 1]
+    assert profile.histogram(frame(x=[1, 2]).filter("x > 5"), "x", 3).isEmpty()
+
+
+def test_profiles_of_an_empty_frame(frame):
+    empty = frame(M1=[1, 2], E1=[3, 4]).filter("M1 > 5")
+    cols = ["M1", "E1"]
+    assert [r.na_rate for r in frames.null_rates(empty, cols).collect()] == [None, None]
+    assert [r.outlier_rate for r in profile.outlier_rates(empty, cols).collect()] == [None, None]
+    assert frames.high_na_columns(empty).isEmpty()
+    for table in (profile.describe(empty, cols), profile.moments(empty, cols), profile.variance_profile(empty, cols)):
+        assert table.count() == 2
+    assert profile.density_curve(empty, "M1").isEmpty() and profile.missing_over_time(empty, cols).isEmpty()
+    assert profile.nullity_corr(empty, cols).isEmpty() and profile.label_distribution(empty, F.col("M1")).isEmpty()
+    parts = profile.basic_eda(empty)
+    assert parts["histograms"].isEmpty() and parts["missing"].count() >= 2
 
 
 def test_grid_has_45_settings_in_order_and_first_winner(spark):
