@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ from serieswise.llm.textnum import Words, mix, slices, uniform
 SHINGLE = 5
 SIMILARITY = 0.8
 COMPONENTS, BANDS, BAND_ROWS = 192, 32, 6
+#: Characters whose shingles a worker holds at a time.
+SLICE = 1_000_000
 #: Signature agreement below which no text pair of similarity 0.8 is expected: four standard deviations.
 LEAST_AGREEMENT = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / COMPONENTS) ** 0.5
 
@@ -123,43 +126,61 @@ def with_rows(docs: DataFrame) -> DataFrame:
     return stage(docs.withColumn("_rid", F.monotonically_increasing_id()), "near-rows")
 
 
-def _signed(rows: DataFrame) -> DataFrame:
+def _signed(docs: DataFrame) -> DataFrame:
+    """doc_id, text id, number of shingles, band keys, and the signature's lowest byte by component.
+
+    A byte tells most differing components apart and is enough for the estimate; bands use all bits.
+    """
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)).reshape(BANDS, BAND_ROWS)
         for batch in batches:
-            texts = [t or "" for t in batch.column(3).to_pylist()]
-            for a, b in slices(texts):
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            for a, b in slices(texts, SLICE):
                 document, element, weight = shingles(texts[a:b])
                 total = np.bincount(document, weights=weight, minlength=b - a).astype(np.int64)
                 sig = signatures(document, element, weight, b - a)
-                flat = pa.array(sig.ravel().view(np.int32))
-                offsets = pa.array(np.arange(b - a + 1, dtype=np.int32) * COMPONENTS)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(total), pa.ListArray.from_arrays(offsets, flat)],
-                    ["rid", "doc_id", "text_id", "n", "sig"],
-                )
+                parts = sig[:, : BANDS * BAND_ROWS].reshape(b - a, BANDS, BAND_ROWS).astype(np.uint64)
+                keys = mix(mix((parts + np.uint64(1)) * powers).sum(2) + np.arange(BANDS, dtype=np.uint64))
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * n), pa.array(flat))
+                    for n, flat in ((BANDS, keys.ravel().view(np.int64)), (COMPONENTS, (sig & 255).astype(np.uint8).view(np.int8).ravel()))
+                ]
+                own = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(total), *lists], ["rid", "doc_id", "text_id", "n", "bands", "sig"])
 
     text = F.coalesce("text", F.lit(""))
-    read = rows.select(F.col("_rid").alias("rid"), F.col("doc_id").cast("long"), F.md5(text).alias("text_id"), text.alias("text"))
-    return read.mapInArrow(sign, "rid long, doc_id long, text_id string, n long, sig array<int>")
+    rid = F.col("_rid") if "_rid" in docs.columns else F.monotonically_increasing_id()
+    read = docs.select(rid.alias("rid"), F.col("doc_id").cast("long"), F.md5(text).alias("text_id"), text.alias("text"))
+    return read.mapInArrow(sign, "rid long, doc_id long, text_id string, n long, bands array<long>, sig array<tinyint>")
+
+
+def _pack(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: pa.compress(t.encode("utf-8", "surrogatepass"), codec="zstd", asbytes=True))
 
 
-def _multisets(rows: DataFrame) -> DataFrame:
-    """Sorted elements of each text; the k-th occurrence of a shingle is an element of its own, so sets say it all."""
+def _multisets(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """Elements of the named texts (rid, text_id); the k-th occurrence of a shingle is an element of its own, so sets say it all."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
+            packed, size = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            texts = [pa.decompress(p, decompressed_size=n, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass") for p, n in zip(packed, size)]
+            for a, b in slices(texts, SLICE):
                 document, element, count = shingles(texts[a:b])
                 nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
                 flat = mix(np.repeat(element, count) + nth.astype(np.uint64)).view(np.int64)
-                size = np.bincount(document, weights=count, minlength=b - a).astype(np.int64)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+                number = np.bincount(document, weights=count, minlength=b - a).astype(np.int64)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(number)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["rid", "elements"]
                 )
 
-    return rows.select(F.col("_rid").alias("rid"), "text").mapInArrow(listed, "rid long, elements array<long>")
+    text = F.coalesce("text", F.lit(""))
+    packed = docs.where(F.length(text) > 0).select(F.md5(text).alias("text_id"), F.octet_length(text).alias("size"), F.pandas_udf(_pack, "binary")(text).alias("packed"))
+    # equal texts: one of them is enough, and any
+    found = packed.join(named.hint("merge"), "text_id").groupBy("rid").agg(F.first(F.struct("packed", "size")).alias("x"))
+    return found.select("rid", "x.packed", "x.size").mapInArrow(listed, "rid long, elements array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -184,45 +205,52 @@ def _agreement() -> Column:
     return same / COMPONENTS
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose multisets have the similarity: first by their signatures, then exactly."""
-    a = reps.select(F.col("rid").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
-    b = reps.select(F.col("rid").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
+def _close(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sizes and signatures allow the similarity."""
+    a = named.select(F.col("rid").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
+    b = named.select(F.col("rid").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
     size = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")
-    close = stage(pairs.join(a, "a").join(b, "b").where(size & (_agreement() >= LEAST_AGREEMENT)).select("a", "b"), "close")
-    named = close.select(F.col("a").alias("_rid")).unionByName(close.select(F.col("b").alias("_rid"))).distinct()
-    sets = stage(_multisets(rows.select("_rid", "text").join(named, "_rid", "left_semi")), "multisets")
+    joined = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
+    return joined.where(size & (_agreement() >= LEAST_AGREEMENT)).select("a", "b")
+
+
+def _verified(close: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose multisets have the similarity."""
     common = F.size(F.array_intersect("ea", "eb"))
     both = F.size("ea") + F.size("eb")
-    judged = (
-        close.join(sets.select(F.col("rid").alias("a"), F.col("elements").alias("ea")), "a")
-        .join(sets.select(F.col("rid").alias("b"), F.col("elements").alias("eb")), "b")
-        .where(common >= SIMILARITY * (both - common))
-    )
+    a = sets.select(F.col("rid").alias("a"), F.col("elements").alias("ea"))
+    b = sets.select(F.col("rid").alias("b"), F.col("elements").alias("eb"))
+    judged = close.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(common >= SIMILARITY * (both - common))
     return stage(judged.select("a", "b"), "links")
 
 
-def near_duplicates(rows: DataFrame) -> DataFrame:
-    """rid, doc_id, class_id (smallest doc_id of the class), class_size, kept, of the rows of `with_rows`."""
-    signed = stage(_signed(rows), "signatures")
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """rid, doc_id, class_id (smallest doc_id of the class), class_size and kept.
+
+    Documents from `with_rows` keep their row id; otherwise it is made here.
+    """
+    signed = stage(_signed(docs), "signatures")
     firsts = signed.where("n > 0").groupBy("text_id").agg(F.min("rid").alias("rep"))
-    reps = signed.join(firsts.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "n", "sig")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("sig", k * BAND_ROWS + 1, BAND_ROWS)))
-    banded = reps.select("rid", F.explode(keys).alias("band"))
+    reps = signed.select("rid", "bands").join(firsts.select(F.col("rep").alias("rid")).hint("merge"), "rid", "left_semi")
+    banded = reps.select("rid", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("rid").alias("pivot"), F.count("*").alias("m")).where("m > 1")
-    members = stage(banded.join(buckets, "band").select("band", "rid", "pivot"), "buckets")
+    members = stage(banded.join(buckets.hint("merge"), "band").select("band", "rid", "pivot"), "buckets")
+    # what the pairs need to know of texts that share a bucket with another
+    named = signed.select("rid", "text_id", "n", "sig").join(members.select("rid").distinct().hint("merge"), "rid", "left_semi")
+    named = stage(named, "named")
+    sets = stage(_multisets(docs, named.select("rid", "text_id")), "multisets")
     stars = members.where("rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b")).distinct()
-    links = _verified(stars, reps, rows)
+    links = _verified(_close(stars, named), sets)
     labels = components(links)
     # what is left: members of one bucket in different components
     own = members.join(labels, "rid", "left").select("band", "rid", F.coalesce("label", "rid").alias("label"))
     mixed = own.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
     left = stage(own.join(mixed, "band", "left_semi"), "unsettled")
-    other = left.select("band", F.col("rid").alias("b"), F.col("label").alias("lb"))
-    across = left.select("band", F.col("rid").alias("a"), F.col("label").alias("la")).join(other, "band").where("la < lb")
-    pairs = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     if not left.isEmpty():
-        more = _verified(pairs, reps, rows)
+        other = left.select("band", F.col("rid").alias("b"), F.col("label").alias("lb"))
+        across = left.select("band", F.col("rid").alias("a"), F.col("label").alias("la")).join(other, "band").where("la < lb")
+        pairs = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+        more = _verified(_close(pairs, named), sets)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)

@@ -58,8 +58,7 @@ def op5_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_bagminhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bagminhash.with_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return bagminhash.near_duplicates(rows).drop("rid")
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents")).drop("rid")
 
 
 @query
