@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from serieswise.llm import ann, bagminhash, fixity, gru_lm, kneser_ney, mixing, packing, sharding, toxicity, weak_rules
 from serieswise.llm.common import remainder, table
+from serieswise.llm.oracles import ORACLES
 from serieswise.session import shipped
 
+__all__ = ["ORACLES", "QUERIES", "vocabulary"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
