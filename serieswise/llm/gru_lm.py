@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serieswise.llm.common import ceil_div, remainder, stage
+from serieswise.llm.common import bounded_sample, ceil_div, remainder, stage
 from serieswise.llm.textnum import Words, slices
 
 END = np.uint64(1)  # hash of the end token
 CLASSES, SLOTS, WIDTH, HIDDEN = 64, 8, 16, 16
-STREAMS, WINDOW = 256, 24
+STREAMS, WINDOW = 512, 24
 RATE, PILOT_RATE = 0.002, 0.01
 PILOT_DOCS, PILOT_EPOCHS = 300, 4
 #: Tokens trained on in one go; the next go starts its streams anew.
@@ -276,10 +276,10 @@ def _symbols(texts: list[str], classes: Classes) -> np.ndarray:
 def fit(docs: DataFrame, classes: Classes) -> dict[str, np.ndarray]:
     """Parameters after the pilot and one pass of every task over its training tokens."""
     start = start_parameters(classes)
-    pilot = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(PILOT_DOCS).select(F.coalesce("text", F.lit("")).alias("text")).collect()
+    pilot = bounded_sample(docs, PILOT_DOCS, "doc_id", "text").select("text").collect()
     if pilot:
         trainer = Trainer(start, PILOT_RATE)
-        symbols = np.concatenate([[1], _symbols([r["text"] for r in pilot], classes)])
+        symbols = np.concatenate([[1], _symbols([r["text"] or "" for r in pilot], classes)])
         for e in range(PILOT_EPOCHS):
             trainer.rate = PILOT_RATE / (1 + e)
             trainer.train(symbols, 64)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serieswise.llm.common import remainder
+from serieswise.llm.common import bounded_sample, remainder
 
 MAX_TRAINING = 10_000
 MAX_TERMS = 400
@@ -221,7 +221,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int, held_out: in
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = None
     for label in (0, 1):
-        part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+        part = bounded_sample(known.where(F.col("toxic") == label), bound, "doc_id")
         picked = part if picked is None else picked.unionByName(part)
     # at most 2 * bound rows of two numbers
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
