@@ -76,6 +76,28 @@ def fit_boosted(spark, sf_dir):
     return scores_by_split(fitted, panel)
 
 
+STUMP = """
+leaf AS (SELECT D1, avg(market_forward_excess_returns) AS m, avg(CASE WHEN forward_returns > 0 THEN 1.0 ELSE -1.0 END) AS s
+         FROM split WHERE split = 'train' GROUP BY D1)"""
+
+
+@query("fit_boosted_stump", panel_sql(f"SELECT series_id, date_id, {rsql('m')} AS prediction FROM split JOIN leaf ON split.D1 = leaf.D1", SPLIT, STUMP))
+def fit_boosted_stump(spark, sf_dir):
+    """One tree of one split over a two-valued column: predictions are the leaves' means."""
+    panel = split_panel(spark, sf_dir)
+    fitted = M.fit_regressor(panel.filter("split = 'train'"), ["D1"], TARGET, "boosted", n_estimators=1, max_depth=1)
+    return out(M.predict(fitted, panel), ROW, ["prediction"])
+
+
+@query("fit_direction_stump", panel_sql(f"""
+SELECT series_id, date_id, {rsql('1 / (1 + exp(-2 * s))')} AS probability FROM split JOIN leaf ON split.D1 = leaf.D1""", SPLIT, STUMP))
+def fit_direction_stump(spark, sf_dir):
+    panel = labelled(spark, sf_dir)
+    path = shared_dir(spark, "stump")
+    M.save_model(M.fit_direction(panel.filter("split = 'train'"), ["D1"], "label", n_estimators=1, max_depth=1), path)
+    return out(M.predict_probability(M.load_model(path), panel), ROW, ["probability"])
+
+
 def labelled(spark, sf_dir):
     panel = split_panel(spark, sf_dir)
     return panel.withColumn("label", direction(F.col(C.RETURN_TARGET)))

@@ -35,12 +35,26 @@ def select_variance(spark, sf_dir):
     return out(L.select_variance(train, NUM), ["feature", "kept"], {"variance": 3, "threshold": 3})
 
 
-@query("select_corr_greedy")
+PAIRS = [(a, b) for i, a in enumerate(NUM) for b in NUM[i + 1:]]
+GREEDY = f"""
+train AS (SELECT * FROM split WHERE split = 'train'),
+va AS ({each(NUM, lambda c: f"SELECT '{c}' AS feature, var_pop({c}) AS variance FROM train")}),
+pr AS ({" UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, abs(corr({a}, {b})) AS c FROM train" for a, b in PAIRS)}),
+top AS (SELECT f1, f2, row_number() OVER (ORDER BY c DESC, f1, f2) AS k FROM pr WHERE c IS NOT NULL AND NOT isnan(c)),
+step AS (SELECT k, f1, f2, CASE WHEN a.variance >= b.variance THEN f2 ELSE f1 END AS gone
+         FROM top JOIN va a ON a.feature = f1 JOIN va b ON b.feature = f2 WHERE k <= {C.TOP_PAIRS}),
+walk AS (SELECT CAST(0 AS BIGINT) AS k, {NUM} AS cols
+         UNION ALL SELECT step.k, CASE WHEN list_contains(cols, f1) AND list_contains(cols, f2)
+                                       THEN list_filter(cols, lambda x: x <> gone) ELSE cols END FROM walk JOIN step ON step.k = walk.k + 1)"""
+
+
+@query("select_corr_greedy", panel_sql(f"""
+SELECT feature, {rsql('variance', 3)} AS variance FROM va
+WHERE list_contains((SELECT cols FROM walk ORDER BY k DESC LIMIT 1), feature)""", SPLIT, GREEDY).replace("WITH", "WITH RECURSIVE", 1))
 def select_corr_greedy(spark, sf_dir):
     """Survivors of the greedy walk with their variance."""
     train = T.split_three_way(fx_panel(spark, sf_dir)).filter("split = 'train'").persist()
-    kept = L.select_corr_greedy(train, NUM, n_pairs=4)
-    return L.variance_profile(train, kept)
+    return out(L.variance_profile(train, L.select_corr_greedy(train, NUM)), ["feature"], {"variance": 3})
 
 
 @query("cum_gain", panel_sql(f"""
@@ -106,11 +120,11 @@ fold_rows AS (SELECT p.*, f.fold FROM feat p JOIN folds f ON p.series_id = f.ser
 
 
 @query("ic_table_per_fold", panel_sql(
-    f"SELECT series_id, fold, feature, n, {IC_OUT} FROM ({ic_sql('fold_rows', ['M1_roll5', 'E1_diff21', 'V1_roll21'], 'series_id, fold')}) WHERE n >= 10 AND ic IS NOT NULL",
+    f"SELECT series_id, fold, feature, n, {IC_OUT} FROM ({ic_sql('fold_rows', COLS, 'series_id, fold')}) WHERE n >= 10 AND ic IS NOT NULL",
     PANEL_FEATURES, EXPANDING, FOLD_ROWS))
 def ic_table_per_fold(spark, sf_dir):
     train = T.folds_expanding(engineered(spark, sf_dir), 252, 5).filter("role = 'train'")
-    table = L.ic_table(train, ["M1_roll5", "E1_diff21", "V1_roll21"], TARGET, ["series_id", "fold"])
+    table = L.ic_table(train, COLS, TARGET, ["series_id", "fold"])
     return out(
         table.withColumn("fold", F.col("fold").cast("long")), ["series_id", "fold", "feature", "n"],
         {"ic": 8, "t_stat": 6, "variance": 3},

@@ -71,7 +71,10 @@ def tune(
     df: DataFrame, cols: Sequence[str], model: str, trials: int = 30, initial: int = C.INITIAL_TRAIN,
     folds: int = C.TUNE_FOLDS, keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Candidates with their mean fold score, failures far below; best first."""
+    """Candidates with their mean fold score; best first.
+
+    A candidate that fails, for whatever reason, scores far below and keeps the reason in ``error``.
+    """
     spark, scores = df.sparkSession, []
     params = candidates(model, max(trials, 1))
     for i, p in enumerate(params):
@@ -79,10 +82,11 @@ def tune(
         try:
             table, _ = run(df, cols, model=model, initial=initial, folds=folds, keys=keys, **p)
             score = fold_summary(table).first()["adjusted_sharpe"]
-        except ValueError:
-            score = None
-        scores.append((i, FAILED if score is None or not math.isfinite(score) else float(score)))
-    result = spark.createDataFrame(scores, "candidate int, score double")
+            error = None
+        except Exception as failure:  # one candidate must not lose the results of the others
+            score, error = None, f"{type(failure).__name__}: {failure}"[:500]
+        scores.append((i, FAILED if score is None or not math.isfinite(score) else float(score), error))
+    result = spark.createDataFrame(scores, "candidate int, score double, error string")
     return candidate_table(spark, model, params).join(result, "candidate").orderBy(F.desc("score"), "candidate")
 
 
