@@ -371,16 +371,11 @@ SELECT kind, series_id, date_id, {rsql('equity')} AS equity FROM (
          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) FROM scored)""", GRID_SQL))
 def equity_compare(spark, sf_dir):
     df = scored(spark, sf_dir)
-    positions = B.grid_positions(df.withColumn("day", F.col("date_id")), B.grid())
-    results = S.score_v1(positions, ["grid_idx", "series_id"]).withColumn("adjusted_sharpe", F.round("adjusted_sharpe", 10))
-    best = B.best_strategy(results).select("series_id", "grid_idx")
-    keys = ["grid_idx", "series_id"]
-    chosen = S.equity_curve(S.with_returns(positions.join(best, keys)), keys=keys)
+    results = B.backtest_grid(df).withColumn("adjusted_sharpe", F.round("adjusted_sharpe", 10))
+    chosen = B.chosen_positions(df, B.best_strategy(results), B.grid())
+    best = S.equity_curve(S.with_returns(chosen))
     base = S.equity_curve(df, "forward_returns")
-    first = df.select("series_id", "pos", "date_id")
-    rows = chosen.join(first, ["series_id", "pos"]).select(F.lit("best").alias("kind"), *ROW, "equity").unionByName(
-        base.select(F.lit("baseline").alias("kind"), *ROW, "equity")
-    )
+    rows = best.select(F.lit("best").alias("kind"), *ROW, "equity").unionByName(base.select(F.lit("baseline").alias("kind"), *ROW, "equity"))
     return out(rows, ["kind", *ROW], ["equity"])
 
 
@@ -431,6 +426,18 @@ def ols_line(spark, sf_dir):
     return out(table, KEY, ["slope", "intercept"])
 
 
+@query("residual_histogram", scored_sql(f"""
+SELECT b.bin, count(h.bin) AS count FROM (SELECT CAST(unnest(range(50)) AS BIGINT) AS bin) b
+LEFT JOIN (SELECT CAST(least(floor((r - lo) / w), 49) AS BIGINT) AS bin
+      FROM (SELECT r, lo, (hi - lo) / 50 AS w
+            FROM (SELECT r, min(r) OVER () AS lo, max(r) OVER () AS hi
+                  FROM (SELECT round({TARGET} - prediction, 10) AS r FROM scored) WHERE r IS NOT NULL))) h
+ON h.bin = b.bin GROUP BY b.bin"""))
+def residual_histogram(spark, sf_dir):
+    df = scored(spark, sf_dir).withColumn("residual", F.round(F.col(TARGET) - F.col("prediction"), 10))
+    return G.residual_histogram(df).select("bin", "count")
+
+
 @query("position_histogram", positioned_sql(f"""
 SELECT b.bin, count(h.bin) AS count, {rsql('max(b.mean)')} AS mean_position
 FROM (SELECT CAST(unnest(range(40)) AS BIGINT) AS bin, (SELECT avg(position) FROM positioned) AS mean) b

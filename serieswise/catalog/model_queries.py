@@ -142,6 +142,15 @@ def search_candidates(spark, sf_dir):
     return H.tune(engineered(spark, sf_dir).persist(), COLS, "ridge", trials=2, initial=252, folds=2)
 
 
+@query("tuned_evaluation")
+def tuned_evaluation(spark, sf_dir):
+    """Two candidates, the better one validated anew on more folds, one row per series."""
+    df = engineered(spark, sf_dir).persist()
+    tuned = H.tune(df, COLS, "ridge", trials=2, initial=252, folds=3)
+    _, _, _, summary = H.evaluate_tuned(df, COLS, "ridge", tuned, initial=252)
+    return summary
+
+
 @query("walk_forward_cv")
 def walk_forward_cv(spark, sf_dir):
     """Fold table of a ridge model: all series and folds in one job."""

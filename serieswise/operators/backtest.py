@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from serieswise import config as C
 from serieswise.config import BLOCK, KEYS, POS
 from serieswise.functions.scalar import POSITION_MAPS, clip, ratio, strategy_return
-from serieswise.operators.blocks import Frames, is_blocked, rolling, running_max, running_product, scan
+from serieswise.operators.blocks import Frames, rolling, running_max, running_product, scan
 from serieswise.operators.features import rolling_mean, rolling_std
 from serieswise.operators.scoring import YEAR, v1_columns, v1_sums, with_returns
 
@@ -69,7 +69,7 @@ def _wide_positions(
 
     rows = rolling(mapped, build, max([smooth, *windows]), keys=keys)
     scaled = lambda s: F.col(f"_{s.mapping}") * vol_scale(F.col(f"_std{s.window}"), s.target)
-    kept = [*keys, POS, *([BLOCK] if is_blocked(df) else []), "forward_returns", "risk_free_rate"]
+    kept = [*keys, POS, *[c for c in (BLOCK, C.DAY) if c in rows.columns], "forward_returns", "risk_free_rate"]
     return rows.select(*kept, *[clip(scaled(s), 0.0, 2.0).alias(f"_pos{i}") for i, s in enumerate(settings)])
 
 
@@ -94,6 +94,18 @@ def grid_positions(
     return _long(wide, settings, {"position": "_pos"}, kept)
 
 
+def chosen_positions(
+    df: DataFrame, best: DataFrame, settings: Sequence[Setting], probability: str = "probability",
+    smooth: int = C.VOL_SMOOTH, keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """Each day with the position of its series' setting (``best``: a row per series); rows are not multiplied."""
+    wide = _wide_positions(df, settings, probability, smooth, keys)
+    kept = [c for c in wide.columns if not c.startswith("_pos")]
+    place = F.array_position(F.array(*[F.lit(s.grid_idx) for s in settings]), F.col("grid_idx")).cast("int") - 1
+    position = F.get(F.array(*[F.col(f"_pos{i}") for i in range(len(settings))]), place)
+    return wide.join(best.select(*keys, "grid_idx"), list(keys)).select(*kept, "grid_idx", position.alias("position"))
+
+
 def backtest_grid(
     df: DataFrame, settings: Sequence[Setting] | None = None, probability: str = "probability",
     smooth: int = C.VOL_SMOOTH, keys: Sequence[str] = KEYS,

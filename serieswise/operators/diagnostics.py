@@ -43,6 +43,13 @@ def residual_table(df: DataFrame, actual: str, predicted: str, window: int = 63,
     return scan(rows, {"cumulative_residual": running_sum(F.col("residual"))}, keys)
 
 
+def residual_histogram(df: DataFrame, residual: str = "residual", bins: int = 50) -> DataFrame:
+    """bin, left_edge, count of the residuals, empty bins too."""
+    from serieswise.operators.profile import histogram
+
+    return histogram(df, residual, bins)
+
+
 def learning_curve(folds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Verdict on bias and variance from fold errors."""
     s = folds.groupBy(*keys).agg(

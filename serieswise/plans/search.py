@@ -6,13 +6,22 @@ import math
 import random
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from serieswise import config as C
-from serieswise.config import KEYS
+from serieswise.config import BLOCK, KEYS, POS
 from serieswise.operators.frames import folds_timeseries
-from serieswise.operators.scoring import auc_accuracy, regression_metrics
+from serieswise.operators.scoring import (
+    auc_accuracy,
+    cum_return_pct,
+    ic_metrics,
+    regression_metrics,
+    risk_metrics,
+    score_v2,
+    with_returns,
+)
 from serieswise.plans.models import fit_direction, fit_regressor, predict, predict_probability
 from serieswise.plans.walk_forward import fold_summary, walk_forward_estimator, walk_forward_linear
 
@@ -90,6 +99,44 @@ def tune(
     return candidate_table(spark, model, params).join(result, "candidate").orderBy(F.desc("score"), "candidate")
 
 
+def evaluate_tuned(
+    df: DataFrame, cols: Sequence[str], model: str, tuned: DataFrame, initial: int = C.INITIAL_TRAIN,
+    folds: int = C.EVAL_FOLDS, keys: Sequence[str] = KEYS,
+) -> tuple[dict[str, float], DataFrame, DataFrame, DataFrame]:
+    """The best candidate of ``tune`` validated on more folds: parameters, fold table, stitched rows, summary."""
+    best = tuned.orderBy(F.desc("score"), "candidate").first()  # a row per candidate
+    if best is None or best["score"] <= FAILED:
+        raise ValueError("no candidate was scored")
+    params = {k: int(v) if SPACES[model].get(k, ("",))[0] == "int" else v for k, v in best["params"].items()}
+    run = walk_forward_linear if model in ("linear", "ridge", "lasso", "elasticnet") else walk_forward_estimator
+    table, val = run(df, cols, model=model, initial=initial, folds=folds, keys=keys, **params)
+    summary = cv_summary(table, val, keys).withColumns(
+        {"model": F.lit(model), "k": F.lit(float(params.get("k", C.K_DEFAULT))), "n_trials": F.lit(tuned.count()), "tuned_score": F.lit(best["score"])}
+    )
+    return params, table, val, summary
+
+
+def cv_summary(folds: DataFrame, val: DataFrame, keys: Sequence[str] = KEYS, target: str = C.EXCESS_TARGET) -> DataFrame:
+    """Scores, risk, IC and fold means of the validation rows of all folds, stitched per series."""
+    rows = val.drop(BLOCK).withColumn(POS, F.col(C.DAY))
+    key = list(keys)
+    table = score_v2(rows, key).drop("n").join(risk_metrics(rows, key).drop("n"), key)
+    table = table.join(cum_return_pct(with_returns(rows), key), key)
+    table = table.join(ic_metrics(rows, "prediction", target, key).drop("n"), key, "left")
+    mean = fold_summary(folds, key).withColumnRenamed("adjusted_sharpe", "adj_sharpe_fold_avg")
+    return table.join(mean, key, "left")
+
+
+def best_direction(
+    train: DataFrame, cols: Sequence[str], label: str, log: DataFrame, n_candidates: int = 30
+) -> tuple[PipelineModel, dict[str, float], float]:
+    """The halving's winner refitted on all training rows, with its parameters and score."""
+    top = log.filter("kept = 1").orderBy(F.desc("rung"), F.desc("auc"), "candidate").first()
+    params = candidates("direction", n_candidates, slope=False)[top["candidate"]]
+    fitted = fit_direction(train, cols, label, n_estimators=top["trees"], **params)
+    return fitted, {**params, "n_estimators": top["trees"]}, top["auc"]
+
+
 def successive_halving(
     train: DataFrame, cols: Sequence[str], label: str, n_candidates: int = 30, factor: int = 3,
     min_trees: int = 50, max_trees: int = 500, folds: int = 5, keys: Sequence[str] = KEYS,
