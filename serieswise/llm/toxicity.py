@@ -59,7 +59,7 @@ class Lexicon:
     weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))  # by term and distance
     step: np.ndarray = field(default_factory=lambda: np.zeros((2, 1), np.int32))
     classes: dict[int, int] = field(default_factory=dict)
-    found: np.ndarray = field(default_factory=lambda: np.zeros((2, 2), np.int32))  # by state: term and distance, -1 none
+    found: np.ndarray = field(default_factory=lambda: np.full((2, 2), -1, np.int32))  # by state: term and distance, -1 none
     bias: float = 0.0
     slope: float = 1.0
 
