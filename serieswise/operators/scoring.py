@@ -248,17 +248,18 @@ def t_test(df: DataFrame, prediction: str, target: str, keys: Sequence[str] = KE
     return s.select(*keys, "n", ratio(F.col("_m"), F.col("_s") / F.sqrt("n")).alias("t_stat"))
 
 
-def _two_sided(t: float, dof: float) -> float:
-    """Two-sided tail of Student's t: Simpson's rule over the finite angle form."""
-    if t != t or dof < 1:
-        return math.nan
-    edge, steps = math.atan2(abs(t), math.sqrt(dof)), 2000
-    angle = np.linspace(0.0, edge, steps + 1)
+def _two_sided(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
+    """Two-sided tails of Student's t: Simpson's rule over the finite angle form."""
+    steps = 2000
+    ok = ~np.isnan(t) & (dof >= 1)
+    t, n = np.where(ok, t, 0.0), np.where(ok, dof, 1.0)
+    edge = np.arctan2(np.abs(t), np.sqrt(n))
     weight = np.where(np.arange(steps + 1) % 2 == 1, 4.0, 2.0)
     weight[[0, -1]] = 1.0
-    inside = float(weight @ np.cos(angle) ** (dof - 1)) * edge / steps / 3
-    scale = math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(math.pi)
-    return min(max(1.0 - 2.0 * scale * inside, 0.0), 1.0)
+    angle = edge[:, None] * np.linspace(0.0, 1.0, steps + 1)
+    inside = (np.cos(angle) ** (n - 1)[:, None]) @ weight * edge / steps / 3
+    gammas = np.array([math.lgamma((k + 1) / 2) - math.lgamma(k / 2) for k in n])
+    return np.where(ok, np.clip(1.0 - 2.0 * np.exp(gammas) / math.sqrt(math.pi) * inside, 0.0, 1.0), np.nan)
 
 
 def with_p_value(tests: DataFrame) -> DataFrame:
@@ -266,7 +267,9 @@ def with_p_value(tests: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def p_value(t: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([_two_sided(a, b - 1) for a, b in zip(t, n)])
+        values, dof = t.to_numpy(float), n.to_numpy(float) - 1
+        parts = [_two_sided(values[i : i + 1000], dof[i : i + 1000]) for i in range(0, len(values), 1000)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return tests.withColumn("p_value", p_value("t_stat", "n"))
 

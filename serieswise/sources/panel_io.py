@@ -67,8 +67,8 @@ def write_tables(tables: dict[str, DataFrame], folder: str, partition_by: dict[s
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A report-sized table as one CSV file with a header."""
-    df.coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
+    """A CSV dataset, a file per partition, each with a header."""
+    df.write.mode("errorifexists").option("header", True).csv(path)
 
 
 def finite_numbers(df: DataFrame) -> DataFrame:
