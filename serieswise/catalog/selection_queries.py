@@ -131,9 +131,25 @@ def ic_table_per_fold(spark, sf_dir):
     )
 
 
-@query("select_ic_raw")
+KNOWN = f"known AS (SELECT * FROM fx_panel WHERE {TARGET} IS NOT NULL)"
+IC_RAW = f"""
+passed AS (SELECT *, ic * sqrt(greatest(n - 2, 1)) / sqrt(greatest(1 - ic * ic, 1e-12)) AS t, left(feature, 1) AS grp
+           FROM ({ic_sql('known', NUM)}) WHERE n >= 10 AND ic IS NOT NULL),
+strong AS (SELECT * FROM passed WHERE abs(t) >= {C.IC_T_MIN}),
+pc AS ({" UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, corr({a}, {b}) AS c FROM known" for a, b in PAIRS)}),
+close AS (SELECT f1, f2 FROM pc WHERE c IS NULL OR isnan(c) OR abs(c) >= {C.CORR_MAX}),
+-- exact for groups of two, which is all there are here
+walked AS (SELECT *, NOT EXISTS (SELECT 1 FROM strong o, close k WHERE o.grp = s.grp AND o.variance > s.variance
+             AND (k.f1, k.f2) IN ((o.feature, s.feature), (s.feature, o.feature))) AS kept FROM strong s)"""
+
+
+@query("select_ic_raw", panel_sql(f"""
+SELECT feature, {rsql('ic', 8)} AS ic, {rsql('t', 6)} AS t_stat, {rsql('variance', 3)} AS variance, CAST(kept AS INTEGER) AS kept,
+       CAST(kept AND variance > (SELECT quantile_cont(variance, {C.VAR_QUANTILE}) FROM walked WHERE kept) AS INTEGER) AS selected
+FROM walked""", KNOWN, IC_RAW))
 def select_ic_raw(spark, sf_dir):
-    return L.select_ic_raw(fx_panel(spark, sf_dir), [*NUM, "D1"], TARGET)
+    table = L.select_ic_raw(fx_panel(spark, sf_dir), [*NUM, "D1"], TARGET)
+    return out(table, ["feature", "kept", "selected"], {"ic": 8, "t_stat": 6, "variance": 3})
 
 
 @query("select_ic_engineered")
