@@ -38,6 +38,8 @@ from serieswise.llm.textnum import Words, mix, slices, uniform
 SHINGLE = 5
 SIMILARITY = 0.8
 COMPONENTS, BANDS, BAND_ROWS = 192, 32, 6
+#: Members of a bucket that one task compares with as many others.
+BUCKET_BLOCK = 1_000
 #: Characters whose shingles a worker holds at a time.
 SLICE = 1_000_000
 #: Signature agreement below which no text pair of similarity 0.8 is expected: four standard deviations.
@@ -224,6 +226,40 @@ def _verified(close: DataFrame, sets: DataFrame) -> DataFrame:
     return stage(judged.select("a", "b"), "links")
 
 
+def _across(left: DataFrame, named: DataFrame) -> DataFrame:
+    """Close pairs (a, b) of one bucket and different components.
+
+    Members of a bucket are dealt to blocks and each pair of blocks is compared by size and
+    signature in one task; only close pairs become rows.
+    """
+
+    def compared(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rid", ignore_index=True)
+        one, two = pdf[pdf["own"] == key[1]], pdf[pdf["own"] == key[2]]
+        if one.empty or two.empty:
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        sb, rb, lb, nb = np.stack(two["sig"].to_numpy()).astype(np.int8), *(two[c].to_numpy() for c in ("rid", "label", "n"))
+        found: list[np.ndarray] = []
+        for i in range(0, len(one), 64):
+            part = one.iloc[i : i + 64]
+            sa, ra, la, na = np.stack(part["sig"].to_numpy()).astype(np.int8), *(part[c].to_numpy() for c in ("rid", "label", "n"))
+            small, large = np.minimum(na[:, None], nb), np.maximum(na[:, None], nb)
+            x, y = np.nonzero((la[:, None] != lb) & (small >= SIMILARITY * large))
+            for j in range(0, len(x), 50_000):
+                u, v = x[j : j + 50_000], y[j : j + 50_000]
+                near = (sa[u] == sb[v]).mean(1) >= LEAST_AGREEMENT
+                found.append(np.stack([ra[u[near]], rb[v[near]]]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return pd.DataFrame({"a": pairs.min(0), "b": pairs.max(0)})
+
+    blocks = left.groupBy("band").agg(F.ceil(F.count("*") / BUCKET_BLOCK).cast("int").alias("k"))
+    dealt = left.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("k")).cast("int"))
+    known = dealt.join(named.select("rid", "n", "sig").hint("merge"), "rid")
+    sent = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    sent = sent.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rid", "label", "n", "sig")
+    return sent.groupBy("band", "i", "j").applyInPandas(compared, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """rid, doc_id, class_id (smallest doc_id of the class), class_size and kept.
 
@@ -247,10 +283,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = own.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
     left = stage(own.join(mixed, "band", "left_semi"), "unsettled")
     if not left.isEmpty():
-        other = left.select("band", F.col("rid").alias("b"), F.col("label").alias("lb"))
-        across = left.select("band", F.col("rid").alias("a"), F.col("label").alias("la")).join(other, "band").where("la < lb")
-        pairs = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-        more = _verified(_close(pairs, named), sets)
+        more = _verified(_across(left, named), sets)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
