@@ -22,6 +22,8 @@ from .conftest import ODD, words
 
 SMALL = "/root/testdata/sf0.001"
 MIDDLE = "/root/testdata/sf0.01"
+#: Trusted documents of a rare language, outside the first half of a seeded order.
+RARE = (0, 2, 3)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -155,6 +157,23 @@ def test_perplexity_keeps_good_documents_and_odd_rows(spark, odd, none):
     assert kneser_ney.classify(none, mine).isEmpty() and kneser_ney.classify(odd, mine.limit(0)).where("kept").count() == len(ODD)
 
 
+def test_rare_language_has_a_limit_among_many_trusted_documents(spark):
+    """Of 40,000 trusted documents three are of a rare language, whose junk has to go as on a small table."""
+    rare = [(i, "bb", f"the quick brown fox jumps over the lazy dog again and again {i % 7} times") for i in RARE]
+    rows = [(i, "aa", f"a note of {i % 101} words") for i in range(40_000) if i not in RARE] + rare + [(50_000, "bb", "zq#xv~ kjw$ " * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = kneser_ney.classify(docs, docs.where("doc_id < 50000").select("doc_id", F.lit(1).alias("quality")))
+    bb = {r.doc_id: r for r in got.where("lang = 'bb'").collect()}
+    assert bb[50_000].threshold is not None and not bb[50_000].kept
+
+
+def test_fitting_takes_small_languages_whole(spark):
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 7, "bb").otherwise("aa").alias("lang"), F.lit("x").alias("text"))
+    ids = kneser_ney.trusted_ids(docs, docs.select("doc_id", F.lit(1).alias("quality")), 60)
+    assert len(ids) == 60 and set(range(7, 1000, 100)) <= set(ids.tolist())
+    assert [kneser_ney._level(n, 10) for n in ([3, 4], [1, 20], [9, 9, 9], [1] * 30)] == [10, 9, 3, 1]
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
