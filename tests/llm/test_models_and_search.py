@@ -22,6 +22,7 @@ from .conftest import ODD, words
 
 SMALL = "/root/testdata/sf0.001"
 MIDDLE = "/root/testdata/sf0.01"
+BIG = "/root/testdata/sf0.1"
 #: Trusted documents of a rare language, outside the first half of a seeded order.
 RARE = (0, 2, 3)
 
@@ -167,6 +168,24 @@ def test_rare_language_has_a_limit_among_many_trusted_documents(spark):
     assert bb[50_000].threshold is not None and not bb[50_000].kept
 
 
+@pytest.mark.parametrize("each", [12, 60])
+def test_unseen_good_documents_are_kept(spark, each):
+    """Trusted are the first few good documents of each language; the other good ones have no label."""
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "lang", "text")
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{BIG}/labels.parquet").collect()}
+    by_lang = defaultdict(list)
+    for i, lang in sorted((r.doc_id, r.lang) for r in docs.select("doc_id", "lang").collect()):
+        if quality.get(i) == 1:
+            by_lang[lang].append(i)
+    trusted = {i for ids in by_lang.values() for i in ids[:each]}
+    judged = docs.where(F.col("doc_id").isin([i for i in quality if i in trusted or i % 3 == 0]))
+    labels = spark.createDataFrame([(i, 1) for i in sorted(trusted)], "doc_id long, quality int")
+    rows = kneser_ney.classify(judged, labels).drop("text").collect()
+    unseen = [r.kept for r in rows if quality[r.doc_id] == 1 and r.doc_id not in trusted]
+    bad = [r.kept for r in rows if quality[r.doc_id] == 0]
+    assert len(unseen) >= 100 and np.mean(unseen) >= (0.9 if each < 50 else 0.95) and np.mean(bad) <= 0.2, (len(unseen), np.mean(unseen), len(bad), np.mean(bad))
+
+
 def test_fitting_takes_small_languages_whole(spark):
     docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 7, "bb").otherwise("aa").alias("lang"), F.lit("x").alias("text"))
     ids = kneser_ney.trusted_ids(docs, docs.select("doc_id", F.lit(1).alias("quality")), 60)
