@@ -4,8 +4,13 @@ The lexicon is learned from labelled documents: words, and word beginnings ("ste
 toxic training documents hold far more often than others. The trie of the lexicon and the
 Levenshtein automaton of distance 1 are walked together once, on the driver, into one
 deterministic automaton: its states are sets of (trie node, edits used). Reading a word in it
-finds every term within the distance, misspellings included, and all words of a batch are
-read side by side in numpy.
+finds the terms within the distance, misspellings of any letter included, and all words of a
+batch are read side by side in numpy. A stem matches as it is written; the learned words that
+begin with it stay terms beside it, for their misspellings. Words of fewer than FUZZY_LENGTH
+letters match only as they are, since most words of that length are one edit from another.
+
+What a misspelling of a term is worth is learned for each term from the sample, drawn towards half
+the worth of the term, as an edit often gives an innocent word.
 
 A match counts by its term, by its distance and by its context: a window of characters around
 it tells a quotation (quotation marks before and after, or a word that reports speech) from
@@ -64,8 +69,11 @@ class Lexicon:
     slope: float = 1.0
 
 
-def build_automaton(terms: list[tuple[str, bool]]) -> tuple[np.ndarray, dict[int, int], np.ndarray]:
-    """Subset construction over (trie node, edits). Reading a stem to its end accepts any rest of the word."""
+def build_automaton(terms: list[tuple[str, bool]], first: bool = False) -> tuple[np.ndarray, dict[int, int], np.ndarray]:
+    """Subset construction over (trie node, edits). Reading a stem to its end accepts any rest of the word.
+
+    With `first` the first letter may be edited too.
+    """
     trie: list[dict[str, int]] = [{}]
     end: dict[int, list[int]] = {}
     limit: list[int] = [0]
@@ -94,9 +102,10 @@ def build_automaton(terms: list[tuple[str, bool]]) -> tuple[np.ndarray, dict[int
         """With deletions: a letter of the term that the word lacks."""
         out = set(items)
         for node, edits in items:
-            if node > 0 and edits == 0:
+            if (node > 0 or first and node == 0) and edits == 0:
                 out |= {(n, 1) for n in trie[node].values() if fuzzy[n]}
-        return frozenset(out)
+        # a node reached without an edit finds all that it finds with one
+        return frozenset((node, edits) for node, edits in out if not edits or (node, 0) not in out)
 
     def advance(state: frozenset, c: str | None) -> frozenset:
         out: set[tuple] = set()
@@ -107,7 +116,7 @@ def build_automaton(terms: list[tuple[str, bool]]) -> tuple[np.ndarray, dict[int
             if c in trie[node]:
                 out.add((trie[node][c], edits))
             if edits == 0:
-                if fuzzy[node] and node:  # first letters count as they are, or any word would start a walk
+                if fuzzy[node] and (node or first):
                     out.add((node, 1))
                     out |= {(n, 1) for n in trie[node].values() if fuzzy[n]}
         for node, edits in list(out):
@@ -122,18 +131,22 @@ def build_automaton(terms: list[tuple[str, bool]]) -> tuple[np.ndarray, dict[int
                 hits += [(edits, k) for k in end.get(node, ()) if not terms[k][1] and (not edits or len(terms[k][0]) >= FUZZY_LENGTH)]
         return min(hits)[::-1] if hits else (-1, 0)
 
-    start = frozenset({(0, 0)})
+    start = closed({(0, 0)})
     number, queue, rows = {frozenset(): 0, start: 1}, [start], {0: [0] * (len(letters) + 1)}
     for state in queue:
-        row = []
-        for c in [None, *letters]:
+        row: list[int] = []
+        # letters that no node of the state continues with lead where any other character does
+        for c in [None, *sorted({c for node, _ in state if node >= 0 for c in trie[node]})]:
             target = advance(state, c)
             if target not in number:
                 number[target] = len(number)
                 queue.append(target)
-            row.append(number[target])
+            if c is None:
+                row = [number[target]] * (len(letters) + 1)
+            else:
+                row[classes[ord(c)]] = number[target]
         rows[number[state]] = row
-    step = np.array([rows[i] for i in range(len(number))], np.int32)
+    step = np.array([rows.pop(i) for i in range(len(number))], np.int32)
     found = np.array([accepts(s) for s in sorted(number, key=number.get)], np.int32).reshape(-1, 2)
     return step, classes, found
 
@@ -265,11 +278,13 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
                 # what one word explains is no stem
                 if max((counts[w] for w in words if w.startswith(t[:-1])), default=0) < 0.8 * counts[t]:
                     stems.append(t)
-        chosen = {t: weight[t] for t in stems} | {w: weight[w] for w in words if not any(w.startswith(s[:-1]) for s in stems)}
+        # a stem finds the words that begin with it, but not their misspellings
+        chosen = {t: weight[t] for t in stems} | {w: weight[w] for w in words if len(w) >= FUZZY_LENGTH or not any(w.startswith(s[:-1]) for s in stems)}
         kept = sorted(chosen, key=lambda t: (-counts[t], t))[:MAX_TERMS]
+        kept.sort(key=lambda t: not t.endswith("*"))  # of equal distances the first term counts: the stem, for all its words
         lexicon.terms = [(t.rstrip("*"), t.endswith("*")) for t in kept]
         lexicon.weights = np.array([[chosen[t], 0.0] for t in kept]).reshape(-1, 2)
-        lexicon.step, lexicon.classes, lexicon.found = build_automaton(lexicon.terms)
+        lexicon.step, lexicon.classes, lexicon.found = build_automaton(lexicon.terms, first=True)
     counted.unpersist()
     return calibrate(sample, lexicon)
 
@@ -279,30 +294,31 @@ def calibrate(sample: DataFrame, lexicon: Lexicon) -> Lexicon:
 
     def per_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = pdf["text"].tolist()
-            exact, near = np.zeros(len(pdf)), np.zeros(len(pdf))
-            best: dict[tuple[int, int], float] = {}
-            for d, term, distance, quoted in matches(lexicon, texts):
-                if distance:
-                    near[d] += 1
-                else:
-                    best[d, term] = max(best.get((d, term), 0.0), lexicon.weights[term, 0] * (QUOTED if quoted else 1.0))
-            for (d, _), w in best.items():
-                exact[d] += w
-            yield pd.DataFrame({"toxic": pdf["toxic"], "exact": exact, "near": near})
-
-    # at most 2 * bound rows of three numbers
-    rows = sample.select("text", "toxic").mapInPandas(per_document, "toxic int, exact double, near double").toPandas()
-    y, x = rows["toxic"].to_numpy(float), rows["exact"].to_numpy().copy()
+            hits: list[set[tuple[int, int, bool]]] = [set() for _ in range(len(pdf))]
+            for d, term, distance, quoted in matches(lexicon, pdf["text"].tolist()):
+                hits[d].add((term, distance, quoted))
+            yield pd.DataFrame({"toxic": pdf["toxic"], "hits": [[4 * t + 2 * d + q for t, d, q in sorted(h)] for h in hits]})
+
+    # at most 2 * bound rows, each of a number and its document's distinct matches
+    rows = sample.select("text", "toxic").mapInPandas(per_document, "toxic int, hits array<long>").toPandas()
+    y = rows["toxic"].to_numpy(float)
+    hits = [[(int(h) >> 2, int(h) >> 1 & 1, int(h) & 1) for h in found] for found in rows["hits"]]
     if lexicon.terms and len(y):
-        only = (rows["near"] > 0) & (rows["exact"] == 0)
-        bad, good = float((only & (y == 1)).sum()), float((only & (y == 0)).sum())
-        ratio = math.log((bad + 0.5) / (y.sum() + 1)) - math.log((good + 0.5) / ((1 - y).sum() + 1))
-        # without such documents a misspelling counts half as much as the term
-        lexicon.weights[:, 1] = np.clip(ratio, 0.0, None) if bad + good >= LEAST_DOCS else lexicon.weights[:, 0] / 2
-        if bad + good >= LEAST_DOCS:
-            lexicon.weights[:, 1] = np.minimum(lexicon.weights[:, 1], lexicon.weights[:, 0])
-        x = x + np.where(only, lexicon.weights[0, 1], 0.0)
+        # of documents without an exact match, those with a misspelling of each term, clean and toxic
+        near = np.zeros((len(lexicon.terms), 2))
+        for label, found in zip(y.astype(int), hits):
+            if found and all(distance for _, distance, _ in found):
+                near[list({t for t, _, _ in found}), label] += 1
+        # without such documents a misspelling counts half as much as the term, which one document is set against
+        rate = math.log((y.sum() + 1) / ((1 - y).sum() + 1))
+        half = 1 / (1 + np.exp(-(lexicon.weights[:, 0] / 2 + rate)))
+        lexicon.weights[:, 1] = np.clip(np.log((near[:, 1] + half) / (near[:, 0] + 1 - half)) - rate, 0.0, lexicon.weights[:, 0])
+    x = np.zeros(len(y))
+    for i, found in enumerate(hits):
+        best: dict[int, float] = {}
+        for t, distance, quoted in found:
+            best[t] = max(best.get(t, 0.0), lexicon.weights[t, distance] * (QUOTED if quoted else 1.0))
+        x[i] = sum(best.values())
     # Newton's method with a small ridge; the labels' own share is the prior of a document without evidence
     w = np.array([math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else 0.0, 1.0])
     design = np.stack([np.ones_like(x), x], 1)

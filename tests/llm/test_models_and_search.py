@@ -227,6 +227,29 @@ def test_automaton_equals_edit_distance():
         assert (min(want)[0] if want else None) == (got[0][1] if got else None), (case, want, got)
 
 
+def test_edits_of_the_first_letter():
+    terms = [("vequ", True), ("vequance", False), ("moron", False), ("trash", False), ("ape", False)]
+    lexicon = toxicity.Lexicon(terms, np.ones((5, 2)), *toxicity.build_automaton(terms, first=True))
+    rng = np.random.default_rng(2)
+    cases = ["".join(rng.choice(list("aehmnorstqu"), rng.integers(1, 8))) for _ in range(300)]
+    for w, _ in terms:
+        for i in range(len(w) + 1):
+            cases += [w[:i] + w[i + 1 :], w[:i] + "x" + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + w[i : i + 1] + w[i:]]
+    for case in [c for c in cases if c]:
+        want = [(0, k) for k, (w, stem) in enumerate(terms) if (case.startswith(w) if stem else case == w)]
+        want += [(1, k) for k, (w, stem) in enumerate(terms) if not stem and len(w) >= toxicity.FUZZY_LENGTH and distance(case, w) == 1]
+        assert [(d, t) for _, t, d, _ in toxicity.matches(lexicon, [case])] == sorted(want)[:1], case
+
+
+def test_words_of_a_stem_keep_their_misspellings(spark):
+    forms = ["vequance", "vequish", "vequoid", "vequster"]
+    rows = [(i, f"you are such a {forms[i % 4]} and so on {i}", 1) for i in range(80)] + [(100 + i, f"you are such a friend and so on {i}", 0) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(docs, docs.select("doc_id", "toxic"))
+    assert ("vequ", True) in lexicon.terms
+    assert all(toxicity.evidence(lexicon, [f"a {w} here"])[0] > 0 for w in [*forms, "xequance", "vxquance", "veqquish", "equster", "vequiness"])
+
+
 def test_quotation_counts_less_than_abuse():
     terms = [("moron", False)]
     lexicon = toxicity.Lexicon(terms, np.full((1, 2), 4.0), *toxicity.build_automaton(terms))
