@@ -1,7 +1,9 @@
 """Toxicity by Levenshtein automata intersected with a lexicon trie.
 
 The lexicon is learned from labelled documents: words, and word beginnings ("stems"), that
-toxic training documents hold far more often than others. The trie of the lexicon and the
+toxic training documents hold far more often than others: a term is admitted by its smoothed log
+odds and LEAST_DOCS, however small its share and however many terms there are, so a term keeps
+its place when more documents use it at the same rate. The trie of the lexicon and the
 Levenshtein automaton of distance 1 are walked together once, on the driver, into one
 deterministic automaton: its states are sets of (trie node, edits used). Reading a word in it
 finds the terms within the distance, misspellings of any letter included, and all words of a
@@ -27,6 +29,7 @@ every document gets the smoothed base rate. Columns other than doc_id and text a
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,10 +42,9 @@ from pyspark.sql import functions as F
 from serieswise.llm.common import bounded_sample, remainder
 
 MAX_TRAINING = 10_000
-MAX_TERMS = 400
 STEM = (4, 7)
-#: A term occurs in this share of the toxic training documents at least, and in as many documents.
-LEAST_SHARE, LEAST_DOCS = 0.01, 4
+#: A term occurs in as many toxic training documents at least.
+LEAST_DOCS = 4
 LEAST_LOG_ODDS = 3.0
 #: Words shorter than this match only without an edit.
 FUZZY_LENGTH = 5
@@ -268,20 +270,26 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
     lexicon = Lexicon()
     if toxic:
         odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-        good = counted.where((F.col("term") != "") & (F.col("toxic") >= LEAST_SHARE * toxic) & (odds >= LEAST_LOG_ODDS))
-        rows = good.select("term", "toxic", odds.alias("odds")).orderBy(F.desc("toxic"), F.length("term"), "term").limit(10 * MAX_TERMS).collect()
+        good = counted.where((F.col("term") != "") & (odds >= LEAST_LOG_ODDS))
+        # the sample bounds them: terms of LEAST_DOCS or more of at most `bound` toxic documents
+        rows = good.select("term", "toxic", odds.alias("odds")).orderBy(F.desc("toxic"), F.length("term"), "term").collect()
         counts, weight = {r["term"]: r["toxic"] for r in rows}, {r["term"]: float(r["odds"]) for r in rows}
-        words = [t for t in counts if not t.endswith("*")]
-        stems: list[str] = []
+        words = sorted(t for t in counts if not t.endswith("*"))
+        stems: set[str] = set()
+
+        def covered(t: str) -> bool:
+            return any(t[:n] + "*" in stems for n in range(STEM[0], min(STEM[1], len(t)) + 1))
+
         for t in counts:  # shorter ones of equal count come first
-            if t.endswith("*") and not any(t.startswith(s[:-1]) for s in stems):
+            if t.endswith("*") and not covered(t[:-1]):
+                begun = words[bisect_left(words, t[:-1]) : bisect_left(words, t[:-1] + "\U0010ffff")]
                 # what one word explains is no stem
-                if max((counts[w] for w in words if w.startswith(t[:-1])), default=0) < 0.8 * counts[t]:
-                    stems.append(t)
+                if max((counts[w] for w in begun), default=0) < 0.8 * counts[t]:
+                    stems.add(t)
         # a stem finds the words that begin with it, but not their misspellings
-        chosen = {t: weight[t] for t in stems} | {w: weight[w] for w in words if len(w) >= FUZZY_LENGTH or not any(w.startswith(s[:-1]) for s in stems)}
-        kept = sorted(chosen, key=lambda t: (-counts[t], t))[:MAX_TERMS]
-        kept.sort(key=lambda t: not t.endswith("*"))  # of equal distances the first term counts: the stem, for all its words
+        chosen = {t: weight[t] for t in stems} | {w: weight[w] for w in words if len(w) >= FUZZY_LENGTH or not covered(w)}
+        # of equal distances the first term counts: the stem, for all its words
+        kept = sorted(chosen, key=lambda t: (not t.endswith("*"), -counts[t], t))
         lexicon.terms = [(t.rstrip("*"), t.endswith("*")) for t in kept]
         lexicon.weights = np.array([[chosen[t], 0.0] for t in kept]).reshape(-1, 2)
         lexicon.step, lexicon.classes, lexicon.found = build_automaton(lexicon.terms, first=True)

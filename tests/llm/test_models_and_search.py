@@ -250,6 +250,18 @@ def test_words_of_a_stem_keep_their_misspellings(spark):
     assert all(toxicity.evidence(lexicon, [f"a {w} here"])[0] > 0 for w in [*forms, "xequance", "vxquance", "veqquish", "equster", "vequiness"])
 
 
+def test_lexicon_has_no_share_or_count_cap(spark):
+    """450 insults in 12 of 5,400 toxic documents each: under 1 %, and more than 400 of them."""
+    rng = np.random.default_rng(4)
+    insults = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(450)]
+    rows = [(i, f"you {insults[i % 450]} there", 1) for i in range(5_400)] + [(10_000 + i, "you friend there", 0) for i in range(5_400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    # no document is held out
+    lexicon = toxicity.learn(docs, docs.select("doc_id", "toxic"), folds=1, held_out=1)
+    assert set(insults) <= {t for t, _ in lexicon.terms}
+    assert (toxicity.evidence(lexicon, [f"a {w} here" for w in insults]) > 0).all() and toxicity.evidence(lexicon, ["you friend there"])[0] == 0
+
+
 def test_quotation_counts_less_than_abuse():
     terms = [("moron", False)]
     lexicon = toxicity.Lexicon(terms, np.full((1, 2), 4.0), *toxicity.build_automaton(terms))
