@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serieswise.llm import ann, bagminhash, fixity, gru_lm, kneser_ney, mixing, packing, sharding, toxicity, weak_rules
+from serieswise.llm import ann, bagminhash, fim, fixity, gru_lm, kneser_ney, mixing, packing, sharding, toxicity, weak_rules
 from serieswise.llm.common import remainder, table
 from serieswise.llm.oracles import ORACLES
 from serieswise.session import shipped
@@ -101,3 +101,12 @@ def vocabulary() -> str:
 def op10_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenized(table(spark, sf_dir, "documents"), vocabulary())
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
+
+
+@query
+def op11_rank_index_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored("output", "form"), 256).alias("restored_sha256"),
+    )
