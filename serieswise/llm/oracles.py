@@ -90,8 +90,64 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
        sha256(t) AS restored_sha256
 FROM p"""
 
+#: Levels that the SQL twin of the manifest can tell: 8 ** 7 rows a group, 8 ** 3 groups.
+ROW_LEVELS, GROUP_LEVELS = 7, 3
+
+
+def _merkle_levels(name: str, levels: int) -> str:
+    """Levels of `name`0 (g, place, total, digest), and of each node the digests left and right of it in its run."""
+    parts = []
+    for j in range(levels):
+        run = "OVER (PARTITION BY g, place // 8 ORDER BY place ROWS BETWEEN"
+        parts.append(f"""
+{name}{j + 1} AS (
+  SELECT g, place // 8 AS place, any_value(total) AS total, sha256(string_agg(digest, '' ORDER BY place)) AS digest
+  FROM {name}{j} WHERE total > {8**j} GROUP BY g, place // 8
+  UNION ALL SELECT g, place, total, digest FROM {name}{j} WHERE total <= {8**j}),
+{name}_beside{j} AS (
+  SELECT g, place, coalesce(string_agg(digest, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+         coalesce(string_agg(digest, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+  FROM {name}{j} WHERE total > {8**j})""")
+    return ",".join(parts)
+
+
+def _merkle_fold(name: str, start: str, levels: int, node: str) -> str:
+    """Fold and proof of the rows of `start` (g, place, fold, proof, ...) level by level."""
+    parts, before = [], start
+    for j in range(levels):
+        parts.append(f"""
+{name}_fold{j} AS (
+  SELECT f.* REPLACE (CASE WHEN b.lft IS NULL THEN fold ELSE sha256(b.lft || fold || b.rgt) END AS fold, proof || coalesce(b.lft || b.rgt, '') AS proof)
+  FROM {before} f LEFT JOIN {name}_beside{j} b ON b.g = f.{node[0]} AND b.place = f.{node[1]} // {8**j})""")
+        before = f"{name}_fold{j}"
+    return ",".join(parts)
+
+
+def manifest_sql() -> str:
+    bits = "lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    chars = "list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {chars}), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), {bits})), 4294967295)"
+    cell = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    leaf = lambda text: "sha256(" + " || ".join(cell(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH d AS (SELECT *, CASE WHEN {crc} % 3 = 0 THEN {lowered} ELSE text END AS claimed FROM documents),
+l AS (SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, {leaf('text')} AS leaf, {leaf('claimed')} AS claimed_leaf FROM d),
+rows0 AS (SELECT doc_id, g, leaf, claimed_leaf, leaf AS digest, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+                 count(*) OVER (PARTITION BY g) AS total FROM l),
+{_merkle_levels('rows', ROW_LEVELS)},
+subroots0 AS (SELECT 0 AS g, g AS place, count(*) OVER () AS total, digest FROM rows{ROW_LEVELS}),
+{_merkle_levels('subroots', GROUP_LEVELS)},
+proofs AS (SELECT doc_id, g, place, leaf, claimed_leaf AS fold, '' AS proof, 0 AS one FROM rows0),
+{_merkle_fold('rows', 'proofs', ROW_LEVELS, ('g', 'place'))},
+{_merkle_fold('subroots', f'rows_fold{ROW_LEVELS - 1}', GROUP_LEVELS, ('one', 'g'))}
+SELECT doc_id, leaf, s.digest AS subroot, r.digest AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = r.digest AS verified
+FROM subroots_fold{GROUP_LEVELS - 1} f JOIN subroots0 s ON s.place = f.g, subroots{GROUP_LEVELS} r"""
+
+
 ORACLES = {
     "op11_rank_index_fim": FIM_SQL,
+    "op13_butterfly_manifest": manifest_sql(),
     "op2_merkle_fixity": FIXITY_SQL,
     "op9_weak_supervision_rules": weak_rules_sql(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serieswise.llm import ann, bagminhash, fim, fixity, gru_lm, kneser_ney, mixing, packing, sharding, toxicity, weak_rules
+from serieswise.llm import ann, bagminhash, fim, fixity, gru_lm, kneser_ney, manifest, mixing, packing, sharding, toxicity, weak_rules
 from serieswise.llm.common import remainder, table
 from serieswise.llm.oracles import ORACLES
 from serieswise.session import shipped
@@ -110,3 +110,17 @@ def op11_rank_index_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
         F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored("output", "form"), 256).alias("restored_sha256"),
     )
+
+
+@query
+def op13_butterfly_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, checked for copies of which a third have their capitals lowered."""
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    claimed = {"text": F.when(remainder("doc_id", 3) == 0, lowered).otherwise(F.col("text"))}
+    proofs = manifest.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang", claimed)
+    folded = proofs.withColumn("folded_root", manifest.fold(F.col("claimed_leaf"), F.col("path")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )

@@ -118,3 +118,92 @@ def test_fim_does_not_depend_on_chunks(documents, monkeypatch, chunk):
     for low, high in fim._chunks(np.diff(ends)):
         out += fim._transform(list(range(low, high)), data[ends[low] : ends[high]], ends[low : high + 1] - ends[low], "1", 10, 20, "chars")
     assert [(n, form, p, m, o.decode()) for n, form, p, m, _, _, o in out] == [plain_fim(i, t) for i, t in enumerate(texts)]
+
+
+# ---- the manifest
+
+
+def plain_leaf(values):
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def plain_tree(digests, fanout):
+    """Levels from the leaves to one node, and the siblings of every leaf, level by level."""
+    levels = [digests]
+    while len(levels[-1]) > 1:
+        levels.append([sha("".join(levels[-1][i : i + fanout])) for i in range(0, len(levels[-1]), fanout)])
+    paths = []
+    for i in range(len(digests)):
+        path = []
+        for level in levels[:-1]:
+            run = i // fanout * fanout
+            path.append(("".join(level[run:i]), "".join(level[i + 1 : run + fanout])))
+            i //= fanout
+        paths.append(path)
+    return levels[-1][0], paths
+
+
+def plain_manifest(rows, fanout):
+    """(key, group, leaf) rows with subroot, root and path."""
+    groups = {}
+    for key, group, digest in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2])):
+        groups.setdefault(group, []).append((key, digest))
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {g: plain_tree([d for _, d in groups[g]], fanout) for g in order}
+    root, tops = plain_tree([trees[g][0] for g in order], fanout)
+    return sorted(
+        ((key, g, digest, trees[g][0], root, tuple(path + top)) for g, top in zip(order, tops) for (key, digest), path in zip(groups[g], trees[g][1])), key=str
+    )
+
+
+def got_manifest(df):
+    return sorted(((r.key, r.grp, r.leaf, r.subroot, r.root, tuple(map(tuple, r.path))) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("fanout,local", [(2, 0), (2, 1), (3, 1), (3, 2), (8, 1), (8, 3)])
+def test_manifest_equals_plain_trees(spark, monkeypatch, fanout, local):
+    """Ragged groups of many sizes, across parts of the order."""
+    from serieswise.llm import manifest
+
+    monkeypatch.setattr(manifest, "PART_ROWS", 40)
+    sizes = {"a": 1, "b": 2, "c": 8, "d": 9, "é": 64, "E": 65, None: 73, "": 130, "f": 27, "g": 28}
+    rows = [(int(i * 7919 % 1009), g, f"t{i}") for g, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "key long, grp string, text string").repartition(5)
+    want = plain_manifest([(k, g, plain_leaf((k, g, t))) for k, g, t in rows], fanout)
+    got = manifest.manifest(df, ["key", "grp", "text"], "key", "grp", fanout=fanout, local=local)
+    assert got_manifest(got) == want
+    folded = got.select((manifest.fold(F.col("leaf"), F.col("path")) == F.col("root")).alias("ok"))
+    assert folded.where("not ok").isEmpty()
+
+
+def test_manifest_of_odd_rows(spark, odd, none):
+    from serieswise.llm import manifest
+
+    names = ["doc_id", "source", "lang", "text"]
+    got = manifest.manifest(odd.withColumns({c: F.lit(1) for c in ("key", "leaf", "group", "total", "block", "_at")}), names, "doc_id", "lang")
+    got = got.select(F.col("doc_id").alias("key"), F.col("lang").alias("grp"), "leaf", "claimed_leaf", "subroot", "root", "path")
+    want = plain_manifest([(i, lang, plain_leaf((i, source, lang, t))) for i, t, lang, source in ODD], 8)
+    assert got_manifest(got) == want and got.where("leaf <> claimed_leaf").isEmpty()
+    assert manifest.manifest(none, names, "doc_id", "lang").isEmpty()
+    one = manifest.manifest(odd.where("doc_id = 4"), names, "doc_id", "lang").first()
+    assert one.leaf == one.subroot == one.root and one.path == []
+
+
+def test_tampered_rows_are_told(spark):
+    rows = queries.QUERIES["op13_butterfly_manifest"](spark, "/root/testdata/sf0.001").collect()
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    want = plain_manifest([(r.doc_id, r.lang, plain_leaf((r.doc_id, r.source, r.lang, r.n_chars, r.text))) for r in docs.values()], 8)
+    want = {key: (digest, subroot, root, path) for key, _, digest, subroot, root, path in want}
+    assert len(rows) == len(docs)
+    for r in rows:
+        d, (digest, subroot, root, path) = docs[r.doc_id], want[r.doc_id]
+        assert (r.leaf, r.subroot, r.root) == (digest, subroot, root)
+        assert r.proof_sha256 == sha("".join(a + b for a, b in path))
+        text = d.text
+        if zlib.crc32(str(r.doc_id).encode()) % 3 == 0:
+            text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+        folded = plain_leaf((d.doc_id, d.source, d.lang, d.n_chars, text))
+        for a, b in path:
+            folded = sha(a + folded + b)
+        assert r.folded_root == folded and r.verified == (text == d.text)
+    assert 0 < sum(not r.verified for r in rows) < len(rows)
