@@ -145,7 +145,25 @@ SELECT doc_id, leaf, s.digest AS subroot, r.digest AS root, sha256(proof) AS pro
 FROM subroots_fold{GROUP_LEVELS - 1} f JOIN subroots0 s ON s.place = f.g, subroots{GROUP_LEVELS} r"""
 
 
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t, role AS r FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok', 'user' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok', 'assistant'),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t) AS turns,
+         string_agg(CASE WHEN role = 'assistant' THEN t ELSE '' END, '' ORDER BY turn, role, t) AS loss,
+         sum(length('<turn ' || role || '>' || chr(10) || '</turn>' || chr(10)) + length(t) + len(regexp_extract_all(t, '<\\*/?turn'))) AS chars,
+         string_agg(coalesce(r, '?'), ' ' ORDER BY turn, role, t) AS roles,
+         bool_and(coalesce(r IN ('system', 'user', 'assistant'), false)) AS usual, ((coalesce(any_value(conv_id), 0) % 5) + 5) % 5 AS pick
+  FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars,
+       CASE WHEN usual AND pick = 1 THEN 'shared' WHEN roles IN ('user assistant', 'system user assistant') AND pick = 2 THEN 'prompt'
+            WHEN roles IN ('user assistant', 'system user assistant') AND pick = 3 THEN 'instruction'
+            WHEN roles = 'user assistant' AND pick = 4 THEN 'pair' ELSE 'messages' END AS layout
+FROM g"""
+
 ORACLES = {
+    "op12_schema_chat_format": CHAT_SQL,
     "op11_rank_index_fim": FIM_SQL,
     "op13_butterfly_manifest": manifest_sql(),
     "op2_merkle_fixity": FIXITY_SQL,

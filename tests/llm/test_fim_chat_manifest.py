@@ -207,3 +207,100 @@ def test_tampered_rows_are_told(spark):
             folded = sha(a + folded + b)
         assert r.folded_root == folded and r.verified == (text == d.text)
     assert 0 < sum(not r.verified for r in rows) < len(rows)
+
+
+# ---- chat formatting
+
+SCHEMA = """id int, record struct<messages:array<struct<role:string,content:string,name:string>>, conversations:array<struct<from:string,value:string>>,
+ system:string, prompt:string, response:string, completion:string, instruction:string, input:string, output:string,
+ pair:struct<question:string,answer:string>, dialogue:array<struct<speaker:string,text:array<string>>>, extra:bigint>"""
+RECORDS = [
+    ({"messages": [{"role": "user", "content": "a"}, {"role": "tool", "content": None, "name": "x"}]}, "messages", [("user", "a"), ("tool", "")]),
+    ({"messages": [{"role": None, "content": "b"}, None], "extra": 3}, "messages", [("", "b"), ("", "")]),
+    ({"messages": [], "prompt": "unused copy"}, "messages", []),
+    ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "r"}, {"from": "odd one>\n%", "value": ""}]}, "shared",
+     [("user", "q"), ("assistant", "r"), ("odd one>\n%", "")]),
+    ({"prompt": "p", "response": "r", "system": "s"}, "prompt", [("system", "s"), ("user", "p"), ("assistant", "r")]),
+    ({"prompt": "p"}, "prompt", [("user", "p")]),
+    ({"prompt": "", "completion": ""}, "completion", [("user", ""), ("assistant", "")]),
+    ({"instruction": "i", "input": "x", "output": "o"}, "instruction", [("user", "i\n\nx"), ("assistant", "o")]),
+    ({"instruction": "i", "output": "o", "extra": 1}, "instruction", [("user", "i"), ("assistant", "o")]),
+    ({"pair": {"question": "q", "answer": None}}, "pair", [("user", "q")]),
+    ({"pair": {"question": "q", "answer": "a"}}, "pair", [("user", "q"), ("assistant", "a")]),
+    ({"prompt": "p", "response": "r", "instruction": "two layouts"}, None, None),
+    ({"response": "an answer to nothing"}, None, None),
+    ({"dialogue": [{"speaker": "bot", "text": ["parts", "of text"]}]}, None, None),
+    ({"extra": 5}, None, None),
+    ({}, None, None),
+    (None, None, None),
+]
+
+
+def test_layouts_are_told_by_their_paths(spark):
+    from serieswise.llm import chat
+
+    df = spark.createDataFrame([(i, r) for i, (r, _, _) in enumerate(RECORDS)], SCHEMA)
+    df = df.withColumns({c: F.lit("old") for c in ("layout", "turns", "held", "_kind", "prompt")})
+    got = chat.format_chats(df)
+    assert set(got.columns) == {*df.columns, *chat.RESULT}
+    rows = got.select("*", chat.parsed("formatted").alias("back"), chat.loss_text("formatted", "loss_mask").alias("loss")).orderBy("id").collect()
+    for r, (_, layout, turns) in zip(rows, RECORDS):
+        assert r.layout == layout and r._kind == r.prompt == "old"
+        if turns is None:
+            assert r.turns is r.formatted is r.loss_mask is None
+            continue
+        assert [tuple(t) for t in r.turns] == [tuple(t) for t in r.back] == turns
+        assert r.loss == "".join(t for role, t in turns if role == "assistant")
+        assert sum(m.chars for m in r.loss_mask) == len(r.formatted)
+    assert rows[-1].fingerprint is None and len({r.fingerprint for r in rows[:-1]}) == 15
+    assert chat.format_chats(df.limit(0)).isEmpty()
+    assert chat.format_chats(spark.createDataFrame([(1, (2,))], "id int, record struct<other:int>")).first().layout is None
+    with pytest.raises(ValueError, match="id"):
+        chat.format_chats(df, "id")
+
+
+PARTS = ["<turn", "</turn>", "</turn>\n", "<turn user>\n", "\\", "<", "/turn", "turn", ">", "\n", "a", "é", "\U0001f600", "$1", "<\\turn", "<\\\\/turn"]
+
+
+def test_texts_cannot_open_or_end_turns(spark):
+    from serieswise.llm import chat
+
+    rng = np.random.default_rng(4)
+    texts = ["", *PARTS, *["".join(rng.choice(PARTS, rng.integers(1, 9))) for _ in range(400)]]
+    records = [(i, {"messages": [{"role": "user", "content": t}, {"role": "assistant", "content": texts[-i]}]}) for i, t in enumerate(texts)]
+    done = chat.format_chats(spark.createDataFrame(records, SCHEMA)).select("*", chat.parsed("formatted").alias("back"), chat.loss_text("formatted", "loss_mask").alias("loss"))
+    for r in done.collect():
+        assert [t.text for t in r.back] == [texts[r.id], texts[-r.id]] and r.loss == texts[-r.id]
+        assert r.formatted.count("</turn>") == r.formatted.count("<turn ") == 2
+
+
+def test_conversations_of_odd_rows(spark):
+    from serieswise.llm import chat
+
+    rows = [(1, 0, "user", None), (1, 1, "assistant", ""), (2, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 0, "user", "a"), (None, 0, "user", "x"),
+            (None, None, None, None), (3, 0, "system", "s"), (3, 1, "user", "u"), (3, 2, "assistant", "w " * 300_000), (4, 0, "assistant", "only")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("held", F.lit(1))
+    done = chat.format_chats(chat.records_of_turns(df))
+    got = {r.conv_id: (r.layout, [tuple(t) for t in r.back], r.loss) for r in done.select("*", chat.parsed("formatted").alias("back"), chat.loss_text("formatted", "loss_mask").alias("loss")).collect()}
+    assert got == {
+        1: ("shared", [("user", ""), ("assistant", "")], ""),
+        2: ("messages", [("user", "a"), ("user", "a"), ("assistant", "b")], "b"),
+        3: ("instruction", [("system", "s"), ("user", "u"), ("assistant", "w " * 300_000)], "w " * 300_000),
+        4: ("messages", [("assistant", "only")], "only"),
+        None: ("messages", [("", ""), ("user", "x")], ""),
+    }
+    assert chat.records_of_turns(df.limit(0)).isEmpty()
+
+
+def test_chat_query_equals_the_table(spark):
+    rows = queries.QUERIES["op12_schema_chat_format"](spark, "/root/testdata/sf0.001").collect()
+    table = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()
+    turns = {-7: [("user", queries.HOSTILE), ("assistant", queries.HOSTILE)]}
+    for r in sorted(table, key=lambda r: r.turn):
+        turns.setdefault(r.conv_id, []).append((r.role, r.text or ""))
+    assert len(rows) == len(turns) and len({r.layout for r in rows}) >= 4
+    for r in rows:
+        own = turns[r.conv_id]
+        loss = "".join(t for role, t in own if role == "assistant")
+        assert (r.n_turns, r.turns_sha256) == (len(own), sha("".join(f"{role}\n{t}\n" for role, t in own)))
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), sha(loss))
