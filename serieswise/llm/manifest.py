@@ -154,7 +154,8 @@ def manifest(
     other = [(claimed or {}).get(c, F.col(c)) for c in columns]
     leaves = df.select(F.col(order).alias("key"), F.col(group).alias("group"), leaf(values).alias("leaf"), leaf(other).alias("claimed_leaf"))
     size = fanout**local
-    placed = numbered(leaves, "group", ["key", "leaf", "claimed_leaf"], "leaves")
+    # written before the order samples them, so that the rows are hashed once
+    placed = numbered(stage(leaves, "hashed"), "group", ["key", "leaf", "claimed_leaf"], "leaves")
     entry = F.struct("place", "key", "leaf", "claimed_leaf")
     grouped = placed.groupBy("group", F.floor(F.col("place") / size).cast("long").alias("block"), "total").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     held = stage(_with_levels(grouped, fanout, local).drop("level0"), "subtrees")
