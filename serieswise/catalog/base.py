@@ -154,6 +154,6 @@ def returned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = [
-    "QUERIES", "ORACLES", "query", "rnd", "out", "rsql", "cols_sql", "sql", "panel_sql", "market_sql",
+    "QUERIES", "ORACLES", "query", "rnd", "out", "rsql", "cols_sql", "sql", "panel_sql", "market_sql", "POSITIONED",
     "scored_sql", "positioned_sql", "scored", "positioned", "returned", "fx_panel", "fx_market", "fx_scored",
 ]

@@ -201,12 +201,22 @@ def ic_metrics(spark, sf_dir):
     return out(S.ic_metrics(scored(spark, sf_dir), "prediction", TARGET), ["series_id", "n"], {"ic": 8, "icir": 8})
 
 
+# two-sided tails of Student's t: finite sums in the angle, for even and odd degrees of freedom
+P_VALUE = """
+tests AS (SELECT series_id, count(*) AS n, avg(prediction - market_forward_excess_returns) / (stddev_samp(prediction - market_forward_excess_returns) / sqrt(count(*))) AS t
+          FROM scored GROUP BY series_id),
+angles AS (SELECT *, atan(abs(t) / sqrt(n - 1)) AS th, n - 1 AS v FROM tests WHERE n > 1),
+tails AS (SELECT series_id, CASE WHEN v % 2 = 0
+    THEN 1 - sin(th) * list_sum(list_transform(range(v // 2), lambda j: exp(lgamma(2 * j + 1) - 2 * lgamma(j + 1) - j * ln(4) + 2 * j * ln(cos(th)))))
+    ELSE 1 - 2 / pi() * (th + sin(th) * cos(th) * coalesce(list_sum(list_transform(range((v - 1) // 2), lambda j: exp(j * ln(4) + 2 * lgamma(j + 1) - lgamma(2 * j + 2) + 2 * j * ln(cos(th))))), 0))
+    END AS p FROM angles)"""
+
+
 @query("t_test", scored_sql(f"""
-SELECT series_id, count(*) AS n,
-       {rsql(f'avg(prediction - {TARGET}) / (stddev_samp(prediction - {TARGET}) / sqrt(count(*)))', 8)} AS t_stat
-FROM scored GROUP BY series_id"""))
+SELECT t.series_id, n, {rsql('t', 8)} AS t_stat, {rsql('p', 8)} AS p_value FROM tests t LEFT JOIN tails p ON t.series_id = p.series_id""", P_VALUE))
 def t_test(spark, sf_dir):
-    return out(S.t_test(scored(spark, sf_dir), "prediction", TARGET), ["series_id", "n"], {"t_stat": 8})
+    tests = S.with_p_value(S.t_test(scored(spark, sf_dir), "prediction", TARGET))
+    return out(tests, ["series_id", "n"], {"t_stat": 8, "p_value": 8})
 
 
 @query("cum_return_pct", positioned_sql(f"""
@@ -456,30 +466,6 @@ def position_histogram(spark, sf_dir):
     return bins.select("bin", "count", rnd(mean).alias("mean_position"))
 
 
-LC_SQL = """
-f AS (SELECT series_id, ntile(5) OVER (PARTITION BY series_id ORDER BY date_id) AS fold, abs(market_forward_excess_returns - prediction) AS e,
-             abs(market_forward_excess_returns) AS b FROM scored),
-folds AS (SELECT series_id, fold, avg(e) AS mae, avg(b) AS train_mae FROM f GROUP BY ALL)"""
-
-
-@query("learning_curve", scored_sql(f"""
-SELECT series_id, {rsql('avg(mae - train_mae)')} AS mae_gap, {rsql('avg(train_mae)')} AS train_mae, {rsql('avg(mae)')} AS mae,
-       {rsql('quantile_cont(mae, 0.8)')} AS mae_p80,
-       CASE WHEN avg(mae - train_mae) > avg(train_mae) * 0.5 THEN 'high_variance'
-            WHEN avg(mae) > quantile_cont(mae, 0.8) THEN 'high_bias' ELSE 'balanced' END AS verdict
-FROM folds GROUP BY series_id""", LC_SQL))
-def learning_curve(spark, sf_dir):
-    """Fold errors of two predictors over fifths of each series: the lagged one and zero."""
-    df = with_series_rows(scored(spark, sf_dir))
-    n, p = F.col("_n"), F.col("pos")
-    size, rest = F.floor(n / 5), n % 5
-    fold = F.when(p < rest * (size + 1), F.floor(p / (size + 1))).otherwise(rest + F.floor((p - rest * (size + 1)) / size))
-    folds = df.groupBy("series_id", fold.alias("fold")).agg(
-        F.avg(F.abs(F.col(TARGET) - F.col("prediction"))).alias("mae"), F.avg(F.abs(TARGET)).alias("train_mae")
-    )
-    return out(G.learning_curve(folds, KEY), ["series_id", "verdict"], ["mae_gap", "train_mae", "mae", "mae_p80"])
-
-
 # fixed values: metrics of the report table and their notes
 METRIC_NOTES = {
     "adjusted_sharpe": "higher is better",

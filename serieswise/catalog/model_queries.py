@@ -8,14 +8,15 @@ from serieswise import config as C
 from serieswise.catalog.base import *  # noqa: F403
 from serieswise.catalog.frame_queries import EXPANDING, SPLIT
 from serieswise.catalog.metric_queries import LOG, score_sql
-from serieswise.catalog.selection_queries import COLS, engineered
+from serieswise.catalog.selection_queries import COLS, engineered, ic_sql
 from serieswise.functions.scalar import direction
+from serieswise.operators import diagnostics as G
 from serieswise.operators import frames as T
 from serieswise.operators import scoring as S
 from serieswise.plans import models as M
 from serieswise.plans import search as H
 from serieswise.plans import walk_forward as WF
-from serieswise.session import shared_dir
+from serieswise.session import settle, shared_dir
 from serieswise.sources import panel_io as IO
 
 TARGET = C.EXCESS_TARGET
@@ -61,18 +62,18 @@ def scores_by_split(fitted, panel):
 
 @query("fit_forest")
 def fit_forest(spark, sf_dir):
-    panel = split_panel(spark, sf_dir).persist()
+    panel = settle(split_panel(spark, sf_dir))
     fitted = M.fit_regressor(
-        panel.filter("split = 'train'"), FEATURES, TARGET, "rf", n_estimators=10, max_depth=4, min_samples_leaf=5, max_features=0.6
+        panel.filter("split = 'train'"), FEATURES, TARGET, "rf", min_samples_leaf=5, max_features=0.6
     )
     return scores_by_split(fitted, panel)
 
 
 @query("fit_boosted")
 def fit_boosted(spark, sf_dir):
-    panel = split_panel(spark, sf_dir).persist()
+    panel = settle(split_panel(spark, sf_dir))
     train, val = (panel.filter(F.col("split") == s) for s in ("train", "val"))
-    fitted = M.fit_regressor(train, FEATURES, TARGET, "boosted", val, n_estimators=8, max_depth=3, learning_rate=0.1)
+    fitted = M.fit_regressor(train, FEATURES, TARGET, "boosted", val)
     return scores_by_split(fitted, panel)
 
 
@@ -106,17 +107,17 @@ def labelled(spark, sf_dir):
 @query("fit_direction")
 def fit_direction(spark, sf_dir):
     """Direction classifier with area under the curve and accuracy per split."""
-    panel = labelled(spark, sf_dir).persist()
-    fitted = M.fit_direction(panel.filter("split = 'train'"), FEATURES, "label", n_estimators=6, max_depth=3)
+    panel = settle(labelled(spark, sf_dir))
+    fitted = M.fit_direction(panel.filter("split = 'train'"), FEATURES, "label", n_estimators=40)
     return S.auc_accuracy(M.predict_probability(fitted, panel), "label", "probability", ["split"])
 
 
 @query("predict_proba")
 def predict_proba(spark, sf_dir):
     """Probabilities of the test rows from a saved and reloaded classifier."""
-    panel = labelled(spark, sf_dir).persist()
+    panel = settle(labelled(spark, sf_dir))
     path = shared_dir(spark, "direction")
-    M.save_model(M.fit_direction(panel.filter("split = 'train'"), FEATURES, "label", n_estimators=4, max_depth=3), path)
+    M.save_model(M.fit_direction(panel.filter("split = 'train'"), FEATURES, "label", n_estimators=40), path)
     return M.predict_probability(M.load_model(path), panel.filter("split = 'test'")).select(*ROW, "probability")
 
 
@@ -133,20 +134,20 @@ def model_save_load(spark, sf_dir):
 @query("successive_halving")
 def successive_halving(spark, sf_dir):
     train = labelled(spark, sf_dir).filter("split = 'train'")
-    return H.successive_halving(train, FEATURES, "label", n_candidates=3, factor=3, min_trees=2, max_trees=6, folds=2)
+    return H.successive_halving(train, FEATURES, "label", n_candidates=9, factor=3, min_trees=5, max_trees=45, folds=3)
 
 
 @query("search_candidates")
 def search_candidates(spark, sf_dir):
     """Ridge candidates scored by walk-forward validation of every series."""
-    return H.tune(engineered(spark, sf_dir).persist(), COLS, "ridge", trials=2, initial=252, folds=2)
+    return H.tune(settle(engineered(spark, sf_dir)), COLS, "ridge", initial=252)
 
 
 @query("tuned_evaluation")
 def tuned_evaluation(spark, sf_dir):
-    """Two candidates, the better one validated anew on more folds, one row per series."""
-    df = engineered(spark, sf_dir).persist()
-    tuned = H.tune(df, COLS, "ridge", trials=2, initial=252, folds=3)
+    """The best of all candidates validated anew on more folds, one row per series."""
+    df = settle(engineered(spark, sf_dir))
+    tuned = settle(H.tune(df, COLS, "ridge", initial=252))
     _, _, _, summary = H.evaluate_tuned(df, COLS, "ridge", tuned, initial=252)
     return summary
 
@@ -154,15 +155,15 @@ def tuned_evaluation(spark, sf_dir):
 @query("walk_forward_cv")
 def walk_forward_cv(spark, sf_dir):
     """Fold table of a ridge model: all series and folds in one job."""
-    df = engineered(spark, sf_dir).persist()
+    df = settle(engineered(spark, sf_dir))
     folds, _ = WF.walk_forward_linear(df, COLS, model="ridge", alpha=1.0, initial=252, folds=5)
     return folds
 
 
 @query("walk_forward_forest")
 def walk_forward_forest(spark, sf_dir):
-    df = engineered(spark, sf_dir).persist()
-    folds, _ = WF.walk_forward_estimator(df, COLS, model="rf", initial=252, folds=2, n_estimators=5, max_depth=3)
+    df = settle(engineered(spark, sf_dir))
+    folds, _ = WF.walk_forward_estimator(df, COLS, model="rf", initial=252)
     return folds
 
 
@@ -191,7 +192,7 @@ def fold_summary(spark, sf_dir):
 
 @query("final_fit_predict")
 def final_fit_predict(spark, sf_dir):
-    df = T.split_holdout(engineered(spark, sf_dir)).persist()
+    df = settle(T.split_holdout(engineered(spark, sf_dir)))
     train, test = (df.filter(F.col("split") == s) for s in ("train", "test"))
     placed, _ = WF.final_fit_predict(train, test, COLS, TARGET, "ridge", alpha=1.0)
     return placed.select(*ROW, "prediction", "position")
@@ -199,27 +200,86 @@ def final_fit_predict(spark, sf_dir):
 
 @query("compare_models")
 def compare_models(spark, sf_dir):
-    models = {"linear": {}, "ridge": {"alpha": 1.0}, "lasso": {"alpha": 0.001}, "boosted": {"n_estimators": 4, "max_depth": 3}}
-    return H.compare_models(split_panel(spark, sf_dir).persist(), FEATURES, models=models)
+    return H.compare_models(settle(split_panel(spark, sf_dir)), FEATURES)
+
+
+# ---- a walk-forward run with a closed form: of two columns without a common group the one of lower variance
+# is always cut, so every fold is a ridge over M1, where both columns pass the IC limit
+
+RIDGE = 5.0
+PAIR_COLS = ["M1", "E1"]
+WALK_SQL = f"""
+train AS (SELECT p.*, f.fold FROM fx_panel p JOIN folds f ON p.series_id = f.series_id AND p.date_id < f.a),
+passing AS (SELECT series_id, fold FROM ({ic_sql('train', PAIR_COLS, 'series_id, fold')}) WHERE n >= 10 AND ic IS NOT NULL
+              AND abs(ic * sqrt(greatest(n - 2, 1)) / sqrt(greatest(1 - ic * ic, 1e-12))) >= {C.IC_T_MIN}
+            GROUP BY series_id, fold HAVING count(*) = 2),
+line AS (SELECT t.series_id, t.fold, avg({TARGET}) AS base, avg(M1) AS m, stddev_pop(M1) AS s, count(*) AS n,
+                covar_pop(M1, {TARGET}) / stddev_pop(M1) * count(*) / (count(*) + {RIDGE}) AS w
+         FROM train t JOIN passing USING (series_id, fold) GROUP BY t.series_id, t.fold),
+said AS (SELECT p.*, l.fold, base + w * (M1 - m) / s AS guess, CASE WHEN p.date_id < f.a THEN 'train' ELSE 'val' END AS role, p.date_id >= f.a - {C.K_WINDOW} AS lead_in
+         FROM fx_panel p JOIN folds f ON p.series_id = f.series_id AND p.date_id < f.b JOIN line l ON l.series_id = f.series_id AND l.fold = f.fold),
+errors AS (SELECT series_id, fold, role, count(*) AS n, avg(abs({TARGET} - guess)) AS mae, avg(power({TARGET} - guess, 2)) AS mse,
+                  1 - avg(power({TARGET} - guess, 2)) / var_pop({TARGET}) AS r2 FROM said GROUP BY series_id, fold, role),
+scored AS (SELECT series_id * 100 + fold AS series_id, date_id, guess AS prediction, forward_returns, risk_free_rate, role FROM said WHERE lead_in)"""
+VAL_SQL = "val AS (SELECT * FROM returned WHERE role = 'val')"
+FOLD_SQL = """
+fold_table AS (SELECT e.series_id, e.fold, t.n AS train_size, e.n AS val_size, 1 AS n_features, e.mae, t.mae AS train_mae, e.r2, t.r2 AS train_r2, e.mse,
+                      raw_sharpe / (vol_penalty * return_penalty) AS adjusted_sharpe
+               FROM errors e JOIN errors t ON e.series_id = t.series_id AND e.fold = t.fold AND e.role = 'val' AND t.role = 'train'
+               JOIN parts p ON p.series_id = e.series_id * 100 + e.fold),
+verdicts AS (SELECT series_id, avg(mae - train_mae) AS mae_gap, avg(train_mae) AS train_mae, avg(mae) AS mae, quantile_cont(mae, 0.8) AS mae_p80,
+                    CASE WHEN avg(mae - train_mae) > avg(train_mae) * 0.5 THEN 'high_variance'
+                         WHEN avg(mae) > quantile_cont(mae, 0.8) THEN 'high_bias' ELSE 'balanced' END AS verdict
+             FROM fold_table GROUP BY series_id)"""
+WALK = [EXPANDING, WALK_SQL, POSITIONED, VAL_SQL, score_sql(*LOG, "val"), FOLD_SQL]
+FOLD_DIGITS = {"mae": 9, "train_mae": 9, "r2": 6, "train_r2": 6, "adjusted_sharpe": 6}
+
+
+def pair_folds(spark, sf_dir):
+    folds, val = WF.walk_forward_linear(settle(fx_panel(spark, sf_dir)), PAIR_COLS, model="ridge", alpha=RIDGE, initial=252, folds=5)
+    return folds.withColumn("fold", F.col("fold").cast("long")), val
+
+
+@query("walk_forward_ridge", panel_sql(f"""
+SELECT series_id, fold, train_size, val_size, n_features, {rsql('sqrt(mse)')} AS rmse, {cols_sql(['mae', 'train_mae'])}, {cols_sql(['r2', 'train_r2', 'adjusted_sharpe'], 6)}
+FROM fold_table""", *WALK))
+def walk_forward_ridge(spark, sf_dir):
+    """Every series and fold in one job, against the closed form of a ridge."""
+    folds, _ = pair_folds(spark, sf_dir)
+    return out(folds, ["series_id", "fold", "train_size", "val_size", "n_features"], {"rmse": 9, **FOLD_DIGITS})
+
+
+@query("learning_curve", panel_sql(f"""
+SELECT series_id, {rsql('mae_gap')} AS mae_gap, {rsql('train_mae')} AS train_mae, {rsql('mae')} AS mae, {rsql('mae_p80')} AS mae_p80, verdict FROM verdicts""", *WALK))
+def learning_curve(spark, sf_dir):
+    folds, _ = pair_folds(spark, sf_dir)
+    return out(G.learning_curve(folds, ["series_id"]), ["series_id", "verdict"], ["mae_gap", "train_mae", "mae", "mae_p80"])
+
+
+@query("learning_curve_folds", panel_sql(f"""
+SELECT f.series_id, fold, train_size, val_size, n_features, {', '.join(f'{rsql("f." + c, d)} AS {c}' for c, d in FOLD_DIGITS.items())}, {rsql('mae_gap')} AS mae_gap, verdict
+FROM fold_table f JOIN verdicts v ON f.series_id = v.series_id""", *WALK))
+def learning_curve_folds(spark, sf_dir):
+    """Errors, score and features of every fold with the verdict of its series."""
+    folds, _ = pair_folds(spark, sf_dir)
+    plain = ["series_id", "fold", "train_size", "val_size", "n_features", "verdict"]
+    return out(G.learning_curve_folds(folds, ["series_id"]), plain, {**FOLD_DIGITS, "mae_gap": 9})
 
 
 @query("cv_summary")
 def cv_summary(spark, sf_dir):
-    """Buy-and-hold and model rows on the same validation rows, metric by metric."""
-    df = engineered(spark, sf_dir).persist()
-    folds, val = WF.walk_forward_linear(df, COLS, model="lasso", alpha=0.0001, initial=252, folds=5)
-    mean = lambda t, name: t.agg(*[F.avg(c).alias(c) for c in t.columns if c not in ("series_id", "n", "status")]).withColumn("model", F.lit(name))
-    key = ["series_id"]
-    # stitched validation rows of all folds, renumbered per series
-    rows = val.drop("pos", "_block").withColumn("pos", F.col("date_id")).persist()
-
-    def metrics(t, name):
-        table = S.score_v2(t, key).drop("n", "status").join(S.risk_metrics(t, key).drop("n"), key)
-        return mean(table.join(S.cum_return_pct(S.with_returns(t), key), key), name)
-
-    model = metrics(rows, "lasso").join(mean(WF.fold_summary(folds, key).select(
-        "series_id", F.col("adjusted_sharpe").alias("adj_sharpe_fold_avg"), "mae", "rmse", "r2"), "lasso"), "model")
-    bench = metrics(rows.withColumn("position", F.lit(1.0)), "buy_and_hold")
-    table = bench.unionByName(model, allowMissingColumns=True)
-    level = T.one_row(bench.select("adjusted_sharpe"))["adjusted_sharpe"]
-    return IO.finite_numbers(table).withColumn("beats_hold", (F.col("adjusted_sharpe") > level).cast("int"))
+    """A tuned model and buy-and-hold on the same validation rows, mean over series, with the beat flag."""
+    df = settle(engineered(spark, sf_dir))
+    tuned = settle(H.tune(df, COLS, "ridge", initial=252))
+    _, _, val, summary = H.evaluate_tuned(df, COLS, "ridge", tuned, initial=252)
+    return IO.finite_numbers(H.cv_report({"ridge": summary}, val))
+
+
+@query("best_direction")
+def best_direction(spark, sf_dir):
+    """The halving's winner refitted on all training rows: area under the curve and accuracy per split."""
+    panel = settle(labelled(spark, sf_dir))
+    train = panel.filter("split = 'train'")
+    log = H.successive_halving(train, FEATURES, "label", n_candidates=4, factor=2, min_trees=4, max_trees=8, folds=2)
+    fitted, params, _ = H.best_direction(train, FEATURES, "label", log)
+    return S.auc_accuracy(M.predict_probability(fitted, panel), "label", "probability", ["split"]).withColumn("trees", F.lit(params["n_estimators"]))

@@ -13,6 +13,7 @@ from serieswise.operators import frames as T
 from serieswise.operators.correlation import corr_target
 from serieswise.operators.features import features_v2
 from serieswise.plans import selection as L
+from serieswise.session import settle
 
 TARGET = C.EXCESS_TARGET
 COLS = [*V2_SQL, "rate_regime"]
@@ -53,7 +54,7 @@ SELECT feature, {rsql('variance', 3)} AS variance FROM va
 WHERE list_contains((SELECT cols FROM walk ORDER BY k DESC LIMIT 1), feature)""", SPLIT, GREEDY).replace("WITH", "WITH RECURSIVE", 1))
 def select_corr_greedy(spark, sf_dir):
     """Survivors of the greedy walk with their variance."""
-    train = T.split_three_way(fx_panel(spark, sf_dir)).filter("split = 'train'").persist()
+    train = T.split_three_way(fx_panel(spark, sf_dir)).filter("split = 'train'")
     return out(L.variance_profile(train, L.select_corr_greedy(train, NUM)), ["feature"], {"variance": 3})
 
 
@@ -71,15 +72,14 @@ def cum_gain(spark, sf_dir):
 
 @query("select_importance")
 def select_importance(spark, sf_dir):
-    panel = T.split_three_way(fx_panel(spark, sf_dir)).persist()
+    panel = settle(T.split_three_way(fx_panel(spark, sf_dir)))
     train, val = (panel.filter(F.col("split") == s) for s in ("train", "val"))
-    return L.select_importance(train, val, ["M1", "M2", "E1", "V1"], rounds=8)
+    return L.select_importance(train, val, T.feature_columns(panel))
 
 
 @query("selection_funnel")
 def selection_funnel(spark, sf_dir):
-    panel = T.split_three_way(fx_panel(spark, sf_dir)).persist()
-    _, table = L.selection_funnel(panel, rounds=5)
+    _, table = L.selection_funnel(settle(T.split_three_way(fx_panel(spark, sf_dir))))
     return table
 
 

@@ -67,6 +67,14 @@ def learning_curve(folds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return s.withColumn("verdict", verdict)
 
 
+def learning_curve_folds(folds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per fold of a walk-forward table: sizes, features, errors of training and validation rows, score, and the verdict over all folds."""
+    shown = ["fold", "train_size", "val_size", "n_features", "train_mae", "mae", "train_r2", "r2", "adjusted_sharpe"]
+    verdict = learning_curve(folds, keys).select(*keys, "mae_gap", "verdict")
+    rows = folds.select(*keys, *shown)
+    return rows.join(verdict, list(keys)) if keys else rows.crossJoin(verdict)  # one row
+
+
 def monthly_returns(df: DataFrame, time: str = "dt", keys: Sequence[str] = KEYS) -> DataFrame:
     """Compounded return per calendar month, long form."""
     return df.groupBy(*keys, F.year(time).alias("year"), F.month(time).alias("month")).agg(

@@ -8,9 +8,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -248,30 +247,53 @@ def t_test(df: DataFrame, prediction: str, target: str, keys: Sequence[str] = KE
     return s.select(*keys, "n", ratio(F.col("_m"), F.col("_s") / F.sqrt("n")).alias("t_stat"))
 
 
-def _two_sided(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
-    """Two-sided tails of Student's t: Simpson's rule over the finite angle form."""
-    steps = 2000
-    ok = ~np.isnan(t) & (dof >= 1)
-    t, n = np.where(ok, t, 0.0), np.where(ok, dof, 1.0)
-    edge = np.arctan2(np.abs(t), np.sqrt(n))
-    weight = np.where(np.arange(steps + 1) % 2 == 1, 4.0, 2.0)
-    weight[[0, -1]] = 1.0
-    angle = edge[:, None] * np.linspace(0.0, 1.0, steps + 1)
-    inside = (np.cos(angle) ** (n - 1)[:, None]) @ weight * edge / steps / 3
-    gammas = np.array([math.lgamma((k + 1) / 2) - math.lgamma(k / 2) for k in n])
-    return np.where(ok, np.clip(1.0 - 2.0 * np.exp(gammas) / math.sqrt(math.pi) * inside, 0.0, 1.0), np.nan)
+def _log_gamma(z: Column) -> Column:
+    """Stirling's series eight steps up, taken down by the recurrence."""
+    up = z + 8
+    steps = reduce(lambda a, b: a * b, [z + i for i in range(8)])
+    tail = F.lit(1.0) / (12 * up) - F.lit(1.0) / (360 * F.pow(up, F.lit(3.0))) + F.lit(1.0) / (1260 * F.pow(up, F.lit(5.0)))
+    return (up - 0.5) * F.ln(up) - up + math.log(2 * math.pi) / 2 + tail - F.ln(steps)
 
 
-def with_p_value(tests: DataFrame) -> DataFrame:
-    """Add ``p_value`` to a table of t statistics, one row per series."""
+def _beta_fraction(x: Column, a: Column, b: Column, terms: Column) -> Column:
+    """Continued fraction of the incomplete beta function, by Lentz's method."""
+    off_zero = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+
+    def step(held: Column, j: Column) -> Column:
+        m = F.floor(j / 2).cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        term = F.when(j % 2 == 0, even).otherwise(odd)
+        c, d = off_zero(F.lit(1.0) + term / held["c"]), F.lit(1.0) / off_zero(F.lit(1.0) + term * held["d"])
+        return F.struct(c.alias("c"), d.alias("d"), (held["h"] * c * d).alias("h"))
+
+    # the first term has no quotient before it
+    start = F.struct(F.lit(1e300).alias("c"), F.lit(1.0).alias("d"), F.lit(1.0).alias("h"))
+    return F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda held: held["h"])
+
 
-    @F.pandas_udf("double")
-    def p_value(t: pd.Series, n: pd.Series) -> pd.Series:
-        values, dof = t.to_numpy(float), n.to_numpy(float) - 1
-        parts = [_two_sided(values[i : i + 1000], dof[i : i + 1000]) for i in range(0, len(values), 1000)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+def half_beta_share(x: Column, y: Column, a: Column) -> Column:
+    """Regularised incomplete beta function of x = 1 - y with second parameter 1/2.
 
-    return tests.withColumn("p_value", p_value("t_stat", "n"))
+    The number of terms grows with the root of the first parameter; y is given because 1 - x would lose its digits.
+    """
+    b = F.lit(0.5)
+    terms = (F.lit(100) + 16 * F.sqrt(a)).cast("int")
+    # the difference of two large logarithms would lose the digits
+    far = F.ln(a) / 2 - F.lit(1.0) / (8 * a) + F.lit(1.0) / (192 * F.pow(a, F.lit(3.0)))
+    ratio_ = F.when(a > 200, far).otherwise(_log_gamma(a + b) - _log_gamma(a))
+    front = F.exp(ratio_ - math.log(math.pi) / 2 + a * F.log1p(-y) + b * F.ln(y))
+    low = front * _beta_fraction(x, a, b, terms) / a
+    high = F.lit(1.0) - front * _beta_fraction(y, b, a, terms) / b
+    inside = F.when(x < (a + 1) / (a + b + 2), low).otherwise(high)
+    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(inside)
+
+
+def with_p_value(tests: DataFrame) -> DataFrame:
+    """Add the two-sided ``p_value`` of Student's t to a table of t statistics, one row per series."""
+    t, dof = F.col("t_stat"), (F.col("n") - 1).cast("double")
+    share = half_beta_share(dof / (dof + t * t), t * t / (dof + t * t), dof / 2)
+    return tests.withColumn("p_value", F.when(t.isNotNull() & (dof >= 1), F.when(t == 0, F.lit(1.0)).otherwise(share)))
 
 
 def cum_return_pct(df: DataFrame, keys: Sequence[str] = KEYS, returns: str = "strategy_returns") -> DataFrame:

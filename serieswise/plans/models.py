@@ -141,16 +141,20 @@ def fit_boosted_gain(train: DataFrame, val: DataFrame, cols: Sequence[str], targ
     return dict(zip(cols, model.stages[-1].featureImportances.toArray().tolist()))
 
 
-def fit_direction(
-    train: DataFrame, cols: Sequence[str], label: str, n_estimators: int = 500, max_depth: int = 5,
-    learning_rate: float = 0.1, min_child: int = 20, subsample: float = 1.0, colsample: float = 1.0,
-) -> PipelineModel:
-    """Boosted classifier of the direction label."""
-    model = GBTClassifier(
+def direction_model(
+    label: str, n_estimators: int = 500, max_depth: int = 5, learning_rate: float = 0.1, min_child: int = 20,
+    subsample: float = 1.0, colsample: float = 1.0,
+) -> GBTClassifier:
+    return GBTClassifier(
         featuresCol="features", labelCol=label, maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate,
         minInstancesPerNode=min_child, subsamplingRate=subsample,
         featureSubsetStrategy=str(float(colsample)) if colsample < 1 else "all", seed=C.SEED,
     )
+
+
+def fit_direction(train: DataFrame, cols: Sequence[str], label: str, **params: float) -> PipelineModel:
+    """Boosted classifier of the direction label."""
+    model = direction_model(label, **params)
     rows = train.select(*cols, label).persist()
     try:
         _, _, means, _ = train_statistics(rows, cols, label)
@@ -159,6 +163,15 @@ def fit_direction(
         rows.unpersist()
 
 
+def assembled(train: DataFrame, other: DataFrame, cols: Sequence[str], label: str) -> tuple[DataFrame, DataFrame]:
+    """Label and filled feature vector of both tables, persisted, for many fits of one training set."""
+    rows = drop_null_target(train, label).select(*cols, label)
+    _, _, means, _ = train_statistics(rows, cols, label)
+    filled = PipelineModel(_stages(means, None))
+    slim = lambda df: filled.transform(df.select(*cols, label)).select(label, "features").persist()
+    return slim(rows), slim(other)
+
+
 def predict_probability(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Add the probability of an up day."""
     out = model.transform(df).withColumn("probability", vector_to_array("probability")[1])

@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Sequence
+from functools import partial, reduce
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +25,9 @@ from serieswise.operators.scoring import (
     score_v2,
     with_returns,
 )
-from serieswise.plans.models import fit_direction, fit_regressor, predict, predict_probability
-from serieswise.plans.walk_forward import fold_summary, walk_forward_estimator, walk_forward_linear
+from serieswise.plans.models import LINEAR, assembled, direction_model, fit_direction, fit_regressor, predict
+from serieswise.plans.walk_forward import fold_summary, score_paths, walk_forward_estimator, walk_forward_linear
+from serieswise.session import side_by_side
 
 # fixed values: search ranges; kind, low, high, step
 SPACES: dict[str, dict[str, tuple]] = {
@@ -82,19 +86,30 @@ def tune(
 ) -> DataFrame:
     """Candidates with their mean fold score; best first.
 
-    A candidate that fails, for whatever reason, scores far below and keeps the reason in ``error``.
+    All candidates of a linear model are scored by one job. Of the others each is validated by its own
+    fits, several side by side. A candidate without a score, or whose parameters the model refuses, scores far
+    below; ``error`` says why.
     """
-    spark, scores = df.sparkSession, []
-    params = candidates(model, max(trials, 1))
-    for i, p in enumerate(params):
-        run = walk_forward_linear if model in ("linear", "ridge", "lasso", "elasticnet") else walk_forward_estimator
+    spark, params = df.sparkSession, candidates(model, max(trials, 1))
+    if model in LINEAR:
+        table = score_paths(df, cols, model, params, initial=initial, folds=folds, keys=keys)
+        means = table.groupBy("candidate").agg(F.avg("adjusted_sharpe").alias("_s"), F.min("converged").alias("_c"))
+        undefined = F.col("_s").isNull() | F.isnan("_s")
+        error = F.when(undefined, "no fold has a score").when(~F.col("_c"), "a descent did not settle")
+        score = F.when(undefined, F.lit(FAILED)).otherwise(F.col("_s"))
+        listed = candidate_table(spark, model, params).join(means, "candidate", "left")
+        return listed.select("candidate", "model", "params", score.alias("score"), error.alias("error")).orderBy(F.desc("score"), "candidate")
+
+    def validated(i: int) -> tuple[int, float, str | None]:
         try:
-            table, _ = run(df, cols, model=model, initial=initial, folds=folds, keys=keys, **p)
+            table, _ = walk_forward_estimator(df, cols, model=model, initial=initial, folds=folds, keys=keys, **params[i])
             score = fold_summary(table).first()["adjusted_sharpe"]
-            error = None
-        except Exception as failure:  # one candidate must not lose the results of the others
-            score, error = None, f"{type(failure).__name__}: {failure}"[:500]
-        scores.append((i, FAILED if score is None or not math.isfinite(score) else float(score), error))
+        except (ValueError, IllegalArgumentException) as refused:  # the model's own refusals; a lost job is an error
+            return i, FAILED, f"{type(refused).__name__}: {refused}"[:500]
+        known = score is not None and math.isfinite(score)
+        return i, float(score) if known else FAILED, None if known else "no fold has a score"
+
+    scores = side_by_side(spark, [partial(validated, i) for i in range(len(params))])
     result = spark.createDataFrame(scores, "candidate int, score double, error string")
     return candidate_table(spark, model, params).join(result, "candidate").orderBy(F.desc("score"), "candidate")
 
@@ -108,7 +123,7 @@ def evaluate_tuned(
     if best is None or best["score"] <= FAILED:
         raise ValueError("no candidate was scored")
     params = {k: int(v) if SPACES[model].get(k, ("",))[0] == "int" else v for k, v in best["params"].items()}
-    run = walk_forward_linear if model in ("linear", "ridge", "lasso", "elasticnet") else walk_forward_estimator
+    run = walk_forward_linear if model in LINEAR else walk_forward_estimator
     table, val = run(df, cols, model=model, initial=initial, folds=folds, keys=keys, **params)
     summary = cv_summary(table, val, keys).withColumns(
         {"model": F.lit(model), "k": F.lit(float(params.get("k", C.K_DEFAULT))), "n_trials": F.lit(tuned.count()), "tuned_score": F.lit(best["score"])}
@@ -127,6 +142,21 @@ def cv_summary(folds: DataFrame, val: DataFrame, keys: Sequence[str] = KEYS, tar
     return table.join(mean, key, "left")
 
 
+def cv_report(summaries: dict[str, DataFrame], val: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One row per model, the mean of its ``evaluate_tuned`` summary over series, and one of buy-and-hold on the same rows.
+
+    ``beats_hold`` is 1 where the mean adjusted Sharpe is above that of buy-and-hold.
+    """
+    held, key = val.drop(BLOCK).withColumns({POS: F.col(C.DAY), "position": F.lit(1.0)}), list(keys)
+    bench = score_v2(held, key).drop("n").join(risk_metrics(held, key).drop("n"), key).join(cum_return_pct(with_returns(held), key), key)
+    same = ["model", "status", *key]
+    mean = lambda t: t.groupBy().agg(*[F.avg(c).alias(c) for c in t.columns if c not in same])
+    rows = [mean(t).withColumn("model", F.lit(name)) for name, t in {"buy_and_hold": bench, **summaries}.items()]
+    table = reduce(partial(DataFrame.unionByName, allowMissingColumns=True), rows)
+    level = F.max(F.when(F.col("model") == "buy_and_hold", F.col("adjusted_sharpe"))).over(Window.partitionBy(F.lit(0)))  # a row per model
+    return table.withColumn("beats_hold", (F.col("adjusted_sharpe") > level).cast("int"))
+
+
 def best_direction(
     train: DataFrame, cols: Sequence[str], label: str, log: DataFrame, n_candidates: int = 30
 ) -> tuple[PipelineModel, dict[str, float], float]:
@@ -143,22 +173,28 @@ def successive_halving(
 ) -> DataFrame:
     """candidate, rung, trees, auc, kept: each rung keeps a third and triples the trees.
 
-    The candidate list is small and lives on the driver; every fit and score is a
-    Spark job over the fold's rows.
+    The rows of every fold are filled and assembled once and serve all fits, of which several run side by
+    side. The candidate list is small and lives on the driver.
     """
-    rows = folds_timeseries(train, folds, keys).persist()
+    spark = train.sparkSession
+    rows = folds_timeseries(train, folds, keys).select(*cols, label, "fold", "role").persist()
+    role = lambda fold, name: rows.filter((F.col("fold") == fold) & (F.col("role") == name))
+    parts = side_by_side(spark, [partial(assembled, role(f, "train"), role(f, "val"), cols, label) for f in range(folds)])
+
+    def fold_auc(candidate: int, trees: int, fold: int) -> float | None:
+        own, held = parts[fold]
+        fitted = direction_model(label, n_estimators=trees, **params[candidate]).fit(own)
+        scored = fitted.transform(held).select(label, vector_to_array("probability")[1].alias("probability"))
+        return auc_accuracy(scored, label, "probability").first()["auc"]
+
     params = candidates("direction", n_candidates, slope=False)
     alive, trees, rung, log = list(range(n_candidates)), min_trees, 0, []
     while True:
+        fits = [(c, f) for c in alive for f in range(folds)]
+        aucs = dict(zip(fits, side_by_side(spark, [partial(fold_auc, c, trees, f) for c, f in fits])))
         scores = {}
         for c in alive:
-            aucs = []
-            for fold in range(folds):
-                part = rows.filter(F.col("fold") == fold)
-                fitted = fit_direction(part.filter("role = 'train'"), cols, label, n_estimators=trees, **params[c])
-                scored = predict_probability(fitted, part.filter("role = 'val'"))
-                aucs.append(auc_accuracy(scored, label, "probability").first()["auc"])
-            known = [a for a in aucs if a is not None]
+            known = [aucs[c, f] for f in range(folds) if aucs[c, f] is not None]
             scores[c] = sum(known) / len(known) if known else 0.0
         order = sorted(alive, key=lambda c: (-scores[c], c))
         last = len(alive) <= factor or trees * factor > max_trees
@@ -167,8 +203,9 @@ def successive_halving(
         if last:
             break
         alive, trees, rung = sorted(kept), trees * factor, rung + 1
-    rows.unpersist()
-    return train.sparkSession.createDataFrame(log, "candidate int, rung int, trees int, auc double, kept int")
+    for part in (rows, *[p for pair in parts for p in pair]):
+        part.unpersist()
+    return spark.createDataFrame(log, "candidate int, rung int, trees int, auc double, kept int")
 
 
 # fixed values: the compared regressors and their parameters
@@ -185,12 +222,13 @@ def compare_models(
 ) -> DataFrame:
     """model, split, mse, mae, r2 over the three splits, and the rank by test R2."""
     parts = {s: panel.filter(F.col("split") == s) for s in ("train", "val", "test")}
-    table = None
-    for name, params in (models or COMPARED).items():
+
+    def scored(name: str, params: dict) -> DataFrame:
         fitted = fit_regressor(parts["train"], cols, target, name, val=parts["val"], **params)
-        scored = regression_metrics(predict(fitted, panel), target, "prediction", ["split"])
-        rows = scored.withColumn("model", F.lit(name))
-        table = rows if table is None else table.unionByName(rows)
+        return regression_metrics(predict(fitted, panel), target, "prediction", ["split"]).withColumn("model", F.lit(name))
+
+    tables = side_by_side(panel.sparkSession, [partial(scored, n, p) for n, p in (models or COMPARED).items()])
+    table = reduce(DataFrame.unionByName, tables)
     test = Window.partitionBy("split").orderBy(F.desc("r2"), "model")
     ranks = table.withColumn("_r", F.row_number().over(test)).filter("split = 'test'").select(
         "model", F.col("_r").cast("long").alias("place")

@@ -8,9 +8,15 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 # Adaptive execution merges small shuffle partitions and splits skewed ones, so
 # a high partition count costs little on small inputs.
 SETTINGS = {
@@ -68,6 +74,26 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], T]], most: int = 8) -> list[T]:
+    """Results of functions that each run Spark jobs, in order, up to ``most`` of them at a time.
+
+    Small fits leave most of a cluster idle one by one. With ``spark.scheduler.mode`` FAIR each shares
+    the executors through its own pool; with FIFO later ones fill what earlier ones leave.
+    """
+    if len(jobs) < 2:
+        return [job() for job in jobs]
+
+    def run(at: int) -> T:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"serieswise-{at % most}")
+        try:
+            return jobs[at]()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(min(most, len(jobs))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(run), range(len(jobs))))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the workers this package, once per application: their functions import it by name."""
     context = spark.sparkContext

@@ -2,6 +2,7 @@
 
 import math
 import re
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,8 @@ from serieswise.operators import frames
 from serieswise.operators.features import features_v2
 from serieswise.plans import models, search, selection
 from serieswise.plans import walk_forward as WF
-from serieswise.sources.fixtures import fx_market
+from serieswise.session import side_by_side
+from serieswise.sources.fixtures import fx_market, fx_panel
 from test_semantics import plain_positions
 
 
@@ -192,3 +194,57 @@ def test_walk_forward_of_a_panel_equals_each_series_alone(spark):
             assert abs(values[0] - together[key][0]) <= 1e-7 * max(1.0, abs(values[0]))
     # the level does not change the weights
     assert all(np.allclose(v[1:], together[0, fold][1:], rtol=1e-6, atol=1e-7) for (_, fold), v in together.items())
+
+
+@pytest.mark.parametrize("model", ["linear", "ridge", "lasso", "elasticnet"])
+def test_path_equals_separate_solutions(model):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((90, 6)) @ rng.standard_normal((6, 6))
+    z = (x - x.mean(0)) / x.std(0)
+    y = z @ rng.standard_normal(6) + rng.standard_normal(90)
+    gram, cross = z.T @ z, z.T @ (y - y.mean())
+    params = [{**p, "alpha": p.get("alpha", 1.0)} for p in search.candidates(model, 12)]
+    weights, settled = WF.solve_path(gram, cross, 90.0, model, params)
+    assert settled.all()
+    for w, p in zip(weights, params):
+        alone, _ = WF.solve_scaled(gram, cross, 90.0, model, p["alpha"], p.get("l1_ratio", 1.0))
+        assert np.allclose(w, alone, rtol=1e-9, atol=1e-10)
+
+
+@pytest.mark.parametrize("model,size", [("ridge", None), ("ridge", 100), ("lasso", None)])
+def test_all_candidates_in_one_job_equal_separate_validation(spark, sf_dir, model, size):
+    """The loop it replaces: one walk-forward run per candidate."""
+    if size:
+        spark.conf.set("serieswise.blockRows", str(size))
+    df, made = features_v2(fx_panel(spark, sf_dir))
+    df = df.filter("series_id <= 3").persist()
+    cols = [c for group in made.values() for c in group]
+    tuned = {r.candidate: r for r in search.tune(df, cols, model, trials=3, initial=150, folds=3).collect()}
+    spark.conf.unset("serieswise.blockRows")
+    assert sorted(tuned) == [0, 1, 2]
+    for i, p in enumerate(search.candidates(model, 3)):
+        table, _ = WF.walk_forward_linear(df, cols, model=model, initial=150, folds=3, **p)
+        want = WF.fold_summary(table).first()["adjusted_sharpe"]
+        assert tuned[i].error is None and abs(tuned[i].score - want) < 1e-7 * max(1.0, abs(want))
+    assert [tuned[c].score for c in tuned] == sorted((t.score for t in tuned.values()), reverse=True)
+    df.unpersist()
+
+
+def test_refused_parameters_are_named_and_lost_jobs_are_errors(spark, planted, monkeypatch):
+    rows = planted.withColumns({"forward_returns": F.col("y"), "risk_free_rate": F.lit(0.0)})
+    monkeypatch.setattr(search, "candidates", lambda *a, **k: [{"n_estimators": 0}])
+    monkeypatch.setattr(search, "walk_forward_estimator", partial(WF.walk_forward_estimator, target="y"))
+    refused = search.tune(rows, ["a", "b", "c"], "rf", trials=1, initial=200, folds=2).first()
+    assert refused.score == search.FAILED and "numTrees" in refused.error
+
+    def lost(*args, **kwargs):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(search, "walk_forward_estimator", lost)
+    with pytest.raises(RuntimeError, match="lost"):
+        search.tune(rows, ["a"], "rf", trials=1)
+
+
+def test_jobs_side_by_side_keep_their_order(spark):
+    jobs = [partial(lambda n: spark.range(n).count(), n) for n in range(12)]
+    assert side_by_side(spark, jobs, most=4) == list(range(12))

@@ -324,3 +324,17 @@ def test_finite_and_sources(spark, tmp_path):
     spark.createDataFrame([(2, math.nan), (1, 0.5)], "date_id long, x double").write.parquet(str(tmp_path / "t"))
     panel = IO.read_panel(spark, [str(tmp_path / "missing"), str(tmp_path / "t")]).orderBy("pos").collect()
     assert [(r.date_id, r.x, r.series_id) for r in panel] == [(1, 0.5, 0), (2, None, 0)]
+
+
+def test_p_values_of_small_and_large_samples(spark):
+    """Against Simpson's rule over the angle form, and the normal tail for a billion rows."""
+    rows = [(t, n) for n in (2, 3, 4, 6, 31, 402, 403, 20_001) for t in (0.0, 0.01, 0.5, 1.0, 2.0, 3.5, -12.0)]
+    for r in scoring.with_p_value(spark.createDataFrame(rows, "t_stat double, n long")).collect():
+        v = r.n - 1
+        x = np.linspace(0, math.atan2(abs(r.t_stat), math.sqrt(v)), 20_001)
+        inside = np.cos(x) ** (v - 1) @ ([1] + [4, 2] * 9_999 + [4, 1]) * x[1] / 3
+        assert abs(r.p_value - (1 - 2 * math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(math.pi) * inside)) < 1e-9
+    many = scoring.with_p_value(spark.createDataFrame([(t, 10**9) for t in (0.01, 0.5, 2.0, 5.0)], "t_stat double, n long"))
+    assert all(abs(r.p_value - math.erfc(r.t_stat / math.sqrt(2))) < 1e-7 for r in many.collect())
+    odd = scoring.with_p_value(spark.createDataFrame([(None, 5), (1.0, 1), (1.0, 0)], "t_stat double, n long"))
+    assert [r.p_value for r in odd.collect()] == [None] * 3
