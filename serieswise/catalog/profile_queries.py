@@ -191,6 +191,27 @@ def corr_target_spearman(spark, sf_dir):
     return out(R.corr_target(fx_panel(spark, sf_dir), NUM, TARGET, "spearman"), ["feature"], ["corr", "abs_corr"])
 
 
+def kendall_sql(a: str, b: str) -> str:
+    """Tau-b of two columns by all pairs of rows."""
+    return f"""SELECT '{a}' AS feature_1, '{b}' AS feature_2, sum(sign(p.x - q.x) * sign(p.y - q.y)) / nullif(sqrt(sum(abs(sign(p.x - q.x))) * sum(abs(sign(p.y - q.y)))), 0) AS corr
+FROM (SELECT {a} AS x, {b} AS y FROM fx_market WHERE {a} IS NOT NULL AND {b} IS NOT NULL) p,
+     (SELECT {a} AS x, {b} AS y FROM fx_market WHERE {a} IS NOT NULL AND {b} IS NOT NULL) q"""
+
+
+@query("corr_target_kendall", market_sql(
+    f"SELECT feature_1 AS feature, {rsql('corr')} AS corr, {rsql('abs(corr)')} AS abs_corr FROM ({each(NUM, lambda c: kendall_sql(c, TARGET))}) WHERE corr IS NOT NULL"))
+def corr_target_kendall(spark, sf_dir):
+    return out(R.corr_target(fx_market(spark, sf_dir), NUM, TARGET, "kendall"), ["feature"], ["corr", "abs_corr"])
+
+
+@query("corr_pairs_kendall", market_sql(f"""
+SELECT feature_1, feature_2, {rsql('corr')} AS corr, {rsql('abs(corr)')} AS abs_corr
+FROM ({" UNION ALL ".join(kendall_sql(a, b) for i, a in enumerate(NUM) for b in NUM[i + 1:])}) WHERE corr IS NOT NULL"""))
+def corr_pairs_kendall(spark, sf_dir):
+    pairs = R.pair_correlations(fx_market(spark, sf_dir), NUM, method="kendall")
+    return out(pairs, ["feature_1", "feature_2"], ["corr", "abs_corr"])
+
+
 @query("spearman_ic", panel_sql(f"""
 SELECT feature, n, {rsql('ic')} AS ic, {rsql('ic * sqrt(greatest(n - 2, 1)) / sqrt(greatest(1 - ic * ic, 1e-12))', 7)} AS t_stat
 FROM ({each(NUM, lambda c: ranked_sql(c, C.EXCESS_TARGET))})"""))

@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from serieswise.operators.concordance import kendall
 from serieswise.operators.frames import safe_corr, stacked
 from serieswise.operators.ordered import spearman
 
+METHODS = ("pearson", "spearman", "kendall")
 MOMENTS = ["n", "m1", "m2", "q1", "q2", "p"]
 
 
@@ -21,13 +23,24 @@ def _signed(table: DataFrame) -> DataFrame:
     return known.withColumn("abs_corr", F.abs("corr"))
 
 
+def _checked(method: str) -> str:
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}; available: {METHODS}")
+    return method
+
+
+def _rank_corr(pairs: DataFrame, keys: Sequence[str], method: str) -> DataFrame:
+    """keys, corr of x and y."""
+    table, name = (spearman(pairs, keys), "ic") if method == "spearman" else (kendall(pairs, keys), "tau")
+    return table.select(*keys, F.col(name).alias("corr"))
+
+
 def corr_target(df: DataFrame, cols: Sequence[str], target: str, method: str = "pearson") -> DataFrame:
-    """feature, corr, abs_corr over rows where both values are known."""
+    """feature, corr, abs_corr over rows where both values are known, by one of METHODS."""
     if target not in df.columns:
         raise ValueError(f"no target column {target!r}")
-    if method == "spearman":
-        table = spearman(long_pairs(df, cols, target), ["feature"]).select("feature", F.col("ic").alias("corr"))
-        return _signed(table)
+    if _checked(method) != "pearson":
+        return _signed(_rank_corr(long_pairs(df, cols, target), ["feature"], method))
     wide = df.agg(*[safe_corr(F.col(c), F.col(target)).alias(c) for c in cols])
     return _signed(stacked(wide, [{"feature": F.lit(c), "corr": F.col(c)} for c in cols]))
 
@@ -135,13 +148,24 @@ def corr_from_moments(table: DataFrame, cols: Sequence[str], keys: Sequence[str]
     )
 
 
-def pair_correlations(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """keys, feature_1, feature_2, corr, abs_corr of all unordered pairs."""
-    return _signed(corr_from_moments(pair_moments(df, cols, keys), cols, keys))
-
+def pair_correlations(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), method: str = "pearson") -> DataFrame:
+    """keys, feature_1, feature_2, corr, abs_corr of all unordered pairs.
 
-def top_pairs(df: DataFrame, cols: Sequence[str], n: int) -> DataFrame:
-    pairs = pair_correlations(df, cols)
+    Rank methods rank the rows where both columns of a pair are known, so they make a row per row and pair.
+    """
+    if _checked(method) == "pearson":
+        return _signed(corr_from_moments(pair_moments(df, cols, keys), cols, keys))
+    double = lambda c: F.col(c).cast("double")
+    cells = [
+        F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), double(a).alias("x"), double(b).alias("y"))
+        for i, a in enumerate(cols) for b in cols[i + 1 :]
+    ]
+    rows = df.select(*keys, F.explode(F.array(*cells)).alias("_c")).select(*keys, "_c.*")
+    return _signed(_rank_corr(rows, [*keys, "feature_1", "feature_2"], method))
+
+
+def top_pairs(df: DataFrame, cols: Sequence[str], n: int, method: str = "pearson") -> DataFrame:
+    pairs = pair_correlations(df, cols, method=method)
     return pairs.orderBy(F.desc("abs_corr"), "feature_1", "feature_2").limit(n)
 
 

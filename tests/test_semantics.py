@@ -16,6 +16,7 @@ from serieswise.operators import features as X
 from serieswise.operators.blocks import (
     expanding_std, last_known, number_rows, renumber, rolling, running_max, running_product, running_sum, scan,
 )
+from serieswise.operators.concordance import kendall
 from serieswise.operators.correlation import corr_target, pair_correlations
 from serieswise.operators.diagnostics import learning_curve
 from serieswise.operators.ordered import exact_quantiles, spearman
@@ -338,3 +339,42 @@ def test_p_values_of_small_and_large_samples(spark):
     assert all(abs(r.p_value - math.erfc(r.t_stat / math.sqrt(2))) < 1e-7 for r in many.collect())
     odd = scoring.with_p_value(spark.createDataFrame([(None, 5), (1.0, 1), (1.0, 0)], "t_stat double, n long"))
     assert [r.p_value for r in odd.collect()] == [None] * 3
+
+
+def plain_tau(x, y):
+    x, y = np.array(x, float), np.array(y, float)
+    a, b = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+    scale = math.sqrt((a != 0).sum() * (b != 0).sum())
+    return (a * b).sum() / scale if scale else None
+
+
+@pytest.mark.parametrize("slice_rows", [15, 60, 10_000])
+def test_tau_equals_all_pairs(spark, slice_rows):
+    """Spread, tied, half-constant, constant and short columns, with slices that cut them all."""
+    rng = np.random.default_rng(6)
+    n = 400
+    spread = rng.normal(size=n)
+    cases = {
+        "spread": (spread, spread + rng.normal(size=n)), "tied": (rng.integers(0, 6, n), rng.integers(0, 9, n)),
+        "heavy": (np.where(rng.random(n) < 0.5, 3.0, rng.normal(3, 1, n)), np.where(rng.random(n) < 0.4, 0.0, rng.normal(size=n))),
+        "against": (np.arange(n), -np.arange(n)), "flat": (np.ones(n), spread), "two": ([1.0, 2.0], [5.0, 4.0]), "one": ([1.0], [1.0]),
+    }
+    rows = [(k, float(a), float(b)) for k, (x, y) in cases.items() for a, b in zip(x, y)] + [("tied", None, 1.0), ("none", None, None)]
+    df = spark.createDataFrame(rows, "kind string, x double, y double").repartition(3)
+    got = {r.kind: r for r in kendall(df, ["kind"], slice_rows=slice_rows).collect()}
+    assert set(got) == set(cases)
+    for k, (x, y) in cases.items():
+        want = plain_tau(x, y)
+        assert got[k].n == len(x) and (got[k].tau is want is None or abs(got[k].tau - want) < 1e-12)
+    whole = kendall(df.filter("kind = 'heavy'"), [], slice_rows=slice_rows).first()
+    assert abs(whole.tau - plain_tau(*cases["heavy"])) < 1e-12
+    assert kendall(df.limit(0), ["kind"]).isEmpty()
+
+
+def test_unknown_correlation_methods_are_refused(frame):
+    df = frame(a=[1.0, 2.0, 3.0], b=[1.0, 3.0, 2.0])
+    for call in (lambda: corr_target(df, ["a"], "b", "kendal"), lambda: pair_correlations(df, ["a", "b"], method="")):
+        with pytest.raises(ValueError, match="unknown method"):
+            call()
+    assert pair_correlations(df, ["a", "b"], method="spearman").first().corr == pytest.approx(0.5)
+    assert pair_correlations(df, ["a", "b"], method="kendall").first().corr == pytest.approx(1 / 3)
