@@ -27,7 +27,7 @@ def scan_panel(spark, sf_dir):
     """The preferred folder is missing, so the fallback is read."""
     df = IO.read_panel(
         spark, [f"{sf_dir}/raw/events.parquet", f"{sf_dir}/events.parquet"], rename={"user_id": "series_id"},
-        order="ts", bucket=F.unix_date(F.to_date("ts")),
+        order="ts",
     )
     return df.select("series_id", "event_id", "value", "pos")
 

@@ -240,6 +240,6 @@ def sort_series(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         F.col("user_id").alias("series_id"), "event_id", "ts", "value"
     )
-    rows = number_rows(events, "ts", F.unix_date(F.to_date("ts")))
+    rows = number_rows(events, "ts")
     lagged = rolling(rows, lambda f: {"previous": F.lag("value").over(f.ordered)}, 1)
     return lagged.select("series_id", "event_id", "pos", "previous")

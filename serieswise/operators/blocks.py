@@ -49,35 +49,61 @@ def number_rows(
     keys: Sequence[str] = KEYS,
     name: str = POS,
     longest: int | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Add the dense 0-based position by ``order`` within ``keys``.
 
-    ``longest`` is an upper bound of rows per series if the caller has one, else
-    they are counted. Long series are numbered by ``bucket``, which must not
-    decrease with ``order``: rows are counted per bucket, counts are summed over
-    earlier buckets, and rows are numbered inside their bucket only. The default
-    bucket of an integer ``order`` spans as many values as a block has rows.
+    Rows with equal ``order`` follow a hash of their other columns, so that a repeated run numbers them
+    alike; ``unique`` says that there are none. ``longest`` is an upper bound of rows per series if the caller
+    has one, else they are counted. Long series are cut into ranges of (order, hash), whatever the type
+    of ``order`` and however its values bunch; a caller whose rows fall into buckets of bounded size that do
+    not decrease with ``order`` passes them as ``bucket``, which saves looking for the ranges.
     """
     rows, size = df.drop(name), block_rows(df)
     if longest is None:
         longest = longest_group(rows, keys)
+    others = [c for c in rows.columns if c not in (*keys, order, BLOCK)]
+    tie = F.lit(0).cast("long") if unique or not others else F.xxhash64(*others)
     if longest <= size:
-        at = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+        by = [order] if unique else [F.col(order), tie]
+        at = F.row_number().over(Window.partitionBy(*keys).orderBy(*by)) - 1
         return rows.drop(BLOCK).withColumn(name, at.cast("long"))
+    block = F.floor(F.col(name) / F.lit(size))
     if bucket is None:
-        bucket = F.floor(F.col(order) / F.lit(size))
+        return _numbered_by_ranges(rows.drop(BLOCK), order, tie, keys, name, 16 * size).withColumn(BLOCK, block)
     at = [*keys, "_bucket"]
     parts = settle(rows.withColumn("_bucket", bucket).drop(BLOCK))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.groupBy(*at).agg(F.count(F.lit(1)).alias("_rows")).select(
         *at, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")
     )
-    inside = F.row_number().over(Window.partitionBy(*at).orderBy(order))
+    inside = F.row_number().over(Window.partitionBy(*at).orderBy(order, tie))
     numbered = parts.join(starts, at).withColumn(name, (F.col("_start") + inside - 1).cast("long"))
-    block = F.floor(F.col(name) / F.lit(size))
     return numbered.drop("_bucket", "_start").withColumn(BLOCK, block)
 
 
+def _numbered_by_ranges(df: DataFrame, order: str, tie: Column, keys: Sequence[str], name: str, part_rows: int) -> DataFrame:
+    """Positions from the place in a range partition plus the rows of the series in the partitions before.
+
+    Spark cuts (keys, order, hash) at sampled quantiles, so a series, a day or a single instant with
+    most of the rows is as many partitions as it needs; none is sorted in one task.
+    """
+    rows = settle(df)
+    by = [*[F.col(k) for k in keys], F.col(order), F.col("_tie")]
+    parts = max(8, -(-rows.count() // part_rows))
+    ranged = rows.withColumn("_tie", tie).repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("_tie")
+    # the id holds the partition and the place in it; the written table fixes it
+    placed = settle(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    counts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")
+    starts = counts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_part").alias("_of_part"), start.alias("_start"))
+    same = placed["_part"] == starts["_of_part"]
+    for k in keys:
+        same = same & placed[k].eqNullSafe(starts[f"_of_{k}"])
+    return placed.join(starts, same).select(*df.columns, (F.col("_at") + F.col("_start")).cast("long").alias(name))
+
+
 def renumber(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Close the gaps a row filter left in the positions."""
     longest = block_rows(df) + 1 if is_blocked(df) else 0
@@ -135,15 +161,12 @@ def rolling(
     if not is_blocked(df):
         return _with_frames(df, build, Window.partitionBy(*keys).orderBy(POS))
     size = block_rows(df)
-    if max(back, ahead) > size:
-        raise ValueError("a block must be at least as long as the look-back")
     own = F.floor(F.col(POS) / F.lit(size))
     inside = F.col(POS) - own * size
-    targets = [own]
-    if back:
-        targets.append(F.when(inside >= size - back, own + 1))
-    if ahead:
-        targets.append(F.when(inside < ahead, own - 1))
+    # a row goes to every later block whose first row looks back to it, and to earlier ones that look ahead
+    reach = lambda rows: range(1, -(-rows // size) + 1)
+    targets = [own, *[F.when(inside >= m * size - back, own + m) for m in reach(back)]]
+    targets += [F.when((inside < ahead - (m - 1) * size) & (own >= m), own - m) for m in reach(ahead)]
     spread = df.drop(BLOCK).withColumn(BLOCK, F.explode(F.array_compact(F.array(*targets))))
     framed = _with_frames(spread, build, Window.partitionBy(*keys, BLOCK).orderBy(POS))
     return framed.filter(F.col(BLOCK) == own)

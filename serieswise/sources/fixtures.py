@@ -38,7 +38,7 @@ def _panel(spark: SparkSession, sf_dir: str, series: Column) -> DataFrame:
         )
     )
     day = F.floor(F.unix_date(F.to_date("dt")) / F.lit(DAYS_PER_BUCKET))
-    rows = number_rows(daily, "dt", day, longest=calendar_days(items, "l_shipdate"))
+    rows = number_rows(daily, "dt", day, longest=calendar_days(items, "l_shipdate"), unique=True)
     pos, cnt = F.col(POS), F.col("cnt")
     fwd = F.col("disc_c").cast("double") / cnt / F.lit(200.0) - F.lit(0.025)
     rate = F.col("tax_c").cast("double") / cnt / F.lit(40000.0)
@@ -91,4 +91,4 @@ def fx_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         F.col("user_id").alias(SERIES), "ts", F.col("value")
     )
-    return number_rows(events, "ts", F.unix_date(F.to_date("ts"))).withColumn(DAY, F.col(POS))
+    return number_rows(events, "ts").withColumn(DAY, F.col(POS))

@@ -378,3 +378,29 @@ def test_unknown_correlation_methods_are_refused(frame):
             call()
     assert pair_correlations(df, ["a", "b"], method="spearman").first().corr == pytest.approx(0.5)
     assert pair_correlations(df, ["a", "b"], method="kendall").first().corr == pytest.approx(1 / 3)
+
+
+def test_hot_days_and_ties_are_split_and_numbered_alike(spark, tiny_blocks):
+    """A day and an instant with most rows of a long series, timestamps, a null series, repeated rows."""
+    import datetime as dt
+
+    day = dt.datetime(2024, 1, 1)
+    at = lambda i: day + dt.timedelta(seconds=i) if i % 3 else day  # a third of the rows at one instant
+    rows = [(7, at(i), float(i % 50)) for i in range(3000)] + [(None, day, float(i)) for i in range(400)] + [(8, day, 1.0)] * 5
+    df = spark.createDataFrame(rows, "series_id long, ts timestamp, x double")
+    runs = [number_rows(df.repartition(n), "ts") for n in (3, 11)]
+    got = [sorted(map(tuple, r.select("series_id", "ts", "x", "pos", "_block").collect()), key=str) for r in runs]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    for series, n in ((7, 3000), (None, 400), (8, 5)):
+        mine = sorted((r for r in got[0] if r[0] == series), key=lambda r: r[3])
+        assert [r[3] for r in mine] == list(range(n)) and [r[1] for r in mine] == sorted(r[1] for r in mine)
+        assert all(r[4] == r[3] // 128 for r in mine)
+
+
+def test_look_back_and_ahead_beyond_a_block(spark, tiny_blocks, frame):
+    values = [float(v * 37 % 101) for v in range(900)]
+    df = number_rows(frame(x=values).drop("pos"))
+    assert "_block" in df.columns
+    got = rolling(df, lambda f: {"m": F.sum("x").over(f.rows(-300, 270).spec)}, 300, 270)
+    want = [sum(values[max(0, i - 300) : i + 271]) for i in range(900)]
+    assert column(got, "m") == want
