@@ -13,6 +13,7 @@ from serieswise.operators import frames as T
 from serieswise.operators.correlation import corr_target
 from serieswise.operators.features import features_v2
 from serieswise.plans import selection as L
+from serieswise.plans.walk_forward import raw_name
 from serieswise.session import settle
 
 TARGET = C.EXCESS_TARGET
@@ -97,6 +98,9 @@ FROM (SELECT {keys}x, {rank('x')} AS rx, {rank('y')} AS ry
       FROM (SELECT {keys}CAST({c} AS DOUBLE) AS x, {TARGET} AS y FROM {source} WHERE {c} IS NOT NULL AND {TARGET} IS NOT NULL)) {group}""")
 
 
+# variances reach 1e8: three digits more would compare the order of summation
+FOLD_IC_OUT = f"""{rsql('ic', 8)} AS ic, {rsql('ic * sqrt(greatest(n - 2, 1)) / sqrt(greatest(1 - ic * ic, 1e-12))', 6)} AS t_stat,
+  {rsql('variance', 1)} AS variance"""
 IC_OUT = f"""{rsql('ic', 8)} AS ic, {rsql('ic * sqrt(greatest(n - 2, 1)) / sqrt(greatest(1 - ic * ic, 1e-12))', 6)} AS t_stat,
   {rsql('variance', 3)} AS variance"""
 
@@ -120,14 +124,13 @@ fold_rows AS (SELECT p.*, f.fold FROM feat p JOIN folds f ON p.series_id = f.ser
 
 
 @query("ic_table_per_fold", panel_sql(
-    f"SELECT series_id, fold, feature, n, {IC_OUT} FROM ({ic_sql('fold_rows', COLS, 'series_id, fold')}) WHERE n >= 10 AND ic IS NOT NULL",
+    f"SELECT series_id, fold, feature, n, {FOLD_IC_OUT} FROM ({ic_sql('fold_rows', COLS, 'series_id, fold')}) WHERE n >= 10 AND ic IS NOT NULL",
     PANEL_FEATURES, EXPANDING, FOLD_ROWS))
 def ic_table_per_fold(spark, sf_dir):
-    train = T.folds_expanding(engineered(spark, sf_dir), 252, 5).filter("role = 'train'")
-    table = L.ic_table(train, COLS, TARGET, ["series_id", "fold"])
+    table = L.ic_table_per_fold(engineered(spark, sf_dir), COLS, TARGET, 252, 5)
     return out(
         table.withColumn("fold", F.col("fold").cast("long")), ["series_id", "fold", "feature", "n"],
-        {"ic": 8, "t_stat": 6, "variance": 3},
+        {"ic": 8, "t_stat": 6, "variance": 1},
     )
 
 
@@ -152,11 +155,50 @@ def select_ic_raw(spark, sf_dir):
     return out(table, ["feature", "kept", "selected"], {"ic": 8, "t_stat": 6, "variance": 3})
 
 
-@query("select_ic_engineered")
+SOURCES = {c: raw_name(c) for c in COLS}
+GROUP_PAIRS = [(a, b) for i, a in enumerate(COLS) for b in COLS[i + 1:] if SOURCES[a] == SOURCES[b]]
+
+
+def walk_sql(source: str, part: str) -> str:
+    """CTEs of the greedy selection per ``part`` columns: the groups' features one by one, by falling variance."""
+    on = f"{part}, grp"
+    same = " AND ".join(f"w.{c.strip()} = o.{c.strip()}" for c in on.split(","))
+    return f"""
+passed AS (SELECT *, ic * sqrt(greatest(n - 2, 1)) / sqrt(greatest(1 - ic * ic, 1e-12)) AS t,
+                  MAP {{{", ".join(f"'{c}': '{r}'" for c, r in SOURCES.items())}}}[feature] AS grp,
+                  list_position({COLS}, feature) AS ord
+           FROM ({ic_sql(source, COLS, part)}) WHERE n >= 10 AND ic IS NOT NULL),
+near AS (SELECT {part}, f1, f2 FROM ({" UNION ALL ".join(f"SELECT {part}, '{a}' AS f1, '{b}' AS f2, corr({a}, {b}) AS c FROM {source} GROUP BY {part}" for a, b in GROUP_PAIRS)})
+         WHERE c IS NULL OR isnan(c) OR abs(c) >= {C.CORR_MAX}),
+nears AS (SELECT {part}, feature, list(other) AS others
+          FROM (SELECT {part}, f1 AS feature, f2 AS other FROM near UNION ALL SELECT {part}, f2, f1 FROM near) GROUP BY {part}, feature),
+ordered AS (SELECT p.*, coalesce(others, []) AS others, row_number() OVER (PARTITION BY {", ".join("p." + c.strip() for c in on.split(","))} ORDER BY variance DESC, ord) AS r
+            FROM (SELECT * FROM passed WHERE abs(t) >= {C.IC_T_MIN}) p
+            LEFT JOIN nears s ON {" AND ".join(f"s.{c.strip()} = p.{c.strip()}" for c in part.split(","))} AND s.feature = p.feature),
+walk AS (SELECT {on}, CAST(1 AS BIGINT) AS r, [feature] AS inside FROM ordered WHERE r = 1
+         UNION ALL
+         SELECT {", ".join("w." + c.strip() for c in on.split(","))}, o.r, CASE WHEN len(list_intersect(inside, o.others)) = 0 THEN list_append(inside, o.feature) ELSE inside END
+         FROM walk w JOIN ordered o ON {same} AND o.r = w.r + 1),
+inside AS (SELECT {on}, arg_max(inside, r) AS inside FROM walk GROUP BY {on}),
+judged AS (SELECT w.*, list_contains(o.inside, w.feature) AS kept FROM ordered w JOIN inside o ON {same}),
+cut AS (SELECT {part}, quantile_cont(variance, {C.VAR_QUANTILE}) AS limit_ FROM judged WHERE kept GROUP BY {part})"""
+
+
+WALK_OUT = f"""feature, {rsql('ic', 8)} AS ic, {rsql('t', 6)} AS t_stat, {rsql('variance', 1)} AS variance,
+  CAST(kept AS INTEGER) AS kept, CAST(kept AND variance > limit_ AS INTEGER) AS selected FROM judged"""
+recursive = lambda text: text.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("select_ic_engineered", recursive(panel_sql(
+    f"SELECT {WALK_OUT} JOIN cut ON cut.part = judged.part", PANEL_FEATURES, "whole AS (SELECT *, 0 AS part FROM feat)", walk_sql("whole", "part"))))
 def select_ic_engineered(spark, sf_dir):
-    return L.select_ic(engineered(spark, sf_dir), COLS, TARGET)
+    table = L.select_ic(engineered(spark, sf_dir), COLS, TARGET)
+    return out(table, ["feature", "kept", "selected"], {"ic": 8, "t_stat": 6, "variance": 1})
 
 
-@query("select_per_fold")
+@query("select_per_fold", recursive(panel_sql(
+    f"SELECT judged.series_id, judged.fold, {WALK_OUT} JOIN cut ON cut.series_id = judged.series_id AND cut.fold = judged.fold",
+    PANEL_FEATURES, EXPANDING, FOLD_ROWS, walk_sql("fold_rows", "series_id, fold"))))
 def select_per_fold(spark, sf_dir):
-    return L.select_per_fold(engineered(spark, sf_dir), COLS, TARGET, 252, 5)
+    table = L.select_per_fold(engineered(spark, sf_dir), COLS, TARGET, 252, 5)
+    return out(table.withColumn("fold", F.col("fold").cast("long")), ["series_id", "fold", "feature", "kept", "selected"], {"ic": 8, "t_stat": 6, "variance": 1})

@@ -9,9 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from serieswise.config import KEYS
+from serieswise.operators.blocks import block_rows, is_blocked, longest_group
 from serieswise.operators.concordance import kendall
-from serieswise.operators.frames import safe_corr, stacked
-from serieswise.operators.ordered import spearman
+from serieswise.operators.frames import drop_null_target, safe_corr, stacked, with_segments
+from serieswise.operators.ordered import small_group, spearman, value_ranks
+from serieswise.session import settle
 
 METHODS = ("pearson", "spearman", "kendall")
 MOMENTS = ["n", "m1", "m2", "q1", "q2", "p"]
@@ -123,8 +126,14 @@ def pair_moments(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -
     fields = [*[f"{k} {types[k]}" for k in keys], "i int", "j int", *[f"{s} double" for s in MOMENTS]]
     values = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
     partial = values.mapInPandas(run, ", ".join(fields)).filter("n > 0")
-    # the mean of the parts first, then deviations about it: one shuffle, nothing cancels
-    by = [*keys, "i", "j"]
+    return merge_moments(partial, [*keys, "i", "j"])
+
+
+def merge_moments(partial: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Moments of all parts with the same ``by`` taken together.
+
+    The mean of the parts first, then deviations about it: one shuffle, and nothing cancels.
+    """
     of = Window.partitionBy(*by)
     mean = lambda m: F.sum(F.col("n") * F.col(m)).over(of) / F.sum("n").over(of)
     # a mean that all parts share exactly is that mean
@@ -138,6 +147,15 @@ def pair_moments(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -
     )
 
 
+def fold_moments(
+    df: DataFrame, cols: Sequence[str], initial: int, folds: int, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Pair moments of the training rows of every expanding fold, from moments per segment."""
+    parts = pair_moments(with_segments(df, initial, folds, keys).filter(F.col("fold") < folds), cols, [*keys, "fold"])
+    later = parts.withColumn("fold", F.explode(F.sequence(F.col("fold"), F.lit(folds - 1))))
+    return merge_moments(later, [*keys, "fold", "i", "j"])
+
+
 def corr_from_moments(table: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     # deviations within rounding of the level are none
     varied = lambda q, m: F.col(q) > F.col("n") * F.pow(F.lit(1e-14) * F.abs(F.col(m)), F.lit(2.0))
@@ -182,12 +200,51 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def spearman_ic(df: DataFrame, cols: Sequence[str], target: str, keys: Sequence[str] = ()) -> DataFrame:
     """Rank correlation with the target and its t statistic per column."""
-    table = spearman(long_pairs(df, cols, target, keys), [*keys, "feature"])
+    return _with_t(spearman(long_pairs(df, cols, target, keys), [*keys, "feature"]))
+
+
+def _with_t(table: DataFrame) -> DataFrame:
+    """Add the t statistic of a rank correlation."""
     ic, n = F.col("ic"), F.col("n")
     rest = F.sqrt(F.greatest(F.lit(1.0) - ic * ic, F.lit(1e-12)))
     return table.withColumn("t_stat", ic * F.sqrt(F.greatest(n - 2, F.lit(1)).cast("double")) / rest)
 
 
+def fold_ics(
+    df: DataFrame, cols: Sequence[str], target: str, initial: int, folds: int, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """keys, fold, feature, n, ic, t_stat over the training rows of every expanding fold.
+
+    A row is ranked once per value, with a running count for each fold: how many training rows of the fold
+    lie below it. Rows are not copied for the folds they train in, and each value is sorted once.
+    """
+    of, fold = [*keys, "feature"], F.col("fold")
+    train = drop_null_target(with_segments(df, initial, folds, keys), target).filter(fold < folds)
+    rows = long_pairs(train, cols, target, [*keys, "fold"])
+    largest = block_rows(df) if not is_blocked(df) else longest_group(rows, of)
+    inside = [(fold <= f).cast("long") for f in range(folds)]
+    if largest <= small_group(df):
+        upto = lambda v: Window.partitionBy(*of).orderBy(v).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        ties = lambda v: Window.partitionBy(*of, v)
+        ranks = {
+            f"_{v}{f}": F.sum(c).over(upto(v)) - (F.sum(c).over(ties(v)) - 1) / F.lit(2.0) for v in ("x", "y") for f, c in enumerate(inside)
+        }
+        ranked = rows.select(*of, "fold", *[c.alias(n) for n, c in ranks.items()])
+    else:
+        ranked = settle(rows)
+        for v in ("x", "y"):
+            counts = value_ranks(ranked, of, v, {f"c{f}": c for f, c in enumerate(inside)}, largest)
+            places = [(F.col(f"c{f}_less") + (F.col(f"c{f}") + 1) / 2).alias(f"_{v}{f}") for f in range(folds)]
+            ranked = ranked.join(counts.select(*of, v, *places), [*of, v])
+    own = lambda v, f: F.when(fold <= f, F.col(f"_{v}{f}"))
+    wide = ranked.groupBy(*of).agg(
+        *[F.count_if(fold <= f).alias(f"_n{f}") for f in range(folds)],
+        *[safe_corr(own("x", f), own("y", f)).alias(f"_ic{f}") for f in range(folds)],
+    )
+    table = stacked(wide, [{"fold": F.lit(f), "n": F.col(f"_n{f}"), "ic": F.col(f"_ic{f}")} for f in range(folds)], of)
+    return _with_t(table.filter("n > 0")).select(*keys, "fold", "feature", "n", "ic", "t_stat")
+
+
 def cluster_target_corr(means: DataFrame, groups: Sequence[str], target: str) -> DataFrame:
     table = corr_target(means, [f"mean_{g}" for g in groups], target)
     return table.select(F.substring("feature", 6, 10).alias("cluster"), "corr", "abs_corr")

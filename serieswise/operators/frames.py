@@ -197,6 +197,22 @@ def fold_errors(df: DataFrame, initial: int, folds: int, keys: Sequence[str] = K
     return n.withColumn("reason", reason).filter("reason is not null")
 
 
+def with_segments(
+    df: DataFrame, initial: int = C.INITIAL_TRAIN, folds: int = C.TUNE_FOLDS, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Add ``fold``: the first of ``folds_expanding`` a row trains in (``folds`` for the last validation range).
+
+    A row trains in that fold and all later ones, so sums over segments up to a fold are sums over its training
+    rows, with one copy of each row.
+    """
+    sized, n, pos = with_series_rows(df, keys), F.col("_n"), F.col(POS)
+    size, rest = F.floor((n - initial) / folds), (n - initial) % folds
+    over, wide = pos - initial, rest * (size + 1)
+    later = F.when(over < wide, F.floor(over / (size + 1))).otherwise(rest + F.floor((over - wide) / size))
+    fold = F.when(pos < initial, F.lit(0)).otherwise(later + 1).cast("int")
+    return sized.filter(n - initial >= folds).withColumn("fold", fold).drop("_n")
+
+
 def folds_timeseries(df: DataFrame, folds: int = 5, keys: Sequence[str] = KEYS) -> DataFrame:
     """Expanding folds with equal test parts of n // (folds + 1) rows at the end."""
     sized, n = with_series_rows(df, keys), F.col("_n")

@@ -11,18 +11,19 @@ from pyspark.sql import functions as F
 
 from serieswise import config as C
 from serieswise.functions.scalar import raw_source
-from serieswise.operators.correlation import pair_correlations, spearman_ic, top_pairs
+from serieswise.config import BLOCK, POS
+from serieswise.operators.correlation import corr_from_moments, fold_ics, fold_moments, pair_correlations, spearman_ic, top_pairs
 from serieswise.operators.frames import (
     drop_null_target,
     dummy_columns,
     feature_columns,
-    folds_expanding,
     high_na_columns,
     names,
     one_row,
     stacked,
 )
 from serieswise.operators.profile import variance_profile
+from serieswise.session import settle
 
 
 def select_variance(train: DataFrame, cols: Sequence[str], quantile: float = C.VAR_QUANTILE) -> DataFrame:
@@ -139,15 +140,21 @@ def select_ic(
     Rank correlations and pair correlations come from Spark; the greedy walk sees
     one small table of columns and pairs per key.
     """
-    group = raw_source(F.col("feature")) if group is None else group
-    passed = ic_table(df, cols, target, keys).filter(F.abs("t_stat") >= t_min)
-    passed = passed.withColumn("group", group)
     pairs = pair_correlations(drop_null_target(df, target), cols, keys)
+    return _selected(ic_table(df, cols, target, keys), pairs, cols, group, keys, t_min)
+
+
+def _selected(
+    table: DataFrame, pairs: DataFrame, cols: Sequence[str], group: Column | None, keys: Sequence[str], t_min: float = C.IC_T_MIN
+) -> DataFrame:
+    """The greedy walk per key over a table like ``ic_table`` and its pair correlations."""
+    group = raw_source(F.col("feature")) if group is None else group
+    passed = table.filter(F.abs("t_stat") >= t_min).withColumn("group", group)
     links = pairs.groupBy(*keys, F.col("feature_1").alias("feature")).agg(
         F.map_from_entries(F.collect_list(F.struct("feature_2", "corr"))).alias("corrs")
     )
     order = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("feature"))
-    table = passed.join(links, [*keys, "feature"], "left").select(
+    walked = passed.join(links, [*keys, "feature"], "left").select(
         *keys, "feature", "ic", "t_stat", "variance", "group", "corrs", order.alias("ord")
     )
 
@@ -161,13 +168,13 @@ def select_ic(
         pdf = pdf.assign(kept=pdf["feature"].isin(kept).astype(int), selected=pdf["feature"].isin(chosen).astype(int))
         return pdf[[*keys, "feature", "ic", "t_stat", "variance", "kept", "selected"]]
 
-    types = {f.name: f.dataType.simpleString() for f in df.select(*keys).schema.fields}
+    types = {f.name: f.dataType.simpleString() for f in table.select(*keys).schema.fields}
     schema = ", ".join(
         [f"{k} {types[k]}" for k in keys]
         + ["feature string", "ic double", "t_stat double", "variance double", "kept int", "selected int"]
     )
     by = list(keys) or [F.lit(0).alias("_all")]
-    return table.groupBy(*by).applyInPandas(walk, schema)
+    return walked.groupBy(*by).applyInPandas(walk, schema)
 
 
 def select_ic_raw(df: DataFrame, cols: Sequence[str], target: str = C.EXCESS_TARGET, keys: Sequence[str] = ()) -> DataFrame:
@@ -175,10 +182,35 @@ def select_ic_raw(df: DataFrame, cols: Sequence[str], target: str = C.EXCESS_TAR
     return select_ic(df, [c for c in cols if not c.startswith("D")], target, F.substring("feature", 1, 1), keys)
 
 
+def ic_table_per_fold(
+    df: DataFrame, cols: Sequence[str], target: str = C.EXCESS_TARGET,
+    initial: int = C.INITIAL_TRAIN, folds: int = C.TUNE_FOLDS, keys: Sequence[str] = C.KEYS,
+) -> DataFrame:
+    """``ic_table`` of every training window."""
+    return _fold_table(df, cols, target, initial, folds, keys, settle(_fold_moments(df, cols, target, initial, folds, keys)))
+
+
+def _fold_moments(df: DataFrame, cols: Sequence[str], target: str, initial: int, folds: int, keys: Sequence[str]) -> DataFrame:
+    # a row without a target keeps its place in the folds but counts in no moment
+    known = [F.when(F.col(target).isNotNull(), F.col(c).cast("double")).alias(c) for c in cols]
+    kept = [c for c in (*keys, POS, BLOCK) if c in df.columns]
+    return fold_moments(df.select(*kept, *known), cols, initial, folds, keys)
+
+
+def _fold_table(
+    df: DataFrame, cols: Sequence[str], target: str, initial: int, folds: int, keys: Sequence[str], moments: DataFrame
+) -> DataFrame:
+    ics = fold_ics(df, cols, target, initial, folds, keys).filter("n >= 10 and ic is not null")
+    name = F.array(*[F.lit(c) for c in cols])[F.col("i")]
+    variances = moments.filter("i = j").select(*keys, "fold", name.alias("feature"), (F.col("q1") / F.col("n")).alias("variance"))
+    return ics.join(variances, [*keys, "fold", "feature"])
+
+
 def select_per_fold(
     df: DataFrame, cols: Sequence[str], target: str = C.EXCESS_TARGET,
     initial: int = C.INITIAL_TRAIN, folds: int = C.TUNE_FOLDS, keys: Sequence[str] = C.KEYS,
 ) -> DataFrame:
-    """The selection inside every training window."""
-    train = folds_expanding(df, initial, folds, keys).filter("role = 'train'")
-    return select_ic(train, cols, target, keys=[*keys, "fold"])
+    """The selection inside every training window, from one copy of each row."""
+    moments, by = settle(_fold_moments(df, cols, target, initial, folds, keys)), [*keys, "fold"]
+    pairs = corr_from_moments(moments, cols, by).filter("corr is not null")
+    return _selected(_fold_table(df, cols, target, initial, folds, keys, moments), pairs, cols, None, by)
