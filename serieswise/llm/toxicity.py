@@ -53,9 +53,10 @@ QUOTED = 0.35
 MARKS = "\"'“”„«»‘’"
 REPORTING = ("said", "says", "quote", "quoted", "called", "wrote", "word")
 
-_EDGE = np.zeros(0x3000, bool)
-_EDGE[: 0x3000] = [not chr(i).isalnum() for i in range(0x3000)]
-_SPACE = np.array([chr(i).isspace() for i in range(0x3001)], bool)
+#: Up to the last plane that holds punctuation and symbols; code points beyond are letters.
+_EDGE = np.array([not chr(i).isalnum() for i in range(0x20000)], bool)
+#: The last space is U+3000; the entry after it stands for all code points beyond.
+_SPACE = np.array([chr(i).isspace() for i in range(0x3002)], bool)
 
 
 @dataclass
@@ -174,17 +175,26 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 def _read(lexicon: Lexicon, points: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Final automaton state of each word."""
-    table = np.zeros(0x3000, np.int32)
-    for c, k in lexicon.classes.items():
-        if c < len(table):
-            table[c] = k
+    letters = np.array(sorted(lexicon.classes), np.uint32)
+    kinds = np.array([lexicon.classes[c] for c in sorted(lexicon.classes)], np.int32)
+    low = np.zeros(0x3000, np.int32)  # most letters by a lookup, the others by a search
+    near = letters < len(low)
+    low[letters[near]] = kinds[near]
+
+    def kind_of(c: np.ndarray) -> np.ndarray:
+        out = low[np.minimum(c, len(low) - 1)]
+        far = np.flatnonzero(c >= len(low) - 1)
+        if len(far):
+            at = np.minimum(np.searchsorted(letters, c[far]), max(0, len(letters) - 1))
+            out[far] = np.where(letters[at] == c[far], kinds[at], 0) if len(letters) else 0
+        return out
+
     state = np.ones(len(start), np.int32)
     state[start >= stop] = 0
     live, at = np.flatnonzero(state), start.copy()
     while len(live):
         c = points[at[live]]
-        kind = table[np.minimum(c, len(table) - 1)]
-        state[live] = lexicon.step[state[live], kind]
+        state[live] = lexicon.step[state[live], kind_of(c)]
         at[live] += 1
         live = live[(state[live] != 0) & (at[live] < stop[live])]
     return state
