@@ -377,3 +377,29 @@ def test_pipeline_stages_work_on_what_is_kept(spark, texts):
             assert not [d for d in ids if labels.get(d) == 0]
         kept = set(ids)
     assert "sequence_id" in docs.columns
+
+
+@pytest.mark.parametrize("n,long", [(14, 1), (3000, 10), (3000, 1000)])
+def test_every_query_has_all_its_results(spark, n, long):
+    """Small tables, and one vector that makes all others look alike, at the default settings."""
+    v = np.random.default_rng(n + long).standard_normal((n, 16))
+    v[n // 2] *= long
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    want = min(20, n - 1)
+    assert set(got) == set(range(0, n, 20)) and all([r for r, _ in g] == list(range(1, want + 1)) for g in got.values())
+    found = 0
+    for q, hits in got.items():
+        order = sorted((i for i in range(n) if i != q), key=lambda i: (-float(v[q] @ v[i]), i))[:want]
+        found += len(set(order) & {i for _, i in hits})
+    assert found >= 0.9 * want * len(got)
+
+
+def test_letters_beyond_the_low_planes_are_read():
+    terms = [("漢字仮名交", False), ("\U00020000\U00020001\U00020002abc", False), ("plainly", False)]
+    lexicon = toxicity.Lexicon(terms, np.ones((3, 2)), *toxicity.build_automaton(terms))
+    texts = ["a 漢字仮名交 b", "漢字仮名", "\U00020000\U00020001\U00020002abc", "plainly \u2fff\u3000 \uffff", "漢漢漢漢漢"]
+    got = [{lexicon.terms[t][0] for _, t, d, _ in toxicity.matches(lexicon, [x]) if d == 0} for x in texts]
+    assert got == [{terms[0][0]}, set(), {terms[1][0]}, {terms[2][0]}, set()]
