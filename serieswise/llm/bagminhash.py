@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serieswise.llm.common import stage
+from serieswise.llm.common import identified, stage
 from serieswise.llm.textnum import Words, mix, slices, uniform
 
 SHINGLE = 5
@@ -124,8 +124,8 @@ def signatures(document: np.ndarray, element: np.ndarray, weight: np.ndarray, te
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
-    """The documents with a row id, written once to the shared folder."""
-    return stage(docs.withColumn("_rid", F.monotonically_increasing_id()), "near-rows")
+    """The documents with a row id; rows of files are told by their place, others are written once to the shared folder."""
+    return identified(docs, "_rid", "near-rows")
 
 
 def _signed(docs: DataFrame) -> DataFrame:

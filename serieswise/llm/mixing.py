@@ -23,10 +23,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from serieswise.llm.common import ceil_div, stage
+from serieswise.llm.common import ceil_div, identified, sheltered, stage
 
 BLOCK_ROWS = 2_000
 BROADCAST_SOURCES = 100_000
+#: Beyond this exponent only the largest sources are left.
+MOST_EXPONENT = 4096.0
 RESULT = ["weight", "copy", "block", "place", "n_tokens"]
 
 
@@ -44,27 +46,44 @@ def entropy(weights: np.ndarray) -> float:
 
 
 def solve_exponent(shares: np.ndarray, target_entropy: float | None = None, max_repeats: float | None = None, keep_all: bool = True) -> float:
-    """Exponent in 0 to 1 by bisection; 1 leaves the shares as they are, 0 makes them equal.
+    """The smallest exponent that meets the targets, by bisection; 1 leaves the shares as they are, 0 makes them equal.
 
-    With both targets the larger exponent holds, the one that changes less. `keep_all` says
-    how repetition is counted: against the budget at which the most reduced source is read
-    once (True), or against a budget of all tokens (False).
+    Entropy falls with the exponent, over 1 too, where large sources gain; repetition falls up to 1 and rises
+    beyond. With both targets the larger exponent of the two holds, and if it repeats too much, or no exponent has so
+    little entropy, there is no answer and a ValueError says so. `keep_all` says how repetition is
+    counted: against the budget at which the most reduced source is read once (True), or against a budget of
+    all tokens (False).
     """
-
-    def fits(a: float) -> bool:
-        w = tempered(shares, a)
-        known = shares > 0
-        rate = w[known] / shares[known]
-        repeats = rate.max() / rate.min() if keep_all else rate.max()
-        return (target_entropy is None or entropy(w) <= target_entropy) and (max_repeats is None or repeats <= max_repeats)
-
-    if not (shares > 0).any() or fits(0.0):
+    known = shares > 0
+    if not known.any():
         return 0.0
-    low, high = 0.0, 1.0
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (low, middle) if fits(middle) else (middle, high)
-    return high
+
+    def even(a: float) -> bool:
+        rate = tempered(shares, a)[known] / shares[known]
+        return max_repeats is None or (rate.max() / rate.min() if keep_all else rate.max()) <= max_repeats + 1e-9
+
+    def narrow(a: float) -> bool:
+        return target_entropy is None or entropy(tempered(shares, a)) <= target_entropy + 1e-12
+
+    def least(fits, low: float, high: float) -> float:
+        if fits(low):
+            return low
+        for _ in range(80):
+            middle = (low + high) / 2
+            low, high = (low, middle) if fits(middle) else (middle, high)
+        return high
+
+    if not even(1.0):
+        raise ValueError(f"no exponent keeps repetition at {max_repeats}")
+    top = 1.0
+    while not narrow(top):
+        top *= 2
+        if top > MOST_EXPONENT:
+            raise ValueError(f"no exponent brings the entropy to {target_entropy}")
+    exponent = max(least(even, 0.0, 1.0), least(narrow, 0.0, top))
+    if not even(exponent):
+        raise ValueError(f"at entropy {target_entropy} a source is repeated more than {max_repeats} times")
+    return exponent
 
 
 def whitespace_tokens(text: str = "text") -> Column:
@@ -82,10 +101,20 @@ def mix(
     read at least once. `copy` counts the times a document is given (from 0), `block` and
     `place` order a copy of a source: blocks are permuted within it and rows within a block.
     """
-    own = [c for c in docs.columns if c not in RESULT]
-    size = whitespace_tokens() if tokens is None else tokens
-    staged = stage(docs.withColumn("n_tokens", size).select(*own, "n_tokens", F.monotonically_increasing_id().alias("_at")), "mixing")
-    totals = staged.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()
+    if tokens is not None:
+        docs = docs.withColumn("n_tokens", tokens)
+    needed = ("source", "text") if tokens is None else ("source", "n_tokens")
+    results = RESULT if tokens is None else [c for c in RESULT if c != "n_tokens"]
+    made = sheltered(docs, needed, results, lambda d: _mix(d, target_entropy, max_repeats, budget, seed))
+    return made.select(*[c for c in made.columns if c not in RESULT], *RESULT)
+
+
+def _mix(docs: DataFrame, target_entropy: float | None, max_repeats: float | None, budget: int | None, seed: int) -> DataFrame:
+    rows = identified(docs, "_at", "mixing")
+    size = F.col("n_tokens") if "n_tokens" in docs.columns else whitespace_tokens()
+    # everything is decided on these few numbers a row; the documents are only joined to the result
+    slim = stage(rows.select("_at", "source", size.alias("n_tokens")), "mixing-rows")
+    totals = slim.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()
     total = sum(r["t"] for r in totals)
     shares = np.array([r["t"] / total if total else 0.0 for r in totals])
     weights = tempered(shares, solve_exponent(shares, target_entropy, max_repeats, budget is None))
@@ -103,10 +132,10 @@ def mix(
     sources = spark.createDataFrame(plan, f"_source {docs.schema['source'].dataType.simpleString()}, weight double, _full int, _rest long, _blocks int")
     if len(plan) <= BROADCAST_SOURCES:
         sources = F.broadcast(sources)
-    rows = staged.join(sources, F.col("source").eqNullSafe(F.col("_source")))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "_at"), F.col("_blocks")).cast("int"))
+    slim = slim.join(sources, F.col("source").eqNullSafe(F.col("_source")))
+    slim = slim.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "_at"), F.col("_blocks")).cast("int"))
     # copies 0 to _full - 1 are whole; copy _full is the one that the rest of the budget cuts
-    blocks = rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("_t"))
+    blocks = slim.groupBy("source", "block").agg(F.sum("n_tokens").alias("_t"))
     order = F.xxhash64(F.lit(seed), F.lit("blocks"), "source", "block")
     earlier = Window.partitionBy("source").orderBy(order, "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(
@@ -114,11 +143,12 @@ def mix(
     )
     key = F.xxhash64(F.lit(seed), F.lit("rows"), "_at")
     inside = Window.partitionBy("source", "block").orderBy(key, "_at")
-    ranked = rows.withColumn("place", F.row_number().over(inside) - 1).withColumn(
+    ranked = slim.withColumn("place", F.row_number().over(inside) - 1).withColumn(
         "_upto", F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     )
     placed = ranked.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     partial = (F.col("_start") + F.col("_upto") <= F.col("_rest")) & (F.col("_rest") > 0)
     times = F.col("_full") + F.when(partial, 1).otherwise(0)
-    copies = F.when(times > 0, F.sequence(F.lit(0), times - 1))
-    return placed.withColumn("copy", F.explode(copies)).select(*own, *RESULT)
+    given = placed.select(F.col("_at").alias("_of"), "weight", "block", "place", F.col("n_tokens").alias("_size"), times.alias("_times")).where("_times > 0")
+    whole = rows.drop("n_tokens").join(given, F.col("_at") == F.col("_of")).withColumnRenamed("_size", "n_tokens")
+    return whole.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))

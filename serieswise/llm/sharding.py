@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from serieswise.llm.common import ceil_div, stage
+from serieswise.llm.common import ceil_div, sheltered, stage
 
 #: Rows whose keys are ranked together in the second permutation.
 RANGE_ROWS = 20_000
@@ -48,7 +48,11 @@ def communication_matrix(rows: np.ndarray, shards: np.ndarray, seed: int) -> np.
 
 def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     """Rows of `df` with shard (0 to shards - 1) and slot (0, 1, ... within the shard)."""
-    own = [c for c in df.columns if c not in ("shard", "slot")]
+    return sheltered(df, (), ("shard", "slot"), lambda rows: _shuffle(rows, shards, seed))
+
+
+def _shuffle(df: DataFrame, shards: int, seed: int) -> DataFrame:
+    own = df.columns
     staged = stage(
         df.select(*own, F.monotonically_increasing_id().alias("_at")), "shards"
     ).withColumn("_part", F.shiftright("_at", 33).cast("int")).withColumn("_place", F.col("_at").bitwiseAND((1 << 33) - 1))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serieswise.llm.common import stage
+from serieswise.llm.common import sheltered, stage
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -84,8 +84,12 @@ def _covered(hashes: Column) -> Column:
 
 def with_measures(docs: DataFrame) -> DataFrame:
     """The documents with the counts of their whole texts."""
+    return sheltered(docs, ("text",), (*MEASURES, *EXTRA, "base_failed"), _measured)
+
+
+def _measured(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = [c for c in docs.columns if c not in {*MEASURES, *EXTRA, "base_failed"}]
+    own = docs.columns
     split = docs.select(
         *own,
         F.array_remove(F.split(text, SPACE), "").alias("_words"),
@@ -172,9 +176,12 @@ def quality_rules(measured: DataFrame) -> DataFrame:
     The measures are written once to the shared folder: the EM and the result read them from
     there. The joined table has a row per vote pattern, a bound that no input passes.
     """
+    return sheltered(measured, (*MEASURES, *EXTRA, "base_failed"), ("posterior", "kept"), _judged)
+
+
+def _judged(measured: DataFrame) -> DataFrame:
     staged = stage(measured.withColumn("_votes", votes()), "quality-rules")
     patterns = staged.groupBy(F.col("_votes").alias("votes")).agg(F.count("*").alias("n"))
     judged = staged.join(F.broadcast(estimate(patterns)), F.col("_votes") == F.col("_pattern"), "left")
     good = F.col("_q")[0]
-    own = [c for c in measured.columns if c not in ("posterior", "kept")]
-    return judged.select(*own, good.alias("posterior"), (~F.col("base_failed") & (good >= 0.5)).alias("kept"))
+    return judged.select(*measured.columns, good.alias("posterior"), (~F.col("base_failed") & (good >= 0.5)).alias("kept"))

@@ -41,7 +41,7 @@ ODD = [
     (None, None, None, None),
     (9, "Ünïcode wörds 你好 世界 \U0001f600 \x01\x02 end", "fr", "b"),
 ]
-CLASHING = ["shard", "slot", "kept", "rid", "label", "block", "n_tokens", "copy", "weight", "place", "_at", "a", "b", "n_words", "posterior", "perplexity"]
+CLASHING = ["shard", "slot", "kept", "rid", "label", "block", "n_tokens", "copy", "weight", "place", "_at", "a", "b", "n_words", "posterior", "perplexity", "_full", "_blocks", "_rest", "_source", "_words", "_lines", "_hashes", "_fold", "_votes", "_q", "_rid", "_key", "_own0", "_of"]
 
 
 @pytest.fixture(scope="session")
@@ -50,7 +50,7 @@ def odd(spark):
     df = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string")
     from pyspark.sql import functions as F
 
-    return df.withColumns({c: F.lit("mine") for c in CLASHING if c != "_at"})
+    return df.withColumns({c: F.lit("mine") for c in CLASHING})
 
 
 @pytest.fixture(scope="session")

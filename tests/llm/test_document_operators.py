@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from serieswise.llm import bagminhash, mixing, packing, queries, sharding, weak_rules
 
@@ -48,6 +49,32 @@ def test_exponent_meets_entropy_and_repetition():
     assert mixing.solve_exponent(np.zeros(3)) == 0.0 and mixing.solve_exponent(shares, max_repeats=1.0) == pytest.approx(1.0)
 
 
+def test_exponents_beyond_one_and_targets_without_an_answer():
+    shares = np.array([0.6, 0.2, 0.15, 0.05])
+    for target in (1.0, 0.5, 0.01):  # below the entropy of the shares
+        a = mixing.solve_exponent(shares, target_entropy=target)
+        assert a > 1 and abs(mixing.entropy(mixing.tempered(shares, a)) - target) < 1e-9
+    for targets in ({"target_entropy": 0.5, "max_repeats": 2.0}, {"max_repeats": 0.5}):
+        with pytest.raises(ValueError):
+            mixing.solve_exponent(shares, **targets)
+    with pytest.raises(ValueError, match="no exponent brings"):
+        mixing.solve_exponent(np.array([0.5, 0.5]), target_entropy=0.1)
+
+
+def test_rows_of_files_keep_their_id_in_every_job(spark, documents, tmp_path):
+    from serieswise.llm.common import identified
+
+    documents.repartition(3).write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    for df in (read, read.where("doc_id % 3 > 0").select("doc_id"), read.select("doc_id").union(read.select("doc_id"))):
+        rows = identified(df, "_id", "ids")
+        once, again = ({r._id: r.doc_id for r in rows.repartition(n).select("_id", "doc_id").collect()} for n in (2, 5))
+        assert once == again and len(once) == df.count() and rows.columns == [*df.columns, "_id"]
+    assert identified(read.limit(0), "_id", "ids").isEmpty() and identified(read.where("doc_id < -9"), "_id", "ids").isEmpty()
+    # a row given twice is no row of a file
+    assert identified(read.select(F.explode(F.array("doc_id", "doc_id")).alias("doc_id")), "_id", "ids").select("_id").distinct().count() == 2 * read.count()
+
+
 def test_mixture_gives_every_source_its_budget(documents, odd, none):
     docs = {r.doc_id: (r.source, len(words(r.text))) for r in documents.select("doc_id", "source", "text").collect()}
     rows = mixing.mix(documents, max_repeats=2.0).collect()
