@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, stage by stage.
 
-Each stage reads all that the one before kept and returns the columns of `documents`; the last
-returns the packed pieces.
+Each stage reads all that the one before kept and returns the columns of `documents`, whatever else they
+are named like; the last returns the packed pieces. Null and empty texts and repeated rows are judged by
+the operators as their docstrings say; an empty table passes through empty.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from serieswise.llm import bagminhash, kneser_ney, mixing, packing, weak_rules
-from serieswise.llm.common import stage, table
+from serieswise.llm.common import sheltered, stage, table
 from serieswise.llm.queries import vocabulary
 from serieswise.session import ship_package
 
@@ -20,27 +21,32 @@ MAX_REPEATS = 2.0
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighted rules keep."""
     ship_package(spark)
-    return weak_rules.quality_rules(weak_rules.with_measures(docs)).where("kept").select(*docs.columns)
+    return sheltered(docs, ("text",), (), lambda d: weak_rules.quality_rules(weak_rules.with_measures(d)).where("kept"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within the threshold of their language."""
     ship_package(spark)
-    return kneser_ney.classify(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    labels = table(spark, sf_dir, "labels")
+    return sheltered(docs, ("doc_id", "lang", "text"), (), lambda d: kneser_ney.classify(d, labels).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
     ship_package(spark)
-    rows = bagminhash.with_rows(docs)
-    dropped = bagminhash.near_duplicates(rows).where("not kept").select("rid")
-    return rows.join(dropped, rows["_rid"] == dropped["rid"], "left_anti").select(*docs.columns)
+
+    def firsts(d: DataFrame) -> DataFrame:
+        rows = bagminhash.with_rows(d)
+        dropped = bagminhash.near_duplicates(rows).where("not kept").select("rid")
+        return rows.join(dropped, rows["_rid"] == dropped["rid"], "left_anti")
+
+    return sheltered(docs, ("doc_id", "text"), (), firsts)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every source at least once, the smaller ones repeated up to their target weight."""
     ship_package(spark)
-    return mixing.mix(docs, max_repeats=MAX_REPEATS).select(*docs.columns)
+    return sheltered(docs, ("source", "text"), (), lambda d: mixing.mix(d, max_repeats=MAX_REPEATS))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +63,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: The classifier, the signatures and the tokenizer have no SQL form; the tests compare each stage with brute force.
+#: The classifier, the signatures and the tokenizer have no SQL form; the tests compare each operator with brute force.
 ORACLE_SQL = None
 
 
