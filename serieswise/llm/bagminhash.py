@@ -40,6 +40,8 @@ SIMILARITY = 0.8
 COMPONENTS, BANDS, BAND_ROWS = 192, 32, 6
 #: Members of a bucket that one task compares with as many others.
 BUCKET_BLOCK = 1_000
+#: Elements of the multisets of such a block.
+BLOCK_ELEMENTS = 2_000_000
 #: Characters whose shingles a worker holds at a time.
 SLICE = 1_000_000
 #: Signature agreement below which no text pair of similarity 0.8 is expected: four standard deviations.
@@ -226,38 +228,57 @@ def _verified(close: DataFrame, sets: DataFrame) -> DataFrame:
     return stage(judged.select("a", "b"), "links")
 
 
-def _across(left: DataFrame, named: DataFrame) -> DataFrame:
-    """Close pairs (a, b) of one bucket and different components.
+def _across(left: DataFrame, named: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of one bucket.
 
-    Members of a bucket are dealt to blocks and each pair of blocks is compared by size and
-    signature in one task; only close pairs become rows.
+    Members of a bucket are dealt to blocks of bounded rows and elements, and each pair of blocks is compared in
+    one task: by size and signature first, then by the multisets. Components that a link has joined there are
+    not compared again, so a task returns fewer links than it has members, however many pairs are alike.
     """
 
     def compared(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rid", ignore_index=True)
-        one, two = pdf[pdf["own"] == key[1]], pdf[pdf["own"] == key[2]]
-        if one.empty or two.empty:
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        sb, rb, lb, nb = np.stack(two["sig"].to_numpy()).astype(np.int8), *(two[c].to_numpy() for c in ("rid", "label", "n"))
-        found: list[np.ndarray] = []
-        for i in range(0, len(one), 64):
-            part = one.iloc[i : i + 64]
-            sa, ra, la, na = np.stack(part["sig"].to_numpy()).astype(np.int8), *(part[c].to_numpy() for c in ("rid", "label", "n"))
-            small, large = np.minimum(na[:, None], nb), np.maximum(na[:, None], nb)
-            x, y = np.nonzero((la[:, None] != lb) & (small >= SIMILARITY * large))
+        places = [np.flatnonzero(pdf["own"].to_numpy() == k) for k in key[1:3]]
+        sig, n = np.stack(pdf["sig"].to_numpy()).astype(np.int8), pdf["n"].to_numpy()
+        elements = [np.sort(e) for e in pdf["elements"]]
+        _, label = np.unique(pdf["label"].to_numpy(), return_inverse=True)
+        above = np.arange(label.max() + 1)
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        def alike(x: int, y: int) -> bool:
+            at = np.searchsorted(elements[x], elements[y])
+            common = int((elements[x][np.minimum(at, len(elements[x]) - 1)] == elements[y]).sum())
+            return common >= SIMILARITY * (len(elements[x]) + len(elements[y]) - common)
+
+        found: list[tuple[int, int]] = []
+        for begin in range(0, len(places[0]), 64):
+            one, two = places[0][begin : begin + 64], places[1]
+            small, large = np.minimum(n[one][:, None], n[two]), np.maximum(n[one][:, None], n[two])
+            x, y = np.nonzero((label[one][:, None] != label[two]) & (small >= SIMILARITY * large))
             for j in range(0, len(x), 50_000):
-                u, v = x[j : j + 50_000], y[j : j + 50_000]
-                near = (sa[u] == sb[v]).mean(1) >= LEAST_AGREEMENT
-                found.append(np.stack([ra[u[near]], rb[v[near]]]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": pairs.min(0), "b": pairs.max(0)})
-
-    blocks = left.groupBy("band").agg(F.ceil(F.count("*") / BUCKET_BLOCK).cast("int").alias("k"))
-    dealt = left.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("k")).cast("int"))
-    known = dealt.join(named.select("rid", "n", "sig").hint("merge"), "rid")
-    sent = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    sent = sent.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rid", "label", "n", "sig")
-    return sent.groupBy("band", "i", "j").applyInPandas(compared, "a long, b long").distinct()
+                u, v = one[x[j : j + 50_000]], two[y[j : j + 50_000]]
+                near = (sig[u] == sig[v]).mean(1) >= LEAST_AGREEMENT
+                for p, q in zip(u[near].tolist(), v[near].tolist()):
+                    a, b = top(label[p]), top(label[q])
+                    if a != b and alike(p, q):
+                        above[max(a, b)] = min(a, b)
+                        found.append((p, q))
+        rid = pdf["rid"].to_numpy()
+        ends = rid[np.array(found, np.int64).reshape(-1, 2)]
+        return pd.DataFrame({"a": ends.min(1), "b": ends.max(1)})
+
+    known = left.join(named.select("rid", "n", "sig").hint("merge"), "rid")
+    rows, size = F.ceil(F.count("*") / BUCKET_BLOCK), F.ceil(F.sum("n") / BLOCK_ELEMENTS)
+    blocks = known.groupBy("band").agg(F.greatest(rows, size).cast("int").alias("k"))
+    dealt = known.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("k")).cast("int"))
+    sent = dealt.join(sets.hint("merge"), "rid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    sent = sent.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rid", "label", "n", "sig", "elements")
+    return stage(sent.groupBy("band", "i", "j").applyInPandas(compared, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -283,7 +304,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = own.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
     left = stage(own.join(mixed, "band", "left_semi"), "unsettled")
     if not left.isEmpty():
-        more = _verified(_across(left, named), sets)
+        more = _across(left, named, sets)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)

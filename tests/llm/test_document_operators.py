@@ -237,3 +237,36 @@ def test_signatures_estimate_weighted_jaccard():
     weight = np.array([*a.values(), *b.values()])
     sig = bagminhash.signatures(document, element, weight, 2, 4096)
     assert abs((sig[0] == sig[1]).mean() - want) < 4 * math.sqrt(want * (1 - want) / 4096)
+
+
+@pytest.mark.parametrize("block,elements", [(5, 10**9), (1000, 300), (1000, 10**9)])
+def test_links_across_components_are_whole_and_few(spark, monkeypatch, block, elements):
+    """Buckets of sets that drift apart: every class is found, with fewer links than members in each pair of blocks."""
+    monkeypatch.setattr(bagminhash, "BUCKET_BLOCK", block)
+    monkeypatch.setattr(bagminhash, "BLOCK_ELEMENTS", elements)
+    rng = np.random.default_rng(9)
+    sets, n = [], 90
+    for i in range(n):
+        base = set(rng.choice(10**6, 40, replace=False).tolist()) if i % 15 == 0 else set(sets[-1])
+        if i % 15:
+            for x in rng.choice(sorted(base), 2, replace=False).tolist():
+                base.remove(x)
+                base.add(int(rng.integers(10**6)))
+        sets.append(sorted(base))
+    left = spark.createDataFrame([(i % 2, i, i // 3 * 3) for i in range(n)] + [(7, i, i // 3 * 3) for i in range(n)], "band long, rid long, label long")
+    named = spark.createDataFrame([(i, len(e), [1, 2, 3]) for i, e in enumerate(sets)], "rid long, n long, sig array<tinyint>")
+    rows = spark.createDataFrame([(i, e) for i, e in enumerate(sets)], "rid long, elements array<long>")
+    links = [(r.a, r.b) for r in bagminhash._across(left, named, rows).collect()]
+    alike = lambda a, b: len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})
+    assert all(alike(a, b) and a // 3 != b // 3 for a, b in links)
+
+    def classes(pairs):
+        top = list(range(n))
+        for a, b in [(i, i // 3 * 3) for i in range(n)] + pairs:
+            x, y = top[a], top[b]
+            top = [min(x, y) if t in (x, y) else t for t in top]
+        return top
+
+    assert classes(links) == classes([(a, b) for a in range(n) for b in range(a) if alike(a, b)])
+    if block == 1000 and elements == 10**9:
+        assert len(links) < 3 * n
