@@ -71,10 +71,11 @@ p AS (
          CAST(coalesce(sum(strlen(bytes)) OVER (PARTITION BY file ORDER BY record_id, sha256(bytes)
                                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position
   FROM r)
-SELECT file, position, record_id, length, 'missing' AS status, expected_digest, NULL AS actual_digest FROM p WHERE record_id % 193 = 7
+SELECT file, min(position) AS position, record_id, length, 'missing' AS status, expected_digest, NULL AS actual_digest, count(*) AS copies
+FROM p WHERE record_id % 193 = 7 GROUP BY ALL
 UNION ALL
-SELECT file, position, record_id, length, 'altered', expected_digest, sha256('X' || bytes[2:])
-FROM p WHERE record_id % 97 = 13 AND record_id % 193 <> 7"""
+SELECT file, min(position), record_id, length, 'altered', expected_digest, sha256('X' || bytes[2:]), count(*)
+FROM p WHERE record_id % 97 = 13 AND record_id % 193 <> 7 GROUP BY file, record_id, length, expected_digest, bytes"""
 
 FIM_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),

@@ -29,7 +29,7 @@ def op1_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit of a replica with altered and missing records, made from the pages by rule."""
+    """Audit of a replica with altered and lost records, made from the pages by rule; its offsets are those of its own bytes."""
     records = fixity.warc_records(table(spark, sf_dir, "pages"))
     broken = F.when(F.col("record_id") % 97 == 13, F.concat(F.lit("X"), F.substring("bytes", 2, 2_000_000_000))).otherwise(F.col("bytes"))
     replica = records.where(~F.coalesce(F.col("record_id") % 193 == 7, F.lit(False))).withColumn("bytes", broken)

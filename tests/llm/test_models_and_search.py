@@ -79,21 +79,68 @@ def test_hot_buckets_are_split_and_searched_whole(spark, monkeypatch):
         assert len(r.ids) >= 190 and len(v) == 200
 
 
-def test_fixity_finds_altered_missing_and_extra(spark):
+def fixity_pages(spark):
     pages = [(i, f"http://h/{i}", "x" * (i * 37 % 3000)) for i in range(300)] + [(None, None, None), (5, "http://h/5", "again")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("file", F.lit("mine"))
+    return spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("file", F.lit("mine")), len(pages)
+
+
+def test_fixity_finds_altered_missing_and_extra(spark, monkeypatch):
+    df, n = fixity_pages(spark)
     records = fixity.warc_records(df, per_file=100)
     held = fixity.digests(records)
     assert fixity.audit(held, held).isEmpty()
     changed = records.where("coalesce(record_id, 0) <> 17").withColumn(
         "bytes", F.when(F.col("record_id") == 250, F.lit("other")).otherwise(F.col("bytes"))
     )
-    surplus = records.where("record_id = 40").withColumn("position", F.col("position") + 1)
-    got = {(r.record_id, r.status) for r in fixity.audit(held, fixity.digests(changed.unionByName(surplus)), range_bytes=2000).collect()}
-    assert got == {(17, "missing"), (250, "altered"), (40, "extra")}
-    assert fixity.audit(held, fixity.digests(records.limit(0))).where("status = 'missing'").count() == len(pages)
+    replica = fixity.digests(changed.unionByName(records.where("record_id = 40")))
+    # offsets behind the lost record are those of the replica's own bytes
+    place = lambda rows, i: rows.where(F.col("record_id") == i).first()["position"]
+    lost = held.where("record_id = 17").first()["length"]
+    assert place(replica, 30) == place(held, 30) - lost and place(replica, 16) == place(held, 16)
+    got = {(r.record_id, r.status, r.copies) for r in fixity.audit(held, replica, range_bytes=2000).collect()}
+    assert got == {(17, "missing", 1), (250, "altered", 1), (40, "extra", 1)}
+    assert fixity.audit(held, fixity.digests(records.limit(0))).where("status = 'missing'").agg(F.sum("copies")).first()[0] == n
     empty = fixity.digests(records.limit(0))
     assert fixity.audit(empty, empty).isEmpty()
+    rows = [(r.file, r.position, r.record_id) for r in held.collect()]
+    sizes = {(r.file, r.position): r.length * r.copies for r in held.collect()}
+    for file in {r[0] for r in rows}:  # gapless from 0, in order of the ids
+        at = 0
+        for _, position, _ in sorted((r for r in rows if r[0] == file), key=lambda r: r[1]):
+            assert position == at
+            at += sizes[file, position]
+        ids = [r[2] for r in sorted((r for r in rows if r[0] == file), key=lambda r: r[1])]
+        assert ids == sorted(ids, key=lambda i: -1 if i is None else i)
+
+
+def test_fixity_equal_replicas_end_at_their_roots(spark, monkeypatch):
+    df, _ = fixity_pages(spark)
+    records = fixity.warc_records(df, per_file=10)
+    a, b = fixity.digests(records), fixity.digests(records.repartition(3))
+    levels = fixity.shape([a, b], 2000)
+    assert levels[0] >= 1 and levels[1] >= 2
+    trees = [fixity.tree(rows, levels, 2000) for rows in (a, b)]
+    assert [t[-1].count() for t in trees] == [1, 1] and fixity.root(trees[0]) == fixity.root(trees[1])
+    compared = []
+    kept = fixity.stage
+    monkeypatch.setattr(fixity, "stage", lambda rows, purpose: compared.append(purpose) or kept(rows, purpose))
+    assert fixity.differing(*trees, levels[0]).isEmpty() and compared == ["suspects"]
+    other = fixity.digests(records.where("coalesce(record_id, 0) <> 123"))
+    assert fixity.root(fixity.tree(other, fixity.shape([other, a], 2000), 2000)) != fixity.root(trees[0])
+    assert [(r.record_id, r.status, r.file) for r in fixity.audit(a, other, 2000).collect()] == [(123, "missing", 12)]
+    assert fixity.root(fixity.tree(a.limit(0), levels, 2000)) is None
+
+
+def test_fixity_of_repeated_and_odd_records(spark):
+    rows = [(0, 1, "same")] * 500 + [(0, 1, f"text {i}") for i in range(50)] + [(None, None, None)] * 40 + [(-7, 3, ""), (-7, 4, "four")]
+    schema = "file long, record_id long, bytes string"
+    held = fixity.digests(spark.createDataFrame(rows, schema))
+    assert held.agg(F.sum("copies")).first()[0] == len(rows)
+    other = [(0, 1, "same")] * 497 + [(0, 1, f"text {i}") for i in range(1, 50)] + [(None, None, None)] * 41 + [(-7, 3, "x"), (-7, 4, "four"), (-7, 4, "four")]
+    got = {(r.file, r.record_id, r.status, r.copies) for r in fixity.audit(held, fixity.digests(spark.createDataFrame(other, schema)), 100).collect()}
+    assert got == {(0, 1, "missing", 3), (0, 1, "missing", 1), (-1, None, "extra", 1), (-7, 3, "altered", 1), (-7, 4, "extra", 1)}
+    placed = fixity.digests(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema + ", position long"))
+    assert placed.count() == len(rows) and fixity.audit(placed, placed).isEmpty()
 
 
 def brute_kneser_ney(training, text, order):
