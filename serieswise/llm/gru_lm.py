@@ -42,6 +42,8 @@ PILOT_DOCS, PILOT_EPOCHS = 300, 4
 #: Tokens trained on in one go; the next go starts its streams anew.
 CHUNK = 1_000_000
 BLOCK_BYTES = 12_000_000
+#: Tokens whose softmax is taken at once in scoring.
+SIDE = 16_384
 #: A word with less than this share of all tokens has no slot, which bounds the words considered.
 LEAST_SHARE = 1e-5
 
@@ -157,12 +159,42 @@ def start_parameters(classes: Classes, seed: int = 3) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    return x / x.sum(1, keepdims=True)
+    """In place, a column each: sums along rows of memory are several times faster."""
+    x -= x.max(0)
+    np.exp(x, out=x)
+    x /= x.sum(0)
+    return x
+
+
+def _log_share(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log of the softmax of each column at its chosen row; overwrites x."""
+    x -= x.max(0)
+    mine = x[chosen, np.arange(x.shape[1])]
+    return mine - np.log(np.exp(x, out=x).sum(0))
+
+
+def _by_class(c: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order that brings tokens of a class together, and (class, begin, stop) of each class present."""
+    order = np.argsort(c.astype(np.int16), kind="stable")  # 16 bits are sorted by radix
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(c, minlength=CLASSES))])
+    return order, [(q, int(cuts[q]), int(cuts[q + 1])) for q in np.flatnonzero(np.diff(cuts))]
+
+
+def _slot_logits(p: dict[str, np.ndarray], states: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+    """Slots by tokens; the states are in order of class, so each class's weights are read once."""
+    x = np.empty((SLOTS, states.shape[1]), states.dtype)
+    for q, a, b in runs:
+        x[:, a:b] = p["Ws"][q].T @ states[:, a:b]
+        x[:, a:b] += p["bs"][q][:, None]
+    return x
 
 
 class Trainer:
@@ -173,6 +205,14 @@ class Trainer:
         self.m = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.v = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.rate, self.steps, self.tokens = rate, 0, 0
+        self.rooms: dict[str, np.ndarray] = {}
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """An array used again from window to window: fresh memory costs more than the arithmetic."""
+        room = self.rooms.get(name)
+        if room is None or room.shape != shape:
+            room = self.rooms[name] = np.empty(shape, self.p["Wh"].dtype)
+        return room
 
     def train(self, symbols: np.ndarray, streams: int = STREAMS, window: int = WINDOW) -> float:
         """One pass; symbols begin with the end symbol. Returns the mean loss in nats."""
@@ -191,60 +231,83 @@ class Trainer:
         return loss / (streams * length)
 
     def _window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
+        """One step of Adam; values lie in rows, tokens in columns, so that each gate is one stretch of memory."""
         p, steps, s = self.p, len(x), x.shape[1]
-        ends = x == 1  # class 0, slot 1
-        a = (p["E"] @ p["Wx"] + p["b"])[x]
-        held = np.empty((steps + 1, s, HIDDEN), np.float32)
-        before, gates, inner = np.empty((steps, s, HIDDEN), np.float32), [], np.empty((steps, s, HIDDEN), np.float32)
-        held[0] = h
+        room, kind = self._room, p["Wh"].dtype
+        keep = (x != 1).astype(kind)  # not class 0, slot 1: an end clears the state
+        a = np.take((p["E"] @ p["Wx"] + p["b"]).T.copy(), x, axis=1, out=room("a", 3 * HIDDEN, steps, s), mode="clip")
+        out, before, inner = (room(name, HIDDEN, steps, s) for name in ("out", "before", "inner"))
+        gates, g, into = room("gates", steps, 3 * HIDDEN, s), room("g", 3 * HIDDEN, s), p["Wh"].T.copy()
+        h = h.T.astype(kind, order="C")
         for t in range(steps):
-            h = np.where(ends[t][:, None], np.float32(0), h)
-            g = h @ p["Wh"]
-            zr = _sigmoid(a[t][:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n = np.tanh(a[t][:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
-            before[t], inner[t] = h, g[:, 2 * HIDDEN :]
-            h = n + z * (h - n)
-            held[t + 1] = h
-            gates.append((z, r, n))
-        out, target = held[1:].reshape(-1, HIDDEN), y.ravel()
+            zr, n = gates[t, : 2 * HIDDEN], gates[t, 2 * HIDDEN :]
+            h *= keep[t]
+            before[:, t] = h
+            np.matmul(into, h, out=g)
+            inner[:, t] = g[2 * HIDDEN :]
+            _sigmoid(np.add(a[: 2 * HIDDEN, t], g[: 2 * HIDDEN], out=zr))
+            np.multiply(zr[HIDDEN:], g[2 * HIDDEN :], out=n)
+            n += a[2 * HIDDEN :, t]
+            np.tanh(n, out=n)
+            h -= n
+            h *= zr[:HIDDEN]
+            h += n
+            out[:, t] = h
+        out, target = out.reshape(HIDDEN, -1), y.ravel()
         c, k = target // SLOTS, target % SLOTS
         rows = np.arange(len(target))
-        pc = _softmax(out @ p["Wc"] + p["bc"])
-        slot = p["Ws"][c]
-        ps = _softmax(np.einsum("bh,bhk->bk", out, slot) + p["bs"][c])
-        loss = -float(np.log(np.maximum(pc[rows, c] * ps[rows, k], 1e-30)).sum())
-        pc[rows, c] -= 1
-        ps[rows, k] -= 1
-        d = {"Wc": out.T @ pc, "bc": pc.sum(0)}
-        order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
+        pc = np.matmul(p["Wc"].T, out, out=room("pc", CLASSES, steps * s))
+        pc += p["bc"][:, None]
+        pc = _softmax(pc)
+        order, runs = _by_class(c)
+        grouped, place = np.take(out, order, axis=1), k[order]
+        ps = _softmax(_slot_logits(p, grouped, runs))
+        loss = -float(np.log(np.maximum(pc[c, rows][order] * ps[place, rows], 1e-30)).sum())
+        pc[c, rows] -= 1
+        ps[place, rows] -= 1
+        d = {"Wc": out @ pc.T, "bc": pc.sum(1)}
         d["Ws"], d["bs"] = np.zeros_like(p["Ws"]), np.zeros_like(p["bs"])
-        for q in range(CLASSES):
-            mine = order[cuts[q] : cuts[q + 1]]
-            if len(mine):
-                d["Ws"][q], d["bs"][q] = out[mine].T @ ps[mine], ps[mine].sum(0)
-        dout = (pc @ p["Wc"].T + np.einsum("bk,bhk->bh", ps, slot)).reshape(steps, s, HIDDEN)
-        da = np.empty((steps, s, 3 * HIDDEN), np.float32)
-        dg = np.empty((steps, s, 3 * HIDDEN), np.float32)
-        down = np.zeros((s, HIDDEN), np.float32)
+        back = np.empty_like(grouped)
+        for q, i, j in runs:
+            d["Ws"][q], d["bs"][q] = grouped[:, i:j] @ ps[:, i:j].T, ps[:, i:j].sum(1)
+            back[:, i:j] = p["Ws"][q] @ ps[:, i:j]
+        dout = np.matmul(p["Wc"], pc, out=room("dout", HIDDEN, steps * s))
+        dout[:, order] += back
+        dout = dout.reshape(HIDDEN, steps, s)
+        da, dg, step = room("da", 3 * HIDDEN, steps, s), room("dg", 3 * HIDDEN, steps, s), room("step", 3 * HIDDEN, s)
+        dz, dr, dn = step[:HIDDEN], step[HIDDEN : 2 * HIDDEN], step[2 * HIDDEN :]
+        dh, rest, down = room("dh", HIDDEN, s), room("rest", HIDDEN, s), room("down", HIDDEN, s)
+        down[:] = 0
         for t in range(steps - 1, -1, -1):
-            z, r, n = gates[t]
-            dh = dout[t] + down
-            dn = dh * (1 - z) * (1 - n * n)
-            da[t, :, :HIDDEN] = dh * (before[t] - n) * z * (1 - z)
-            da[t, :, HIDDEN : 2 * HIDDEN] = dn * inner[t] * r * (1 - r)
-            da[t, :, 2 * HIDDEN :] = dn
-            dg[t, :, : 2 * HIDDEN] = da[t, :, : 2 * HIDDEN]
-            dg[t, :, 2 * HIDDEN :] = dn * r
-            down = np.where(ends[t][:, None], np.float32(0), dh * z + dg[t] @ p["Wh"].T)
-        flat, inputs = da.reshape(-1, 3 * HIDDEN), x.ravel()
-        d["Wh"] = before.reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
-        d["b"] = flat.sum(0)
-        by = np.zeros((CLASSES * SLOTS, 3 * HIDDEN), np.float32)
-        order = np.argsort(inputs, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(inputs[order]) != 0]))
-        by[inputs[order][first]] = np.add.reduceat(flat[order], first, axis=0)
+            z, r, n = gates[t, :HIDDEN], gates[t, HIDDEN : 2 * HIDDEN], gates[t, 2 * HIDDEN :]
+            np.add(dout[:, t], down, out=dh)
+            np.subtract(1, z, out=rest)
+            # dz = dh (before - n) z (1 - z)
+            np.subtract(before[:, t], n, out=dz)
+            dz *= dh
+            dz *= z
+            dz *= rest
+            # dn = dh (1 - z) (1 - n n)
+            np.multiply(n, n, out=dn)
+            np.subtract(1, dn, out=dn)
+            dn *= rest
+            dn *= dh
+            # dr = dn inner r (1 - r)
+            np.subtract(1, r, out=dr)
+            dr *= r
+            dr *= inner[:, t]
+            dr *= dn
+            da[:, t] = step
+            dn *= r
+            dg[:, t] = step
+            np.matmul(p["Wh"], step, out=down)
+            dh *= z
+            down += dh
+            down *= keep[t]
+        back, inputs = da.reshape(3 * HIDDEN, -1), x.ravel()
+        d["Wh"] = before.reshape(HIDDEN, -1) @ dg.reshape(3 * HIDDEN, -1).T
+        d["b"] = back.sum(1)
+        by = np.stack([np.bincount(inputs, row, CLASSES * SLOTS) for row in back], 1).astype(kind)
         d["Wx"], d["E"] = p["E"].T @ by, by @ p["Wx"].T
         self.steps += 1
         for name, grad in d.items():
@@ -253,7 +316,7 @@ class Trainer:
             self.v[name] += 0.01 * (grad * grad - self.v[name])
             fix = self.rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
             self.p[name] -= (fix * self.m[name] / (np.sqrt(self.v[name]) + 1e-8)).astype(np.float32)
-        return loss, h
+        return loss, h.T
 
 
 def flat(parameters: dict[str, np.ndarray]) -> np.ndarray:
@@ -316,31 +379,45 @@ def log_probabilities(p: dict[str, np.ndarray], symbols: np.ndarray, tokens: np.
     longest = int(tokens.max()) if len(tokens) else 0
     active = len(tokens) - np.searchsorted(np.sort(tokens), np.arange(longest), side="right")
     out = np.zeros(len(symbols))
-    table = p["E"] @ p["Wx"] + p["b"]
-    h = np.zeros((len(tokens), HIDDEN), np.float32)
+    table, into = (p["E"] @ p["Wx"] + p["b"]).T.copy(), p["Wh"].T.copy()
+    h = np.zeros((HIDDEN, len(tokens)), np.float32)
     last = np.ones(len(tokens), np.int64)
-    for t0 in range(0, longest, WINDOW):
-        states, targets, places = [], [], []
-        for t in range(t0, min(t0 + WINDOW, longest)):
-            n = active[t]
-            h, at = h[:n], begin[:n] + t
-            a, g = table[last[:n]], h @ p["Wh"]
-            zr = _sigmoid(a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-            z = zr[:, :HIDDEN]
-            new = np.tanh(a[:, 2 * HIDDEN :] + zr[:, HIDDEN:] * g[:, 2 * HIDDEN :])
-            h = new + z * (h - new)
-            last = symbols[at]
-            states.append(h)
-            targets.append(last)
-            places.append(at)
-        state, target, place = np.concatenate(states), np.concatenate(targets), np.concatenate(places)
+    # as many steps at once as make about SIDE tokens, in rooms used again
+    reached, t = np.cumsum(active), 0
+    rooms = {name: np.empty(3 * HIDDEN * len(tokens), np.float32) for name in ("a", "g")}
+    while t < longest:
+        begun = int(reached[t] - active[t])
+        until = min(longest, max(t + 1, int(np.searchsorted(reached, begun + SIDE))))
+        width = int(reached[until - 1]) - begun
+        state, target, place = np.empty((HIDDEN, width), np.float32), np.empty(width, np.int64), np.empty(width, np.int64)
+        stop = 0
+        for t in range(t, until):
+            n = int(active[t])
+            if n < h.shape[1]:
+                h = h[:, :n].copy()
+            a, g = (rooms[name][: 3 * HIDDEN * n].reshape(3 * HIDDEN, n) for name in ("a", "g"))
+            np.take(table, last[:n], axis=1, out=a, mode="clip")
+            np.matmul(into, h, out=g)
+            a[: 2 * HIDDEN] += g[: 2 * HIDDEN]
+            zr, new = _sigmoid(a[: 2 * HIDDEN]), g[2 * HIDDEN :]
+            new *= zr[HIDDEN:]
+            new += a[2 * HIDDEN :]
+            np.tanh(new, out=new)
+            h -= new
+            h *= zr[:HIDDEN]
+            h += new
+            start, stop = stop, stop + n
+            np.add(begin[:n], t, out=place[start:stop])
+            last = np.take(symbols, place[start:stop], out=target[start:stop], mode="clip")
+            state[:, start:stop] = h
+        t = until
         c, k = target // SLOTS, target % SLOTS
-        rows = np.arange(len(c))
-        x = state @ p["Wc"] + p["bc"]
-        top = x.max(1)
-        s = np.einsum("bh,bhk->bk", state, p["Ws"][c]) + p["bs"][c]
-        most = s.max(1)
-        out[place] = (x[rows, c] - top - np.log(np.exp(x - top[:, None]).sum(1))) + (s[rows, k] - most - np.log(np.exp(s - most[:, None]).sum(1)))
+        x = p["Wc"].T @ state
+        x += p["bc"][:, None]
+        order, runs = _by_class(c)
+        slot = _log_share(_slot_logits(p, np.take(state, order, axis=1), runs), k[order])
+        out[place] = _log_share(x, c)
+        out[place[order]] += slot
     return out
 
 

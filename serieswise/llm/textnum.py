@@ -33,19 +33,26 @@ class Words:
         data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         self.data = _LOWER[data] if lower else data
         blank = _BLANK[data]
-        bounds = np.flatnonzero(np.diff(np.concatenate([[True], blank]).astype(np.int8)))
+        turns = blank[1:] != blank[:-1]
+        bounds = np.flatnonzero(turns) + 1
+        if not blank[0]:
+            bounds = np.concatenate([[0], bounds])
         self.start, self.stop = bounds[0::2], bounds[1::2]
-        lengths = np.array([len(r) + 1 for r in raw], np.int64)
-        self.document = np.searchsorted(np.cumsum(lengths), self.start, side="right")
-        self.count = np.bincount(self.document, minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
+        ends = np.cumsum(np.array([len(r) + 1 for r in raw], np.int64))
+        before = np.searchsorted(self.start, ends)  # words up to the end of each text
+        self.count = np.diff(before, prepend=0)
+        self.document = np.repeat(np.arange(len(texts)), self.count)
         if not len(self.start):
             self.hash = np.zeros(0, np.uint64)
             return
         size = self.stop - self.start
         first = np.concatenate([[0], np.cumsum(size)[:-1]])
-        place = np.arange(int(size.sum())) - np.repeat(first, size)
-        letters = self.data[np.flatnonzero(~blank)]
-        values = _TABLE[((place & 63) << 8) + letters]
+        narrow = np.int32 if len(data) < 1 << 31 else np.int64
+        place = np.arange(int(size.sum()), dtype=narrow)
+        place -= np.repeat(first.astype(narrow), size)
+        at = (place & 63) << 8
+        at += self.data[~blank]
+        values = np.take(_TABLE, at)
         if int(size.max()) > 64:  # longer words: another factor for each stretch of 64
             values = values * ((place >> 6).astype(np.uint64) * np.uint64(2) + np.uint64(1))
         self.hash = mix(np.add.reduceat(values, first) + size.astype(np.uint64))
