@@ -8,6 +8,7 @@ from serieswise import config as C
 from serieswise.catalog.base import *  # noqa: F403
 from serieswise.catalog.frame_queries import RAW, SPLIT, rates_sql
 from serieswise.catalog.profile_queries import outlier_sql
+from serieswise.catalog.window_queries import LIMITS, MARKED
 from serieswise.operators import frames as T
 from serieswise.operators import profile as P
 from serieswise.operators import scoring as S
@@ -16,21 +17,30 @@ from serieswise.session import shared_dir
 from serieswise.sources import panel_io as IO
 
 
-@query("sink_tables", panel_sql("""
+HIGH_NA = rates_sql("split", RAW, "WHERE split = 'train'")
+
+
+@query("sink_tables", panel_sql(f"""
 SELECT 'cleaned' AS sheet, split, count(*) AS n_rows, CAST(sum(D1) AS BIGINT) AS d1 FROM split GROUP BY split
-UNION ALL SELECT 'high_na', 'all', 2, NULL""", SPLIT))
+UNION ALL SELECT 'dirty_summary', 'all', count(DISTINCT series_id), CAST(count(*) FILTER (WHERE V1_spike) AS BIGINT) FROM marked
+UNION ALL SELECT 'high_na', 'all', count(*), NULL FROM ({HIGH_NA}) WHERE na_rate >= 0.40""", SPLIT, LIMITS, MARKED))
 def sink_tables(spark, sf_dir):
-    """Cleaned panel partitioned by split, and the column sheet, written and re-read."""
+    """Cleaned panel partitioned by split, spike summary and column sheet, written twice and re-read; d1 of the summary counts spikes."""
     panel = T.split_three_way(fx_panel(spark, sf_dir)).persist()
     cleaned, summary = clean_spikes(panel, ["V1"])
     folder = shared_dir(spark, "sheets")
     tables = {"cleaned": cleaned, "dirty_summary": summary, "high_na": T.high_na_columns(panel.filter("split = 'train'"))}
-    IO.write_tables(tables, folder, {"cleaned": "split"})
-    back = spark.read.parquet(f"{folder}/cleaned").groupBy(F.lit("cleaned").alias("sheet"), "split").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("D1").alias("d1")
+    for _ in range(2):
+        IO.write_tables(tables, folder, {"cleaned": "split"})
+    panel.unpersist()
+    read = lambda name: spark.read.parquet(f"{folder}/{name}")
+    sheet = lambda name, d1: read(name).agg(F.count(F.lit(1)).alias("n_rows"), d1.cast("long").alias("d1")).select(
+        F.lit(name).alias("sheet"), F.lit("all").alias("split"), "n_rows", "d1"
+    )
+    back = read("cleaned").groupBy(F.lit("cleaned").alias("sheet"), "split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("D1").cast("long").alias("d1")
     )
-    sheet = spark.read.parquet(f"{folder}/high_na").agg(F.count(F.lit(1)).alias("n_rows"))
-    return back.unionByName(sheet.withColumn("sheet", F.lit("high_na")).withColumn("split", F.lit("all")), allowMissingColumns=True)
+    return back.unionByName(sheet("dirty_summary", F.sum("dirty_count"))).unionByName(sheet("high_na", F.max(F.lit(None))))
 
 
 @query("sink_eda", panel_sql(f"""
@@ -83,11 +93,12 @@ SELECT 'lagged' AS run, 'metric' AS kind, key, {rsql('value')} AS value FROM (
          unnest([CAST(count(*) AS DOUBLE), avg(position), avg(strategy_returns)]) AS value FROM returned)
 UNION ALL SELECT 'lagged', 'param', 'k', 1.0"""))
 def run_log(spark, sf_dir):
-    """Parameters and metrics of one run appended to a run table."""
+    """Parameters and metrics of one run in a run table; the metrics are logged twice, as by a retry."""
     df, path = returned(spark, sf_dir), shared_dir(spark, "runs")
     metrics = df.agg(
         F.count(F.lit(1)).alias("n_rows"), F.avg("position").alias("mean_position"), F.avg("strategy_returns").alias("mean_return")
     )
-    IO.append_run(metrics, "lagged", "metric", path)
+    for _ in range(2):
+        IO.append_run(metrics, "lagged", "metric", path)
     IO.append_run(df.agg(F.max(F.lit(C.K_DEFAULT)).alias("k")), "lagged", "param", path)
-    return out(spark.read.parquet(path), ["run", "kind", "key"], ["value"])
+    return out(IO.read_runs(spark, path), ["run", "kind", "key"], ["value"])

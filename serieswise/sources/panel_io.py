@@ -59,9 +59,9 @@ def read_panel(
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, partition_by: dict[str, str] | None = None) -> None:
-    """One Parquet dataset per table name."""
+    """One Parquet dataset per table name; a repeated call replaces it."""
     for name, df in tables.items():
-        writer = df.write.mode("errorifexists")
+        writer = df.write.mode("overwrite")
         column = (partition_by or {}).get(name)
         (writer.partitionBy(column) if column else writer).parquet(f"{folder}/{name}")
 
@@ -88,12 +88,27 @@ def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+RUNS = "run string, kind string, key string, value double"
+
+
 def append_run(df: DataFrame, run: str, kind: str, path: str) -> None:
-    """Append the numeric columns of one-row ``df`` as (run, kind, key, value)."""
+    """Put the numeric columns of one-row ``df`` into the run table as (run, kind, key, value).
+
+    The rows of a run and kind are a partition that is replaced whole when the job commits: a repeated or
+    retried call leaves one copy, other runs are untouched.
+    """
+    if not run or not kind:
+        raise ValueError("a run and its kind need names")
     cells = [
         F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in df.columns
     ]
     rows = df.select(F.explode(F.array(*cells)).alias("_c")).select(
         F.lit(run).alias("run"), F.lit(kind).alias("kind"), "_c.*"
     )
-    rows.write.mode("append").parquet(path)
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run", "kind").parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The run table; names stay text even where all look like numbers."""
+    return spark.read.schema(RUNS).parquet(path).select("run", "kind", "key", "value")

@@ -20,6 +20,7 @@ from serieswise.operators.concordance import kendall
 from serieswise.operators.correlation import corr_target, pair_correlations
 from serieswise.operators.diagnostics import learning_curve
 from serieswise.operators.ordered import exact_quantiles, spearman
+from serieswise.sources import panel_io as IO
 
 
 def close(a, b, tol=1e-9):
@@ -278,6 +279,40 @@ def test_histogram_edges(frame):
     assert profile.histogram(frame(x=[1, 2]).filter("x > 5"), "x", 3).isEmpty()
 
 
+@pytest.mark.parametrize("n", [2, 40, 3000])
+def test_density_equals_its_definition(spark, n):
+    """Few values reach the whole grid, many only a part; points that nothing reaches have density 0."""
+    x = np.concatenate([np.random.default_rng(n).standard_normal(n), [60.0] * (n > 40)])
+    rows = profile.density_curve(spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double"), "x").orderBy("point").collect()
+    h = x.std(ddof=1) * len(x) ** -0.2
+    grid = np.linspace(x.min(), x.max(), 200)
+    want = np.exp(-(((grid[:, None] - x) / h) ** 2) / 2).sum(1) / (len(x) * h * np.sqrt(2 * np.pi))
+    assert [r.point for r in rows] == list(range(200)) and close([r.x for r in rows], grid)
+    assert np.abs(np.array([r.density for r in rows]) - want).max() < 1e-13
+    if n == 3000:
+        assert min(r.density for r in rows) == 0
+
+
+def test_density_without_spread(frame):
+    rows = profile.density_curve(frame(x=[2, 2, 2]), "x", 3).orderBy("point").collect()
+    assert [(r.point, r.x, r.density) for r in rows] == [(0, 2, None), (1, 2, None), (2, 2, None)]
+    with pytest.raises(ValueError):
+        profile.density_curve(frame(x=[1, 2]), "x", 1)
+
+
+def test_run_table_keeps_one_copy_of_a_run(spark, frame, tmp_path):
+    path = str(tmp_path / "runs")
+    first, again = frame(a=[1]).select("a", F.lit(2).alias("b")), frame(a=[5]).select("a")
+    for run, df in (("01", first), ("2", first), ("01", first), ("2", again)):
+        IO.append_run(df, run, "metric", path)
+    IO.append_run(again, "2", "param/1", path)
+    got = {(r.run, r.kind, r.key, r.value) for r in IO.read_runs(spark, path).collect()}
+    assert got == {("01", "metric", "a", 1), ("01", "metric", "b", 2), ("2", "metric", "a", 5), ("2", "param/1", "a", 5)}
+    assert IO.read_runs(spark, path).count() == 4
+    with pytest.raises(ValueError):
+        IO.append_run(again, "", "metric", path)
+
+
 def test_profiles_of_an_empty_frame(frame):
     empty = frame(M1=[1, 2], E1=[3, 4]).filter("M1 > 5")
     cols = ["M1", "E1"]
