@@ -10,7 +10,7 @@ from serieswise.functions import scalar as Z
 from serieswise.operators import frames as T
 from serieswise.operators import scoring as S
 from serieswise.operators.features import engineered_map, features_v2
-from serieswise.session import shared_dir
+from serieswise.session import settle, shared_dir
 from serieswise.sources import panel_io as IO
 
 ROW = ["series_id", "date_id"]
@@ -199,11 +199,9 @@ REPORT_ORDER = [("lagged", "Lagged return"), ("hold", "Buy and hold"), ("half",
 
 
 def model_scores(spark, sf_dir):
-    """Mean score per position rule: a result table derived from the panel."""
-    df = positioned(spark, sf_dir)
+    """Mean score per position rule, all from one pass over the panel."""
     rules = {"lagged": F.col("position"), "hold": F.lit(1.0), "half": F.lit(0.5)}
-    tables = [S.score_v1(df.withColumn("position", p)).withColumn("model", F.lit(m)) for m, p in rules.items()]
-    rows = tables[0].unionByName(tables[1]).unionByName(tables[2])
+    rows = S.score_rules(positioned(spark, sf_dir), rules)
     return rows.groupBy("model").agg(F.avg("adjusted_sharpe").alias("score"), F.avg("raw_sharpe").alias("raw"))
 
 
@@ -249,7 +247,7 @@ SELECT model, {rsql('score')} AS score, {rsql('raw')} AS raw, 'new' AS origin FR
 UNION ALL SELECT model, {rsql('score')}, NULL, 'cached' FROM scores WHERE model = 'half'"""))
 def merge_cached_results(spark, sf_dir):
     """Results of this run, plus the earlier result of a model that did not run."""
-    scores = model_scores(spark, sf_dir)
+    scores = settle(model_scores(spark, sf_dir))  # a row a model, read several times
     path = shared_dir(spark, "cached")
     IO.write_report(scores, path)
     old = IO.read_report(spark, path, "model string, score double").withColumn("origin", F.lit("cached"))
@@ -262,7 +260,7 @@ SELECT model, {rsql('score')} AS score, {rsql('raw')} AS raw, CASE WHEN model =
        CASE WHEN score > (SELECT score FROM scores WHERE model = 'hold') THEN 1 ELSE 0 END AS beats_hold FROM scores"""))
 def summary_union(spark, sf_dir):
     """Benchmark row and model rows in one table; the benchmark has no parameter."""
-    scores = model_scores(spark, sf_dir)
+    scores = settle(model_scores(spark, sf_dir))  # a row a model, read several times
     bench = scores.filter("model = 'hold'")
     models = scores.filter("model <> 'hold'").withColumn("k", F.lit(1.0))
     level = T.one_row(bench.select("score"))["score"]

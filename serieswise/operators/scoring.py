@@ -18,6 +18,7 @@ from serieswise.config import BLOCK, KEYS, POS
 from serieswise.functions.scalar import clip, ratio, strategy_return
 from serieswise.operators.blocks import block_rows, expanding_std, is_blocked, last_known, renumber, rolling, running_max, running_product, scan
 from serieswise.operators.features import rolling_mean, rolling_std
+from serieswise.operators.frames import stacked
 from serieswise.operators.ordered import rank_corr, spearman, value_ranks, window_rank
 
 YEAR = float(C.TRADING_DAYS)
@@ -103,6 +104,25 @@ def score_v1(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return with_returns(df).groupBy(*keys).agg(*v1_sums()).select(*keys, *v1_columns())
 
 
+def score_rules(df: DataFrame, rules: dict[str, Column], keys: Sequence[str] = KEYS, name: str = "model") -> DataFrame:
+    """keys, the rule's name and the columns of ``score_v1`` for several position rules.
+
+    One aggregate over the rows, whatever the number of rules; the market is summed once.
+    """
+    free, market = F.col("risk_free_rate"), F.col("forward_returns")
+    gains = [strategy_return(position, market, free).alias(f"_r{i}") for i, position in enumerate(rules.values())]
+    sums = df.select(*keys, "forward_returns", "risk_free_rate", *gains).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.product(F.lit(1.0) + (market - free)).alias("_mprod"),
+        F.stddev_samp("forward_returns").alias("_mstd"),
+        *[F.product(F.lit(1.0) + (F.col(f"_r{i}") - free)).alias(f"_prod{i}") for i in range(len(gains))],
+        *[F.stddev_samp(f"_r{i}").alias(f"_std{i}") for i in range(len(gains))],
+    )
+    shared = {c: F.col(c) for c in ("n", "_mprod", "_mstd")}
+    rows = [{name: F.lit(m), **shared, "_prod": F.col(f"_prod{i}"), "_std": F.col(f"_std{i}")} for i, m in enumerate(rules)]
+    return stacked(sums, rows, keys).select(*keys, name, *v1_columns())
+
+
 def _log_mean(total: Column, low: Column, n: Column) -> Column:
     """exp(mean log1p) - 1: -1 after a total loss, undefined below it."""
     return F.when(low > -1, F.exp(total * (F.lit(1.0) / n)) - 1).when(low == -1, F.lit(-1.0))

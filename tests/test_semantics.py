@@ -300,6 +300,20 @@ def test_density_without_spread(frame):
         profile.density_curve(frame(x=[1, 2]), "x", 1)
 
 
+def test_rules_scored_together_equal_single_scores(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i % 2), int(i), float(r), 0.0001, float(p)) for i, (r, p) in enumerate(zip(rng.normal(0.0004, 0.01, 300), rng.uniform(0, 2, 300)))]
+    df = spark.createDataFrame(rows, "series_id long, date_id long, forward_returns double, risk_free_rate double, position double")
+    rules = {"own": F.col("position"), "hold": F.lit(1.0), "square": F.col("position") * F.col("position") / 2}
+    got = {(r.series_id, r.model): r for r in scoring.score_rules(df, rules).collect()}
+    assert len(got) == 6
+    for model, position in rules.items():
+        for want in scoring.score_v1(df.withColumn("position", position)).collect():
+            row = got[want.series_id, model]
+            assert row.n == want.n and close([row[c] for c in want.asDict()], list(want), 1e-12)
+    assert scoring.score_rules(df.limit(0), rules).isEmpty()
+
+
 def test_run_table_keeps_one_copy_of_a_run(spark, frame, tmp_path):
     path = str(tmp_path / "runs")
     first, again = frame(a=[1]).select("a", F.lit(2).alias("b")), frame(a=[5]).select("a")
