@@ -32,9 +32,9 @@ def _checked(method: str) -> str:
     return method
 
 
-def _rank_corr(pairs: DataFrame, keys: Sequence[str], method: str) -> DataFrame:
-    """keys, corr of x and y."""
-    table, name = (spearman(pairs, keys), "ic") if method == "spearman" else (kendall(pairs, keys), "tau")
+def _rank_corr(pairs: DataFrame, keys: Sequence[str], method: str, largest: int | None = None) -> DataFrame:
+    """keys, corr of x and y; ``largest`` is an upper bound of pairs per key if the caller has one."""
+    table, name = (spearman(pairs, keys, largest=largest), "ic") if method == "spearman" else (kendall(pairs, keys), "tau")
     return table.select(*keys, F.col(name).alias("corr"))
 
 
@@ -43,7 +43,8 @@ def corr_target(df: DataFrame, cols: Sequence[str], target: str, method: str = "
     if target not in df.columns:
         raise ValueError(f"no target column {target!r}")
     if _checked(method) != "pearson":
-        return _signed(_rank_corr(long_pairs(df, cols, target), ["feature"], method))
+        rows = settle(drop_null_target(df, target).select(target, *[c for c in cols if c != target]))  # read several times
+        return _signed(_rank_corr(long_pairs(rows, cols, target), ["feature"], method, rows.count()))
     wide = df.agg(*[safe_corr(F.col(c), F.col(target)).alias(c) for c in cols])
     return _signed(stacked(wide, [{"feature": F.lit(c), "corr": F.col(c)} for c in cols]))
 
@@ -198,9 +199,16 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def spearman_ic(df: DataFrame, cols: Sequence[str], target: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rank correlation with the target and its t statistic per column."""
-    return _with_t(spearman(long_pairs(df, cols, target, keys), [*keys, "feature"]))
+def spearman_ic(
+    df: DataFrame, cols: Sequence[str], target: str, keys: Sequence[str] = (), written: bool = False
+) -> DataFrame:
+    """Rank correlation with the target and its t statistic per column.
+
+    The rows are read several times: they are written once before, unless ``written`` says that they are.
+    """
+    rows = df if written else settle(drop_null_target(df, target).select(*dict.fromkeys([*keys, target, *cols])))
+    largest = longest_group(rows, keys) if keys else rows.count()
+    return _with_t(spearman(long_pairs(rows, cols, target, keys), [*keys, "feature"], largest=largest))
 
 
 def _with_t(table: DataFrame) -> DataFrame:

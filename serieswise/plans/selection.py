@@ -102,8 +102,16 @@ def selection_funnel(panel: DataFrame, target: str = C.RETURN_TARGET, rounds: in
 
 def ic_table(df: DataFrame, cols: Sequence[str], target: str, keys: Sequence[str] = ()) -> DataFrame:
     """keys, feature, n, ic, t_stat, variance for columns with a defined IC on 10 rows or more."""
-    known = drop_null_target(df, target)
-    ics = spearman_ic(known, cols, target, keys).filter("n >= 10 and ic is not null")
+    return _ic_table(_known(df, cols, target, keys), cols, target, keys)
+
+
+def _known(df: DataFrame, cols: Sequence[str], target: str, keys: Sequence[str]) -> DataFrame:
+    """Rows with a target, written once for the statistics that read them."""
+    return settle(drop_null_target(df, target).select(*dict.fromkeys([*keys, target, *cols])))
+
+
+def _ic_table(known: DataFrame, cols: Sequence[str], target: str, keys: Sequence[str]) -> DataFrame:
+    ics = spearman_ic(known, cols, target, keys, written=True).filter("n >= 10 and ic is not null")
     wide = known.groupBy(*keys).agg(*[F.var_pop(c).alias(c) for c in cols])
     variances = stacked(wide, [{"feature": F.lit(c), "variance": F.col(c)} for c in cols], keys)
     return ics.join(variances, [*keys, "feature"])
@@ -140,8 +148,9 @@ def select_ic(
     Rank correlations and pair correlations come from Spark; the greedy walk sees
     one small table of columns and pairs per key.
     """
-    pairs = pair_correlations(drop_null_target(df, target), cols, keys)
-    return _selected(ic_table(df, cols, target, keys), pairs, cols, group, keys, t_min)
+    known = _known(df, cols, target, keys)
+    pairs = pair_correlations(known, cols, keys)
+    return _selected(_ic_table(known, cols, target, keys), pairs, cols, group, keys, t_min)
 
 
 def _selected(
