@@ -28,3 +28,55 @@ def test_ranks_write_distinct_values_not_rows(spark, large_groups, monkeypatch):
     got = ordered.spearman(pairs, []).first()
     assert written and max(written) <= 9
     assert got.n == 3000 and got.ic == pytest.approx(pdf["x"].rank().corr(pdf["y"].rank()), abs=1e-12)
+
+
+@pytest.fixture()
+def panel(spark, sf_dir):
+    from serieswise.operators.features import features_v2
+    from serieswise.sources.fixtures import fx_panel
+
+    def make():
+        return features_v2(fx_panel(spark, sf_dir))[0].checkpoint()
+
+    return make
+
+
+def both_ways(spark, make, run, by):
+    """Sorted results of whole series and of blocks of 128 rows."""
+    out = []
+    for rows in (None, "128"):
+        if rows:
+            spark.conf.set("serieswise.blockRows", rows)
+        try:
+            out.append(run(make()).toPandas().sort_values(by, ignore_index=True))
+        finally:
+            spark.conf.unset("serieswise.blockRows")
+    pd.testing.assert_frame_equal(out[0], out[1][out[0].columns], rtol=1e-7, atol=1e-9, check_dtype=False)
+    return out[0]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_selection_of_folds_reads_each_series_once(spark, panel):
+    from serieswise.catalog.selection_queries import COLS, TARGET
+    from serieswise.plans.selection import ic_table_per_fold, select_per_fold
+
+    for table in (ic_table_per_fold, select_per_fold):
+        run = lambda df: table(df, COLS, TARGET, 252, 5)
+        assert len(both_ways(spark, panel, run, ["series_id", "fold", "feature"]))
+        plan = plan_of(run(panel()))
+        assert "FlatMapGroupsInArrow" in plan and "Generate" not in plan
+
+
+def test_fold_models_of_whole_series_and_of_blocks_agree(spark, panel):
+    from serieswise.catalog.selection_queries import COLS, TARGET
+    from serieswise.plans.walk_forward import fit_folds
+    from pyspark.sql import functions as F
+
+    run = lambda df: fit_folds(df, COLS, TARGET, "ridge", initial=252).select(
+        "series_id", "fold", "train_size", "n_features", "intercept", *[F.col("weights")[i].alias(f"w{i}") for i in range(len(COLS))]
+    )
+    assert len(both_ways(spark, panel, run, ["series_id", "fold"]))
+    assert "Generate" not in plan_of(run(panel()))
