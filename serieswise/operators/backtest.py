@@ -5,15 +5,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from serieswise import config as C
 from serieswise.config import BLOCK, KEYS, POS
 from serieswise.functions.scalar import POSITION_MAPS, clip, ratio, strategy_return
-from serieswise.operators.blocks import Frames, rolling, running_max, running_product, scan
+from serieswise.operators.blocks import Frames, is_blocked, rolling, running_max, running_product, scan
 from serieswise.operators.features import rolling_mean, rolling_std
 from serieswise.operators.scoring import YEAR, v1_columns, v1_sums, with_returns
+from serieswise.operators.whole_series import column, grid_sums, nullable, per_series
+
+# cells of the grid's curves held at a time
+GRID_CELLS = 500_000
 
 
 class Setting(NamedTuple):
@@ -53,10 +59,8 @@ def vol_target(df: DataFrame, target: float, window: int, position: str = "posit
     return rows.withColumn(position, scaled).drop("_std")
 
 
-def _wide_positions(
-    df: DataFrame, settings: Sequence[Setting], probability: str, smooth: int, keys: Sequence[str]
-) -> DataFrame:
-    """Columns ``_pos<i>`` of every setting; rolling parts are computed once per day."""
+def _rolled(df: DataFrame, settings: Sequence[Setting], probability: str, smooth: int, keys: Sequence[str]) -> DataFrame:
+    """Smoothed maps and deviations that the settings share, once per day."""
     maps = sorted({s.mapping for s in settings})
     windows = sorted({s.window for s in settings})
     mapped = df.withColumns({f"_{m}": POSITION_MAPS[m](F.col(probability)) for m in maps})
@@ -67,7 +71,14 @@ def _wide_positions(
             out |= {f"_{m}": rolling_mean(F.col(f"_{m}"), f.last(smooth)) for m in maps}
         return out
 
-    rows = rolling(mapped, build, max([smooth, *windows]), keys=keys)
+    return rolling(mapped, build, max([smooth, *windows]), keys=keys)
+
+
+def _wide_positions(
+    df: DataFrame, settings: Sequence[Setting], probability: str, smooth: int, keys: Sequence[str]
+) -> DataFrame:
+    """Columns ``_pos<i>`` of every setting; rolling parts are computed once per day."""
+    rows = _rolled(df, settings, probability, smooth, keys)
     scaled = lambda s: F.col(f"_{s.mapping}") * vol_scale(F.col(f"_std{s.window}"), s.target)
     kept = [*keys, POS, *[c for c in (BLOCK, C.DAY) if c in rows.columns], "forward_returns", "risk_free_rate"]
     return rows.select(*kept, *[clip(scaled(s), 0.0, 2.0).alias(f"_pos{i}") for i, s in enumerate(settings)])
@@ -112,10 +123,12 @@ def backtest_grid(
 ) -> DataFrame:
     """Score components and basic statistics of every setting for every series.
 
-    All curves run over the un-multiplied rows in one sort; rows are multiplied by
-    the grid only on their way into the aggregate.
+    All curves run over the un-multiplied rows. Of a series that fits a block they are rows of an array
+    whose sums come out; of longer ones rows are multiplied by the grid on their way into the aggregate.
     """
     settings = settings or grid()
+    if not is_blocked(df):
+        return _scored_grid(_whole_sums(_rolled(df, settings, probability, smooth, keys), settings, keys), keys)
     wide = _wide_positions(df, settings, probability, smooth, keys)
     forward, rate = F.col("forward_returns"), F.col("risk_free_rate")
     span = range(len(settings))
@@ -133,6 +146,34 @@ def backtest_grid(
         F.min("drawdown").alias("max_drawdown"),
         F.product(F.lit(1.0) + F.col("strategy_returns")).alias("_total"),
     )
+    return _scored_grid(sums, keys)
+
+
+def _whole_sums(rows: DataFrame, settings: Sequence[Setting], keys: Sequence[str]) -> DataFrame:
+    """A row per series and setting with the sums of its curve."""
+    parts = {f"_{s.mapping}" for s in settings} | {f"_std{s.window}" for s in settings}
+    needed = ["forward_returns", "risk_free_rate", *sorted(parts)]
+    sums = ["_prod", "_mprod", "_std", "_mstd", "_mean", "_pop", "max_drawdown", "_total"]
+
+    def run(table: pa.Table) -> dict[str, pa.Array]:
+        table = table.sort_by("_at")
+        c = {name: column(table, f"_in{i}") for i, name in enumerate(needed)}
+        made, step = [], max(1, GRID_CELLS // len(table))
+        for some in (settings[a : a + step] for a in range(0, len(settings), step)):
+            scale = [s.target / np.sqrt(YEAR) / (c[f"_std{s.window}"] + 1e-8) for s in some]
+            scale = [np.clip(np.where(np.isnan(v), 1.0, v), 0.0, 3.0) for v in scale]
+            position = np.clip(np.stack([c[f"_{s.mapping}"] * v for s, v in zip(some, scale)]), 0.0, 2.0)
+            made.append(grid_sums(position, c["forward_returns"], c["risk_free_rate"]))
+        out = {"grid_idx": pa.array([s.grid_idx for s in settings], pa.int64()), "n": pa.array(np.full(len(settings), len(table)), pa.int64())}
+        return {**out, **{name: nullable(np.concatenate([m[name] for m in made])) for name in sums}}
+
+    cells = [F.col(name).cast("double").alias(f"_in{i}") for i, name in enumerate(needed)]
+    fields = ", ".join(["grid_idx long", "n long", *[f"{name} double" for name in sums]])
+    return per_series(rows.select(*keys, F.col(POS).alias("_at"), *cells), keys, run, fields)
+
+
+def _scored_grid(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    by = ["grid_idx", *keys]
     basic = {
         "annual_return": F.pow(F.lit(1.0) + F.col("_mean"), F.lit(YEAR)) - 1,
         "annual_volatility": F.col("_pop") * F.sqrt(F.lit(YEAR)),

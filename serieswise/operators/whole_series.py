@@ -140,3 +140,67 @@ def nullable(values: np.ndarray) -> pa.Array:
     """Doubles with null for NaN."""
     flat = np.ravel(values)
     return pa.array(flat, pa.float64(), mask=np.isnan(flat))
+
+
+def bounded_positions(prediction: np.ndarray, slope: np.ndarray, window: int) -> np.ndarray:
+    """``map_positions`` of the rows of ``prediction`` (one a slope), all of them known.
+
+    Where the rolling deviation has too few rows, the expanding one is that of the same rows.
+    """
+    spread = deviation(prediction, window)
+    spread = filled(np.where(spread >= 1e-12, spread, np.nan), lead_in=True)
+    return np.clip(1.0 + slope[:, None] * prediction / np.where(np.isnan(spread), 1.0, spread), 0.0, 2.0)
+
+
+def strategy_returns(position: np.ndarray, forward: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    return rate * (1.0 - position) + position * forward
+
+
+def _of_known(reduce: Callable[..., np.ndarray], values: np.ndarray, there: np.ndarray, zero: float) -> np.ndarray:
+    """A reduction of the last axis over the cells that are there, NaN for none."""
+    return np.where(there.any(-1), reduce(np.where(there, values, zero), axis=-1), np.nan)
+
+
+def product(values: np.ndarray) -> np.ndarray:
+    return _of_known(np.prod, values, ~np.isnan(values), 1.0)
+
+
+def least_known(values: np.ndarray) -> np.ndarray:
+    return _of_known(np.min, values, ~np.isnan(values), np.inf)
+
+
+def mean_known(values: np.ndarray) -> np.ndarray:
+    there = ~np.isnan(values)
+    return _of_known(np.sum, values, there, 0.0) / np.maximum(there.sum(-1), 1)
+
+
+def log_sum(values: np.ndarray) -> np.ndarray:
+    """Sum of log1p where it is defined."""
+    there = values > -1
+    return _of_known(np.sum, np.log1p(np.where(there, values, 0.0)), there, 0.0)
+
+
+def score_sums(position: np.ndarray, forward: np.ndarray, rate: np.ndarray) -> dict[str, np.ndarray]:
+    """The sums of ``score_v2`` for each row of ``position``, all of them known."""
+    returns, wide = strategy_returns(position, forward, rate), lambda v: np.full(len(position), v)
+    excess, market = returns - rate, forward - rate
+    return {
+        "_high": position.max(-1), "_low": position.min(-1), "_std": whole_std(returns), "_mstd": wide(whole_std(forward)),
+        "_log": log_sum(excess), "_mlog": wide(log_sum(market)), "_worst": least_known(excess), "_mworst": wide(least_known(market)),
+    }
+
+
+def grid_sums(position: np.ndarray, forward: np.ndarray, rate: np.ndarray) -> dict[str, np.ndarray]:
+    """The sums of ``score_v1`` and the basic statistics for each row of ``position``."""
+    returns, wide = strategy_returns(position, forward, rate), lambda v: np.full(len(position), v)
+    there = ~np.isnan(returns)
+    equity = np.cumprod(np.where(there, 1.0 + returns, 1.0), axis=-1)
+    equity[~np.logical_or.accumulate(there, axis=-1)] = np.nan
+    top = np.fmax.accumulate(equity, axis=-1)
+    fall = np.divide(equity, top, out=np.full(equity.shape, np.nan), where=top != 0) - 1
+    return {
+        "_prod": product(1.0 + (returns - rate)), "_mprod": wide(product(1.0 + (forward - rate))),
+        "_std": whole_std(returns), "_mstd": wide(whole_std(forward)), "_mean": mean_known(returns),
+        "_pop": np.sqrt(mean_known((returns - mean_known(returns)[:, None]) ** 2)),
+        "max_drawdown": least_known(fall), "_total": product(1.0 + returns),
+    }
