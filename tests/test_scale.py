@@ -80,3 +80,25 @@ def test_fold_models_of_whole_series_and_of_blocks_agree(spark, panel):
     )
     assert len(both_ways(spark, panel, run, ["series_id", "fold"]))
     assert "Generate" not in plan_of(run(panel()))
+
+
+def test_candidates_are_not_rows(spark, panel):
+    from serieswise.catalog.selection_queries import COLS
+    from serieswise.plans.search import candidates
+    from serieswise.plans.walk_forward import score_paths
+
+    run = lambda df: score_paths(df, COLS, "ridge", candidates("ridge", 6), initial=252)
+    assert both_ways(spark, panel, run, ["series_id", "fold", "candidate"])["adjusted_sharpe"].notna().all()
+    assert "Generate" not in plan_of(run(panel()))
+
+
+def test_grid_curves_are_not_rows(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from serieswise.catalog.base import scored
+    from serieswise.operators.backtest import backtest_grid
+
+    # unknown returns and probabilities stay unknown
+    gap = lambda c, k: F.when(F.col("date_id") % k != 5, F.col(c)).alias(c)
+    make = lambda: scored(spark, sf_dir).withColumns({c: gap(c, k) for c, k in (("forward_returns", 97), ("probability", 61))}).checkpoint()
+    assert len(both_ways(spark, make, backtest_grid, ["series_id", "grid_idx"]))
+    assert "Generate" not in plan_of(backtest_grid(make()))
