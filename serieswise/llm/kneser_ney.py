@@ -9,8 +9,7 @@ order by order, and go back to the block, so no task holds the model and texts a
 once. A document is kept if its perplexity is at most a quantile of its language's trusted
 documents, with a slack for short texts.
 
-The classifier is fitted on at most MAX_TRUSTED trusted documents, the smallest of each language
-by a hash of their id; languages below a joint bound are taken whole. They are dealt to FOLDS
+The classifier is fitted on all trusted documents. They are dealt to FOLDS
 folds, and each is scored by the counts without its own fold, so that the thresholds, which come
 from all trusted documents, are those of text the counts have not seen. Every document is scored
 as a whole. Null and empty texts consist of the end alone. A null language is the language "und".
@@ -26,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from serieswise.llm.common import ceil_div, sheltered, stage
@@ -34,8 +33,11 @@ from serieswise.llm.textnum import slices
 
 ORDER = 4
 BITS = 15
-MAX_TRUSTED = 200_000
 FOLDS = 5
+#: Trusted documents of a language that one task may number; more are dealt to the folds by their hash.
+SMALL_LANGUAGE = 10_000
+#: Trusted documents (two numbers each) that every task may hold; more meet the documents in a shuffled join.
+FEW_TRUSTED = 2_000_000
 BLOCK_BYTES = 16_000_000
 QUANTILE = 0.99
 #: The allowed log perplexity grows by this over the square root of the length.
@@ -98,53 +100,64 @@ def _level(sizes: list[int], bound: int) -> int:
     return max(1, level)
 
 
-def fitting(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRUSTED) -> pd.DataFrame:
-    """Trusted documents to fit on and the fold of each, by id: all, or of the languages with too many the smallest by hash.
-
-    Folds are dealt in the order of the hash, so that two documents of a language never share one
-    before each has some; the only one of a language is in none (-1).
-    """
+def _trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, lang and hash of the trusted documents, each once."""
     lang = F.min(F.coalesce("lang", F.lit("und"))).alias("lang")
     known = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(lang).join(good_documents(labels), "doc_id")
-    known = known.withColumn("hash", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    return known.withColumn("hash", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+
+
+def fitting(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(_id, _fold) of all trusted documents.
+
+    Folds are dealt by the hash, in small languages in its order, so that two documents of a language never
+    share one before each has some; the only one of a language is in none (-1).
+    """
+    known = stage(_trusted(docs, labels), "trusted")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row a language
-    level = _level(list(sizes.values()), bound)
-    if sizes and max(sizes.values()) > level:
-        # a little more than the share of each language, cut to it below
-        cuts = {k: min(1 << 30, int((level + 5 * level**0.5 + 20) / n * (1 << 30))) for k, n in sizes.items()}
-        known = known.where(F.col("hash") < F.try_element_at(F.create_map(*[F.lit(x) for p in cuts.items() for x in p]), F.col("lang")))
-    # about MAX_TRUSTED rows
-    rows = known.select("doc_id", "lang", "hash").toPandas().sort_values(["hash", "doc_id"]).groupby("lang").head(level)
-    place, size = rows.groupby("lang").cumcount(), rows.groupby("lang")["hash"].transform("size")
-    rows = pd.DataFrame({"_id": rows["doc_id"].astype(np.int64), "_fold": np.where(size > 1, place % FOLDS, -1).astype(np.int32)})
-    return rows.sort_values("_id", ignore_index=True)
+    small = F.col("lang").isin([k for k, n in sizes.items() if n <= SMALL_LANGUAGE])
+    of = Window.partitionBy("lang")
+    place = F.row_number().over(of.orderBy("hash", "doc_id")) - 1
+    few = known.where(small).select("doc_id", F.when(F.count(F.lit(1)).over(of) > 1, place % FOLDS).otherwise(-1).alias("fold"))
+    many = known.where(~small).select("doc_id", F.pmod("hash", F.lit(FOLDS)).alias("fold"))
+    return stage(few.unionByName(many).select(F.col("doc_id").alias("_id"), F.col("fold").cast("int").alias("_fold")), "folds")
 
 
-def trusted_ids(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRUSTED) -> np.ndarray:
-    return fitting(docs, labels, bound)["_id"].to_numpy()
+def trusted_ids(docs: DataFrame, labels: DataFrame, bound: int) -> np.ndarray:
+    """At most `bound` trusted documents for a trial: small languages whole, of the others the smallest by hash.
 
+    The classifier does not use it.
+    """
+    known = _trusted(docs, labels)
+    level = _level([r["count"] for r in known.groupBy("lang").count().collect()], bound)  # a row a language
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
+    rows = known.select("doc_id", place.alias("place")).where(F.col("place") <= level)
+    return np.sort(rows.select("doc_id").toPandas()["doc_id"].to_numpy(np.int64))
+
+
+def _beside(docs: DataFrame, trusted: DataFrame, how: str) -> DataFrame:
+    """The documents with the columns of their id in `trusted` (_id and others)."""
+    few = trusted.count() <= FEW_TRUSTED
+    return docs.join(F.broadcast(trusted) if few else trusted, F.col("doc_id").cast("long") == F.col("_id"), how)
 
-def count_grams(docs: DataFrame, trusted: np.ndarray, order: int = ORDER, folds: np.ndarray | None = None) -> DataFrame:
-    """(lang, gram, a0) over the trusted documents; with their folds also a1 to a5, the counts without each fold."""
-    shared = docs.sparkSession.sparkContext.broadcast((trusted, np.full(len(trusted), -1) if folds is None else folds))  # at most MAX_TRUSTED numbers each
+
+def count_grams(docs: DataFrame, trusted: DataFrame | np.ndarray, order: int = ORDER) -> DataFrame:
+    """(lang, gram, a0) over the trusted documents (_id); with their folds (_fold) also a1 to a5, the counts without each fold."""
+    if not isinstance(trusted, DataFrame):
+        trusted = docs.sparkSession.createDataFrame([(int(i),) for i in trusted], "_id long")
+    folded = "_fold" in trusted.columns
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pd.DataFrame] = []
-        known, fold_of = shared.value
 
         def merged() -> pd.DataFrame:
             return pd.concat(held).groupby(["lang", "fold", "gram"], sort=False, as_index=False)["a"].sum()
 
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            good = np.isin(ids, known)
-            if not good.any():
-                continue
-            some = batch.filter(pa.array(good))
-            fold = fold_of[np.searchsorted(known, ids[good].astype(np.int64))]
+            fold = batch.column(2).to_numpy()
             for f in np.unique(fold):
-                part = some.filter(pa.array(fold == f))
-                for lang, _, texts in _by_language(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                part = batch.filter(pa.array(fold == f))
+                for lang, _, texts in _by_language(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     place, unique = pd.factorize(codes(texts, order)[0])
                     held.append(pd.DataFrame({"lang": lang, "fold": np.int32(f), "gram": unique, "a": np.bincount(place)}))
             if sum(map(len, held)) > 1_000_000:
@@ -155,9 +168,10 @@ def count_grams(docs: DataFrame, trusted: np.ndarray, order: int = ORDER, folds:
             yield pa.RecordBatch.from_pandas(merged(), preserve_index=False)
         pa.default_memory_pool().release_unused()  # an idle worker keeps nothing
 
-    read = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
+    read = _beside(docs.select("doc_id", "lang", "text"), trusted, "inner")
+    read = read.select("lang", "text", F.col("_fold") if folded else F.lit(-1).alias("_fold"))
     parts = read.mapInArrow(counted, "lang string, fold int, gram long, a long")
-    if folds is None:
+    if not folded:
         return parts.groupBy("lang", "gram").agg(F.sum("a").alias("a0"))
     without = [F.sum(F.when(F.col("fold") == f, 0).otherwise(F.col("a"))).alias(f"a{f + 1}") for f in range(FOLDS)]
     return parts.groupBy("lang", "gram").agg(F.sum("a").alias("a0"), *without)
@@ -212,7 +226,8 @@ class Model:
                 d = self._discount_columns(k, F.concat("lang", F.lit(variant_name("", v))))
                 mass = sum(F.col(f"n{i}_{v}") * d[i - 1] for i in (1, 2, 3))
                 backs.append(F.when(F.col(f"total{v}") > 0, mass / F.col(f"total{v}")).alias(f"back{v}"))
-            self.contexts[k] = held.select("lang", "context", *[f"total{v}" for v in span], *backs)
+            # written, so that the plan of the scores, which is read twice, does not hold their making
+            self.contexts[k] = stage(held.select("lang", "context", *[f"total{v}" for v in span], *backs), f"contexts{k}")
 
     @staticmethod
     def _discount(r) -> tuple[float, float, float, float]:
@@ -273,7 +288,7 @@ def perplexities(docs: DataFrame, model: Model, folds: DataFrame | None = None)
     if folds is None:
         docs = docs.withColumn("_fold", F.lit(None).cast("int"))
     else:
-        docs = docs.join(F.broadcast(folds), F.col("doc_id") == F.col("_id"), "left")  # at most MAX_TRUSTED rows of two numbers
+        docs = _beside(docs, folds, "left")
         known = [name for k, name in model.discounts if k == order]
         without = F.concat(lang, F.lit(WITHOUT), F.col("_fold").cast("string"))
         unseen = F.when(F.col("_fold").isNull(), lang.isin(known)).otherwise(without.isin(known))
@@ -310,9 +325,11 @@ def perplexities(docs: DataFrame, model: Model, folds: DataFrame | None = None)
 
     # all columns go in, or the two branches would prune their exchanges differently and make two of them
     wanted = dealt.mapInArrow(asked, "_block int, lang string, gram long")
-    # one exchange by n-gram serves both the distinct n-grams and the way back to the blocks that asked
+    # one exchange by n-gram serves both the distinct n-grams and the way back to the blocks that asked: the count
+    # of blocks keeps the one column that would be pruned from the first and make it another exchange
     wanted = wanted.repartition("lang", "gram")
-    known = model.probabilities(wanted.select("lang", "gram").distinct())
+    distinct = wanted.groupBy("lang", "gram").agg(F.count("_block").alias("_n")).where("_n > 0")
+    known = model.probabilities(distinct.select("lang", "gram"))
     answered = wanted.join(known, ["lang", "gram"]).select("_block", "lang", "gram", "p")
 
     def scored(rows: pa.Table, table: pa.Table) -> pa.Table:
@@ -359,8 +376,8 @@ def _classify(docs: DataFrame, labels: DataFrame, order: int, quantile: float, s
     own = docs.columns
     fitted = fitting(docs, labels)
     known = docs.withColumn("lang", F.coalesce("lang", F.lit("und")))
-    model = Model(count_grams(known, fitted["_id"].to_numpy(), order, fitted["_fold"].to_numpy()), order)
-    scores = perplexities(docs.select(*own), model, docs.sparkSession.createDataFrame(fitted, "_id long, _fold int"))
+    model = Model(count_grams(known, fitted, order), order)
+    scores = perplexities(docs.select(*own), model, fitted)
     known = scores.join(F.broadcast(limits(scores, labels, quantile, slack)), F.coalesce("lang", F.lit("und")) == F.col("_of"), "left")
     limit = F.col("_height") + F.lit(slack) / F.sqrt("n_tokens")
     return known.select(

@@ -450,3 +450,14 @@ def test_letters_beyond_the_low_planes_are_read():
     texts = ["a 漢字仮名交 b", "漢字仮名", "\U00020000\U00020001\U00020002abc", "plainly \u2fff\u3000 \uffff", "漢漢漢漢漢"]
     got = [{lexicon.terms[t][0] for _, t, d, _ in toxicity.matches(lexicon, [x]) if d == 0} for x in texts]
     assert got == [{terms[0][0]}, set(), {terms[1][0]}, {terms[2][0]}, set()]
+
+
+def test_all_trusted_documents_are_counted_in_folds_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "SMALL_LANGUAGE", 100)
+    docs = spark.createDataFrame([(i, "de" if i < 1000 else "fi" if i < 1004 else "la", f"wort {i % 7}") for i in range(1005)], "doc_id long, lang string, text string")
+    folds = kneser_ney.fitting(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    dealt = {r._id: r._fold for r in folds.collect()}
+    assert sorted(dealt) == list(range(1005)) and dealt[1004] == -1
+    assert {dealt[i] for i in range(1000)} == set(range(5)) and len({dealt[i] for i in range(1000, 1004)}) == 4
+    counted = kneser_ney.count_grams(docs, folds, 2).where("lang = 'de'").agg(F.sum("a0").alias("n")).first().n
+    assert counted == 1000 * (len("wort 1") + 1)
