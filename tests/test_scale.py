@@ -102,3 +102,15 @@ def test_grid_curves_are_not_rows(spark, sf_dir):
     make = lambda: scored(spark, sf_dir).withColumns({c: gap(c, k) for c, k in (("forward_returns", 97), ("probability", 61))}).checkpoint()
     assert len(both_ways(spark, make, backtest_grid, ["series_id", "grid_idx"]))
     assert "Generate" not in plan_of(backtest_grid(make()))
+
+
+def test_rows_without_a_series_have_no_folds(spark, panel):
+    from pyspark.sql import functions as F
+    from serieswise.catalog.selection_queries import COLS, TARGET
+    from serieswise.plans.search import candidates
+    from serieswise.plans.selection import select_per_fold
+    from serieswise.plans.walk_forward import score_paths
+
+    df = panel().filter("series_id < 2").withColumn("series_id", F.when(F.col("series_id") > 0, F.col("series_id")))
+    for table in (select_per_fold(df, COLS, TARGET, 252, 5), score_paths(df, COLS, "ridge", candidates("ridge", 2), initial=252)):
+        assert {r.series_id for r in table.select("series_id").distinct().collect()} == {1}
