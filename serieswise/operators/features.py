@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from serieswise import config as C
-from serieswise.config import KEYS
+from serieswise.config import KEYS, POS
 from serieswise.functions.scalar import rate_regime, ratio
-from serieswise.operators.blocks import Frames, Span, last_known, rolling, scan
+from serieswise.operators import whole_series as arrays
+from serieswise.operators.blocks import Frames, Span, is_blocked, last_known, rolling, scan
 from serieswise.operators.frames import trim_leading_empty
 
 
@@ -50,35 +54,77 @@ def zscore(x: Column, w: Span, least: int) -> Column:
 Recipe = Callable[[Frames], Column]
 
 
-def recipe_v1(columns: Sequence[str]) -> dict[str, Recipe]:
-    """Name and builder of every first-generation feature whose column is present."""
+def steps_v1(columns: Sequence[str]) -> dict[str, tuple[str, str, int]]:
+    """Name of every first-generation feature whose column is present: its kind, column and window."""
     have, out = set(columns), {}
     for c in [c for c in C.MACRO_COLS if c in have]:
-        for w in C.MACRO_WINDOWS:
-            out[f"{c}_dev_ratio_w{w}"] = lambda f, c=c, w=w: dev_ratio(F.col(c), f.last(w))
+        out |= {f"{c}_dev_ratio_w{w}": ("dev_ratio", c, w) for w in C.MACRO_WINDOWS}
     dynamic = [c for c in C.DYNAMIC_COLS if c in have]
     for c in dynamic:
-        for w in C.MOMENTUM_LAGS:
-            out[f"{c}_mom_w{w}"] = lambda f, c=c, w=w: momentum(F.col(c), f, w)
-    for c in dynamic:
-        w = C.RANK_WINDOW
-        out[f"{c}_rank_pct_w{w}"] = lambda f, c=c, w=w: rank_pct(F.col(c), f.last(w))
+        out |= {f"{c}_mom_w{w}": ("mom", c, w) for w in C.MOMENTUM_LAGS}
+    out |= {f"{c}_rank_pct_w{C.RANK_WINDOW}": ("rank_pct", c, C.RANK_WINDOW) for c in dynamic}
     for c in [c for c in C.PRICE_COLS if c in have]:
-        for w in C.REVERSION_WINDOWS:
-            out[f"{c}_mr_z_w{w}"] = lambda f, c=c, w=w: zscore(F.col(c), f.last(w), 5)
+        out |= {f"{c}_mr_z_w{w}": ("mr_z", c, w) for w in C.REVERSION_WINDOWS}
     for c in [c for c in C.SENTIMENT_COLS if c in have]:
-        w, v = C.SMOOTH_WINDOW, C.SPIKE_WINDOW
-        out[f"{c}_smooth_w{w}"] = lambda f, c=c, w=w: rolling_mean(F.col(c), f.last(w))
-        out[f"{c}_spike_z_w{v}"] = lambda f, c=c, v=v: zscore(F.col(c), f.last(v), 3)
+        out[f"{c}_smooth_w{C.SMOOTH_WINDOW}"] = ("smooth", c, C.SMOOTH_WINDOW)
+        out[f"{c}_spike_z_w{C.SPIKE_WINDOW}"] = ("spike_z", c, C.SPIKE_WINDOW)
     return out
 
 
+# kind of a first-generation feature -> its column, from the raw column, the frames and the window
+KINDS_V1: dict[str, Callable[[Column, Frames, int], Column]] = {
+    "dev_ratio": lambda x, f, w: dev_ratio(x, f.last(w)),
+    "mom": momentum,
+    "rank_pct": lambda x, f, w: rank_pct(x, f.last(w)),
+    "mr_z": lambda x, f, w: zscore(x, f.last(w), 5),
+    "smooth": lambda x, f, w: rolling_mean(x, f.last(w)),
+    "spike_z": lambda x, f, w: zscore(x, f.last(w), 3),
+}
+
+
+def recipe_v1(columns: Sequence[str]) -> dict[str, Recipe]:
+    """Name and builder of every first-generation feature whose column is present."""
+    return {n: lambda f, kind=kind, c=c, w=w: KINDS_V1[kind](F.col(c), f, w) for n, (kind, c, w) in steps_v1(columns).items()}
+
+
+# the kinds from the values of a series and where they are known: values and where those are known
+ARRAYS_V1: dict[str, Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]] = {
+    "dev_ratio": arrays.dev_ratio,
+    "mom": arrays.momentum,
+    "rank_pct": lambda x, there, w: arrays.rank_pct(x, there, w, 5),
+    "mr_z": lambda x, there, w: arrays.zscore(x, there, w, 5),
+    "smooth": arrays.rolling_mean,
+    "spike_z": lambda x, there, w: arrays.zscore(x, there, w, 3),
+}
+# columns whose values are doubles as they are
+EXACT = (T.DoubleType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType)
+
+
 def features_v1(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    made = recipe_v1(df.columns)
+    """A series that fits a block is an array: Spark's sliding frames visit every row of a frame again for each row."""
+    steps = steps_v1(df.columns)
+    if not is_blocked(df) and steps and all(isinstance(df.schema[c].dataType, EXACT) for _, c, _ in steps.values()):
+        return _whole_features(df, steps, keys)
     back = max([*C.MACRO_WINDOWS, *C.REVERSION_WINDOWS, *C.MOMENTUM_LAGS])
+    made = recipe_v1(df.columns)
     return rolling(df, lambda f: {n: build(f) for n, build in made.items()}, back, keys=keys)
 
 
+def _whole_features(df: DataFrame, steps: dict[str, tuple[str, str, int]], keys: Sequence[str]) -> DataFrame:
+    kept = [c for c in df.columns if c not in steps]
+    used = sorted({c for _, c, _ in steps.values()})
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(POS)
+        cells = {c: (arrays.column(table, c), arrays.known(table, c)) for c in used}
+        made = [ARRAYS_V1[kind](*cells[c], w) for kind, c, w in steps.values()]
+        columns = [pa.array(values, pa.float64(), mask=~there) for values, there in made]
+        return pa.Table.from_arrays([*table.select(kept).columns, *columns], names=[*kept, *steps])
+
+    schema = T.StructType([*[df.schema[c] for c in kept], *[T.StructField(n, T.DoubleType()) for n in steps]])
+    return df.groupBy(*keys).applyInArrow(run, schema)
+
+
 def _diff(x: Column, f: Frames, lag: int) -> Column:
     return x - F.lag(x, lag).over(f.ordered)
 

@@ -204,3 +204,65 @@ def grid_sums(position: np.ndarray, forward: np.ndarray, rate: np.ndarray) -> di
         "_pop": np.sqrt(mean_known((returns - mean_known(returns)[:, None]) ** 2)),
         "max_drawdown": least_known(fall), "_total": product(1.0 + returns),
     }
+
+
+def _frames(values: np.ndarray, window: int) -> np.ndarray:
+    """The last ``window`` values at each row, zeros (or False) ahead of the first."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(window - 1, values.dtype), values]), window)
+
+
+def _pieces(rows: int, window: int) -> list[slice]:
+    step = max(1, FRAME_CELLS // window)
+    return [slice(a, a + step) for a in range(0, rows, step)]
+
+
+def _frame_means(values: np.ndarray, there: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number and mean of the known values among the last ``window`` rows."""
+    count = _frames(there, window).sum(-1)
+    return count, _frames(np.where(there, values, 0.0), window).sum(-1) / np.maximum(count, 1)
+
+
+def _ratio(x: np.ndarray, d: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quotient, unknown where the divisor is zero."""
+    there = there & (d != 0)
+    with np.errstate(invalid="ignore", over="ignore"):
+        return np.divide(x, d, out=np.full(len(x), np.nan), where=there), there
+
+
+def rolling_mean(values: np.ndarray, there: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    count, mean = _frame_means(values, there, window)
+    return mean, count > 0
+
+
+def dev_ratio(values: np.ndarray, there: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    mean, _ = rolling_mean(values, there, window)
+    return _ratio(values - mean, mean, there)
+
+
+def momentum(values: np.ndarray, there: np.ndarray, lag: int) -> tuple[np.ndarray, np.ndarray]:
+    before = np.concatenate([np.zeros(min(lag, len(values))), values[:-lag]])
+    both = there & np.concatenate([np.zeros(min(lag, len(values)), bool), there[:-lag]])
+    quotient, both = _ratio(values, before, both)
+    return quotient - 1, both
+
+
+def zscore(values: np.ndarray, there: np.ndarray, window: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """By the population deviation, which is exactly 0 where the known values of a frame are equal."""
+    count, mean = _frame_means(values, there, window)
+    spread, cells, inside = np.zeros(len(values)), _frames(values, window), _frames(there, window)
+    with np.errstate(invalid="ignore", over="ignore"):
+        for at in _pieces(len(values), window):
+            off = np.where(inside[at], cells[at] - mean[at, None], 0.0)
+            same = np.where(inside[at], cells[at], np.inf).min(-1) == np.where(inside[at], cells[at], -np.inf).max(-1)
+            spread[at] = np.where(same, 0.0, np.sqrt((off * off).sum(-1) / np.maximum(count[at], 1)))
+        return _ratio(values - mean, spread, there & (count >= least))
+
+
+def rank_pct(values: np.ndarray, there: np.ndarray, window: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Share of the frame's rows not above the current value; unknown values rank last, NaN above all others."""
+    size = np.minimum(np.arange(1, len(values) + 1), window)
+    cells, inside, at_most = _frames(values, window), _frames(there, window), np.zeros(len(values), np.int64)
+    for at in _pieces(len(values), window):
+        x = values[at, None]
+        at_most[at] = (inside[at] & ((cells[at] <= x) | np.isnan(x))).sum(-1)
+    return np.where(there, at_most, size) / size, inside.sum(-1) >= least
