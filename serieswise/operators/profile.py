@@ -15,6 +15,7 @@ from serieswise import config as C
 from serieswise.functions.scalar import ratio
 from serieswise.operators.frames import feature_columns, one_row, safe_corr, stacked
 from serieswise.operators.ordered import exact_quantiles, quantile_columns
+from serieswise.session import settle
 
 #: Bandwidths after which a kernel adds less than a double's last place to its peak: exp(-8.5 ** 2 / 2) < 2 ** -52.
 REACH = 8.5
@@ -24,12 +25,12 @@ def table_shape(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(cols)).cast("long"))
 
 
-def outlier_rates(df: DataFrame, cols: Sequence[str], k: float = 1.5, guarded: bool = False) -> DataFrame:
+def outlier_rates(df: DataFrame, cols: Sequence[str], k: float = 1.5, guarded: bool = False, written: bool = False) -> DataFrame:
     """Rows outside the quartile fences: count, and rate over all rows incl. null.
 
     ``guarded``: null for an empty column, 0 where the quartiles coincide.
     """
-    q = one_row(quantile_columns(df, cols, {"q1": 0.25, "q3": 0.75}))
+    q = one_row(quantile_columns(df, cols, {"q1": 0.25, "q3": 0.75}, written=written))
     out = {}
     for c in cols:
         q1, q3 = q[f"{c}__q1"], q[f"{c}__q3"]
@@ -279,6 +280,8 @@ def basic_eda(df: DataFrame, top_n: int = 30, bins: int = 40) -> dict[str, DataF
     cols = feature_columns(df) + [c for c in C.FINANCE_COLS if c in df.columns]
     from serieswise.operators.frames import names, null_rates
 
-    outliers = outlier_rates(df, cols)
+    # every part reads the rows, some of them several times
+    df = settle(df.select(*cols))
+    outliers = settle(outlier_rates(df, cols, written=True))
     top = names(outliers.orderBy(F.desc("outlier_rate"), "feature").limit(top_n))
     return {"missing": null_rates(df, cols), "outliers": outliers, "histograms": histograms(df, top, bins)}
