@@ -15,8 +15,10 @@ gives no pieces. Only doc_id and text of the input are read.
 
 from __future__ import annotations
 
+import threading
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -30,14 +32,40 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of a packing partition: a few MB in one task.
 PIECES = 8_000
-#: Entries of a worker's word cache before it starts anew.
-CACHED = 800_000
+#: Entries of one of the two generations of a worker's caches.
+RECENT = 250_000
+#: Seconds after which a worker that encodes no more gives up its caches: the next step's memory is not theirs.
+IDLE_SECONDS = 15.0
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _RUN = None
 _ENCODERS: dict[str, "_Encoder"] = {}
 
 
+class _Recent:
+    """A cache of two generations: what the young one does not hold, but the old one, moves over when it is used.
+
+    A full young generation becomes the old one, so entries in use stay and memory is bounded.
+    """
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, wanted: set | dict) -> list:
+        """The wanted keys that are in neither generation; all others are young afterwards, until the next call."""
+        if len(self.young) > RECENT:
+            self.young, self.old = {}, self.young
+        young, old, out = self.young, self.old, []
+        for key in set(wanted).difference(young):
+            value = old.get(key)
+            if value is None:
+                out.append(key)
+            else:
+                young[key] = value
+        return out
+
+
 class _Encoder:
     """Ids of texts, word by word: the tokenizer drops white space and never joins two words.
 
@@ -53,8 +81,26 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.words, self.runs = _Recent(), _Recent()
+        self.used, self.idle = threading.Lock(), None
+
+    @contextmanager
+    def in_use(self) -> Iterator[_Encoder]:
+        """Keeps the caches during a task, and gives them up if none follows soon."""
+        if self.idle:
+            self.idle.cancel()
+        try:
+            with self.used:
+                yield self
+        finally:
+            self.idle = threading.Timer(IDLE_SECONDS, self._forget)
+            self.idle.daemon = True
+            self.idle.start()
+
+    def _forget(self) -> None:
+        if self.used.acquire(blocking=False):
+            self.words, self.runs = _Recent(), _Recent()
+            self.used.release()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -67,33 +113,30 @@ class _Encoder:
             ids, owner = np.asarray(e.ids, "<u4"), np.asarray(e.word_ids, np.int64)
             cuts = np.flatnonzero(np.diff(owner)) + 1
             if len(cuts) + 1 == len(part):
-                self.runs.update(zip(part, (x.tobytes() for x in np.split(ids, cuts))))
+                self.runs.young.update(zip(part, (x.tobytes() for x in np.split(ids, cuts))))
             else:
-                self.runs.update(zip(part, self._encode(part)))
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > CACHED:
-            self.words.clear()
-        if len(self.runs) > CACHED:
-            self.runs.clear()
-        plain, odd, need = [], [], {}
+                self.runs.young.update(zip(part, self._encode(part)))
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain, odd, need = [], [], set()
         for w in words:
             s = w.decode("utf-8", "replace")
             m = self.plain(s)
             if m:
                 run, tail = m[1].lower(), m[2]
                 plain.append((w, run, tail))
-                need.update({x: None for x in (run, tail) if x and x not in self.runs})
+                need.update(x for x in (run, tail) if x)
             else:
                 odd.append((w, s))
-        letters = [x for x in need if x[0].isalpha()]
+        need = self.runs.missing(need)
         marks = [x for x in need if not x[0].isalpha()]
-        self._learn_runs(letters)
-        self.runs.update(zip(marks, self._encode(marks)) if marks else ())
+        self._learn_runs([x for x in need if x[0].isalpha()])
+        runs, known = self.runs.young, self.words.young
+        runs.update(zip(marks, self._encode(marks)) if marks else ())
         for w, run, tail in plain:
-            self.words[w] = self.runs[run] + self.runs[tail] if tail else self.runs[run]
+            known[w] = runs[run] + runs[tail] if tail else runs[run]
         if odd:
-            self.words.update(zip((w for w, _ in odd), self._encode([s for _, s in odd])))
+            known.update(zip((w for w, _ in odd), self._encode([s for _, s in odd])))
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         group: list[list[bytes]] = []
@@ -108,18 +151,15 @@ class _Encoder:
         yield from self._flush(group)
 
     def _flush(self, group: list[list[bytes]]) -> Iterator[bytes]:
-        wanted = set().union(*group) if group else set()
-        missing = {w for w in wanted if w not in self.words}
+        missing = self.words.missing(set().union(*group)) if group else []
         if missing:
-            if len(self.words) + len(missing) > CACHED:
-                missing = wanted  # the cache starts anew
             self._learn(missing)
         for words in group:
-            yield b"".join(map(self.words.__getitem__, words))
+            yield b"".join(map(self.words.young.__getitem__, words))
 
 
 def encoder(path: str) -> _Encoder:
-    """One per worker process and vocabulary; its caches are bounded."""
+    """One per worker process and vocabulary; its caches are bounded, and empty while it idles."""
     if path not in _ENCODERS:
         _ENCODERS[path] = _Encoder(path)
     return _ENCODERS[path]
@@ -129,22 +169,23 @@ def tokenized(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, keep_i
     """Pieces of all documents: doc_id, piece, start, length, ids_crc32 (and the ids, on demand)."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary), np.asarray([END_ID], "<u4").tobytes()
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, raw in zip(ids, encode.texts(texts)):
-                raw += end
-                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[at : at + 4 * capacity]
-                    for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), part)):
-                        column.append(value)
-            arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:5]]]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if keep_ids:
-                arrays.append(pa.array([np.frombuffer(p, "<u4").astype("int32") for p in out[5]], pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names)
+        end = np.asarray([END_ID], "<u4").tobytes()
+        with encoder(vocabulary).in_use() as encode:
+            for batch in batches:
+                ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+                out: tuple[list, ...] = ([], [], [], [], [], [])
+                for doc, raw in zip(ids, encode.texts(texts)):
+                    raw += end
+                    for k, at in enumerate(range(0, len(raw), 4 * capacity)):
+                        part = raw[at : at + 4 * capacity]
+                        for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), part)):
+                            column.append(value)
+                arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:5]]]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if keep_ids:
+                    arrays.append(pa.array([np.frombuffer(p, "<u4").astype("int32") for p in out[5]], pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = PIECE_SCHEMA + (", ids array<int>" if keep_ids else "")
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, schema)

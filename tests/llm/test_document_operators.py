@@ -270,3 +270,26 @@ def test_links_across_components_are_whole_and_few(spark, monkeypatch, block, el
     assert classes(links) == classes([(a, b) for a in range(n) for b in range(a) if alike(a, b)])
     if block == 1000 and elements == 10**9:
         assert len(links) < 3 * n
+
+
+def test_word_caches_are_bounded_keep_words_in_use_and_are_given_up(texts, monkeypatch):
+    import time
+
+    monkeypatch.setattr(packing, "RECENT", 50)
+    monkeypatch.setattr(packing, "IDLE_SECONDS", 0.2)
+    encode, some = packing._Encoder(queries.vocabulary()), [t or "" for t in list(texts.values())[:30]]
+    most = max(len(set(t.encode().split())) for t in some)
+    with encode.in_use():
+        for text in some:
+            ids = np.frombuffer(b"".join(encode.texts([text])), "<u4").tolist()
+            assert ids == encode.tokenizer.encode(text, add_special_tokens=False).ids
+            assert len(encode.words.young) <= 50 + most and len(encode.words.old) <= 50 + most
+        time.sleep(0.5)
+        assert encode.words.young  # not while a task runs
+    time.sleep(1)
+    assert not (encode.words.young or encode.words.old or encode.runs.young or encode.runs.old)
+    cache = packing._Recent()
+    for i in range(500):
+        assert cache.missing({"often"}) == ([] if i else ["often"])
+        cache.young["often"] = 1
+        cache.young.update({key: 0 for key in cache.missing({f"word{i}"})})
