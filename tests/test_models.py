@@ -248,3 +248,23 @@ def test_refused_parameters_are_named_and_lost_jobs_are_errors(spark, planted, m
 def test_jobs_side_by_side_keep_their_order(spark):
     jobs = [partial(lambda n: spark.range(n).count(), n) for n in range(12)]
     assert side_by_side(spark, jobs, most=4) == list(range(12))
+
+
+def test_estimator_folds_read_the_panel_once(spark, planted):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        read.add(1)
+        return v
+
+    rows = planted.count()
+    target = F.udf(seen, "double")("y")
+    df = planted.select("*", target.alias("market_forward_excess_returns"), F.lit(0.01).alias("forward_returns"), F.lit(0.0).alias("risk_free_rate"))
+    table, _ = WF.walk_forward_estimator(df, ["a", "b", "c"], model="rf", initial=100, folds=3, n_estimators=2, max_depth=2)
+    assert table.count() == 3 and read.value <= 2 * rows
+
+
+def test_large_fits_do_not_run_side_by_side():
+    assert models.fits_at_once(1_000) == 8 and models.fits_at_once(0, most=3) == 3
+    assert models.fits_at_once(100_000_000, 100) == 1
+    assert 1 <= models.fits_at_once(8_000_000) < 8
