@@ -268,3 +268,25 @@ def test_large_fits_do_not_run_side_by_side():
     assert models.fits_at_once(1_000) == 8 and models.fits_at_once(0, most=3) == 3
     assert models.fits_at_once(100_000_000, 100) == 1
     assert 1 <= models.fits_at_once(8_000_000) < 8
+
+
+def test_small_training_sets_are_fitted_by_few_tasks(spark, planted, monkeypatch):
+    df = planted.withColumn("label", (F.col("y") > 0).cast("int")).repartition(7)
+    own, held = models.assembled(df, df.limit(50), ["a", "b"], "label")
+    assert own.rdd.getNumPartitions() == 1 and own.count() == 400 and held.count() == 50
+    monkeypatch.setattr(models, "TASK_ROWS", 100)
+    assert models.assembled(df, df, ["a", "b"], "label")[0].rdd.getNumPartitions() == 4
+
+
+def test_halving_runs_large_fits_one_by_one(spark, planted, monkeypatch):
+    seen = []
+
+    def noted(session, jobs, most=8):
+        seen.append(most)
+        return side_by_side(session, jobs, most)
+
+    monkeypatch.setattr(search, "side_by_side", noted)
+    monkeypatch.setattr(models, "FIT_BYTES", 1)
+    df = planted.withColumn("label", (F.col("y") > 0).cast("int"))
+    search.successive_halving(df, ["a", "b"], "label", n_candidates=2, factor=2, min_trees=1, max_trees=1, folds=2).collect()
+    assert seen and set(seen) == {1}
