@@ -15,6 +15,9 @@ gives no pieces. Only doc_id and text of the input are read.
 
 from __future__ import annotations
 
+import gc
+import json
+import struct
 import threading
 import zlib
 from collections.abc import Iterator
@@ -34,8 +37,19 @@ END_ID = 1
 PIECES = 8_000
 #: Entries of one of the two generations of a worker's caches.
 RECENT = 250_000
+#: Words of the texts that are looked up together.
+GROUP_WORDS = 200_000
 #: Seconds after which a worker that encodes no more gives up its caches: the next step's memory is not theirs.
 IDLE_SECONDS = 15.0
+# fixed values: the parts of a tokenizer that lower-case a text and cut it at the ends of runs of letters
+_STEPS = [{"type": "NFC"}, {"content": " ", "pattern": {"Regex": r"\s+"}, "type": "Replace"}, {"type": "Lowercase"}]
+NORMALIZER = json.dumps({"normalizers": _STEPS, "type": "Sequence"}, sort_keys=True)
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_CUTS = [
+    {"behavior": "Removed", "invert": True, "pattern": {"Regex": _CUT}, "type": "Split"},
+    {"add_prefix_space": False, "trim_offsets": True, "type": "ByteLevel", "use_regex": False},
+]
+PRE_TOKENIZER = json.dumps({"pretokenizers": _CUTS, "type": "Sequence"}, sort_keys=True)
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _RUN = None
@@ -56,14 +70,23 @@ class _Recent:
         """The wanted keys that are in neither generation; all others are young afterwards, until the next call."""
         if len(self.young) > RECENT:
             self.young, self.old = {}, self.young
-        young, old, out = self.young, self.old, []
-        for key in set(wanted).difference(young):
-            value = old.get(key)
-            if value is None:
-                out.append(key)
-            else:
-                young[key] = value
-        return out
+        others = set(wanted).difference(self.young)
+        out = others.difference(self.old)
+        kept = list(others.difference(out))
+        self.young.update(zip(kept, map(self.old.__getitem__, kept)))
+        return list(out)
+
+
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """No search for cycles meanwhile: words and ids hold none, and each search would visit all of them."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 class _Encoder:
@@ -77,10 +100,21 @@ class _Encoder:
     def __init__(self, path: str) -> None:
         import re
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+        made = json.loads(self.tokenizer.to_str())
+        # where lower-case letters stay one piece, the model alone gives a run's ids
+        self.whole_runs = (
+            json.dumps(made["normalizer"], sort_keys=True) == NORMALIZER
+            and json.dumps(made["pre_tokenizer"], sort_keys=True) == PRE_TOKENIZER
+            and not any(t["content"].isalpha() for t in made["added_tokens"])
+        )
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        # the model's sign of each byte of the letters' UTF-8 codes
+        self.signs = {b: sign for x in range(0xC0, 0x100) for b, sign in zip(chr(x).encode(), level(chr(x))[0][0])}
+        # letters and marks of a line that is a plain word, else the line
+        self.split = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)|(.+))$", re.MULTILINE).findall
         self.words, self.runs = _Recent(), _Recent()
         self.used, self.idle = threading.Lock(), None
 
@@ -106,37 +140,37 @@ class _Encoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn_runs(self, runs: list[str]) -> None:
-        """Many words in one call, split again by the word each id belongs to."""
+        """Runs of letters by the model; or many in one call, split again by the word each id belongs to."""
+        if self.whole_runs:
+            tokenize, signs, learned = self.tokenizer.model.tokenize, self.signs, self.runs.young
+            for run in runs:
+                piece = run if run.isascii() else run.encode().decode("latin-1").translate(signs)
+                ids = [t.id for t in tokenize(piece)]
+                learned[run] = struct.pack(f"<{len(ids)}I", *ids)
+            return
         for i in range(0, len(runs), 500):
             part = runs[i : i + 500]
             e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, owner = np.asarray(e.ids, "<u4"), np.asarray(e.word_ids, np.int64)
-            cuts = np.flatnonzero(np.diff(owner)) + 1
-            if len(cuts) + 1 == len(part):
-                self.runs.young.update(zip(part, (x.tobytes() for x in np.split(ids, cuts))))
+            ids, owner = np.asarray(e.ids, "<u4").tobytes(), np.asarray(e.word_ids, np.int64)
+            cuts = [0, *(4 * np.flatnonzero(np.diff(owner)) + 4).tolist(), len(ids)]
+            if len(cuts) == len(part) + 1:
+                self.runs.young.update(zip(part, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
             else:
                 self.runs.young.update(zip(part, self._encode(part)))
 
     def _learn(self, words: list[bytes]) -> None:
-        plain, odd, need = [], [], set()
-        for w in words:
-            s = w.decode("utf-8", "replace")
-            m = self.plain(s)
-            if m:
-                run, tail = m[1].lower(), m[2]
-                plain.append((w, run, tail))
-                need.update(x for x in (run, tail) if x)
-            else:
-                odd.append((w, s))
-        need = self.runs.missing(need)
+        """All words are taken apart by one search over their lines: no word holds a line end."""
+        parts = self.split(b"\n".join(words).decode("utf-8", "replace"))
+        lower, tails = [run.lower() for run, _, _ in parts], {tail for _, tail, _ in parts}
+        need = self.runs.missing({*lower, *tails} - {""})
         marks = [x for x in need if not x[0].isalpha()]
         self._learn_runs([x for x in need if x[0].isalpha()])
         runs, known = self.runs.young, self.words.young
         runs.update(zip(marks, self._encode(marks)) if marks else ())
-        for w, run, tail in plain:
-            known[w] = runs[run] + runs[tail] if tail else runs[run]
+        known.update((w, runs[run] + runs[tail] if tail else runs[run]) for w, run, (_, tail, _) in zip(words, lower, parts) if run)
+        odd = [(w, whole) for w, (_, _, whole) in zip(words, parts) if whole]
         if odd:
-            known.update(zip((w for w, _ in odd), self._encode([s for _, s in odd])))
+            known.update(zip((w for w, _ in odd), self._encode([whole for _, whole in odd])))
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         group: list[list[bytes]] = []
@@ -145,15 +179,16 @@ class _Encoder:
             words = text.encode("utf-8", "replace").split()
             group.append(words)
             size += len(words)
-            if size > 100_000:
+            if size > GROUP_WORDS:
                 yield from self._flush(group)
                 group, size = [], 0
         yield from self._flush(group)
 
     def _flush(self, group: list[list[bytes]]) -> Iterator[bytes]:
-        missing = self.words.missing(set().union(*group)) if group else []
-        if missing:
-            self._learn(missing)
+        with _uncollected():
+            missing = self.words.missing(set().union(*group)) if group else []
+            if missing:
+                self._learn(missing)
         for words in group:
             yield b"".join(map(self.words.young.__getitem__, words))
 
