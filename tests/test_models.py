@@ -250,7 +250,7 @@ def test_jobs_side_by_side_keep_their_order(spark):
     assert side_by_side(spark, jobs, most=4) == list(range(12))
 
 
-def test_estimator_folds_read_the_panel_once(spark, planted):
+def test_estimator_folds_read_the_panel_once_and_for_their_fit(spark, planted):
     read = spark.sparkContext.accumulator(0)
 
     def seen(v):
@@ -261,7 +261,7 @@ def test_estimator_folds_read_the_panel_once(spark, planted):
     target = F.udf(seen, "double")("y")
     df = planted.select("*", target.alias("market_forward_excess_returns"), F.lit(0.01).alias("forward_returns"), F.lit(0.0).alias("risk_free_rate"))
     table, _ = WF.walk_forward_estimator(df, ["a", "b", "c"], model="rf", initial=100, folds=3, n_estimators=2, max_depth=2)
-    assert table.count() == 3 and read.value <= 2 * rows
+    assert table.count() == 3 and read.value <= 8 * rows  # once, and the fitted columns once a fold
 
 
 def test_large_fits_do_not_run_side_by_side():
@@ -270,14 +270,6 @@ def test_large_fits_do_not_run_side_by_side():
     assert 1 <= models.fits_at_once(8_000_000) < 8
 
 
-def test_small_training_sets_are_fitted_by_few_tasks(spark, planted, monkeypatch):
-    df = planted.withColumn("label", (F.col("y") > 0).cast("int")).repartition(7)
-    own, held = models.assembled(df, df.limit(50), ["a", "b"], "label")
-    assert own.rdd.getNumPartitions() == 1 and own.count() == 400 and held.count() == 50
-    monkeypatch.setattr(models, "TASK_ROWS", 100)
-    assert models.assembled(df, df, ["a", "b"], "label")[0].rdd.getNumPartitions() == 4
-
-
 def test_halving_runs_large_fits_one_by_one(spark, planted, monkeypatch):
     seen = []
 
@@ -290,3 +282,19 @@ def test_halving_runs_large_fits_one_by_one(spark, planted, monkeypatch):
     df = planted.withColumn("label", (F.col("y") > 0).cast("int"))
     search.successive_halving(df, ["a", "b"], "label", n_candidates=2, factor=2, min_trees=1, max_trees=1, folds=2).collect()
     assert seen and set(seen) == {1}
+
+
+def test_a_large_forest_is_grown_in_groups_of_trees(planted, monkeypatch):
+    monkeypatch.setattr(models, "FIT_BYTES", 4 * 400 * 3)
+    fitted = models.fit_regressor(planted, ["a", "b", "c"], "y", "rf", n_estimators=8, max_depth=2)
+    forests = [s for s in fitted.stages if hasattr(s, "getNumTrees")]
+    assert [f.getNumTrees for f in forests] == [3, 3, 2]
+    said = models.predict(fitted, planted)
+    assert said.columns == [*planted.columns, "prediction"]
+    filled = fitted.stages[1].transform(fitted.stages[0].transform(planted))
+    rows = [(r.date_id, r.features) for r in filled.select("date_id", "features").limit(20).collect()]
+    got = {r.date_id: r.prediction for r in said.select("date_id", "prediction").collect()}
+    for day, features in rows:
+        assert math.isclose(got[day], np.mean([t.predict(features) for f in forests for t in f.trees]), rel_tol=1e-9)
+    whole = models.fit_regressor(planted, ["a"], "y", "rf", n_estimators=3, max_depth=2)
+    assert whole.stages[-1].getNumTrees == 3 and len(whole.stages) == 3
