@@ -6,7 +6,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
-from serieswise.plans import models, search, trees
+from serieswise.plans import models, search, trees, walk_forward
+from serieswise.session import side_by_side
 
 
 @pytest.fixture()
@@ -125,3 +126,34 @@ def test_unlike_cells_are_predicted_row_by_row(rows):
     tree = trees.Tree(np.array([4, 0, 0]), np.array([9, 32, 32]), np.array([1, 1, 2]), np.array([0.0, -1.0, 2.5]), 1)
     said = trees.BinnedTrees(into, "prediction", trees.trees_json([tree, tree])).transform(bins)
     assert said.filter("prediction <> if(e <= 9, -1.0, 2.5)").count() == 0
+
+
+def test_folds_of_large_forests_read_the_written_rows_and_run_side_by_side(rows, large, monkeypatch):
+    """Against the folds of Spark ML's forests: the same sizes and columns, and nearly the same errors."""
+    seen, written = [], []
+
+    def noted(spark, jobs, most=8):
+        seen.append(most)
+        return side_by_side(spark, jobs, most)
+
+    def fitted(*args, **kwargs):
+        written.append(kwargs.get("written", False))
+        return models.fit_regressor(*args, **kwargs)
+
+    panel = rows.select(
+        F.pmod("id", F.lit(2)).alias("series_id"), *[F.floor(F.col("id") / 2).alias(c) for c in ("date_id", "pos")], "a", "b", "c",
+        F.col("y").alias("market_forward_excess_returns"), (F.col("y") / 100).alias("forward_returns"), F.lit(0.0).alias("risk_free_rate"),
+    )
+    monkeypatch.setattr(walk_forward, "side_by_side", noted)
+    monkeypatch.setattr(walk_forward, "fit_regressor", fitted)
+    run = lambda: {
+        (r.series_id, r.fold): r for r in walk_forward.walk_forward_estimator(panel, ["a", "b", "c"], initial=500, folds=3, n_estimators=20)[0].collect()
+    }
+    ours = run()
+    rows.sparkSession.conf.unset("serieswise.smallGroup")
+    theirs = run()
+    assert written == [True] * 3 + [False] * 3 and seen[0] == 3
+    assert sorted(ours) == sorted(theirs) and len(ours) == 6
+    for key, r in ours.items():
+        assert (r.train_size, r.val_size, r.n_features) == (theirs[key].train_size, theirs[key].val_size, theirs[key].n_features)
+        assert r.mae == pytest.approx(theirs[key].mae, rel=0.1)
