@@ -48,6 +48,19 @@ def test_recall_of_neighbours(spark):
     assert set(got) == {i for i in v if i % 20 == 0} and hits >= 0.9 * 20 * len(got)
 
 
+def test_neighbour_tasks_grow_with_the_table(spark, monkeypatch):
+    """Copies of queries follow the number of tasks, which is bounded until they are large; the neighbours do not depend on it."""
+    assert [ann.task_rows(n) for n in (100, 96_000, 480_000, 10_000_000)] == [4_000, 4_000, 20_000, 32_000]
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((600, 8)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = lambda: sorted(tuple(r) for r in ann.search(df, F.col("vec_id") % 20 == 0, k=5).collect())
+    one = found()
+    monkeypatch.setattr(ann, "TASK_ROWS", 10)
+    monkeypatch.setattr(ann, "TASKS", 7)
+    assert ann.task_rows(600) == 85 and found() == one and len(one) == 150
+
+
 def test_neighbours_of_odd_vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.standard_normal(4)]) for i in range(60)]
